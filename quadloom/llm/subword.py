@@ -20,6 +20,7 @@ from quadloom.llm.common import mix64
 
 GRAMS = (3, 4, 5)
 CACHE_WORDS = 400_000
+CHUNK_WORDS = 20_000
 #: No text has this as a word, as words hold no tab.
 AGAIN = "\t="
 
@@ -45,15 +46,21 @@ class Features:
 
     def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Feature ids of all words one after another, and where each word's begin (one more at the end)."""
+        parts = [self._some(words[i : i + CHUNK_WORDS]) for i in range(0, len(words), CHUNK_WORDS)]
+        if not parts:
+            return np.zeros(0, np.int32), np.zeros(1, np.int64)
+        return np.concatenate([p[0] for p in parts]), np.concatenate([[0], np.cumsum(np.concatenate([p[1] for p in parts]))])
+
+    def _some(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Of a few words at a time, as the arrays below are many times their size: ids, and counts by word."""
         n = len(words)
         marked = [f"<{w}>" for w in words]
         points = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         length = np.fromiter(map(len, marked), np.int64, n)
-        ends = np.cumsum(length)
-        owner_of_point = np.repeat(np.arange(n), length)
-        room = np.repeat(ends, length) - np.arange(len(points))
+        owner_of_point = np.repeat(np.arange(n, dtype=np.int32), length)
+        room = np.repeat(np.cumsum(length), length) - np.arange(len(points))
         ids = [np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, n)]
-        owners = [np.arange(n)]
+        owners = [np.arange(n, dtype=np.int32)]
         rolling = np.zeros(len(points), np.uint64)
         for k in range(max(GRAMS)):
             rolling[: len(points) - k] = rolling[: len(points) - k] * np.uint64(0x100000001B3) + points[k:] + np.uint64(k + 1)
@@ -62,9 +69,8 @@ class Features:
                 ids.append(mix64(rolling[at] + np.uint64((k + 1) << 56)))
                 owners.append(owner_of_point[at])
         owner = np.concatenate(owners)
-        order = np.argsort(owner, kind="stable")
-        flat = (np.concatenate(ids) % np.uint64(self.buckets)).astype(np.int64)[order]
-        return flat, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))])
+        flat = (np.concatenate(ids) % np.uint64(self.buckets)).astype(np.int32)
+        return flat[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=n)
 
 
 @dataclass
@@ -139,17 +145,20 @@ def fit(
     """
     rng = np.random.default_rng(seed)
     features = Features(buckets, fold_case)
-    docs = [features.split(t) for t in texts]
-    keep = [i for i, d in enumerate(docs) if d]
-    y = np.array([int(labels[i]) for i in keep], np.int64)
-    if len(keep) == 0 or y.min() == y.max():
+    vocabulary: dict[str, int] = {}
+    docs, marks = [], []
+    for text, mark in zip(texts, labels):
+        if words := features.split(text):
+            docs.append(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words), np.int32, len(words)))
+            marks.append(int(mark))
+    y = np.array(marks, np.int64)
+    if len(y) == 0 or y.min() == y.max():
         share = float(np.mean(labels)) if len(labels) else 0.5
         share = min(max(share, 1e-3), 1 - 1e-3)
         return Model(buckets, fold_case, window, np.zeros(buckets, np.float32), float(np.log(share / (1 - share))))
-    vocabulary = {w: i for i, w in enumerate(sorted({w for i in keep for w in docs[i]}))}
     flat, starts = features.of(list(vocabulary))
     size = np.diff(starts)
-    docs = [np.fromiter((vocabulary[w] for w in docs[i]), np.int64, len(docs[i])) for i in keep]
+    del vocabulary
 
     embed = rng.normal(0, 0.1, (buckets, dim)).astype(np.float32)
     softmax = rng.normal(0, 0.5, (dim, 2)).astype(np.float32)
