@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadloom.llm import quality, toxicity
+from quadloom.llm import quality, repetition, toxicity
 from quadloom.llm.common import crc_bucket, table
 
 
@@ -21,9 +21,15 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs.select("doc_id", "text"), model).select("doc_id", (fold == 0).alias("held_out"), "score", "predicted")
 
 
+def op9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return repetition.judged(docs).drop("text")
+
+
 QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_quality": op3_quality,
+    "op9_repetition": op9_repetition,
 }
 
 ORACLES: dict[str, str] = {}
