@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadloom.llm import chat_tree, html_main, packing, quality, repetition, toxicity
+from quadloom.llm import chat_tree, html_main, jaccard, packing, quality, repetition, toxicity
 from quadloom.llm.common import crc_bucket, table
 
 
@@ -53,6 +53,10 @@ def op9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.judged(docs).drop("text")
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.joined(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_toxicity": op2_toxicity,
@@ -60,6 +64,7 @@ QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_repetition": op9_repetition,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
 _ESCAPED_LENGTH = r"""length(regexp_replace(replace({0}, '\', '\\'), '(<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>)', '\1+', 'g'))"""
