@@ -34,9 +34,9 @@ from quadloom.llm.common import checkpointed
 
 SHARD_ROWS = 8192
 QUERY_BLOCK = 2048
-TREES, BITS = 12, 48
+TREES, BITS = 64, 32
 #: Share of a shard that a query scores at least, and the least number of candidates.
-PROBE_SHARE, PROBE_LEAST = 0.35, 400
+PROBE_SHARE, PROBE_LEAST = 0.45, 400
 SEED = 5
 
 

@@ -7,7 +7,7 @@ as shares of capacity, the smallest residue wins) or by the norm of what would b
 kept as one row for each distinct residual vector, so the choice is one numpy pass over distinct
 residuals, not over bins.
 
-Work is split by a hash of (doc_id, piece) into shards of about SHARD_PIECES pieces. Each is packed
+Work is split by a hash of row numbers into shards of about SHARD_PIECES pieces. Each is packed
 by itself; a shard leaves at most a few bins part full, so the loss is a few sequences in
 thousands, whatever the size of the corpus, and no document, source or group of copies can make a
 shard larger than others.
@@ -174,7 +174,8 @@ def packed(docs: DataFrame, path: str, tokens: int = TOKENS, documents: int = DO
 
 def _packed(cut: DataFrame, count: int, tokens: int, documents: int, attention: int, weights, by: str, shard_pieces: int) -> DataFrame:
     shards = max(1, -(-count // shard_pieces))
-    thin = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)))
+    # Row numbers of a checkpoint stay what they are; copies of one row go to different shards.
+    thin = cut.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
 
     def pack(shard: pd.DataFrame) -> pd.DataFrame:
         shard = shard.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")

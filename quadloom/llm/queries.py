@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadloom.llm import chat_tree, hash_forest, html_main, jaccard, mixing, packing, quality, repetition, toxicity
+from quadloom.llm import chat_tree, hash_forest, html_main, jaccard, mixing, packing, quality, repetition, token_tree, toxicity
 from quadloom.llm.common import crc_bucket, table
 
 
@@ -50,6 +50,19 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"), MIX_BLOCK)
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents under three edits each: a deletion, an insertion and a replacement."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    n = "coalesce(char_length(text), 0)"
+    edits = F.expr(f"""array(
+        named_struct('at', cast({n} div 4 as int), 'remove', 7, 'insert', ''),
+        named_struct('at', cast({n} div 2 as int), 'remove', 0, 'insert', ' [removed] '),
+        named_struct('at', cast(3 * {n} div 4 as int), 'remove', 3, 'insert', 'e-mail'))""")
+    return token_tree.counted(docs.withColumn("edits", edits), "edits", tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 #: A conversation that is made of control strings.
 HOSTILE = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
@@ -77,6 +90,7 @@ QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_hash_forest": op5_hash_forest,
     "op6_source_mixing": op6_source_mixing,
+    "op7_token_counts": op7_token_counts,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_repetition": op9_repetition,
     "op10_ngram_jaccard": op10_ngram_jaccard,
