@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quadloom.llm.common import small_batches
 from quadloom.llm.subword import Model
 
 
@@ -32,6 +33,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
 
 def scored(docs: DataFrame, model: Model, score: str = "score") -> DataFrame:
     """docs with a score of each text; narrow, one pass, no shuffle."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

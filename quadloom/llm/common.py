@@ -35,6 +35,28 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows and bytes of one Arrow batch where rows hold whole texts.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker holds at once: texts are long, and some very long.
+
+    Left alone where the session has set figures of its own.
+    """
+    for name, value, usual in (("maxRecordsPerBatch", BATCH_ROWS, "10000"), ("maxBytesPerBatch", BATCH_BYTES, None)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key, None)
+        if now is not None and (usual is None and _bytes(now) > value or now == usual):
+            spark.conf.set(key, str(value))
+
+
+def _bytes(said: str) -> int:
+    digits = "".join(c for c in said if c.isdigit())
+    unit = said[len(digits) :].strip().lower()[:1]
+    return int(digits or 0) << {"k": 10, "m": 20, "g": 30}.get(unit, 0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadloom.llm.common import small_batches
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)[^>]*+(?:>|\Z)",
     re.S,
@@ -205,6 +207,7 @@ def extract(page: str | None) -> str:
 def extracted(pages: DataFrame, column: str = "html") -> DataFrame:
     """pages plus text and n_chars, without the html column. Narrow: no shuffle."""
 
+    small_batches(pages.sparkSession)
     @F.pandas_udf("string")
     def text_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for html in batches:

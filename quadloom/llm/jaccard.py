@@ -38,18 +38,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadloom.llm.common import checkpointed, lower_words_of, mix64
+from quadloom.llm.common import checkpointed, lower_words_of, mix64, small_batches
 from quadloom.llm.components import components
 
 COMMON = 500
 BAND_RATIO = 1.3
 #: For the cost of an allocation: how likely a token is one that other sets hold too.
-SHARED = 0.25
+SHARED = 0.05
 #: Tokens of one block of a component; a task compares two blocks.
 BLOCK_TOKENS = 400_000
 #: A thin table of ids is broadcast up to so many rows (8 bytes each), and joined by shuffle beyond.
 BROADCAST_IDS = 1_000_000
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -67,12 +67,11 @@ class Shingler:
         if len(cache) > CACHE_WORDS:
             cache.clear()
         try:
-            hashes = np.array([cache[w] for w in words], np.uint64)
+            hashes = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
         except KeyError:
-            for w in words:
-                if w not in cache:
-                    cache[w] = xxhash.xxh64_intdigest(w)
-            hashes = np.array([cache[w] for w in words], np.uint64)
+            for w in set(words).difference(cache):
+                cache[w] = xxhash.xxh64_intdigest(w)
+            hashes = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
         n = min(self.n, len(words))
         total = np.full(len(words) - n + 1, n, np.uint64)
         for k in range(n):
@@ -190,7 +189,8 @@ def _signature_rows(n: int, t: Threshold, sets: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle, seen = Shingler(n), set()
         for batch in batches:
-            parts = []
+            parts: list[tuple] = []
+            held = 0
             for text in batch["text"]:
                 tokens = shingle(text)
                 if len(tokens) == 0:
@@ -203,13 +203,21 @@ def _signature_rows(n: int, t: Threshold, sets: int):
                 seen.add(key)
                 for k, (sigs, weights, slack) in enumerate(signatures(tokens, t, sets)):
                     parts.append((sigs.astype(np.int64), np.full(len(sigs), key), (min(slack, 1 << 20) * 8 + k * 4 + weights).astype(np.int32)))
+                    held += len(sigs)
+                if held > 200_000:
+                    yield _signature_frame(parts)
+                    parts, held = [], 0
             if parts:
-                sigs, keys, meta = (np.concatenate(x) for x in zip(*parts))
-                yield pd.DataFrame({"sig": sigs, "k1": keys, "meta": meta})
+                yield _signature_frame(parts)
 
     return run
 
 
+def _signature_frame(parts: list[tuple]) -> pd.DataFrame:
+    sigs, keys, meta = (np.concatenate(x) for x in zip(*parts))
+    return pd.DataFrame({"sig": sigs, "k1": keys, "meta": meta})
+
+
 def _tokens(n: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle = Shingler(n)
@@ -276,6 +284,7 @@ def _compare(t: Threshold):
 def joined(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """doc_id, n_shingles and component_id of each row, component_id being the smallest doc_id reachable by links."""
     t = Threshold(num, den)
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = checkpointed(texts.mapInPandas(_sets(n), "doc_id long, n_shingles long, k1 long, k2 long"))
     count = sets.count()

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadloom.llm.common import checkpointed
+from quadloom.llm.common import checkpointed, small_batches
 
 TOKENS = 2048
 #: Beyond these no sequence of TOKENS tokens can go, so they bind only where a caller lowers them.
@@ -97,6 +97,7 @@ class ChunkIds:
 def pieces(docs: DataFrame, path: str, tokens: int = TOKENS) -> DataFrame:
     """The pieces of all documents with the checksums of their ids. Narrow: no shuffle."""
 
+    small_batches(docs.sparkSession)
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids_of = ChunkIds(path)
         for batch in batches:

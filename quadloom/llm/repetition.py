@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadloom.llm.common import words_of
+from quadloom.llm.common import small_batches, words_of
 
 #: Rules of the base check.
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT, SYMBOLS = 10, 5, 20, "#*$%&|<>"
@@ -147,6 +147,7 @@ def chunks(texts: list[str | None], most: int = CHUNK_WORDS) -> Iterator[list[st
 def judged(docs: DataFrame, run: int = RUN, max_covered: float = MAX_COVERED, longest: int = LONGEST, longest_share: float = LONGEST_SHARE) -> DataFrame:
     """docs plus the columns of STATS, base_failed and kept. Narrow: no shuffle."""
 
+    small_batches(docs.sparkSession)
     @F.pandas_udf(STATS)
     def stats(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:

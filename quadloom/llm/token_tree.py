@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadloom.llm.chat_tree import encoder
+from quadloom.llm.common import small_batches
 
 BLOCK = 256
 #: Leaves before an edit that may change with it: one that the edit lengthens, and the white space before it.
@@ -199,6 +200,7 @@ def counted(docs: DataFrame, edits: str, ranks: str, pattern: str, text: str = "
     to the text that those before it left. Narrow: no shuffle; a task holds one tree at a time.
     """
 
+    small_batches(docs.sparkSession)
     @F.pandas_udf(COUNTS)
     def count(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         counter = Counter(ranks, pattern)
