@@ -7,13 +7,16 @@ than H, some segment must agree: exactly where its allocation is 1, up to one to
 (both sides then also index the segment with each token deleted). Which segments get 2 is chosen by
 cost, by band: longer segments with deletion neighbourhoods are more selective, exact ones cheaper.
 
-The allocations add up to more than H + 1 by a slack. Segments that tell nothing (empty ones, and
-those that more than COMMON sets share, such as parts of a passage quoted everywhere) may be left
-out as long as the slack covers them; a set with more of them keeps them all. So no pair is lost.
+The allocations add up to more than H + 1 by a slack. Segments that tell little (those of a token
+or none, and those that more than COMMON sets share, such as parts of a passage quoted everywhere) may
+be left out as long as the slack covers them; a set with more of them keeps them all. So no pair is
+lost.
 
 Sets that meet in a segment are only candidates. Rather than list pairs, the join takes connected
-components of "meets the smallest set of the segment", splits each into blocks of a bounded number
-of tokens, and compares block with block inside one task: by prefixes in order of frequency, sizes,
+components of "meets the smallest set of the segment". One of more than BLOCK_TOKENS tokens is
+refined: its sets meet again in their prefixes (the tokens rarest within it, as many as two linked
+sets can't both lack), which parts sets that only quote the same passages. Components are then split
+into blocks of a bounded number of tokens and block is compared with block inside one task: by prefixes in order of frequency, sizes,
 and exact overlaps, leaving out pairs already known to be connected. Each task returns a spanning
 forest of verified links, so rows out never exceed documents times blocks. Equal sets are one
 class from the start.
@@ -41,7 +44,7 @@ from pyspark.sql import functions as F
 from quadloom.llm.common import checkpointed, lower_words_of, mix64, small_batches
 from quadloom.llm.components import components
 
-COMMON = 500
+COMMON = 24
 BAND_RATIO = 1.3
 #: For the cost of an allocation: how likely a token is one that other sets hold too.
 SHARED = 0.05
@@ -89,7 +92,14 @@ class Threshold:
 
     def most_apart(self, size: int) -> int:
         """Tokens in which two linked sets of up to this size can differ."""
-        return 2 * size * (self.den - self.num) // (self.den + self.num)
+        return self.most_apart_of(size, size)
+
+    def most_apart_of(self, size: int, other: int) -> int:
+        return (size + other) * (self.den - self.num) // (self.den + self.num)
+
+    def most_size(self, size: int) -> int:
+        """The largest set that can link with one of this size."""
+        return self.den * size // self.num
 
     def least_size(self, size: int) -> int:
         """The smallest set that can link with one of this size."""
@@ -111,12 +121,11 @@ def band_of(size: int) -> int:
 
 
 @cache
-def allocation(band: int, t: Threshold, sets: int) -> tuple[int, int, int]:
-    """Exact segments, segments with deletions, and slack, for pairs whose larger set lies in this band."""
+def allocation(band: int, t: Threshold, sets: int) -> tuple[int, int]:
+    """Exact segments and segments with deletions, for pairs whose larger set lies in this band."""
     size = band_top(band)
     apart = t.most_apart(size)
-    slack = 1 + apart // 10
-    need = apart + 1 + slack
+    need = apart + 3 + apart // 10
     best = None
     for two in range(need // 2 + 1):
         one = need - 2 * two
@@ -126,11 +135,17 @@ def allocation(band: int, t: Threshold, sets: int) -> tuple[int, int, int]:
         cost = rows + min(met, 1e9)
         if best is None or cost < best[0]:
             best = (cost, one, two)
-    return best[1], best[2], slack
+    return best[1], best[2]
 
 
 def signatures(tokens: np.ndarray, t: Threshold, sets: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """For each band that the set takes part in: signatures, their weights (1 or 2), and what is left of the slack."""
+    """For each band that the set takes part in: signatures, their weights (1 or 2), and what is left of the slack.
+
+    The slack is what the allocations exceed, by one, the tokens in which this set and one that it
+    can link with may differ. Segments that tell little are left out if the slack covers them.
+    Otherwise all are kept and the slack is -1: such a set keeps common segments too. So of two
+    linked sets, whatever each leaves out, they agree in a segment that both keep.
+    """
     size = len(tokens)
     own = band_of(size)
     out = []
@@ -139,29 +154,29 @@ def signatures(tokens: np.ndarray, t: Threshold, sets: int) -> list[tuple[np.nda
             break
         if t.most_apart(band_top(band)) == 0:
             continue
-        one, two, slack = allocation(band, t, sets)
+        one, two = allocation(band, t, sets)
         m = one + two
         mixed = mix64(tokens + np.uint64((band + 1) * 0x51ED27 * int(_ODD) % 2**64))
         segment = ((mixed >> np.uint64(33)) % np.uint64(m)).astype(np.int64)
         order = np.argsort(segment, kind="stable")
         mixed, segment = mixed[order], segment[order]
-        first = np.flatnonzero(np.concatenate([[True], np.diff(segment) != 0]))
-        sums, present = np.add.reduceat(mixed, first), segment[first]
+        held = np.bincount(segment, minlength=m)
+        allocated = np.where(np.arange(m) < one, 1, 2)
+        told = (held > (1 if m >= 12 else 0)) | (allocated == 2)  # one with deletions may meet a smaller one
+        partner = min(band_top(band), t.most_size(size))
+        slack = one + 2 * two - 1 - t.most_apart_of(size, partner) - int(allocated[~told].sum())
+        if slack < 0:
+            told[:], slack = True, -1
+        first = np.cumsum(held) - held
+        sums = np.zeros(m, np.uint64)
+        some = held > 0
+        sums[some] = np.add.reduceat(mixed, first[some])
         salt = mix64((np.arange(m).astype(np.uint64) + np.uint64(band << 32)) * _ODD + np.uint64(77))
-        sigs, weights = [sums + salt[present]], [np.where(present < one, 1, 2)]
-        late = segment >= one
+        sigs, weights = [(sums + salt)[told]], [allocated[told]]
+        late = (segment >= one) & told[segment]
         if late.any():
-            whole = np.repeat(sums, np.diff(np.append(first, size)))
-            sigs.append((whole - mixed + salt[segment])[late])
+            sigs.append((sums[segment] - mixed + salt[segment])[late])
             weights.append(np.full(int(late.sum()), 2))
-        empty = np.ones(m, bool)
-        empty[present] = False
-        lost = int(np.where(np.flatnonzero(empty) < one, 1, 2).sum())
-        if lost <= slack:
-            slack -= lost
-        else:
-            sigs.append(salt[empty])
-            weights.append(np.where(np.flatnonzero(empty) < one, 1, 2))
         out.append((mix64(np.concatenate(sigs)), np.concatenate(weights), slack))
     return out
 
@@ -222,7 +237,7 @@ def _tokens(n: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle = Shingler(n)
         for batch in batches:
-            yield pd.DataFrame({"rep": batch["doc_id"], "component": batch["component"], "tokens": [shingle(x).tobytes() for x in batch["text"]]})
+            yield pd.DataFrame({"rep": batch["doc_id"], "component": batch["component"], "blocks": batch["blocks"], "tokens": [shingle(x).tobytes() for x in batch["text"]]})
 
     return run
 
@@ -321,18 +336,52 @@ def candidates(texts: DataFrame, n: int, t: Threshold, count: int) -> DataFrame:
     return components(edges, "k1", "pivot")
 
 
+def _sized(members: DataFrame) -> DataFrame:
+    """members plus the number of blocks of their component."""
+    size = members.groupBy("component").agg(F.ceil(F.sum("n_shingles") / BLOCK_TOKENS).cast("int").alias("blocks"))
+    return members.join(size, "component").select("rep", "component", "blocks", "n_shingles")
+
+
+def _tokens_of(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """rep, component, blocks and tokens (as bytes) of the documents that wanted names."""
+    wanted = wanted.withColumnRenamed("rep", "doc_id")
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    return texts.filter("text is not null").join(wanted, "doc_id").select("doc_id", "component", "blocks", "text").mapInPandas(_tokens(n), "rep long, component long, blocks int, tokens binary")
+
+
+def _prefix_edges(sets: DataFrame, t: Threshold) -> DataFrame:
+    """(rep, pivot): sets that share a token of their prefixes, each with the smallest such set."""
+
+    def flat(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            tokens = [np.frombuffer(x, np.int64) for x in batch["tokens"]]
+            sizes = np.array([len(x) for x in tokens], np.int64)
+            for a in range(0, len(tokens), 200):
+                some = slice(a, a + 200)
+                prefix = np.array([k - t.least_size(int(k)) + 1 for k in sizes[some]], np.int64)
+                yield pd.DataFrame({"rep": np.repeat(batch["rep"].to_numpy()[some], sizes[some]), "keep": np.repeat(prefix, sizes[some]), "token": np.concatenate(tokens[some])})
+
+    rows = sets.mapInPandas(flat, "rep long, keep long, token long").distinct()
+    known = rows.groupBy("token").agg(F.count("*").alias("n"))
+    ranked = rows.join(known, "token").selectExpr("*", "row_number() over (partition by rep order by n, token) as at")
+    prefixes = checkpointed(ranked.filter("at <= keep and n > 1").select("rep", "token"))
+    pivots = prefixes.groupBy("token").agg(F.min("rep").alias("pivot"))
+    return prefixes.join(pivots, "token").select("rep", "pivot").filter("rep <> pivot").distinct()
+
+
 def _links(texts: DataFrame, classes: DataFrame, n: int, t: Threshold, count: int) -> DataFrame:
     groups = candidates(texts, n, t, count)
-    members = checkpointed(groups.withColumnRenamed("node", "k1").join(classes, "k1").select("rep", "component", "n_shingles"))
-    size = members.groupBy("component").agg(F.sum("n_shingles").alias("tokens"))
-    wanted = members.select(F.col("rep").alias("doc_id"), "component")
-    if members.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    tokens = texts.filter("text is not null").join(wanted, "doc_id").select("doc_id", "component", "text").mapInPandas(_tokens(n), "rep long, component long, tokens binary")
-    blocks = size.select("component", F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int").alias("blocks"))
-    total = size.filter(F.col("tokens") <= BLOCK_TOKENS).agg(F.sum("tokens")).first()[0] or 0
-    bins = max(1, -(-int(total) // BLOCK_TOKENS)) * 2
-    placed = tokens.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    members = groups.withColumnRenamed("node", "k1").join(classes, "k1").select("rep", "component", "n_shingles")
+    members = checkpointed(_sized(members))
+    wide = members.filter("blocks > 1").select("rep", "component", "blocks")
+    if not wide.isEmpty():
+        refined = components(_prefix_edges(_tokens_of(texts, wide, n), t), "rep", "pivot")
+        again = refined.withColumnRenamed("node", "rep").join(members.select("rep", "n_shingles"), "rep").select("rep", F.xxhash64("component", F.lit(1)).alias("component"), "n_shingles")
+        members = checkpointed(members.filter("blocks = 1").unionByName(_sized(again)))
+    total = members.filter("blocks = 1").agg(F.sum("n_shingles")).first()[0]
+    bins = max(1, -(-int(total or 0) // BLOCK_TOKENS)) * 2
+    placed = _tokens_of(texts, members.select("rep", "component", "blocks"), n).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     small = placed.filter("blocks = 1").select(F.pmod(F.hash("component"), F.lit(bins)).cast("long").alias("g"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), "rep", F.lit(0).alias("side"), "tokens")
     large = placed.filter("blocks > 1").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     large = large.select(F.col("component").alias("g"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", F.col("block").alias("side"), "tokens")
