@@ -172,7 +172,7 @@ def segments(laid: DataFrame, block: int) -> DataFrame:
 
 def blocks_of(laid: DataFrame, slots: DataFrame, block: int) -> DataFrame:
     """The mix itself: for each slot the runs of words that fill it."""
-    return slots.join(segments(laid, block), ["skey", "block"])
+    return slots.join(segments(laid, block).hint("merge"), ["skey", "block"])
 
 
 def taken(docs: DataFrame, block: int = BLOCK, **options) -> DataFrame:
@@ -180,7 +180,8 @@ def taken(docs: DataFrame, block: int = BLOCK, **options) -> DataFrame:
     laid, sources, slots = mixed(docs, block, **options)
     # How often each block was drawn, before it meets the documents in it.
     drawn = slots.groupBy("skey", "block").agg(F.count("*").alias("times"))
-    per_doc = segments(laid, block).join(drawn, ["skey", "block"]).groupBy("skey", "begin").agg(F.sum(F.col("words") * F.col("times")).alias("got"))
-    some = laid.filter("size > 0").join(per_doc, ["skey", "begin"], "left")
+    # Both sides grow with the corpus; Spark takes what comes of a short range for small and would broadcast it.
+    per_doc = segments(laid, block).hint("merge").join(drawn, ["skey", "block"]).groupBy("skey", "begin").agg(F.sum(F.col("words") * F.col("times")).alias("got"))
+    some = laid.filter("size > 0").hint("merge").join(per_doc, ["skey", "begin"], "left")
     rows = some.unionByName(laid.filter("size = 0").withColumn("got", F.lit(0).cast("long")))
     return rows.join(sources, "skey").select("doc_id", "size", "source_size", "target", F.coalesce("got", F.lit(0)).cast("long").alias("taken"))

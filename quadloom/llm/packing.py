@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -28,6 +29,8 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,7 +55,8 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-_MARK = re.compile(r"(?<=[a-z])([.,])(?=[ \n]|\Z)")
+#: Lower-case Latin letters that have one form only.
+_PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
 
 
 class ChunkIds:
@@ -65,33 +69,51 @@ class ChunkIds:
     """
 
     def __init__(self, path: str):
-        self.encode = tokenizer(path).encode_batch
-        special = [re.escape(t.content) for t in tokenizer(path).get_added_tokens_decoder().values()]
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        whole = tokenizer(path)
+        self.encode = whole.encode_batch_fast
+        # For words that its normaliser and pattern leave as they are: the same model without them.
+        bare = Tokenizer(whole.model)
+        bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.encode_plain = bare.encode_batch_fast
+        special = [re.escape(t.content) for t in whole.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(special), re.I) if special else None
         self.known: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes] = []
-        for text in texts:
-            if not text:
-                out.append(b"")
-            elif self.special and self.special.search(text):
-                out.append(self._ids([text])[0])
-            else:
-                lower = text.encode("utf-8", "replace").lower().decode("utf-8")
-                chunks = _MARK.sub(r" \1", lower).replace("\n", " ").split(" ")
-                known = self.known
-                if new := set(chunks).difference(known):
-                    if len(known) > CACHE_CHUNKS:
-                        known.clear()
-                        new = set(chunks)
-                    new = list(new)
-                    known.update(zip(new, self._ids(new)))
-                out.append(b"".join([known[c] for c in chunks]))
+        """Splitting and numbering of chunks run in Arrow, so Python meets each distinct chunk of a batch once."""
+        odd = {i for i, t in enumerate(texts) if t and self.special and self.special.search(t)}
+        held = pa.array([t if t and i not in odd else "" for i, t in enumerate(texts)], pa.large_string())
+        held = pc.replace_substring_regex(pc.ascii_lower(held), r"([a-z])([.,])([ \n]|$)", r"\1 \2\3")
+        lists = pc.split_pattern(pc.replace_substring(held, "\n", " "), " ")
+        if isinstance(lists, pa.ChunkedArray):
+            lists = lists.combine_chunks()
+        coded = lists.flatten().dictionary_encode()
+        chunks, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        known = self.known
+        if len(known) > CACHE_CHUNKS:
+            known.clear()
+        new = [c for c in chunks if c not in known]
+        plain = [c for c in new if _PLAIN(c)]
+        known.update(zip(plain, _packed_ids(self.encode_plain(plain, add_special_tokens=False))))
+        rest = [c for c in new if c not in known]
+        known.update(zip(rest, _packed_ids(self.encode(rest, add_special_tokens=False))))
+        data = [known[c] for c in chunks]
+        size = np.fromiter(map(len, data), np.int64, len(data)) // 4
+        ids, begin = np.frombuffer(b"".join(data), "<u4"), np.cumsum(size) - size
+        n = size[code]
+        ends = np.cumsum(n)
+        flat = ids[np.arange(int(n.sum())) + np.repeat(begin[code] - (ends - n), n)].tobytes()
+        edge = np.concatenate([[0], ends])[lists.offsets.to_numpy()] * 4
+        out = [flat[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
+        for i in odd:
+            out[i] = _packed_ids(self.encode([texts[i]], add_special_tokens=False))[0]
         return out
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.encode(texts, add_special_tokens=False)]
+
+def _packed_ids(encodings: list) -> list[bytes]:
+    return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in encodings)]
 
 
 def pieces(docs: DataFrame, path: str, tokens: int = TOKENS) -> DataFrame:
@@ -102,8 +124,8 @@ def pieces(docs: DataFrame, path: str, tokens: int = TOKENS) -> DataFrame:
         ids_of = ChunkIds(path)
         for batch in batches:
             rows = []
-            for doc, text in zip(batch["doc_id"].tolist(), batch["text"].tolist()):
-                data = ids_of([text])[0] + END
+            for doc, data in zip(batch["doc_id"].tolist(), ids_of(batch["text"].tolist())):
+                data += END
                 for k, at in enumerate(range(0, len(data), 4 * tokens)):
                     part = data[at : at + 4 * tokens]
                     rows.append((doc, k, k * tokens, len(part) // 4, zlib.crc32(part)))
