@@ -61,8 +61,8 @@ def escaped(lex: Column) -> Column:
     out = F.replace(F.replace(lex, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
     for raw, mark in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         out = F.replace(out, F.lit(raw), F.lit(mark))
-    for code in (*range(0x00, 0x09), 0x0B, 0x0C, *range(0x0E, 0x20), 0x7F):
-        out = F.when(F.instr(out, chr(code)) > 0, F.replace(out, F.lit(chr(code)), F.lit(f"\\u{code:04X}"))).otherwise(out) if code else out
+    for code in (*range(0x01, 0x09), 0x0B, 0x0C, *range(0x0E, 0x20), 0x7F):
+        out = F.replace(out, F.lit(chr(code)), F.lit(f"\\u{code:04X}"))
     return out
 
 

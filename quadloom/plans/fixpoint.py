@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -18,6 +19,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def closure(edges: DataFrame, seeds: DataFrame | None = None, backwards: bool = False, most_rounds: int = 10_000) -> DataFrame:
     """Pairs (s, o) joined by one edge or more; cycles end when a round finds nothing new.
 
+    Without seeds each round joins what is new with all that is known, so reach doubles; with seeds
+    it takes one edge more, so nothing is found that no seed reaches.
+
     seeds (one column s) keeps the pairs that start there, so a path from a constant never computes
     the whole closure; with backwards, seeds are ends instead (column o).
     """
@@ -31,7 +35,8 @@ def closure(edges: DataFrame, seeds: DataFrame | None = None, backwards: bool =
     known = checkpointed(edges.join(seeds.select("s").distinct(), "s", "left_semi") if seeds is not None else edges)
     delta = known
     for _ in range(most_rounds):
-        found = delta.join(step, delta["o"] == step["_m"]).selectExpr("s", "_n as o").distinct()
+        onward = step if seeds is not None else known.selectExpr("s as _m", "o as _n")
+        found = delta.join(onward, F.col("o") == F.col("_m")).selectExpr("s", "_n as o").distinct()
         delta = checkpointed(found.join(known, ["s", "o"], "left_anti"))
         if delta.isEmpty():
             return known
