@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -38,7 +39,7 @@ def scored(docs: DataFrame, model: Model, score: str = "score") -> DataFrame:
 
     @F.pandas_udf("double")
     def score_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = held.value
+        own = replace(held.value, cache={})  # words kept for one task, not for the life of the worker
         for texts in batches:
             yield pd.Series(own.scores(texts.tolist()))
 

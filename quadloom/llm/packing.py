@@ -41,7 +41,7 @@ TOKENS = 2048
 DOCUMENTS, ATTENTION = TOKENS, TOKENS * TOKENS
 WEIGHTS = (1.0, 0.1, 0.1)
 SHARD_PIECES = 8192
-CACHE_CHUNKS = 700_000
+CACHE_CHUNKS = 200_000
 END = np.uint32(0).tobytes()
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"

@@ -19,7 +19,7 @@ import xxhash
 from quadloom.llm.common import mix64
 
 GRAMS = (3, 4, 5)
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 CHUNK_WORDS = 20_000
 #: No text has this as a word, as words hold no tab.
 AGAIN = "\t="

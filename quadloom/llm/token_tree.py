@@ -27,7 +27,7 @@ from quadloom.llm.common import small_batches
 BLOCK = 256
 #: Leaves before an edit that may change with it: one that the edit lengthens, and the white space before it.
 CONTEXT = 3
-CACHE_LEAVES = 400_000
+CACHE_LEAVES = 250_000
 
 COUNTS = "n_tokens long, n_tokens_edited long, n_chars_edited long, n_edits long, reread_chars long"
 
