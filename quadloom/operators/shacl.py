@@ -78,8 +78,10 @@ def _targets(quads: DataFrame, shapes: Shapes, shape: str) -> DataFrame:
     return out.distinct()
 
 
-def _shape(quads: DataFrame, shapes: Shapes, shape: str, targets: DataFrame) -> list[DataFrame]:
-    out = _constraints(quads, shapes, shape, targets, targets.select("n_kind", "n", F.struct(F.col("n_kind").alias("kind"), F.col("n").alias("lex"), F.lit("").alias("dt"), F.lit("").alias("lang")).alias("v")), "", True)
+def _shape(quads: DataFrame, shapes: Shapes, shape: str, targets: DataFrame, own: DataFrame | None = None) -> list[DataFrame]:
+    """Violations of a node shape and its properties; own holds the nodes themselves as values, if they may be literals."""
+    own = own if own is not None else targets.select("n_kind", "n", F.struct(F.col("n_kind").alias("kind"), F.col("n").alias("lex"), F.lit("").alias("dt"), F.lit("").alias("lang")).alias("v"))
+    out = _constraints(quads, shapes, shape, targets, own, "", True)
     for _, prop, *_ in shapes.all(shape, "property"):
         path = shapes.one(prop, "path")[1]
         values = quads.filter(F.col("p") == path).select(F.col("s_kind").alias("n_kind"), F.col("s").alias("n"), object_().alias("v")).join(targets, ["n_kind", "n"], "left_semi")
@@ -197,15 +199,14 @@ def _constraints(quads: DataFrame, shapes: Shapes, shape: str, targets: DataFram
 def _failing(quads: DataFrame, shapes: Shapes, shape: str, values: DataFrame) -> DataFrame:
     """The values (column v) that a nested shape rejects. Shapes that refer to themselves aren't followed."""
     nodes = values.select(F.col("v.kind").alias("n_kind"), F.col("v.lex").alias("n")).distinct()
-    found = _shape(quads, shapes, shape, nodes)
-    own = _constraints(quads, shapes, shape, nodes, values.select(F.col("v.kind").alias("n_kind"), F.col("v.lex").alias("n"), "v").distinct(), "", True)
     path = shapes.one(shape, "path")
     if path:
         reached = quads.filter(F.col("p") == path[1]).select(F.col("s_kind").alias("n_kind"), F.col("s").alias("n"), object_().alias("v")).join(nodes, ["n_kind", "n"], "left_semi")
-        own = _constraints(quads, shapes, shape, nodes, reached, path[1], False)
-        found = []
+        found = _constraints(quads, shapes, shape, nodes, reached, path[1], False)
+    else:
+        found = _shape(quads, shapes, shape, nodes, values.select(F.col("v.kind").alias("n_kind"), F.col("v.lex").alias("n"), "v").distinct())
     bad = None
-    for part in [*found, *own]:
+    for part in found:
         bad = part if bad is None else bad.unionByName(part)
     if bad is None:
         return values.select("v").limit(0)
