@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadloom.llm.common import small_batches
+from quadloom.llm.common import let_go, small_batches
 from quadloom.llm.subword import Model
 
 
@@ -42,5 +42,6 @@ def scored(docs: DataFrame, model: Model, score: str = "score") -> DataFrame:
         own = replace(held.value, cache={})  # words kept for one task, not for the life of the worker
         for texts in batches:
             yield pd.Series(own.scores(texts.tolist()))
+        let_go()
 
     return docs.withColumn(score, score_of(F.col("text")))

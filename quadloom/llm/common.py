@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
 import tempfile
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +40,27 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def let_go() -> None:
+    """At the end of a task: give what its caches held back to the system, as workers live on."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library trims
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(task):
+    """A mapInPandas function that lets go of its memory when its partition is done."""
+
+    @functools.wraps(task)
+    def run(batches):
+        try:
+            yield from task(batches)
+        finally:
+            let_go()
+
+    return run
+
+
 #: Rows and bytes of one Arrow batch where rows hold whole texts.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 

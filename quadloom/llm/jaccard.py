@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadloom.llm.common import checkpointed, lower_words_of, mix64, small_batches
+from quadloom.llm.common import checkpointed, lower_words_of, mix64, small_batches, tidy
 from quadloom.llm.components import components
 
 COMMON = 24
@@ -301,7 +301,7 @@ def joined(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     t = Threshold(num, den)
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = checkpointed(texts.mapInPandas(_sets(n), "doc_id long, n_shingles long, k1 long, k2 long"))
+    sets = checkpointed(texts.mapInPandas(tidy(_sets(n)), "doc_id long, n_shingles long, k1 long, k2 long"))
     count = sets.count()
     classes = sets.filter("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"))
 
@@ -321,18 +321,14 @@ def _same_document(classes: DataFrame, sets: DataFrame) -> DataFrame:
 
 def candidates(texts: DataFrame, n: int, t: Threshold, count: int) -> DataFrame:
     """(node, component) of classes, by k1, that some allocated segment brings together."""
-    rows = texts.select("text").mapInPandas(_signature_rows(n, t, count), "sig long, k1 long, meta int")
+    rows = texts.select("text").mapInPandas(tidy(_signature_rows(n, t, count)), "sig long, k1 long, meta int")
     met = rows.selectExpr("*", "min(k1) over (partition by sig) as low", "max(k1) over (partition by sig) as high").filter("low < high")
     met = checkpointed(met.select("sig", "k1", "meta").distinct())
-    sizes = met.groupBy("sig").agg(F.min("k1").alias("pivot"), F.count("*").alias("met"))
-    rare = met.join(sizes.filter(F.col("met") <= COMMON), "sig").select("k1", "pivot")
-    common = met.join(sizes.filter(F.col("met") > COMMON).select("sig"), "sig")
-    # A set whose common segments outweigh its slack in a band needs them.
-    band = F.expr("shiftright(meta, 2)")
-    dense = common.groupBy("k1", band.alias("band")).agg(F.sum(F.expr("meta & 3")).alias("lost")).filter("lost > shiftright(band, 1)").select("k1", "band")
-    kept = common.withColumn("band", band).join(dense, ["k1", "band"], "left_semi").select("sig", "k1")
-    pivots = kept.groupBy("sig").agg(F.min("k1").alias("pivot"))
-    edges = rare.unionAll(kept.join(pivots, "sig").select("k1", "pivot")).filter("k1 <> pivot").distinct()
+    # What a set loses by band if it leaves its common segments out; beyond its slack it needs them.
+    lost = f"sum(if(met > {COMMON}, meta & 3, 0)) over (partition by k1, shiftright(meta, 2)) as lost"
+    marked = met.selectExpr("*", "count(*) over (partition by sig) as met").selectExpr("*", lost)
+    kept = marked.filter(f"met <= {COMMON} or lost > shiftright(meta, 3)")
+    edges = kept.selectExpr("k1", "min(k1) over (partition by sig) as pivot").filter("k1 <> pivot").distinct()
     return components(edges, "k1", "pivot")
 
 
@@ -347,7 +343,7 @@ def _tokens_of(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     wanted = wanted.withColumnRenamed("rep", "doc_id")
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
-    return texts.filter("text is not null").join(wanted, "doc_id").select("doc_id", "component", "blocks", "text").mapInPandas(_tokens(n), "rep long, component long, blocks int, tokens binary")
+    return texts.filter("text is not null").join(wanted, "doc_id").select("doc_id", "component", "blocks", "text").mapInPandas(tidy(_tokens(n)), "rep long, component long, blocks int, tokens binary")
 
 
 def _prefix_edges(sets: DataFrame, t: Threshold) -> DataFrame:
@@ -362,7 +358,7 @@ def _prefix_edges(sets: DataFrame, t: Threshold) -> DataFrame:
                 prefix = np.array([k - t.least_size(int(k)) + 1 for k in sizes[some]], np.int64)
                 yield pd.DataFrame({"rep": np.repeat(batch["rep"].to_numpy()[some], sizes[some]), "keep": np.repeat(prefix, sizes[some]), "token": np.concatenate(tokens[some])})
 
-    rows = sets.mapInPandas(flat, "rep long, keep long, token long").distinct()
+    rows = sets.mapInPandas(tidy(flat), "rep long, keep long, token long").distinct()
     known = rows.groupBy("token").agg(F.count("*").alias("n"))
     ranked = rows.join(known, "token").selectExpr("*", "row_number() over (partition by rep order by n, token) as at")
     prefixes = checkpointed(ranked.filter("at <= keep and n > 1").select("rep", "token"))

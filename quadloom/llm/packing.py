@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadloom.llm.common import checkpointed, small_batches
+from quadloom.llm.common import checkpointed, small_batches, tidy
 
 TOKENS = 2048
 #: Beyond these no sequence of TOKENS tokens can go, so they bind only where a caller lowers them.
@@ -42,6 +42,8 @@ DOCUMENTS, ATTENTION = TOKENS, TOKENS * TOKENS
 WEIGHTS = (1.0, 0.1, 0.1)
 SHARD_PIECES = 8192
 CACHE_CHUNKS = 200_000
+#: Texts whose chunks are numbered together.
+SOME_TEXTS = 250
 END = np.uint32(0).tobytes()
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -124,14 +126,16 @@ def pieces(docs: DataFrame, path: str, tokens: int = TOKENS) -> DataFrame:
         ids_of = ChunkIds(path)
         for batch in batches:
             rows = []
-            for doc, data in zip(batch["doc_id"].tolist(), ids_of(batch["text"].tolist())):
+            texts = batch["text"].tolist()
+            found = (ids for a in range(0, len(texts), SOME_TEXTS) for ids in ids_of(texts[a : a + SOME_TEXTS]))
+            for doc, data in zip(batch["doc_id"].tolist(), found):
                 data += END
                 for k, at in enumerate(range(0, len(data), 4 * tokens)):
                     part = data[at : at + 4 * tokens]
                     rows.append((doc, k, k * tokens, len(part) // 4, zlib.crc32(part)))
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(tidy(cut), PIECES)
 
 
 def best_fit(lengths: np.ndarray, tokens: int = TOKENS, documents: int = DOCUMENTS, attention: int = ATTENTION, weights=WEIGHTS, by: str = "dot") -> tuple[np.ndarray, np.ndarray]:
