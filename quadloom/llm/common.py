@@ -62,7 +62,7 @@ def tidy(task):
 
 
 #: Rows and bytes of one Arrow batch where rows hold whole texts.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 250, 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:

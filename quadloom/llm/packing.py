@@ -24,7 +24,7 @@ import re
 import struct
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -42,8 +42,10 @@ DOCUMENTS, ATTENTION = TOKENS, TOKENS * TOKENS
 WEIGHTS = (1.0, 0.1, 0.1)
 SHARD_PIECES = 8192
 CACHE_CHUNKS = 200_000
-#: Texts whose chunks are numbered together.
-SOME_TEXTS = 250
+#: Characters of texts whose chunks are numbered together (a longer text is numbered by itself).
+SOME_CHARS = 1 << 20
+#: Chunks in one call of the tokenizer: what it returns of each is a hundred times the ids that are kept.
+SOME_CHUNKS = 1000
 END = np.uint32(0).tobytes()
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -98,9 +100,8 @@ class ChunkIds:
             known.clear()
         new = [c for c in chunks if c not in known]
         plain = [c for c in new if _PLAIN(c)]
-        known.update(zip(plain, _packed_ids(self.encode_plain(plain, add_special_tokens=False))))
-        rest = [c for c in new if c not in known]
-        known.update(zip(rest, _packed_ids(self.encode(rest, add_special_tokens=False))))
+        self._learn(plain, self.encode_plain)
+        self._learn([c for c in new if c not in known], self.encode)
         data = [known[c] for c in chunks]
         size = np.fromiter(map(len, data), np.int64, len(data)) // 4
         ids, begin = np.frombuffer(b"".join(data), "<u4"), np.cumsum(size) - size
@@ -113,11 +114,30 @@ class ChunkIds:
             out[i] = _packed_ids(self.encode([texts[i]], add_special_tokens=False))[0]
         return out
 
+    def _learn(self, chunks: list[str], encode: Callable) -> None:
+        for a in range(0, len(chunks), SOME_CHUNKS):
+            some = chunks[a : a + SOME_CHUNKS]
+            self.known.update(zip(some, _packed_ids(encode(some, add_special_tokens=False))))
+
 
 def _packed_ids(encodings: list) -> list[bytes]:
     return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in encodings)]
 
 
+def _groups(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """Texts in their order, as many together as SOME_CHARS hold, one at least."""
+    group, chars = [], 0
+    for text in texts:
+        n = len(text) if text else 0
+        if group and chars + n > SOME_CHARS:
+            yield group
+            group, chars = [], 0
+        group.append(text)
+        chars += n
+    if group:
+        yield group
+
+
 def pieces(docs: DataFrame, path: str, tokens: int = TOKENS) -> DataFrame:
     """The pieces of all documents with the checksums of their ids. Narrow: no shuffle."""
 
@@ -127,7 +147,7 @@ def pieces(docs: DataFrame, path: str, tokens: int = TOKENS) -> DataFrame:
         for batch in batches:
             rows = []
             texts = batch["text"].tolist()
-            found = (ids for a in range(0, len(texts), SOME_TEXTS) for ids in ids_of(texts[a : a + SOME_TEXTS]))
+            found = (ids for some in _groups(texts) for ids in ids_of(some))
             for doc, data in zip(batch["doc_id"].tolist(), found):
                 data += END
                 for k, at in enumerate(range(0, len(data), 4 * tokens)):
