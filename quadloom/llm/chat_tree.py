@@ -10,8 +10,11 @@ shared by a third of all conversations is spread over as many packs as needed, e
 repeats only that turn. Equal conversations are merged before the walk.
 
 A conversation is read as a stream in turn order. One of more than PART_TURNS turns or PART_CHARS
-characters is cut into parts, each a path of its own, with positions from 0, so no row grows with
-the longest conversation.
+characters is stored in parts, so no row grows with the longest conversation. A later part goes on
+where the part before it ends: its position ids count on, and each of its nodes names in `before`
+the leaf of the part before (null in a first part). A token attends to its node's ancestors in the
+pack and to the whole path of that leaf, which is in the pack that lists the leaf, and so on back
+to the first part.
 
 Defined results: a null text or role is empty; rows that tie on turn follow each other by role and
 text; a null turn comes first; rows with a null conv_id are one conversation; extra columns are
@@ -27,7 +30,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadloom.llm.common import shuffle_partitions
@@ -40,8 +43,8 @@ LEARNT_ROLE = "assistant"
 PACK_TOKENS = 65_536
 PART_TURNS, PART_CHARS = 1024, 4_000_000
 
-PATHS = "conv_id long, part int, last boolean, key binary, leaf string, roles array<string>, texts array<string>"
-NODES = "array<struct<start:int,end:int,position:int,loss_start:int,loss_end:int,parent:int,ancestors:array<struct<start:int,end:int>>>>"
+PATHS = "conv_id long, part int, last boolean, key binary, leaf string, before string, roles array<string>, texts array<string>"
+NODES = "array<struct<start:int,end:int,position:long,loss_start:int,loss_end:int,parent:int,ancestors:array<struct<start:int,end:int>>,before:string>>"
 PACKS = f"pack string, ids array<int>, nodes {NODES}, leaves array<struct<leaf:string,node:int>>"
 
 
@@ -77,12 +80,12 @@ def encoder(ranks: str):
 def _paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Turns in order -> one row for each conversation (or part of a very long one)."""
     rows: list[tuple] = []
-    open_id, part, chain, chars = object(), 0, b"", 0
+    open_id, part, chain, chars, before = object(), 0, b"", 0, None
     key, roles, texts = bytearray(), [], []
 
     def close(last: bool) -> None:
         if roles:
-            rows.append((open_id, part, last, bytes(key), chain.hex(), list(roles), list(texts)))
+            rows.append((open_id, part, last, bytes(key), chain.hex(), before, list(roles), list(texts)))
         key.clear(), roles.clear(), texts.clear()
 
     size = 0
@@ -91,11 +94,11 @@ def _paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             conv = None if conv is None or conv != conv else int(conv)
             if conv != open_id:
                 close(True)
-                open_id, part, chain, chars = conv, 0, b"", 0
+                open_id, part, chain, chars, before = conv, 0, b"", 0, None
             elif len(roles) >= PART_TURNS or chars >= PART_CHARS:
                 close(False)
                 key.extend(chain[:8])
-                part, chars = part + 1, 0
+                part, chars, before = part + 1, 0, chain.hex()
             raw = role.encode("utf-8", "surrogatepass")
             chain = hashlib.blake2b(chain + len(raw).to_bytes(8, "big") + raw + text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
             key.extend(chain[:8])
@@ -112,7 +115,7 @@ def _paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["conv_id", "part", "last", "key", "leaf", "roles", "texts"])
+    out = pd.DataFrame(rows, columns=["conv_id", "part", "last", "key", "leaf", "before", "roles", "texts"])
     return out.astype({"conv_id": "Int64"})
 
 
@@ -122,6 +125,21 @@ def paths(turns: DataFrame) -> DataFrame:
     return rows.repartition(shuffle_partitions(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInPandas(_paths, PATHS)
 
 
+def _starts(rows: DataFrame, ranks: str) -> DataFrame:
+    """before, base: how many tokens lie on the path to each leaf at which a later part begins."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = encoder(ranks).encode_ordinary
+        for batch in batches:
+            n = [sum(len(encode(x)) for r, t in zip(roles, texts) for x in (header(r), escape(t), "</s>")) for roles, texts in zip(batch["roles"], batch["texts"])]
+            yield batch[["conv_id", "part", "leaf"]].assign(n=n)
+
+    cut = rows.filter("not last").select("conv_id", "part", "leaf", "roles", "texts").repartition(shuffle_partitions(rows.sparkSession), "conv_id", "part")
+    counted = cut.mapInPandas(count, "conv_id long, part int, leaf string, n long")
+    base = F.sum("n").over(Window.partitionBy("conv_id").orderBy("part"))  # one thin row a part
+    return counted.select(F.col("leaf").alias("before"), base.alias("base")).dropDuplicates(["before"])
+
+
 def packs(rows: DataFrame, ranks: str, pack_tokens: int = PACK_TOKENS) -> DataFrame:
     """Prefix trees of distinct paths, emitted depth-first. ranks: a tokenizer's file of ranks."""
 
@@ -131,7 +149,7 @@ def packs(rows: DataFrame, ranks: str, pack_tokens: int = PACK_TOKENS) -> DataFr
         first = ""
         for batch in batches:
             out = []
-            for key, leaf, roles, texts in zip(batch["key"], batch["leaf"], batch["roles"], batch["texts"]):
+            for key, leaf, before, base, roles, texts in zip(*(batch[c] for c in ("key", "leaf", "before", "base", "roles", "texts"))):
                 hashes = [key[i : i + 8] for i in range(0, len(key), 8)]
                 hashes = hashes[len(hashes) - len(roles) :]
                 if len(ids) >= pack_tokens:
@@ -145,7 +163,7 @@ def packs(rows: DataFrame, ranks: str, pack_tokens: int = PACK_TOKENS) -> DataFr
                 for h, role, text in zip(hashes[shared:], roles[shared:], texts[shared:]):
                     parent = stack[-1][1] if stack else -1
                     above = [(nodes[i][0], nodes[i][1]) for _, i in stack]
-                    position = sum(b - a for a, b in above)
+                    position = base + sum(b - a for a, b in above)
                     merged: list[tuple[int, int]] = []
                     for a, b in above:
                         if merged and merged[-1][1] == a:
@@ -158,7 +176,7 @@ def packs(rows: DataFrame, ranks: str, pack_tokens: int = PACK_TOKENS) -> DataFr
                     ids.extend(encode(escape(text)))
                     over = len(ids) if role == LEARNT_ROLE else loss
                     ids.extend(encode("</s>"))
-                    nodes.append((start, len(ids), position, loss, over, parent, merged))
+                    nodes.append((start, len(ids), position, loss, over, parent, merged, before))
                     stack.append((h, len(nodes) - 1))
                 leaves.append((leaf, stack[-1][1]))
             if out:
@@ -166,15 +184,17 @@ def packs(rows: DataFrame, ranks: str, pack_tokens: int = PACK_TOKENS) -> DataFr
         if leaves:
             yield _packs([(first, ids, nodes, leaves)])
 
-    distinct = rows.dropDuplicates(["leaf"]).select("key", "leaf", "roles", "texts")
+    distinct = rows.dropDuplicates(["leaf"]).select("key", "leaf", "before", "roles", "texts")
+    first, later = distinct.filter("before is null").withColumn("base", F.lit(0).cast("long")), distinct.filter("before is not null")
+    distinct = first.unionByName(later.join(_starts(rows, ranks), "before").select(*first.columns))
     return distinct.repartitionByRange(shuffle_partitions(rows.sparkSession), "key", "leaf").sortWithinPartitions("key", "leaf").mapInPandas(walk, PACKS)
 
 
 def _packs(rows: list[tuple]) -> pd.DataFrame:
-    node = ("start", "end", "position", "loss_start", "loss_end", "parent", "ancestors")
+    node = ("start", "end", "position", "loss_start", "loss_end", "parent", "ancestors", "before")
     pair = ("start", "end")
     return pd.DataFrame(
-        [(p, i, [dict(zip(node, (*n[:6], [dict(zip(pair, a)) for a in n[6]]))) for n in ns], [{"leaf": x, "node": k} for x, k in ls]) for p, i, ns, ls in rows],
+        [(p, i, [dict(zip(node, (*n[:6], [dict(zip(pair, a)) for a in n[6]], n[7]))) for n in ns], [{"leaf": x, "node": k} for x, k in ls]) for p, i, ns, ls in rows],
         columns=["pack", "ids", "nodes", "leaves"],
     )
 

@@ -140,6 +140,36 @@ def test_chat_in_parts(spark, monkeypatch):
     assert rows["part"].tolist() == [0, 1, 2] and rows["last"].tolist() == [False, False, True]
 
 
+def test_chat_parts_go_on(spark):
+    # Three parts; two conversations share the first two and part in the last turn, one ends at a cut.
+    n = 2 * chat_tree.PART_TURNS + 3
+    turn = lambda c, i: (c, i, "user" if i % 2 else "assistant", f"{c if i == n - 1 else ''} turn {i}")
+    rows = [turn(c, i) for c in (1, 2) for i in range(n)] + [turn(3, i) for i in range(chat_tree.PART_TURNS)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    paths = chat_tree.paths(turns)
+    trees, encode = chat_tree.packs(paths, RANKS, pack_tokens=5000).collect(), chat_tree.encoder(RANKS).encode_ordinary
+    at = {leaf.leaf: (t, leaf.node) for t in trees for leaf in t.leaves}
+    assert len({t.pack for t in trees}) > 1 and len(at) == sum(len(t.leaves) for t in trees)
+    last = {r.conv_id: r.leaf for r in paths.filter("last").collect()}
+
+    def seen(leaf):
+        """Tokens that the last token of a leaf attends to, in order, and its path's position ids."""
+        t, k = at[leaf]
+        node = t.nodes[k]
+        ids, places = seen(node.before) if node.before else ([], [])
+        spans = [(a.start, a.end) for a in node.ancestors] + [(node.start, node.end)]
+        path = []
+        while k >= 0:
+            path.append(t.nodes[k])
+            k = t.nodes[k].parent
+        assert {x.before for x in path} == {node.before}
+        return ids + [i for a, b in spans for i in t.ids[a:b]], places + [x.position + i for x in reversed(path) for i in range(x.end - x.start)]
+
+    for c in (1, 2, 3):
+        whole = [i for r in rows if r[0] == c for x in (chat_tree.header(r[2]), chat_tree.escape(r[3]), "</s>") for i in encode(x)]
+        assert seen(last[c]) == (whole, list(range(len(whole))))
+
+
 def test_repetition(spark):
     texts = ["a b c d e a b c d e z", "same line here\nsame line here\nx", None, "", "q " * 300, " ".join(map(str, range(400)))]
     for text, r in zip(texts, repetition.measure(texts).itertuples()):
