@@ -62,7 +62,7 @@ def parse(text: str, scope: str = "", base: str = BASE_IRI) -> tuple[list[tuple]
         triples, prefixes = parser.document()
     except (SparqlError, IndexError) as e:
         raise TurtleError(f"Failed to parse Turtle: {e}") from None
-    tag = hashlib.sha1(scope.encode()).hexdigest()[:8] if scope else ""
+    tag = hashlib.sha1(scope.encode()).hexdigest()[:16] if scope else ""
 
     def flat(x: tuple) -> tuple:
         if x[0] == "iri":

@@ -1,7 +1,7 @@
 """Incremental loading: a file stream of Turtle upserted into a Parquet quad table.
 
 Files are read once (the stream's checkpoint remembers them) and each micro-batch is merged by quad,
-so loading a file again changes nothing.
+so loading a file again changes nothing. Blank nodes are those of their file's path.
 """
 
 from __future__ import annotations
@@ -29,15 +29,15 @@ def upsert(spark: SparkSession, batch: DataFrame, table: str) -> None:
 
 def load_stream(spark: SparkSession, folder: str, table: str, graph: str, checkpoint: str):
     """Loads what is new in a folder, then stops. Returns the streaming query."""
-    source = spark.readStream.format("text").option("wholetext", True).load(folder)
+    source = spark.readStream.format("text").option("wholetext", True).load(folder).select("value", F.col("_metadata.file_path").alias("path"))
 
     def merge(batch: DataFrame, _: int) -> None:
         def parse(frames):
             import pandas as pd
 
             for frame in frames:
-                for text in frame["value"]:
-                    triples, _ = turtle.parse(text, text[:64])
+                for text, path in zip(frame["value"], frame["path"]):
+                    triples, _ = turtle.parse(text, path)
                     yield pd.DataFrame([(graph, *t, False) for t in triples], columns=["g", *turtle.FIELDS, "inferred"])
 
         upsert(spark, batch.mapInPandas(parse, QUADS), table)

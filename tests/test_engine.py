@@ -230,6 +230,22 @@ def test_incremental_loading(spark, tmp_path):
     assert spark.read.parquet(table).count() == 2
 
 
+def test_blank_nodes_of_files_with_one_header_stay_apart(spark, tmp_path):
+    folder, table = tmp_path / "in", str(tmp_path / "quads")
+    folder.mkdir()
+    for name in "ab":  # the second file comes in a later batch
+        (folder / f"{name}.ttl").write_text(EX + '_:x ex:p "same" . [] ex:q "same" .')
+        ingest.load_stream(spark, str(folder), table, G, str(tmp_path / "state")).awaitTermination()
+    ingest.load_stream(spark, str(folder), table, G, str(tmp_path / "other")).awaitTermination()  # again: nothing new
+    found = spark.read.parquet(table)
+    assert found.count() == 4 and found.select("s").distinct().count() == 4
+
+
+def test_blank_node_scopes_are_long():
+    found = {turtle.parse("_:x <urn:p> _:y .", f"file {i}")[0][0][1] for i in range(200)}
+    assert len(found) == 200 and min(map(len, found)) >= 16 + len("x")
+
+
 def test_entry_works_without_the_corpus_operators(monkeypatch):
     import importlib.util
 
