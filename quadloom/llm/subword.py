@@ -130,7 +130,6 @@ def fit(
     dim: int = 16,
     fold_case: bool = True,
     window: int = 0,
-    bag: int = 128,
     epochs: int = 12,
     batch: int = 64,
     rate: float = 0.4,
@@ -140,8 +139,9 @@ def fit(
 
     window > 0: each step takes, of each document, the window that the present model scores
     highest (in the first epochs at times a random one), so a label that a few words earn isn't
-    thinned out by the rest of a long text. window = 0: each step takes a random run of up to
-    `bag` words, and scoring averages over all words. One class or no rows give a constant model.
+    thinned out by the rest of a long text. window = 0: each step averages over all words of each
+    document, as scoring does, held as distinct words and their counts. One class or no rows give
+    a constant model.
     """
     rng = np.random.default_rng(seed)
     features = Features(buckets, fold_case)
@@ -149,7 +149,8 @@ def fit(
     docs, marks = [], []
     for text, mark in zip(texts, labels):
         if words := features.split(text):
-            docs.append(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words), np.int32, len(words)))
+            ids = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words), np.int32, len(words))
+            docs.append((ids, None) if window else np.unique(ids, return_counts=True))
             marks.append(int(mark))
     y = np.array(marks, np.int64)
     if len(y) == 0 or y.min() == y.max():
@@ -175,7 +176,7 @@ def fit(
                 folded = embed @ (softmax[:, 1] - softmax[:, 0])
             bags = []
             for i in chosen:
-                words = docs[i]
+                words, _ = docs[i]
                 if window and len(words) > window:
                     a, b = spans(len(words), window)
                     if epoch < 2 and rng.random() < 0.5 and y[i] == 0:
@@ -187,14 +188,21 @@ def fit(
                         cs, cn = np.concatenate([[0], np.cumsum(sums)]), np.concatenate([[0], np.cumsum(size[words])])
                         k = int(((cs[b] - cs[a]) / (cn[b] - cn[a])).argmax())
                     words = words[a[k] : b[k]]
-                elif not window and len(words) > bag:
-                    a = rng.integers(len(words) - bag + 1)
-                    words = words[a : a + bag]
                 bags.append(words)
-            lengths = np.array([size[b].sum() for b in bags], np.float32)
-            f, _ = expand(np.concatenate(bags), flat, starts)
-            edge = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-            mean = np.add.reduceat(embed[f], edge[:-1], axis=0) / lengths[:, None]
+            if window:
+                lengths = np.array([size[b].sum() for b in bags], np.float32)
+                f, _ = expand(np.concatenate(bags), flat, starts)
+                edge = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+                mean = np.add.reduceat(embed[f], edge[:-1], axis=0) / lengths[:, None]
+            else:
+                counts = [docs[i][1] for i in chosen]
+                lengths = np.array([(size[b] * c).sum() for b, c in zip(bags, counts)], np.float32)
+                edge = np.concatenate([[0], np.cumsum([len(b) for b in bags])])
+                own, at = np.unique(np.concatenate(bags), return_inverse=True)
+                times = np.concatenate(counts).astype(np.float32)
+                f, s = expand(own, flat, starts)
+                of_word = np.add.reduceat(embed[f], s[:-1], axis=0)
+                mean = np.add.reduceat(of_word[at] * times[:, None], edge[:-1], axis=0) / lengths[:, None]
             logit = mean @ softmax + bias
             p = np.exp(logit - logit.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
@@ -202,7 +210,12 @@ def fit(
             step = rate * (1 - epoch / epochs) + 0.02
             g_soft, g_mean = mean.T @ p / len(chosen), (p @ softmax.T) / lengths[:, None]
             ids, back = np.unique(f, return_inverse=True)
-            per = np.repeat(g_mean, lengths.astype(np.int64), axis=0)
+            if window:
+                per = np.repeat(g_mean, lengths.astype(np.int64), axis=0)
+            else:
+                in_bag = np.repeat(g_mean, np.diff(edge), axis=0) * times[:, None]
+                of_word = np.stack([np.bincount(at, in_bag[:, d], len(own)) for d in range(dim)], axis=1)
+                per = np.repeat(of_word, np.diff(s), axis=0)
             g = np.stack([np.bincount(back, per[:, d], len(ids)) for d in range(dim)], axis=1).astype(np.float32)
             seen[ids] += (g * g).mean(axis=1)
             embed[ids] -= step * g / np.sqrt(seen[ids])[:, None]

@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quadloom.llm import chat_tree, components, hash_forest, html_main, jaccard, mixing, packing, quality, repetition, token_tree, toxicity
+from quadloom.llm import chat_tree, components, hash_forest, html_main, jaccard, mixing, packing, quality, repetition, subword, token_tree, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string"
@@ -57,6 +57,21 @@ def test_classifiers(spark):
     assert all(0 <= r.score <= 1 for r in quality.score(docs, quality.fit(docs, none)).collect())
 
 
+def test_quality_learns_from_whole_documents():
+    # An average over all words can't tell a text from the same text read backwards; runs of 128 words can.
+    rng = random.Random(8)
+    texts = []
+    for i in range(60):
+        words = [f"w{k}" for k in range(400)] + [f"good{k}" if i % 2 else f"poor{k}" for k in rng.sample(range(9), 3)]
+        rng.shuffle(words)
+        texts.append(" ".join(words))
+    marks = [i % 2 for i in range(60)]
+    one = subword.fit(texts, marks, fold_case=False, window=0)
+    two = subword.fit([" ".join(reversed(t.split())) for t in texts], marks, fold_case=False, window=0)
+    assert np.abs(one.weight - two.weight).max() < 0.01 * np.abs(one.weight).max()
+    assert all(one.scores([f"good{k}"])[0] > 0.5 > one.scores([f"poor{k}"])[0] for k in range(9))
+
+
 def test_packing_round_trip(spark):
     docs = awkward(spark, ["<|endoftext|> x", "Café, It's FINE. 12"])
     rows = packing.packed(docs, VOCAB, tokens=64, documents=5, shard_pieces=10).collect()
