@@ -42,13 +42,14 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes its words; documents that it never takes go.
 
-    A document of which the mix takes x times its words is returned floor(x + u) times, u being a
-    number from 0 to 1 that a hash of its doc_id fixes, so sources keep their shares on average.
+    A document of which the mix takes x times its words is returned floor(x) or floor(x) + 1 times.
+    Which of them is settled along each source (mixing.copies), so the words of a source stay within
+    about one document of what the mix takes. Rows equal in doc_id, source and text are one document.
     """
-    mix = mixing.taken(docs, MIX_BLOCK).groupBy("doc_id").agg((F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("_times"))
-    u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)
-    copies = mix.select(F.col("doc_id").alias("_doc"), F.floor(F.col("_times") + u).cast("int").alias("_copies")).filter("_copies > 0")
-    met = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_doc"]))
+    key = F.struct("doc_id", F.xxhash64("source", "text").alias("tie"))
+    mix = mixing.copies(mixing.taken_by_source(docs.withColumn("doc_id", key), MIX_BLOCK))
+    copies = mix.filter("copies > 0").select(F.col("doc_id").alias("_doc"), F.col("copies").alias("_copies"))
+    met = docs.withColumn("_key", key).join(copies, F.col("_key") == F.col("_doc"))
     return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
 
 

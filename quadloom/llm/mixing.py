@@ -175,8 +175,8 @@ def blocks_of(laid: DataFrame, slots: DataFrame, block: int) -> DataFrame:
     return slots.join(segments(laid, block).hint("merge"), ["skey", "block"])
 
 
-def taken(docs: DataFrame, block: int = BLOCK, **options) -> DataFrame:
-    """doc_id, size, source_size, target, taken of each document."""
+def taken_by_source(docs: DataFrame, block: int = BLOCK, **options) -> DataFrame:
+    """doc_id, skey, size, source_size, target, taken of each document."""
     laid, sources, slots = mixed(docs, block, **options)
     # How often each block was drawn, before it meets the documents in it.
     drawn = slots.groupBy("skey", "block").agg(F.count("*").alias("times"))
@@ -184,4 +184,35 @@ def taken(docs: DataFrame, block: int = BLOCK, **options) -> DataFrame:
     per_doc = segments(laid, block).hint("merge").join(drawn, ["skey", "block"]).groupBy("skey", "begin").agg(F.sum(F.col("words") * F.col("times")).alias("got"))
     some = laid.filter("size > 0").hint("merge").join(per_doc, ["skey", "begin"], "left")
     rows = some.unionByName(laid.filter("size = 0").withColumn("got", F.lit(0).cast("long")))
-    return rows.join(sources, "skey").select("doc_id", "size", "source_size", "target", F.coalesce("got", F.lit(0)).cast("long").alias("taken"))
+    return rows.join(sources, "skey").select("doc_id", "skey", "size", "source_size", "target", F.coalesce("got", F.lit(0)).cast("long").alias("taken"))
+
+
+def taken(docs: DataFrame, block: int = BLOCK, **options) -> DataFrame:
+    """doc_id, size, source_size, target, taken of each document."""
+    return taken_by_source(docs, block, **options).drop("skey")
+
+
+#: Fixed point for sums of fractions, so that sums in any order agree to the last bit.
+ONE = 1 << 20
+
+
+def copies(rows: DataFrame) -> DataFrame:
+    """doc_id, skey, copies: rows of taken_by_source rounded to whole documents, source by source.
+
+    A document that is taken x times over gets floor(x) or floor(x) + 1 copies: x is cumulated along
+    the source, rounded, and differenced. Rounding is never off by more than half a document, so
+    with documents in order of size the words are off by one longest document at most. The order is
+    that of size classes, of hash buckets inside them, and of size inside those; each bucket more
+    than one a class (there is one for every BUCKET_ROWS documents) can add its class's size.
+    Rows equal in doc_id and skey are one document.
+    """
+    items = rows.groupBy("doc_id", "skey").agg(F.sum("size").alias("size"), F.sum("taken").alias("taken")).filter("taken > 0")
+    items = checkpointed(items.select("doc_id", "skey", "size", F.expr(f"(taken * {ONE} + size div 2) div size").alias("x")))
+    buckets = max(1, -(-items.count() // BUCKET_ROWS))
+    items = items.withColumn("class", F.floor(F.log2("size"))).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
+    group = ["skey", "class", "bucket"]
+    sums = items.groupBy(group).agg(F.sum("x").alias("all"))
+    before = sums.select(*group, (F.sum("all").over(Window.partitionBy("skey").orderBy("class", "bucket")) - F.col("all")).alias("before"))
+    inside = F.sum("x").over(Window.partitionBy(group).orderBy("size", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    upto = items.withColumn("inside", inside).join(before, group).withColumn("upto", F.col("before") + F.col("inside") + ONE // 2)
+    return upto.select("doc_id", "skey", F.expr(f"cast(upto div {ONE} - (upto - x) div {ONE} as int)").alias("copies"))
