@@ -30,12 +30,14 @@ _TOKEN = re.compile(
 )
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
 
 RAW = frozenset("script style noscript template textarea title svg math iframe object noframes xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
-CUT = frozenset("nav footer aside form button select fieldset menu dialog head figure".split())
+CUT = frozenset("nav footer aside form button select fieldset menu dialog head".split())
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog".split())
 CUT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login comment comments commentlist disqus respond discussion reply replies sidebar rail nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer header masthead share sharing social related recommended recommendations widget toolbar hidden skip".split()
@@ -62,6 +64,17 @@ class _Node:
             node = node.parent
 
 
+def _hidden(rest: str) -> bool:
+    """By an attribute named hidden, by aria-hidden or by style; other attributes' values say nothing."""
+    if not _HIDDEN.search(rest):
+        return False
+    for name, *values in _ATTRIBUTE.findall(rest):
+        name, value = name.lower(), "".join(values)
+        if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and _UNSEEN.search(value):
+            return True
+    return False
+
+
 def _is_cut(tag: str, rest: str, parent: _Node | None, hints: bool) -> bool:
     if tag in CUT:
         return True
@@ -69,7 +82,7 @@ def _is_cut(tag: str, rest: str, parent: _Node | None, hints: bool) -> bool:
         return not any(x.tag in ("article", "main") for x in parent.up()) if parent else True
     if not rest:
         return False
-    if _HIDDEN.search(rest) and tag not in ("html", "body"):
+    if tag not in ("html", "body") and _hidden(rest):
         return True
     if not hints or tag in ("html", "body", "article", "main") or tag in INLINE:
         return False

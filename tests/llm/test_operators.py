@@ -38,6 +38,15 @@ def test_html():
     assert html_main.extract(page) == "Title here & now\nFirst paragraph, with commas, and more text to make it long enough.\nSecond é one, also long enough to be counted as text."
 
 
+def test_html_figures_and_hidden_attributes():
+    quote, caption = "A quotation, which stands in a figure, long enough to count.", "Its caption, also text."
+    for attributes in ('data-title="A hidden gem"', "title='the hidden cost'", 'data-css="display:none"'):
+        page = f"<body><article {attributes}><p>First paragraph, with commas, long enough to count.</p><figure><blockquote>{quote}</blockquote><figcaption>{caption}</figcaption></figure></article></body>"
+        assert html_main.extract(page).split("\n") == ["First paragraph, with commas, long enough to count.", quote, caption]
+    for attributes in ("hidden", 'class="x" hidden=""', "HIDDEN/", 'aria-hidden = "true"', "aria-hidden=true", 'style="color: red; display : none"', "style=visibility:hidden"):
+        assert html_main.extract(f"<article><p>Seen text, with commas.</p><div {attributes}><p>Unseen text, with commas.</p></div></article>") == "Seen text, with commas."
+
+
 def test_html_rows(spark):
     rows = spark.createDataFrame([(1, "u", None, "x"), (2, "v", "<article><p>ab\U0001f600</article>", "y")], "page_id long, url string, html string, text string")
     assert [(r.text, r.n_chars) for r in html_main.extracted(rows).orderBy("page_id").collect()] == [("", 0), ("ab\U0001f600", 3)]
