@@ -66,7 +66,7 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: Classifiers and token ids are beyond SQL; tests hold each stage against a plain version.
+#: Classifiers and token ids are beyond SQL; tests hold deduplication and mixing against plain versions.
 ORACLE_SQL = None
 
 

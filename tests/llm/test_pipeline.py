@@ -1,13 +1,33 @@
 """Stages of the corpus pipeline on small inputs."""
 
 import random
+import re
+import zlib
 
 import corpus_pipeline
-from quadloom.llm import mixing
+import numpy as np
+from pyspark.sql import functions as F
+from quadloom.llm import hash_forest, mixing, packing, queries
 
+SMALL = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, source string"
 
 
+def brute(texts, n, num, den):
+    sets = []
+    for t in texts:
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set())
+    comp = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and den * len(a & sets[j]) >= num * len(a | sets[j]) and comp[i] != comp[j]:
+                low, high = sorted((comp[i], comp[j]))
+                comp = [low if c == high else c for c in comp]
+    return comp
+
+
 def test_mixing_keeps_the_words_of_each_source(spark):
     rng = random.Random(6)
     sizes = [rng.choice([1, 5, 40, 300, 2000]) for _ in range(400)] + [0, 0]
@@ -36,3 +56,41 @@ def test_copies_round_up_or_down_and_bound_the_error(spark):
         own = [(found.get((i, s), 0), n, t) for i, s, n, t in rows if s == source]
         assert all(t // n <= k <= t // n + 1 for k, n, t in own)
         assert abs(sum(k * n for k, n, t in own) - sum(t for _, _, t in own)) <= 9000
+
+
+def test_registered_packing_and_its_ids(spark):
+    got = {(r.doc_id, r.start): r for r in queries.op4_best_fit_packing(spark, SMALL).collect()}
+    tok, pieces = packing.tokenizer(queries.tokenizer_path("word_bpe_49k.json")), 0
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").dropDuplicates(["doc_id"]).collect()
+    for r in docs:
+        ids = np.array([*tok.encode(r.text or "", add_special_tokens=False).ids, 0], np.uint32)
+        at = 0
+        while at < len(ids):
+            piece = got[r.doc_id, at]
+            assert zlib.crc32(ids[at : at + piece.length].tobytes()) == piece.ids_crc32
+            at, pieces = at + piece.length, pieces + 1
+    assert pieces == len(got)
+
+
+def test_neighbours_at_production_parameters(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id").limit(3000)
+    found = hash_forest.nearest(rows, "vec_id", "embedding", F.col("vec_id") % 20 == 0, k=20).collect()
+    held = rows.collect()
+    ids, data = np.array([r.vec_id for r in held]), np.array([r.embedding for r in held], float)
+    mine, hits, total = {}, 0, 0
+    for r in found:
+        mine.setdefault(r.query_id, set()).add(r.vec_id)
+    for i in np.flatnonzero(ids % 20 == 0):
+        near = data @ data[i]
+        near[i] = -np.inf
+        best = set(ids[np.argsort(-near)[:20]].tolist())
+        hits, total = hits + len(best & mine[int(ids[i])]), total + len(best)
+    assert len(held) > hash_forest.PROBE_LEAST / hash_forest.PROBE_SHARE and hits / total >= 0.9
+
+
+def test_near_duplicate_stage(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").dropDuplicates(["doc_id"]).orderBy("doc_id")
+    held = docs.collect()
+    comp = brute([r.text for r in held], 5, 80, 100)
+    kept = corpus_pipeline.ngram_jaccard(spark, docs.unionByName(docs.limit(3)), SMALL).collect()
+    assert sorted(r.doc_id for r in kept) == [r.doc_id for i, r in enumerate(held) if comp[i] == i]
