@@ -1,15 +1,24 @@
 """Main text of web pages by tree scoring.
 
 One pass of a tokenizer builds the element tree and its text blocks, mending what real pages get
-wrong (unclosed elements, stray end tags, raw-text elements, missing semicolons). Parts that are
-never article text (menus, page headers, footers, sidebars, notices, adverts, forms, comments) are
-cut by element, role or the words of class and id. Each remaining paragraph then gives points for
-its length and commas to its ancestors, less the further up; an element's points are discounted by
-its link density. The best element is the container; siblings whose own points or prose come close
-are kept with it, and a container inside an article or main element grows to the whole of it.
-
-Defined results: null, empty and text-free pages give an empty text; a page without any scored
-paragraph gives all its uncut text; repeated rows are treated alike; extra columns pass through.
+wrong (unclosed elements, stray end tags, raw-text elements, missing semicolons). Each block's
+points, for its length and commas, go to its parent and in falling shares to the elements above; an
+element's points are discounted by its link density, and the best element is the container.
+Siblings whose own points or prose come close are kept with it, and a container inside an article
+or main element grows to the whole of it.
+
+What is never article text is left out before: elements (menus, footers, sidebars, forms, headers
+outside an article), roles, hidden elements, reader comments, and elements whose class or id names
+such a part, unless they hold an article or main element, as a page's wrapper may. Names that
+article parts have too (discussion, related, notice, share) are only doubts: such an element is no
+container and no sibling, hands no points on to those above it, and inside the container it goes if the score agrees, which is to say
+that a third of it is links or its blocks earn less than half of what the others earn.
+
+Defined results: null, empty and text-free pages give an empty text; a page whose every block lies
+in named parts keeps them (but for comments); very long pages are read whole, in one pass; elements
+that tie in score: the one whose first block comes first, outer before inner; repeated rows are
+treated alike; an empty table gives no rows; extra columns pass through, but for those of the
+result's names (text, n_chars), which the result replaces.
 """
 
 from __future__ import annotations
@@ -28,34 +37,46 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)[^>]*+(?:>|\Z)",
     re.S,
 )
-_NAMED = re.compile(r"(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
 
-RAW = frozenset("script style noscript template textarea title svg math iframe object noframes xmp".split())
+RAW = frozenset("script style noscript template textarea title iframe object noframes".split())
+#: Of the raw ones, those that end before the next tag if their end tag is missing.
+SHORT = frozenset("textarea title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
-CUT = frozenset("nav footer aside form button select fieldset menu dialog head".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img math semantics mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mtable mtr mtd mstyle mpadded".split())
+CUT = frozenset("nav footer aside form button select fieldset menu dialog head svg annotation annotation-xml".split())
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog".split())
-CUT_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login comment comments commentlist disqus respond discussion reply replies sidebar rail nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer header masthead share sharing social related recommended recommendations widget toolbar hidden skip".split()
+#: Words in the names of parts that aren't article text.
+NAMES = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsored cookie cookies consent gdpr popup modal overlay newsletter subscribe signup sidebar nav navbar navigation breadcrumb breadcrumbs pagination pager footer header masthead banner toolbar hidden".split()
 )
-KEEP_WORDS = frozenset("article content main post entry story body page wrapper container text".split())
+#: Of them, those that mean the article's own inside an article or main element.
+OUTSIDE = frozenset("header masthead banner".split())
+#: Words that parts of articles have in their names too.
+DOUBTS = frozenset("notice notices alert discussion reply replies related recommended recommendations share sharing social rail promo promotion sponsor widget menu login search form skip".split())
+COMMENTS = frozenset("comment comments commentlist disqus respond".split())
+#: A name made of these only is that of the article; one with a word of STATES tells of something else on the page.
+KEEP = frozenset("article content main post entry story page body".split())
+STATES = frozenset("has with no without is open closed on off enabled disabled".split())
+DOUBT, NAMED, COMMENT = 1, 2, 3
 #: An end tag of one of these doesn't close elements outside of the nearest one of these.
 SCOPES = frozenset("html body table td th article section main".split())
-LEAST_CHARS = 20
+WHOLE = ("article", "main")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "cut", "linked", "points", "chars", "link_chars", "anchor")
+    __slots__ = ("tag", "parent", "cut", "linked", "inside", "hint", "whole", "points", "own", "blocks", "chars", "link_chars")
 
-    def __init__(self, tag: str, parent: _Node | None, cut: bool):
-        self.tag, self.parent = tag, parent
-        self.cut = cut or (parent is not None and parent.cut)
+    def __init__(self, tag: str, parent: _Node | None, cut: bool, hint: int):
+        self.tag, self.parent, self.hint = tag, parent, hint
+        self.cut = cut or hint == COMMENT or (parent is not None and parent.cut)
         self.linked = tag == "a" or (parent is not None and parent.linked)
-        self.points, self.chars, self.link_chars, self.anchor = 0.0, 0, 0, False
+        self.inside = tag in WHOLE or (parent is not None and parent.inside)
+        self.whole = False  # it holds an article or main element
+        self.points, self.own, self.blocks, self.chars, self.link_chars = 0.0, 0.0, 0, 0, 0
 
     def up(self) -> Iterator[_Node]:
         node = self
@@ -63,43 +84,62 @@ class _Node:
             yield node
             node = node.parent
 
+    def density(self) -> float:
+        return self.link_chars / max(1, self.chars)
 
-def _hidden(rest: str) -> bool:
+
+def _hidden(attributes: dict[str, str]) -> bool:
     """By an attribute named hidden, by aria-hidden or by style; other attributes' values say nothing."""
-    if not _HIDDEN.search(rest):
-        return False
-    for name, *values in _ATTRIBUTE.findall(rest):
-        name, value = name.lower(), "".join(values)
-        if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and _UNSEEN.search(value):
-            return True
-    return False
-
-
-def _is_cut(tag: str, rest: str, parent: _Node | None, hints: bool) -> bool:
-    if tag in CUT:
-        return True
-    if tag == "header":
-        return not any(x.tag in ("article", "main") for x in parent.up()) if parent else True
-    if not rest:
-        return False
-    if tag not in ("html", "body") and _hidden(rest):
-        return True
-    if not hints or tag in ("html", "body", "article", "main") or tag in INLINE:
-        return False
-    names = [x for m in _NAMED.findall(rest) for x in m if x]
-    words = {w.lower() for x in names for w in _WORDS.findall(x)}
-    return bool(words & CUT_ROLES or words & CUT_WORDS) and not words & KEEP_WORDS
-
-
-def _parse(page: str, hints: bool) -> list[tuple[_Node, str, int]]:
+    return "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true" or _UNSEEN.search(attributes.get("style", "")) is not None
+
+
+def _hint(attributes: dict[str, str], inside: bool) -> int:
+    """What class, id and a one-word aria-label say of an element."""
+    tokens = f"{attributes.get('class', '')} {attributes.get('id', '')}".split()
+    if len(label := attributes.get("aria-label", "").split()) == 1:
+        tokens += label
+    found, names = 0, [[w.lower() for w in _WORDS.findall(x)] for x in tokens]
+    names = [words for words in names if words and not STATES.intersection(words)]
+    if any(words[0] in COMMENTS or words[-1] in COMMENTS for words in names):
+        return COMMENT
+    for words in names:
+        if KEEP.issuperset(words):
+            return 0
+        if (NAMES - OUTSIDE if inside else NAMES).intersection(words) and not ({"article", "entry", "post"}.intersection(words) and OUTSIDE.intersection(words)):
+            found = NAMED
+        elif DOUBTS.intersection(words):
+            found = max(found, DOUBT)
+    return found
+
+
+def _open(tag: str, rest: str, parent: _Node) -> _Node:
+    """The element that a start tag begins."""
+    cut, hint = tag in CUT or tag == "header" and not parent.inside, 0
+    if rest and not cut and tag not in ("html", "body"):
+        attributes: dict[str, str] = {}
+        for name, *values in _ATTRIBUTE.findall(rest):
+            attributes.setdefault(name.lower(), "".join(values))
+        cut = _HIDDEN.search(rest) is not None and _hidden(attributes) or attributes.get("role", "").strip().lower() in CUT_ROLES
+        if tag not in INLINE:
+            hint = _hint(attributes, parent.inside)
+            if tag in WHOLE and hint != COMMENT:
+                hint = 0
+    node = _Node(tag, parent, cut, hint)
+    if tag in WHOLE and not node.cut:
+        for up in parent.up():
+            up.whole = True
+    return node
+
+
+def _parse(page: str) -> list[tuple[_Node, str, int]]:
     """Blocks in page order: the innermost block element, its text, and how much of it is linked."""
-    root = _Node("#root", None, False)
+    root = _Node("#root", None, False, 0)
     top, blocks, text, linked = root, [], [], 0
 
     def flush() -> None:
         nonlocal linked
         if text:
-            whole = " ".join(entities.unescape("".join(text)).split())
+            whole = " ".join("".join(text).split())
             if whole:
                 owner = next(x for x in top.up() if x.tag not in INLINE)
                 blocks.append((owner, whole, linked))
@@ -109,6 +149,7 @@ def _parse(page: str, hints: bool) -> list[tuple[_Node, str, int]]:
     def add(piece: str) -> None:
         nonlocal linked
         if piece and not top.cut:
+            piece = entities.unescape(piece) if "&" in piece else piece
             text.append(piece)
             if top.linked:
                 linked += len(piece.strip())
@@ -148,10 +189,14 @@ def _parse(page: str, hints: bool) -> list[tuple[_Node, str, int]]:
         if tag in VOID:
             continue
         if tag in RAW:
-            close = re.compile(rf"</{tag}\s*(?:>|\Z)", re.I).search(page, at)
             if not rest.endswith("/"):
-                at = close.end() if close else n
+                close = re.compile(rf"</{tag}\s*(?:>|\Z)", re.I).search(page, at)
+                at = close.end() if close else max(at, page.find("<", at)) if tag in SHORT and "<" in page[at:] else n
             continue
+        if tag in CUT and rest.endswith("/"):  # <svg/>: nothing inside
+            continue
+        if top.tag == "head":  # what isn't raw or void can't be in it: its end tag is missing
+            top = top.parent
         if tag not in INLINE:
             flush()
             inline = top
@@ -160,57 +205,84 @@ def _parse(page: str, hints: bool) -> list[tuple[_Node, str, int]]:
             if inline.tag == "p" or inline.tag == tag and tag in ("li", "td", "th", "tr", "dd", "dt", "option") or inline.tag[0] == "h" and inline.tag[1:].isdigit():
                 inline = inline.parent
             top = inline
-        top = _Node(tag, top, _is_cut(tag, rest, top, hints))
+            if tag in _BREAKS:  # HTML ends an svg that was left open
+                top = next((x.parent for x in top.up() if x.tag == "svg"), top)
+        top = _open(tag, rest, top)
     flush()
-    return [b for b in blocks if not b[0].cut]
+    return blocks
+
+
+_BREAKS = frozenset("body blockquote dd div dl dt h1 h2 h3 h4 h5 h6 hr li ol p pre table ul article section main nav header footer aside".split())
+_LEAVES = frozenset("p li td th pre blockquote dd dt h1 h2 h3 h4 h5 h6 figcaption summary".split())
+
+
+def points_of(text: str) -> float:
+    """For commas, and for length up to 300 characters."""
+    return text.count(",") + text.count("，") + min(len(text) / 100, 3)
+
+
+def share(level: int) -> float:
+    """What of a block's points an element gets that stands so far above its parent (0: the parent)."""
+    return 1 / (1 if level == 0 else 2 if level == 1 else 3 * level)
 
 
 def _best(blocks: list[tuple[_Node, str, int]]) -> _Node | None:
     seen: dict[int, _Node] = {}
     for node, text, linked in blocks:
+        points = points_of(text)
         for up in node.up():
             up.chars += len(text)
             up.link_chars += linked
-        if len(text) < LEAST_CHARS:
-            continue
-        points = 1 + text.count(",") + text.count("，") + min(len(text) / 100, 3)
-        own = node.parent if node.tag in ("p", "li", "td", "th", "pre", "blockquote", "dd", "dt") or node.tag[0] == "h" and node.tag[1:].isdigit() else node
-        for level, up in enumerate((own or node).up()):
+            up.own += points
+            up.blocks += 1
+        start = node.parent if node.tag in _LEAVES and node.parent is not None else node
+        path = list(start.up())
+        for level, up in enumerate(path):
             if up.tag in ("#root", "html"):
                 break
-            up.points += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
-            seen[id(up)] = up
-    if not seen:
-        return None
-    return max(seen.values(), key=lambda x: x.points * (1 - x.link_chars / max(1, x.chars)))
+            up.points += points * share(level)
+            if _doubted(up):
+                break
+        if not any(_doubted(x) for x in path):
+            for up in reversed(path):
+                seen.setdefault(id(up), up)
+    found = [x for x in seen.values() if x.tag not in ("#root", "html")]
+    return max(found, key=lambda x: x.points * (1 - x.density()), default=None)
+
+
+def _doubted(node: _Node) -> bool:
+    return node.hint == DOUBT and not node.whole
+
+
+def _agrees(node: _Node, best: _Node) -> bool:
+    """A doubted element earns little: links, or blocks worth less than half of the container's others."""
+    others = best.blocks - node.blocks
+    return node.density() >= 1 / 3 or others > 0 and node.own / max(1, node.blocks) < 0.5 * (best.own - node.own) / others
 
 
 def extract(page: str | None) -> str:
     """Main text of a page, one block a line."""
     if not page:
         return ""
-    page = page.replace("\0", "")
-    blocks = _parse(page, True)
-    plain = _parse(page, False) if sum(len(b[1]) for b in blocks) < 200 else blocks
-    if sum(len(b[1]) for b in plain) > 8 * sum(len(b[1]) for b in blocks) + 200:
-        blocks = plain  # the names of the page's own wrapper looked like those of a menu
+    every = _parse(page.replace("\0", ""))
+    blocks = [b for b in every if not any(x.hint == NAMED and not x.whole for x in b[0].up())] or every
     best = _best(blocks)
     if best is None:
         return "\n".join(b[1] for b in blocks)
-    best = next((x for x in best.up() if x.tag in ("article", "main") and x.link_chars < 0.5 * x.chars), best)
-    bar = max(10.0, 0.2 * best.points)
+    best = next((x for x in best.up() if x.tag in WHOLE and x.density() < 0.5), best)
     kept = []
     for node, text, linked in blocks:
         path = list(node.up())
-        if any(x is best for x in path):
-            kept.append(text)
+        at = next((k for k, x in enumerate(path) if x is best), None)
+        if at is not None:
+            if not any(_doubted(x) and _agrees(x, best) for x in path[:at]):
+                kept.append(text)
             continue
         sibling = next((x for x in path if x.parent is best.parent), None) if best.parent is not None else None
-        if sibling is None or best.tag in ("article", "main"):
-            if sibling is None or sibling.tag != best.tag:
-                continue
-        density = sibling.link_chars / max(1, sibling.chars)
-        close = sibling.points * (1 - density) >= bar
+        if sibling is None or _doubted(sibling) or best.tag in WHOLE and sibling.tag != best.tag:
+            continue
+        density = sibling.density()
+        close = sibling.points * (1 - density) >= 0.2 * best.points
         prose = sibling.tag == "p" and (sibling.chars > 80 and density < 0.25 or sibling.link_chars == 0 and re.search(r"[.!?]( |$)", text) is not None)
         if close or prose:
             kept.append(text)
