@@ -8,7 +8,8 @@ height h is a maximal run of h words found more than once; the union of the span
 at least m words is what positions with a neighbour prefix of m or more cover.
 
 Defined results: null and blank texts have no words and fail the base rules (under 10 words);
-repeated rows are judged alike; extra columns pass through; texts of any length are read whole.
+repeated rows are judged alike; texts of any length are read whole; an empty table gives no rows;
+extra columns pass through, but for those of the result's names, which the result replaces.
 """
 
 from __future__ import annotations
@@ -145,7 +146,7 @@ def chunks(texts: list[str | None], most: int = CHUNK_WORDS) -> Iterator[list[st
 
 
 def judged(docs: DataFrame, run: int = RUN, max_covered: float = MAX_COVERED, longest: int = LONGEST, longest_share: float = LONGEST_SHARE) -> DataFrame:
-    """docs plus the columns of STATS, base_failed and kept. Narrow: no shuffle."""
+    """docs plus base statistics, base_failed, kept, covered_words and longest_repeat. Narrow: no shuffle."""
 
     small_batches(docs.sparkSession)
     @F.pandas_udf(STATS)
@@ -157,5 +158,8 @@ def judged(docs: DataFrame, run: int = RUN, max_covered: float = MAX_COVERED, lo
     n = F.col("_stats.n_words")
     base_failed = (n < MIN_WORDS) | (100 * F.col("_stats.n_repeat_words") > MAX_REPEAT_PERCENT * n)
     failed = (F.col("_stats.covered_words") > max_covered * n) | (F.col("_stats.longest_repeat") > F.greatest(F.lit(float(longest)), longest_share * n))
-    names = [x.split()[0] for x in STATS.split(", ")]
-    return docs.withColumn("_stats", stats(F.col("text"))).select(*docs.columns, *[F.col(f"_stats.{x}").alias(x) for x in names], base_failed.alias("base_failed"), (~base_failed & ~failed).alias("kept"))
+    *names, covered, repeat = [x.split()[0] for x in STATS.split(", ")]
+    verdict = [base_failed.alias("base_failed"), (~base_failed & ~failed).alias("kept")]
+    mine = [*[F.col(f"_stats.{x}").alias(x) for x in names], *verdict, *[F.col(f"_stats.{x}").alias(x) for x in (covered, repeat)]]
+    others = [c for c in docs.columns if c not in (*names, covered, repeat, "base_failed", "kept")]
+    return docs.withColumn("_stats", stats(F.col("text"))).select(*others, *mine)
