@@ -4,7 +4,8 @@ Hashed word and character n-gram vectors are learnt with the softmax by stochast
 descent. Case is kept, since shouting is a mark of poor text, and a word that repeats the one
 before it counts as a feature of its own.
 
-Defined results: as for toxicity; null, empty and blank texts get the score of the bias alone.
+Defined results: as for toxicity, but without labelled rows every text scores next to 1, so that none
+is called poor.
 """
 
 from __future__ import annotations
@@ -16,12 +17,13 @@ from quadloom.llm import classify, subword
 
 #: At most so many labelled rows of either class are learnt from.
 PER_CLASS = 2000
+HEADS = [subword.Head(epochs=12, rate=1.5)]
 THRESHOLD = 0.3
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, per_class: int = PER_CLASS) -> subword.Model:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, per_class: int = PER_CLASS, heads: list[subword.Head] = HEADS) -> subword.Model:
     texts, marks = classify.training_sample(docs, labels, "quality", F.lit(True) if learn is None else learn, per_class)
-    return subword.fit(texts, marks, fold_case=False, window=0)
+    return subword.fit(texts, marks, heads, fold_case=False, unknown=1.0)
 
 
 def score(docs: DataFrame, model: subword.Model) -> DataFrame:

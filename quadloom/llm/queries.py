@@ -24,13 +24,13 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, fold = table(spark, sf_dir, "documents"), crc_bucket("doc_id", 4)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold != 2)
-    return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", (fold == 2).alias("held_out"), "score", "predicted")
+    return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, fold = table(spark, sf_dir, "documents"), crc_bucket("doc_id", 5)
     model = quality.fit(docs, table(spark, sf_dir, "labels"), fold != 0)
-    return quality.score(docs.select("doc_id", "text"), model).select("doc_id", (fold == 0).alias("held_out"), "score", "predicted")
+    return quality.score(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,8 +75,8 @@ def test_quality_learns_from_whole_documents():
         rng.shuffle(words)
         texts.append(" ".join(words))
     marks = [i % 2 for i in range(60)]
-    one = subword.fit(texts, marks, fold_case=False, window=0)
-    two = subword.fit([" ".join(reversed(t.split())) for t in texts], marks, fold_case=False, window=0)
+    one = subword.fit(texts, marks, [subword.Head()], fold_case=False)
+    two = subword.fit([" ".join(reversed(t.split())) for t in texts], marks, [subword.Head()], fold_case=False)
     assert np.abs(one.weight - two.weight).max() < 0.01 * np.abs(one.weight).max()
     assert all(one.scores([f"good{k}"])[0] > 0.5 > one.scores([f"poor{k}"])[0] for k in range(9))
 
