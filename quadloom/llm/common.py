@@ -27,16 +27,19 @@ def lower_words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise df in the folder that all executors share and forget its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; where it is unset, a folder of this machine, if Spark runs on it alone."""
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return folder or tempfile.mkdtemp(prefix="ckpt")
 
-    The folder is the session's spark.checkpoint.dir; a folder of our own is set only where
-    the session names none, as in tests on one machine.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Materialise df in the folder that all executors share and forget its lineage."""
+    context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -94,3 +94,94 @@ def test_near_duplicate_stage(spark):
     comp = brute([r.text for r in held], 5, 80, 100)
     kept = corpus_pipeline.ngram_jaccard(spark, docs.unionByName(docs.limit(3)), SMALL).collect()
     assert sorted(r.doc_id for r in kept) == [r.doc_id for i, r in enumerate(held) if comp[i] == i]
+
+
+CLASHING = "doc_id long, text string, lang string, source string, score string, predicted string, _copies string, _copy string, _row string, kept string, n_words string, component_id string, held_out string"
+
+
+def odd_documents(spark):
+    """Nulls in every column, empty, blank and very long texts, repeated rows, and names that operators use."""
+    words = [f"word{k}" for k in range(400)]
+    rng = random.Random(4)
+    plain = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(30)]
+    texts = [None, "", " \n\t ", "one", "long " * 30_000, " ".join(words * 40), *plain, plain[0], plain[0]]
+    rows = [(k, t, "en", f"s{k % 3}", "score", "predicted", "c", "d", "row", "kept", "n", "c", "h") for k, t in enumerate(texts)]
+    rows += [rows[7], (None,) * 13, (None, plain[1], *[None] * 11)]
+    return spark.createDataFrame(rows, CLASHING)
+
+
+def test_stages_on_odd_documents(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = odd_documents(spark)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, str(tmp_path))
+        assert kept.schema.simpleString() == docs.schema.simpleString(), name
+        assert set(kept.collect()) <= set(docs.collect())
+        if name in ("quality_classifier", "toxicity"):  # nothing was learnt, so nothing goes
+            assert sorted(map(str, kept.collect())) == sorted(map(str, docs.collect()))
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    name, last = corpus_pipeline.STAGES[-1]
+    assert last(spark, docs, str(tmp_path)).filter("piece = 0").count() == docs.count()
+    assert last(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def labelled(spark, folder, n=600):
+    """Toxic texts hold a bad word or its misspelling, poor ones are shouted; every third row has no label."""
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choice("aeioulmnrst") for _ in range(rng.randint(3, 9))) for _ in range(500)]
+    docs, labels = [], []
+    for k in range(n):
+        words = [rng.choice(vocabulary) for _ in range(rng.choice([20, 80, 300]))]
+        toxic, poor = k % 5 == 0, k % 7 == 0
+        if toxic:
+            for _ in range(1 + len(words) // 20):
+                words.insert(rng.randrange(len(words)), rng.choice(["zorgblat", "zorgblatt", "xzorgblat"]))
+        text = " ".join(words)
+        docs.append((k, text.upper() if poor else text, "en", "s", 0))
+        if k % 3:
+            labels.append((k, int(not poor), int(toxic)))
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+
+
+def test_registered_classifiers_on_rows_held_out(spark, tmp_path):
+    labelled(spark, tmp_path)
+    for query, modulus, remainder, truth in ((queries.op2_toxicity, 4, 2, lambda k: k % 5 == 0), (queries.op3_quality, 5, 0, lambda k: k % 7 != 0)):
+        rows = query(spark, str(tmp_path)).collect()
+        assert len(rows) == 600 and rows[0].__fields__ == ["doc_id", "held_out", "score", "predicted"]
+        assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % modulus == remainder) and r.predicted == (r.score >= 0.3) and 0 <= r.score <= 1 for r in rows)
+        unseen = [r for r in rows if r.held_out or r.doc_id % 3 == 0]
+        for label in (True, False):
+            assert np.mean([bool(r.predicted) == label for r in unseen if truth(r.doc_id) == label]) > 0.95
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stays in (("quality_classifier", lambda k: k % 7 != 0), ("toxicity", lambda k: k % 5 != 0)):
+        kept = {r.doc_id for r in stages[name](spark, docs, str(tmp_path)).collect()}
+        assert np.mean([(k in kept) == stays(k) for k in range(600)]) > 0.97
+
+
+def test_null_ids_are_scored_and_not_held_out(spark, tmp_path):
+    labelled(spark, tmp_path, 60)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    docs.unionByName(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long"))).write.parquet(f"{tmp_path}/more/documents.parquet")
+    spark.read.parquet(f"{tmp_path}/labels.parquet").write.parquet(f"{tmp_path}/more/labels.parquet")
+    for query in (queries.op2_toxicity, queries.op3_quality):
+        (row,) = query(spark, f"{tmp_path}/more").filter("doc_id is null").collect()
+        assert row.held_out is False and 0 <= row.score <= 1
+
+
+def test_repetition_names_and_order(spark):
+    docs = odd_documents(spark)
+    from quadloom.llm import repetition
+
+    out = repetition.judged(docs.select("doc_id", "text", "kept", "n_words", "lang"))
+    assert out.columns == ["doc_id", "text", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered_words", "longest_repeat"]
+    for r in out.collect():
+        words, lines = WORD.findall(r.text or ""), [x for x in (r.text or "").split("\n") if WORD.search(x)]
+        windows = {}
+        for i in range(len(words) - 4):
+            windows.setdefault(tuple(words[i : i + 5]), []).append(i)
+        again = {p for at in windows.values() if len(at) > 1 for i in at for p in range(i, i + 5)}
+        assert (r.n_words, r.word_chars, r.n_dup_lines, r.n_repeat_words) == (len(words), sum(map(len, words)), len(lines) - len(set(lines)), len(again))
+        assert r.base_failed == (len(words) < 10 or 100 * len(again) > 20 * len(words)) and (not r.kept or not r.base_failed)
+    assert repetition.judged(docs.limit(0)).count() == 0
