@@ -107,7 +107,7 @@ def test_neighbours(spark):
     rng = np.random.default_rng(3)
     data = [(i, rng.normal(size=8).tolist()) for i in range(400)] + [(1000 + i, [1.0] * 8) for i in range(60)] + [(2000, None), (2001, [0.0] * 8), (2002, [float("nan")] * 8), (2003, [None] * 8)]
     rows = spark.createDataFrame(data, "vec_id long, embedding array<double>")
-    found = hash_forest.nearest(rows, "vec_id", "embedding", F.col("vec_id") % 20 == 0, k=20, shard_rows=150, share=1.0).collect()
+    found = hash_forest.nearest(rows, "vec_id", "embedding", F.col("vec_id") % 20 == 0, k=20, shard_rows=150, sure=1.0).collect()
     good = [(i, np.array(v)) for i, v in data if i < 2000]
     for q, v in good:
         if q % 20 == 0:
@@ -116,6 +116,39 @@ def test_neighbours(spark):
     assert hash_forest.nearest(rows.limit(0), "vec_id", "embedding", F.lit(True)).count() == 0
 
 
+def test_neighbours_of_repeated_rows(spark):
+    rng = np.random.default_rng(4)
+    data = [(i, rng.normal(size=6).tolist()) for i in range(50)]
+    odd = [data[0], data[20], data[20], data[20], data[7], (None, data[3][1]), (9, data[11][1])]  # 9 has two vectors
+    rows = spark.createDataFrame([(i, v, "x", "y") for i, v in data + odd], "vec_id long, embedding array<double>, key string, shard string")
+    found = hash_forest.nearest(rows, "vec_id", "embedding", F.col("vec_id") % 20 == 0, k=20, shard_rows=12).orderBy("query_id", "rank").collect()
+    for q in (0, 20, 40):
+        mine = [r for r in found if r.query_id == q]
+        best = {}
+        for i, v in data + odd:
+            if i not in (None, q):
+                best[i] = max(best.get(i, -np.inf), float((np.array(v) * np.array(data[q][1])).sum()))
+        assert [r.rank for r in mine] == list(range(1, 21))
+        assert [r.vec_id for r in mine] == sorted(best, key=lambda i: (-best[i], i))[:20]
+        assert all(abs(r.score - best[r.vec_id]) < 1e-12 for r in mine)
+    few = hash_forest.nearest(rows.filter("vec_id < 8"), "vec_id", "embedding", F.col("vec_id") == 0, k=20).collect()
+    assert sorted(r.vec_id for r in few) == list(range(1, 8))
+
+
+def test_neighbours_of_other_lengths(spark):
+    rng = np.random.default_rng(5)
+    data = [(i, (rng.normal(size=16) * (1 + i % 7)).tolist()) for i in range(900)] + [(5000 + i, [1.0] * 15) for i in range(40)]
+    rows = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    found = hash_forest.nearest(rows, "vec_id", "embedding", F.col("vec_id") % 20 == 0, k=20, shard_rows=300).collect()
+    whole = np.array([v for i, v in data if i < 5000])
+    hits = 0
+    for q in range(0, 900, 20):
+        scores = whole @ whole[q]
+        scores[q] = -np.inf
+        hits += len({r.vec_id for r in found if r.query_id == q} & set(np.argsort(-scores)[:20].tolist()))
+    assert len(found) == 900 and hits >= 0.9 * 900
+
+
 def test_mixing(spark):
     docs = spark.createDataFrame([(i, " ".join(["w"] * (i % 50)), "big" if i % 3 else None if i % 2 else "small") for i in range(900)], "doc_id long, text string, source string")
     one = {r.doc_id: r for r in mixing.taken(docs, 16, shard_slots=64).collect()}

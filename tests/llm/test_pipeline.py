@@ -85,7 +85,7 @@ def test_neighbours_at_production_parameters(spark):
         near[i] = -np.inf
         best = set(ids[np.argsort(-near)[:20]].tolist())
         hits, total = hits + len(best & mine[int(ids[i])]), total + len(best)
-    assert len(held) > hash_forest.PROBE_LEAST / hash_forest.PROBE_SHARE and hits / total >= 0.9
+    assert len(held) > 2 * hash_forest.PROBE_LEAST and hits / total >= 0.9
 
 
 def test_near_duplicate_stage(spark):
