@@ -43,6 +43,11 @@ def term(kind: int | Column, lex: Column, dt: Column | str = "", lang: Column |
     return F.when(lex.isNotNull(), made)
 
 
+def struct(kind: int, lex: Column, dt: str = "", lang: str = "") -> Column:
+    """A term of a column that is never null."""
+    return F.struct(F.lit(kind).cast("tinyint").alias("kind"), lex.alias("lex"), F.lit(dt).alias("dt"), F.lit(lang).alias("lang"))
+
+
 def iri(lex: Column | str) -> Column:
     return term(IRI, lex if isinstance(lex, Column) else F.lit(lex))
 
@@ -87,6 +92,12 @@ def number(t: Column) -> Column:
     return F.when(is_numeric(t), F.expr("1d") * t["lex"].try_cast("double"))
 
 
+def exact(t: Column) -> Column:
+    """Value of an integer, or of a decimal of up to six places, without rounding; null for anything else."""
+    whole = (t["kind"] == LITERAL) & t["dt"].isin(*INTEGERS, XSD_DECIMAL) & F.regexp_like(t["lex"], F.lit(r"^\s*[+-]?\d{1,31}(\.\d{0,6}0*)?\s*$"))
+    return F.when(whole, t["lex"].try_cast("decimal(38,6)"))
+
+
 def moment(t: Column) -> Column:
     return F.when((t["kind"] == LITERAL) & t["dt"].isin(XSD_DATE, XSD_DATETIME), t["lex"].try_cast("timestamp"))
 
@@ -94,7 +105,7 @@ def moment(t: Column) -> Column:
 def order_key(t: Column) -> list[Column]:
     """Sort columns of the term order: unbound, blank nodes, IRIs, literals (numbers and times by value)."""
     rank = F.when(t["kind"] == BNODE, 1).when(t["kind"] == IRI, 2).when(t["kind"] == LITERAL, 3)
-    return [F.coalesce(rank, F.lit(0)), number(t), moment(t), t["lex"], t["dt"], t["lang"]]
+    return [F.coalesce(rank, F.lit(0)), number(t), exact(t), moment(t), t["lex"], t["dt"], t["lang"]]
 
 
 def native(t: Column, kind: str) -> Column:

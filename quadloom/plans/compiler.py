@@ -3,21 +3,23 @@
 A solution sequence is a Solutions: a DataFrame with one term column a variable, and the set of
 variables bound in every row. Shared variables bound on both sides join by plain equality, so Spark
 picks broadcast, sort-merge or shuffled hash joins; only a variable that may be unbound needs the
-slower "equal or unbound" condition.
+slower "equal or unbound" condition. Variables that come from a mapped table keep its column beside
+the term (hidden), and joins, groups and comparisons use that where both sides have one.
 """
 
 from __future__ import annotations
 
 import itertools
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadloom.functions import terms as T
-from quadloom.plans.expressions import Expressions, Value, integer, string
-from quadloom.plans.fixpoint import closure
+from quadloom.plans.expressions import EXACT, Expressions, Value, integer, string
+from quadloom.plans.fixpoint import checkpointed, closure
 from quadloom.plans.parser import Query, SparqlError
+from quadloom.sources.mapping import Hidden, Mapped, term_of
 
 QUADS = "g string, s_kind tinyint, s string, p string, o_kind tinyint, o string, o_dt string, o_lang string, inferred boolean"
 _fresh = itertools.count()
@@ -40,10 +42,31 @@ class Solutions:
     df: DataFrame
     vars: list[str]
     bound: set[str]
+    hidden: dict[str, Hidden] = field(default_factory=dict)
 
     def columns(self) -> dict[str, Column]:
         return {v: F.col(f"`{v}`") for v in self.vars}
 
+    def expressions(self, values: dict[str, Value] | None = None, flags: dict[str, Column] | None = None) -> Expressions:
+        return Expressions(self.columns(), values, {v: (F.col(f"`{h.column}`"), h.kind) for v, h in self.hidden.items() if h.kind != "key"}, flags)
+
+    def visible(self) -> Solutions:
+        return Solutions(self.df.select(*self.columns().values()), self.vars, self.bound) if self.hidden else self
+
+
+def variables(e) -> set[str]:
+    """Names of the variables in an expression or pattern."""
+    if isinstance(e, tuple) and len(e) == 2 and e[0] in ("var", "pvar"):
+        return {e[1]}
+    return set().union(*map(variables, e)) if isinstance(e, (tuple, list)) else set()
+
+
+def inside(e, kind: str) -> list[tuple]:
+    """Nodes of a kind in a tree, outermost first; not those below one another."""
+    if isinstance(e, tuple) and e and e[0] == kind:
+        return [e]
+    return [x for part in e for x in inside(part, kind)] if isinstance(e, (tuple, list)) else []
+
 
 @dataclass(frozen=True)
 class Graphs:
@@ -56,8 +79,9 @@ class Graphs:
 
 
 class Compiler:
-    def __init__(self, quads: DataFrame, graphs: Graphs = Graphs()):
-        self.quads, self.spark, self.graphs = quads, quads.sparkSession, graphs
+    def __init__(self, quads: DataFrame, graphs: Graphs = Graphs(), maps: list[Mapped] | None = None):
+        """maps: the tables of which quads is made, if it is made of mapped tables and nothing else."""
+        self.quads, self.spark, self.graphs, self.maps = quads, quads.sparkSession, graphs, maps or []
 
     # --- queries
     def select(self, q: Query, graphs: Graphs | None = None) -> Solutions:
@@ -70,21 +94,23 @@ class Compiler:
         else:
             values = {}
         for e in q.having:
-            out = replace(out, df=out.df.filter(Expressions(out.columns(), values)(e).truth()))
+            out = replace(out, df=out.df.filter(out.expressions(values)(e).truth()))
         names = [n for n, _ in q.project] or [v for v in out.vars if not v.startswith("_")]
         for name, e in q.project:
             if e is not None:
-                out = Solutions(out.df.withColumn(f"`{name}`".strip("`"), Expressions(out.columns(), values)(e).term()), [*[v for v in out.vars if v != name], name], out.bound)
+                hidden = {v: h for v, h in out.hidden.items() if v != name}
+                out = Solutions(out.df.withColumn(name, out.expressions(values)(e).term()), [*[v for v in out.vars if v != name], name], out.bound, hidden)
             elif name not in out.vars:
-                out = Solutions(out.df.withColumn(name, F.lit(None).cast(T.TERM)), [*out.vars, name], out.bound)
-        df = out.df
-        if ordering and not q.distinct:
-            df = df.orderBy(*self._order(out, ordering, values))
-        df = df.select(*[F.col(f"`{n}`") for n in names])
+                out = Solutions(out.df.withColumn(name, F.lit(None).cast(T.TERM)), [*out.vars, name], out.bound, out.hidden)
+        df, keys = out.df, self._order(out, ordering, values)
+        sort = lambda key, descending: key.desc_nulls_last() if descending else key.asc_nulls_first()
         if q.distinct:
-            df = df.distinct()
-            if ordering:
-                df = df.orderBy(*self._order(Solutions(df, names, set()), ordering, {}))
+            # A row's place is that of the first of its equals.
+            df = df.groupBy(*[F.col(f"`{n}`") for n in names]).agg(*[(F.max if d else F.min)(key).alias(f"_o{k}") for k, (key, d) in enumerate(keys)]) if keys else df.select(*[F.col(f"`{n}`") for n in names]).distinct()
+            keys = [(F.col(f"_o{k}"), d) for k, (_, d) in enumerate(keys)]
+        if keys:
+            df = df.orderBy(*[sort(key, d) for key, d in keys])
+        df = df.select(*[F.col(f"`{n}`") for n in names])
         if q.offset:
             df = df.offset(q.offset)
         if q.limit is not None:
@@ -118,11 +144,12 @@ class Compiler:
             return Graphs(default=tuple(q.default_graphs), named=tuple(q.named_graphs))
         return self.graphs
 
-    def _order(self, out: Solutions, ordering: list, values: dict) -> list[Column]:
+    def _order(self, out: Solutions, ordering: list, values: dict) -> list[tuple[Column, bool]]:
+        """Sort keys, and whether they fall."""
         keys = []
         for e, descending in ordering:
-            for key in T.order_key(Expressions(out.columns(), values)(e).term()):
-                keys.append(key.desc_nulls_last() if descending else key.asc_nulls_first())
+            v = out.expressions(values)(e)
+            keys += [(key, descending) for key in ([v.native] if v.kind else T.order_key(v.term()))]
         return keys
 
     # --- aggregation
@@ -142,16 +169,19 @@ class Compiler:
         return list(found.values())
 
     def _grouped(self, out: Solutions, q: Query, aggregates: list[tuple]) -> tuple[Solutions, dict[str, Value]]:
-        ex = Expressions(out.columns())
-        keys = [ex(e).term().alias(name) for name, e in q.group]
+        ex = out.expressions()
+        hidden = {name: out.hidden[e[1]] for name, e in q.group if e[0] == "var" and e[1] in out.hidden}
+        keys = [F.col(f"`{hidden[name].column}`").alias(f"_h_{name}") if name in hidden else ex(e).term().alias(name) for name, e in q.group]
+        hidden = {name: Hidden(f"_h_{name}", h.kind, h.of) for name, h in hidden.items()}
         made, values = [], {}
         for k, e in enumerate(aggregates):
             col, value = self._aggregate(e, ex, f"_a{k}")
             made += col
             values[repr(e)] = value
         df = out.df.groupBy(*keys).agg(*made) if made else out.df.select(*keys).distinct()
+        df = df.select("*", *[term_of(h, F.col(f"`{h.column}`")).alias(name) for name, h in hidden.items()])
         names = [n for n, _ in q.group]
-        return Solutions(df, names, {n for n, e in q.group if e[0] == "var" and e[1] in out.bound}), values
+        return Solutions(df, names, {n for n, e in q.group if e[0] == "var" and e[1] in out.bound}, hidden), values
 
     def _aggregate(self, e: tuple, ex: Expressions, name: str) -> tuple[list[Column], Value]:
         _, kind, distinct, what, joint = e
@@ -160,18 +190,29 @@ class Compiler:
                 whole = F.struct(*ex.columns.values())
                 counted = F.count_distinct(whole) if distinct else F.count(F.lit(1))
             else:
-                t = ex(what).term()
+                v = ex(what)
+                t = v.native if v.kind else v.term()
                 counted = F.count_distinct(t) if distinct else F.count(t)
             return [counted.alias(name)], integer(F.col(name))
         v = ex(what)
         if kind in ("SUM", "AVG"):
             x = v.num()
-            total = (F.sum_distinct(x) if distinct else F.sum(x)) if kind == "SUM" else (F.avg(F.when(x.isNotNull(), x)) if not distinct else F.sum_distinct(x) / F.count_distinct(x))
+            exact = v.native if v.kind == "long" else v.exact()
+            total, whole = (F.sum_distinct(x), F.sum_distinct(exact)) if distinct else (F.sum(x), F.try_sum(exact))
             # The widest datatype among the values: double over decimal over integer.
-            width = F.max(F.when(v.num_dt() == T.XSD_INTEGER, 0).when(v.num_dt() == T.XSD_DECIMAL, 1).otherwise(2))
-            least = 1 if kind == "AVG" else 0
-            dt = F.when(F.coalesce(F.greatest(F.col(name + "w"), F.lit(least)), F.lit(0)) == 0, T.XSD_INTEGER).when(F.greatest(F.col(name + "w"), F.lit(least)) == 1, T.XSD_DECIMAL).otherwise(T.XSD_DOUBLE)
-            return [total.alias(name), width.alias(name + "w")], Value("num", F.coalesce(F.col(name), F.lit(0.0)), dt)
+            width = F.max(F.when(v.num_dt() == T.XSD_INTEGER, 0).when(v.num_dt() == T.XSD_DECIMAL, 1).otherwise(2)) if not v.kind else F.max(F.when(x.isNotNull(), 0 if v.kind == "long" else 2))
+            n, w = F.col(name + "n"), F.greatest(F.col(name + "w"), F.lit(1 if kind == "AVG" else 0))
+            dt = F.when(F.coalesce(w, F.lit(0)) == 0, T.XSD_INTEGER).when(w == 1, T.XSD_DECIMAL).otherwise(T.XSD_DOUBLE)
+            made = [total.alias(name), whole.cast(EXACT).alias(name + "d"), width.alias(name + "w"), (F.count_distinct(x) if distinct else F.count(x)).alias(name + "n"), (F.count_distinct(exact) if distinct else F.count(exact)).alias(name + "e")]
+            # Exact where all numbers are; the sum of none is 0.
+            dec = F.when(F.col(name + "e") == n, F.coalesce(F.col(name + "d"), F.lit(0).cast(EXACT)))
+            col = F.coalesce(dec.cast("double"), F.col(name), F.lit(0.0))
+            return made, Value("num", col, dt, dec) if kind == "SUM" else Value("num", F.coalesce(col / F.when(n > 0, n), F.lit(0.0)), dt)
+        if kind in ("MIN", "MAX") and v.kind:
+            least = (F.min if kind == "MIN" else F.max)(v.native)
+            of = {"long": T.XSD_INTEGER, "double": T.XSD_DOUBLE, "string": T.XSD_STRING, "time": T.XSD_DATETIME}[v.kind]
+            lex = F.date_format(F.col(name).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss") if v.kind == "time" else F.col(name).cast("string")
+            return [least.alias(name), F.first(v.col["dt"]).alias(name + "t")], Value("term", T.literal(F.when(F.col(name + "t") == T.XSD_DATE, F.date_format(F.col(name).cast("timestamp"), "yyyy-MM-dd")).otherwise(lex), F.coalesce(F.col(name + "t"), F.lit(of))))
         t = v.term()
         if kind in ("MIN", "MAX"):
             keyed = F.when(t.isNotNull(), F.struct(*[k.alias(f"k{i}") for i, k in enumerate(T.order_key(t))], t.alias("t")))
@@ -189,7 +230,7 @@ class Compiler:
         if kind == "bgp":
             return self._bgp(node[1], graphs)
         if kind == "union":
-            a, b = self.pattern(node[1], graphs), self.pattern(node[2], graphs)
+            a, b = self.pattern(node[1], graphs).visible(), self.pattern(node[2], graphs).visible()
             return Solutions(a.df.unionByName(b.df, allowMissingColumns=True), [*a.vars, *[v for v in b.vars if v not in a.vars]], a.bound & b.bound)
         if kind == "graph":
             return self._graph(node[1], node[2], graphs)
@@ -213,7 +254,7 @@ class Compiler:
                 out = out or self._unit()
                 if item[1] in out.vars:
                     raise SparqlError(f"?{item[1]} is already in scope")
-                out = Solutions(out.df.withColumn(item[1], Expressions(out.columns())(item[2]).term()), [*out.vars, item[1]], out.bound)
+                out = Solutions(out.df.withColumn(item[1], out.expressions()(item[2]).term()), [*out.vars, item[1]], out.bound, out.hidden)
             else:
                 right = self.pattern(item, graphs)
                 out = right if out is None else self.join(out, right)
@@ -230,21 +271,60 @@ class Compiler:
             return self._filter(self._filter(out, e[1], graphs), e[2], graphs)
         if e[0] == "exists" or e[0] == "not" and e[1][0] == "exists":
             inner = e if e[0] == "exists" else e[1]
-            negated = inner[2] != (e[0] == "not")
-            right = self.pattern(inner[1], graphs)
-            return replace(out, df=self._semi(out, right, "left_anti" if negated else "left_semi", False))
-        return replace(out, df=out.df.filter(Expressions(out.columns())(e).truth()))
+            right, conditions = self._correlated(out, inner[1], graphs)
+            return replace(out, df=self._semi(out, right, "left_anti" if inner[2] != (e[0] == "not") else "left_semi", False, conditions))
+        if inside(e, "exists"):
+            return self._flagged(out, e, graphs)
+        return replace(out, df=out.df.filter(out.expressions()(e).truth()))
+
+    def _correlated(self, out: Solutions, group: tuple, graphs: Graphs) -> tuple[Solutions, list[tuple]]:
+        """The group of an EXISTS, and those of its filters that need variables of the row it is asked for."""
+        plain = [i for i in group[1] if i[0] != "filter"]
+        right, conditions = self._group(plain, graphs), []
+        outer = set(out.vars) - set(right.vars)
+        deep = variables([inside(i, "filter") + inside(i, "bind") for i in plain])
+        if deep & outer:
+            raise SparqlError(f"?{sorted(deep & outer)[0]} of the row is used too deep inside an EXISTS")
+        todo = [i[1] for i in group[1] if i[0] == "filter"]
+        while todo:
+            e = todo.pop()
+            if e[0] == "and":
+                todo += e[1:]
+            elif not variables(e) & outer:
+                right = self._filter(right, e, graphs)
+            elif inside(e, "exists"):
+                raise SparqlError("an EXISTS in an EXISTS can't use variables of the outer row")
+            else:
+                conditions.append(e)
+        return right, conditions
+
+    def _flagged(self, out: Solutions, e: tuple, graphs: Graphs) -> Solutions:
+        """A filter that combines EXISTS with other tests: each row is marked with whether they hold."""
+        row, flags = f"_row{next(_fresh)}", {}
+        base = replace(out, df=checkpointed(out.df.withColumn(row, F.monotonically_increasing_id())))
+        df = base.df
+        for k, found in enumerate({repr(x): x for x in inside(e, "exists")}.values()):
+            right, conditions = self._correlated(base, found[1], graphs)
+            hit = self._semi(base, right, "left_semi", False, conditions).select(row, F.lit(True).alias(f"{row}_{k}"))
+            df = df.join(hit, row, "left")
+            flags[repr(found)] = F.coalesce(F.col(f"{row}_{k}"), F.lit(False)) != F.lit(found[2])
+        return replace(out, df=df.filter(out.expressions(flags=flags)(e).truth()).select(*[F.col(f"`{c}`") for c in out.df.columns]))
 
     def _renamed(self, out: Solutions, shared: list[str]) -> tuple[DataFrame, dict[str, str]]:
         tag = next(_fresh)
         names = {v: f"_r{tag}_{v}" for v in shared}
-        return out.df.select(*[F.col(f"`{v}`").alias(names.get(v, v)) for v in out.vars]), names
+        hidden = {h.column: f"_r{tag}{h.column}" if v in shared else h.column for v, h in out.hidden.items()}
+        return out.df.select(*[F.col(f"`{v}`").alias(names.get(v, v)) for v in out.vars], *[F.col(f"`{c}`").alias(x) for c, x in hidden.items()]), names
 
     def _condition(self, a: Solutions, b: Solutions, shared: list[str], names: dict[str, str]) -> Column:
         cond = F.lit(True)
         for v in shared:
             x, y = F.col(f"`{v}`"), F.col(f"`{names[v]}`")
             same = x == y
+            if v in a.bound and v in b.bound:
+                g, h = a.hidden.get(v), b.hidden.get(v)
+                if g and h and (g.kind, g.of) == (h.kind, h.of) and g.kind in ("key", "string", "long"):
+                    same = F.col(f"`{g.column}`") == F.col(f"`{names[v].removesuffix(v)[:-1]}{h.column}`")
             if v not in a.bound:
                 same = same | x.isNull()
             if v not in b.bound:
@@ -255,13 +335,17 @@ class Compiler:
     def join(self, a: Solutions, b: Solutions) -> Solutions:
         shared = [v for v in a.vars if v in b.vars]
         every = [*a.vars, *[v for v in b.vars if v not in a.vars]]
+        hidden = {v: h for v, h in b.hidden.items() if v not in a.vars} | a.hidden
+        kept = [F.col(f"`{h.column}`") for h in hidden.values()]
         if not shared:
-            return Solutions(a.df.crossJoin(b.df), every, a.bound | b.bound)
-        if all(v in a.bound and v in b.bound for v in shared):
-            return Solutions(a.df.join(b.df, shared).select(*[F.col(f"`{v}`") for v in every]), every, a.bound | b.bound)
+            return Solutions(a.df.crossJoin(b.df), every, a.bound | b.bound, hidden)
         right, names = self._renamed(b, shared)
         df = a.df.join(right, self._condition(a, b, shared, names))
-        return Solutions(df.select(*[F.coalesce(F.col(f"`{v}`"), F.col(f"`{names[v]}`")).alias(v) if v in names else F.col(f"`{v}`") for v in every]), every, a.bound | b.bound)
+        if all(v in a.bound and v in b.bound for v in shared):
+            return Solutions(df.select(*[F.col(f"`{v}`") for v in every], *kept), every, a.bound | b.bound, hidden)
+        hidden = {v: h for v, h in hidden.items() if v in a.bound or v not in shared}
+        kept = [F.col(f"`{h.column}`") for h in hidden.values()]
+        return Solutions(df.select(*[F.coalesce(F.col(f"`{v}`"), F.col(f"`{names[v]}`")).alias(v) if v in names else F.col(f"`{v}`") for v in every], *kept), every, a.bound | b.bound, hidden)
 
     def _optional(self, a: Solutions, group: tuple, graphs: Graphs) -> Solutions:
         """Left join; FILTERs of the optional group are its condition, so they see both sides."""
@@ -271,24 +355,38 @@ class Compiler:
         b = self._group(plain, graphs)
         shared = [v for v in a.vars if v in b.vars]
         every = [*a.vars, *[v for v in b.vars if v not in a.vars]]
+        own = []
+        for e in conditions:  # what only the group's own variables decide is decided before the join
+            if variables(e) <= set(b.vars) and not inside(e, "exists"):
+                b = self._filter(b, e, graphs)
+            else:
+                own.append(e)
         right, names = self._renamed(b, shared)
         cond = self._condition(a, b, shared, names)
         columns = {v: F.coalesce(F.col(f"`{v}`"), F.col(f"`{names[v]}`")) if v in names and v not in a.bound else F.col(f"`{v}`") for v in every}
-        for e in conditions:
+        for e in own:
             cond = cond & Expressions(columns)(e).truth()
         df = a.df.join(right, cond, "left")
-        return Solutions(df.select(*[columns[v].alias(v) for v in every]), every, set(a.bound))
+        hidden = {v: h for v, h in a.hidden.items() if v in a.bound}
+        return Solutions(df.select(*[columns[v].alias(v) for v in every], *[F.col(f"`{h.column}`") for h in hidden.values()]), every, set(a.bound), hidden)
 
-    def _semi(self, a: Solutions, b: Solutions, how: str, needs_shared: bool) -> DataFrame:
+    def _semi(self, a: Solutions, b: Solutions, how: str, needs_shared: bool, conditions: list[tuple] = ()) -> DataFrame:
+        """Rows of a with a partner in b, or without; conditions may use variables of both."""
         shared = [v for v in a.vars if v in b.vars]
-        right, names = self._renamed(Solutions(b.df, b.vars, b.bound), shared)
+        used = [v for v in b.vars if v not in a.vars and v in variables(list(conditions))]
+        right, names = self._renamed(b, [*shared, *used])
         cond = self._condition(a, b, shared, names)
         if needs_shared and not all(v in a.bound and v in b.bound for v in shared):
             some = F.lit(False)
             for v in shared:
                 some = some | (F.col(f"`{v}`").isNotNull() & F.col(f"`{names[v]}`").isNotNull())
             cond = cond & some
-        return a.df.join(right.select(*names.values()).distinct() if names else right.limit(1), cond, how)
+        for e in conditions:
+            cond = cond & Expressions(a.columns() | {v: F.col(f"`{names[v]}`") for v in used})(e).truth()
+        if not names:
+            return a.df.join(right.limit(1), cond, how)
+        by_column = not used and not needs_shared and all(v in a.bound and v in b.bound and v in a.hidden and v in b.hidden for v in shared)
+        return a.df.join(right if by_column else right.distinct(), cond, how)
 
     def _minus(self, a: Solutions, b: Solutions) -> Solutions:
         if not set(a.vars) & set(b.vars):
@@ -319,6 +417,8 @@ class Compiler:
         """Triple patterns, joined in an order that stays connected and starts with the most selective."""
         if not triples:
             return self._unit()
+        triples, middles = self._unfolded(triples)
+        parts, triples = self._stars(triples, graphs)
 
         def names(t: tuple) -> set[str]:
             return {x[1] for x in (t[0], t[2]) if x[0] == "var"} | ({t[1][1]} if t[1][0] == "pvar" else set())
@@ -327,17 +427,60 @@ class Compiler:
             closing = t[1][0] in ("plus", "star", "maybe", "neg", "alt", "seq", "inv")
             return (closing, 2 * (t[0][0] == "var") + (t[2][0] == "var") + 2 * (t[1][0] == "pvar"))
 
-        left, out, seen = list(triples), None, set(graphs.var and [graphs.var] or [])
+        left = [(set(x.vars), (False, 2), lambda _, x=x: x) for x in parts] + [(names(t), cost(t), lambda known, t=t: self._triple(t, graphs, known)) for t in triples]
+        out, seen = None, set(graphs.var and [graphs.var] or [])
         while left:
-            connected = [t for t in left if names(t) & seen] or left
-            best = min(connected, key=cost)
+            best = min([x for x in left if x[0] & seen] or left, key=lambda x: x[1])
             left.remove(best)
-            seen |= names(best)
-            right = self._triple(best, graphs)
+            seen |= best[0]
+            right = best[2](out)
             out = right if out is None else self.join(out, right)
-        return out
-
-    def _triple(self, t: tuple, graphs: Graphs) -> Solutions:
+        if not middles:
+            return out
+        keep, hidden = [v for v in out.vars if v not in middles], {v: h for v, h in out.hidden.items() if v not in middles}
+        return Solutions(out.df.select(*[F.col(f"`{v}`") for v in keep], *[F.col(f"`{h.column}`") for h in hidden.values()]), keep, out.bound - middles, hidden)
+
+    def _unfolded(self, triples: list[tuple]) -> tuple[list[tuple], set[str]]:
+        """Sequences and inverses as patterns of their own, and the variables in between."""
+        out, middles, todo = [], set(), list(reversed(triples))
+        while todo:
+            s, p, o = todo.pop()
+            if p[0] == "inv":
+                todo.append((o, p[1], s))
+            elif p[0] == "seq":
+                middle = ("var", f"_:p{next(_fresh)}")
+                middles.add(middle[1])
+                todo += [(middle, p[2], o), (s, p[1], middle)]
+            else:
+                out.append((s, p, o))
+        return out, middles
+
+    def _stars(self, triples: list[tuple], graphs: Graphs) -> tuple[list[Solutions], list[tuple]]:
+        """One scan for all the patterns about a subject that one mapped table serves; and the patterns left."""
+        maps = [m for m in self.maps if m.g == graphs.one or graphs.one is None and m.g in graphs.default] if graphs.var is None else []
+        folded: dict[tuple, list[tuple]] = {}
+        for s in dict.fromkeys(t[0][1] for t in triples if t[0][0] == "var"):
+            about = [t for t in triples if t[0] == ("var", s)]
+            objects = [t[2][1] for t in about if t[2][0] == "var"]
+            plain = [t for t in about if t[1][0] == "iri" and (t[2][0] == "term" or objects.count(t[2][1]) == 1 and t[2][1] != s)]
+            serving = [(t, [k for k, m in enumerate(maps) if m.serves(t[1], t[2])]) for t in plain]
+            kinds = [{maps[k].m.kind for k in some} for _, some in serving if some]
+            kinds = set.intersection(*kinds) if kinds else set()
+            if len(kinds) != 1:
+                continue
+            for t, some in serving:
+                mine = [k for k in some if maps[k].m.kind in kinds]
+                if len(mine) == 1:
+                    folded.setdefault((s, mine[0]), []).append(t)
+        done = [t for some in folded.values() for t in some]
+        parts = []
+        for (s, k), some in folded.items():
+            df, names, hidden = maps[k].scan(s, some)
+            parts.append(Solutions(df, names, set(names), hidden))
+        return parts, [t for t in triples if t not in done]
+
+    def _triple(self, t: tuple, graphs: Graphs, known: Solutions | None = None) -> Solutions:
+        """known: what the pattern is going to be joined with."""
         s, p, o = t
         if p[0] == "inv":
             return self._triple((o, p[1], s), graphs)
@@ -350,7 +493,7 @@ class Compiler:
             a, b = self._triple((s, p[1], o), graphs), self._triple((s, p[2], o), graphs)
             return Solutions(a.df.unionByName(b.df), a.vars, a.bound)
         if p[0] in ("plus", "star", "maybe"):
-            return self._closing(s, p, o, graphs)
+            return self._closing(s, p, o, graphs, known)
         rows = self._scan(graphs)
         if p[0] == "iri":
             rows = rows.filter(F.col("p") == p[1])
@@ -388,8 +531,8 @@ class Compiler:
                 columns[name] = col
         return Solutions(rows.select(*[c.alias(n) for n, c in columns.items()]), list(columns), set(columns))
 
-    def _closing(self, s: tuple, p: tuple, o: tuple, graphs: Graphs) -> Solutions:
-        """p+, p* and p?: distinct pairs, from the constant end where there is one."""
+    def _closing(self, s: tuple, p: tuple, o: tuple, graphs: Graphs, known: Solutions | None = None) -> Solutions:
+        """p+, p* and p?: distinct pairs, from a constant end or one that is bound already where there is one."""
         if graphs.var is not None and graphs.one is None:
             raise SparqlError("a closing path needs a named graph here, not a graph variable")
         a, b = ("var", f"_:s{next(_fresh)}"), ("var", f"_:o{next(_fresh)}")
@@ -402,6 +545,10 @@ class Compiler:
             pairs = closure(edges, one(s[1], "s"))
         elif o[0] == "term":
             pairs = closure(edges, one(o[1], "o"), backwards=True)
+        elif known is not None and s[1] in known.bound:
+            pairs = closure(edges, known.df.select(F.col(f"`{s[1]}`").alias("s")).distinct())
+        elif known is not None and o[1] in known.bound:
+            pairs = closure(edges, known.df.select(F.col(f"`{o[1]}`").alias("o")).distinct(), backwards=True)
         else:
             pairs = closure(edges)
         if p[0] in ("star", "maybe"):

@@ -8,6 +8,7 @@ is an error or an unbound variable, which gives SPARQL's three-valued logic: FIL
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -17,11 +18,18 @@ from quadloom.functions import terms as T
 from quadloom.plans.parser import SparqlError
 
 
+EXACT = "decimal(38,6)"
+
+
 @dataclass
 class Value:
     shape: str  # term, num, str, bool
     col: Column
     dt: Column | None = None  # of a number
+    dec: Column | None = None  # of a number: its exact value, null where it has none
+    native: Column | None = None  # of a term: the table column that it was made of
+    kind: str = ""  # of native: long, double, string or time
+    const: tuple | None = None  # of a term: as it stands in the query
 
     def term(self) -> Column:
         if self.shape == "term":
@@ -31,11 +39,24 @@ class Value:
         if self.shape == "str":
             return T.literal(self.col)
         whole = F.when((self.dt == T.XSD_INTEGER) | ((self.dt == T.XSD_DECIMAL) & (self.col == F.floor(self.col))), self.col.try_cast("decimal(38,0)").cast("string")).otherwise(self.col.cast("string"))
+        if self.dec is not None:
+            digits = F.regexp_replace(F.regexp_replace(self.dec.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+            whole = F.when(self.dec.isNotNull() & self.dt.isin(T.XSD_INTEGER, T.XSD_DECIMAL), digits).otherwise(whole)
         return T.term(T.LITERAL, F.when(self.col.isNotNull(), whole), self.dt)
 
     def num(self) -> Column:
+        if self.kind in ("long", "double"):
+            return self.native.cast("double")
         return self.col if self.shape == "num" else T.number(self.col) if self.shape == "term" else F.lit(None).cast("double")
 
+    def exact(self) -> Column:
+        """Value of an integer, or of a decimal of up to six places; null for others."""
+        if self.shape == "num":
+            return self.dec if self.dec is not None else F.lit(None).cast(EXACT)
+        if self.kind:
+            return self.native.cast(EXACT) if self.kind == "long" else F.lit(None).cast(EXACT)
+        return T.exact(self.col) if self.shape == "term" else F.lit(None).cast(EXACT)
+
     def num_dt(self) -> Column:
         if self.shape == "num":
             return self.dt
@@ -43,16 +64,36 @@ class Value:
             return F.when(self.col["dt"].isin(*T.INTEGERS), T.XSD_INTEGER).otherwise(self.col["dt"])
         return F.lit(T.XSD_DOUBLE)
 
+    def moment(self) -> Column:
+        return self.native.cast("timestamp") if self.kind == "time" else T.moment(self.term())
+
     def text(self) -> Column:
         """STR() of the value."""
-        return self.col if self.shape == "str" else self.term()["lex"]
+        return self.native if self.kind == "string" else self.col if self.shape == "str" else self.term()["lex"]
 
     def string(self) -> Column:
         """Text of a string literal; an error for anything else."""
+        if self.kind == "string":
+            return self.native
         if self.shape == "term":
             return F.when((self.col["kind"] == T.LITERAL) & self.col["dt"].isin(T.XSD_STRING, T.LANG_STRING), self.col["lex"])
         return self.col if self.shape == "str" else F.lit(None).cast("string")
 
+    def plain(self) -> tuple[str, Column] | None:
+        """Class of the value (num, str, time) and a Spark column of it, where both are known from the plan."""
+        if self.kind:
+            return {"long": "num", "double": "num", "string": "str", "time": "time"}[self.kind], self.native.cast("timestamp") if self.kind == "time" else self.native
+        if self.const is None or self.const[0] != T.LITERAL:
+            return None
+        _, lex, dt, _ = self.const
+        if dt == T.XSD_STRING:
+            return "str", F.lit(lex)
+        if dt in T.INTEGERS and lex.lstrip("+-").isdigit() and len(lex) < 18:
+            return "num", F.lit(int(lex))
+        if dt in T.NUMERIC:
+            return "num", F.lit(lex).try_cast("double")
+        return ("time", F.lit(lex).try_cast("timestamp")) if dt in (T.XSD_DATE, T.XSD_DATETIME) else None
+
     def truth(self) -> Column:
         """Effective boolean value."""
         if self.shape == "bool":
@@ -78,14 +119,15 @@ def string(col: Column) -> Value:
 
 
 def integer(col: Column) -> Value:
-    return Value("num", col.cast("double"), F.lit(T.XSD_INTEGER))
+    return Value("num", col.cast("double"), F.lit(T.XSD_INTEGER), col.cast(EXACT))
 
 
 class Expressions:
-    """columns: by variable, the term column; agg: by aggregate expression (as text), a Value."""
+    """columns: by variable, the term column; aggregates: by aggregate expression (as text), a Value;
+    native: by variable, the table column behind it and that column's kind; flags: by EXISTS (as text), whether it holds."""
 
-    def __init__(self, columns: dict[str, Column], aggregates: dict[str, Value] | None = None, prefixes: dict[str, str] | None = None):
-        self.columns, self.aggregates = columns, aggregates or {}
+    def __init__(self, columns: dict[str, Column], aggregates: dict[str, Value] | None = None, native: dict[str, tuple[Column, str]] | None = None, flags: dict[str, Column] | None = None):
+        self.columns, self.aggregates, self.native, self.flags = columns, aggregates or {}, native or {}, flags or {}
 
     def __call__(self, e: tuple) -> Value:
         kind = e[0]
@@ -94,9 +136,12 @@ class Expressions:
                 raise SparqlError("an aggregate is not allowed here")
             return self.aggregates[repr(e)]
         if kind == "var":
-            return Value("term", self.columns.get(e[1], F.lit(None).cast(T.TERM)))
+            native, of = self.native.get(e[1], (None, ""))
+            return Value("term", self.columns.get(e[1], F.lit(None).cast(T.TERM)), native=native, kind=of)
         if kind == "term":
-            return Value("term", T.constant(e[1]))
+            return Value("term", T.constant(e[1]), const=e[1])
+        if kind == "exists" and repr(e) in self.flags:
+            return boolean(self.flags[repr(e)])
         if kind == "or":
             return boolean(self(e[1]).truth() | self(e[2]).truth())
         if kind == "and":
@@ -135,18 +180,22 @@ class Expressions:
 
 def compare(op: str, a: Value, b: Value) -> Column:
     """Numbers and times by value, other literals of one datatype by text, else only as equal terms."""
-    if a.shape == b.shape and a.shape in ("num", "str", "bool"):
-        x, y = a.col, b.col
-        return _ops(op, x, y)
+    p, q = a.plain(), b.plain()
+    if p and q and p[0] == q[0] and (a.kind or b.kind):  # the table's own columns, so that filters reach the scan
+        return _ops(op, p[1], q[1])
+    if a.shape == b.shape == "num":
+        return F.coalesce(_ops(op, a.exact(), b.exact()), _ops(op, a.col, b.col))
+    if a.shape == b.shape and a.shape in ("str", "bool"):
+        return _ops(op, a.col, b.col)
     s, t = a.term(), b.term()
-    x, y = T.number(s), T.number(t)
     numeric = T.is_numeric(s) & T.is_numeric(t)
-    timed = T.moment(s).isNotNull() & T.moment(t).isNotNull()
+    by_value = F.coalesce(_ops(op, a.exact(), b.exact()), _ops(op, a.num(), b.num()))
+    m, n = a.moment(), b.moment()
+    timed = m.isNotNull() & n.isNotNull()
     same_type = (s["kind"] == T.LITERAL) & (t["kind"] == T.LITERAL) & (s["dt"] == t["dt"]) & (s["lang"] == t["lang"])
     if op in ("=", "!="):
-        equal = F.when(numeric, x == y).when(timed, T.moment(s) == T.moment(t)).otherwise(s == t)
-        return equal if op == "=" else ~equal
-    return F.when(numeric, _ops(op, x, y)).when(timed, _ops(op, T.moment(s), T.moment(t))).when(same_type, _ops(op, s["lex"], t["lex"]))
+        return F.when(numeric, by_value).when(timed, _ops(op, m, n)).otherwise(_ops(op, s, t))
+    return F.when(numeric, by_value).when(timed, _ops(op, m, n)).when(same_type, _ops(op, s["lex"], t["lex"]))
 
 
 def _ops(op: str, x: Column, y: Column) -> Column:
@@ -159,7 +208,12 @@ def arithmetic(op: str, a: Value, b: Value) -> Value:
     either_double = a.num_dt().isin(T.XSD_DOUBLE, T.XSD + "float") | b.num_dt().isin(T.XSD_DOUBLE, T.XSD + "float")
     dt = F.when(both(T.XSD_INTEGER), T.XSD_DECIMAL if op == "/" else T.XSD_INTEGER).when(either_double, T.XSD_DOUBLE).otherwise(T.XSD_DECIMAL)
     out = {"+": lambda: x + y, "-": lambda: x - y, "*": lambda: x * y, "/": lambda: F.try_divide(x, y)}[op]()
-    return Value("num", out, dt)
+    d, e = a.exact(), b.exact()
+    if op == "*":  # six places hold the product if one side is whole
+        dec = F.when((d == F.floor(d)) | (e == F.floor(e)), F.try_multiply(d, e).cast(EXACT))
+    else:
+        dec = {"+": F.try_add, "-": F.try_subtract}[op](d, e).cast(EXACT) if op != "/" else F.lit(None).cast(EXACT)
+    return Value("num", out, dt, dec)
 
 
 def cast(target: str, v: Value) -> Value:
@@ -168,9 +222,11 @@ def cast(target: str, v: Value) -> Value:
     if target == T.XSD_BOOLEAN:
         return boolean(F.when(v.text().isin("true", "1"), True).when(v.text().isin("false", "0"), False).otherwise(v.num() != 0))
     if target in T.INTEGERS:
-        return Value("num", F.expr("1d") * _toward_zero(v.text().try_cast("double")), F.lit(T.XSD_INTEGER))
+        exact = v.text().try_cast(EXACT)
+        return Value("num", F.expr("1d") * _toward_zero(v.text().try_cast("double")), F.lit(T.XSD_INTEGER), _toward_zero(exact).cast(EXACT))
     if target in T.NUMERIC:
-        return Value("num", v.text().try_cast("double"), F.lit(target))
+        number = v.text().try_cast("double")
+        return Value("num", number, F.lit(target), T.exact(T.literal(v.text(), T.XSD_DECIMAL)) if target == T.XSD_DECIMAL else None)
     if target == T.XSD_DATETIME:
         return Value("term", T.literal(F.date_format(v.text().try_cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss"), T.XSD_DATETIME))
     if target == T.XSD_DATE:
@@ -189,8 +245,8 @@ def _like(source: Value, text: Column) -> Value:
     return Value("term", T.term(T.LITERAL, text, source.col["dt"], source.col["lang"]))
 
 
-def _number_like(v: Value, col: Column) -> Value:
-    return Value("num", col, v.num_dt())
+def _number_like(v: Value, f: Callable[[Column], Column]) -> Value:
+    return Value("num", f(v.num()).cast("double"), v.num_dt(), f(v.exact()).cast(EXACT))
 
 
 def _concat(*v: Value) -> Value:
@@ -224,8 +280,33 @@ def _lang_matches(tag: Value, wanted: Value) -> Value:
     return boolean(F.when(w == "*", t != "").otherwise((t == w) | t.startswith(F.concat(w, F.lit("-")))))
 
 
+#: Fields of a dateTime as it is written, in its own zone; a date has the first three.
+_STAMP = r"^\s*(-?\d{4,})-(\d\d)-(\d\d)(?:T(\d\d):(\d\d):(\d\d(?:\.\d+)?))?(Z|[+-]\d\d:\d\d)?\s*$"
+_FIELDS = {"year": 1, "month": 2, "day": 3, "hour": 4, "minute": 5}
+
+
+def _field(v: Value, group: int) -> Column:
+    t = v.term()
+    found = F.regexp_extract(t["lex"], _STAMP, group)
+    return F.when(T.moment(t).isNotNull() & (found != ""), found)
+
+
 def _time(field: str):
-    return lambda v: integer(getattr(F, field)(T.moment(v.term())))
+    return lambda v: integer(getattr(F, field)(v.moment()) if v.kind == "time" else _field(v, _FIELDS[field]).try_cast("int"))
+
+
+def _seconds(v: Value) -> Value:
+    found = _field(v, 6)
+    return Value("num", found.try_cast("double"), F.lit(T.XSD_DECIMAL), found.try_cast(EXACT))
+
+
+def _timezone(v: Value) -> Value:
+    """Of a time with a zone: its offset as a duration, PT0S for none."""
+    zone = _field(v, 7)
+    hours, minutes = F.substr(zone, F.lit(2), F.lit(2)).try_cast("int"), F.substr(zone, F.lit(5), F.lit(2)).try_cast("int")
+    part = lambda n, unit: F.when(n > 0, F.concat(n.cast("string"), F.lit(unit))).otherwise("")
+    offset = F.concat(F.when(zone.startswith("-"), "-").otherwise(""), F.lit("PT"), part(hours, "H"), part(minutes, "M"))
+    return Value("term", T.literal(F.when((zone == "Z") | (hours + minutes == 0), "PT0S").otherwise(offset), T.XSD + "dayTimeDuration"))
 
 
 def _sha(bits: int):
@@ -237,7 +318,6 @@ def _substr(v: Value, start: Value, length: Value | None = None) -> Value:
     return _like(v, F.substr(v.string(), begin, length.num().cast("int")) if length else F.substr(v.string(), begin))
 
 
-_ZONE = r"(Z|[+-]\d\d:\d\d)$"
 _FUNCTIONS = {
     "STR": lambda v: string(v.text()),
     "LANG": lambda v: string(F.when(v.term()["kind"] == T.LITERAL, v.term()["lang"])),
@@ -261,10 +341,10 @@ _FUNCTIONS = {
     "LANGMATCHES": _lang_matches,
     "REGEX": _regex,
     "REPLACE": _replace,
-    "ABS": lambda v: _number_like(v, F.abs(v.num())),
-    "ROUND": lambda v: _number_like(v, F.floor(v.num() + 0.5).cast("double")),
-    "CEIL": lambda v: _number_like(v, F.ceil(v.num()).cast("double")),
-    "FLOOR": lambda v: _number_like(v, F.floor(v.num()).cast("double")),
+    "ABS": lambda v: _number_like(v, F.abs),
+    "ROUND": lambda v: _number_like(v, lambda x: F.floor(x + F.lit(0.5).cast(EXACT))),
+    "CEIL": lambda v: _number_like(v, F.ceil),
+    "FLOOR": lambda v: _number_like(v, F.floor),
     "RAND": lambda: Value("num", F.rand(), F.lit(T.XSD_DOUBLE)),
     "NOW": lambda: Value("term", T.literal(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss"), T.XSD_DATETIME)),
     "YEAR": _time("year"),
@@ -272,9 +352,9 @@ _FUNCTIONS = {
     "DAY": _time("day"),
     "HOURS": _time("hour"),
     "MINUTES": _time("minute"),
-    "SECONDS": _time("second"),
-    "TZ": lambda v: string(F.when(T.moment(v.term()).isNotNull(), F.regexp_extract(v.text(), _ZONE, 1))),
-    "TIMEZONE": lambda v: Value("term", T.literal(F.when(F.regexp_like(v.text(), F.lit(_ZONE)), F.when(v.text().endswith("Z"), "PT0S").otherwise(F.concat(F.when(F.regexp_like(v.text(), F.lit(r"-\d\d:\d\d$")), "-").otherwise(""), F.lit("PT"), F.regexp_extract(v.text(), r"(\d\d):\d\d$", 1).cast("int").cast("string"), F.lit("H")))), T.XSD + "dayTimeDuration")),
+    "SECONDS": _seconds,
+    "TZ": lambda v: string(F.when(T.moment(v.term()).isNotNull(), F.coalesce(_field(v, 7), F.lit("")))),
+    "TIMEZONE": _timezone,
     "UUID": lambda: Value("term", T.iri(F.concat(F.lit("urn:uuid:"), F.uuid()))),
     "STRUUID": lambda: string(F.uuid()),
     "MD5": lambda v: string(F.md5(v.string())),

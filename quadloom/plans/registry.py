@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quadloom.plans.compiler import Compiler, to_native
 from quadloom.plans.parser import parse_query
-from quadloom.sources.mapping import BASE, shop
+from quadloom.sources.mapping import BASE, mapped, shop
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,7 +31,7 @@ def sparql(name: str, tables: list[str], text: str, kinds: dict[str, str], sql:
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-        found = Compiler(shop(spark, sf_dir, tables)).select(parse_query(text, PREFIXES))
+        found = Compiler(shop(spark, sf_dir, tables), maps=mapped(spark, sf_dir, tables)).select(parse_query(text, PREFIXES))
         return to_native(found, kinds)
 
     QUERIES[name], ORACLES[name] = run, sql
