@@ -8,6 +8,7 @@ from __future__ import annotations
 import datetime
 import json
 import re
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +26,8 @@ QUERIES = {
     "open_issues": 'SELECT ?s ?title ?date WHERE { ?s a v:Issue ; v:title ?title ; v:date ?date ; v:status "open" } ORDER BY DESC(?date) ?s LIMIT {limit}',
     "recent_decisions": "SELECT ?s ?title ?date ?reason WHERE { ?s a v:Decision ; v:title ?title ; v:date ?date OPTIONAL { ?s v:reason ?reason } } ORDER BY DESC(?date) ?s LIMIT {limit}",
     "open_todos": 'SELECT ?s ?title ?status ?priority ?created WHERE { ?s a v:Todo ; v:title ?title ; v:status ?status FILTER(?status = "open" || ?status = "in-progress") OPTIONAL { ?s v:priority ?priority } OPTIONAL { ?s v:createdIn ?created } } ORDER BY DESC(?priority) ?s LIMIT {limit}',
-    "recent_insights": "SELECT ?s ?title ?body ?date WHERE { ?s a v:Insight ; v:title ?title OPTIONAL { ?s v:body ?body } OPTIONAL { ?s v:date ?date } } ORDER BY DESC(?date) ?s LIMIT {limit}",
-    "domain_activity": "SELECT ?title (COUNT(?a) AS ?n) WHERE { ?a a v:Activity OPTIONAL { ?a v:inDomain ?d . ?d v:title ?title } } GROUP BY ?title ORDER BY DESC(?n) ?title LIMIT {limit}",
+    "recent_insights": "SELECT ?s ?title ?confidence ?domain WHERE { ?s a v:Insight ; v:title ?title OPTIONAL { ?s v:confidence ?confidence } OPTIONAL { ?s v:domain ?domain } } ORDER BY ?s LIMIT {limit}",
+    "domain_activity": "SELECT ?title (COUNT(?a) AS ?n) WHERE { ?s a v:Session ; v:hasActivity ?a OPTIONAL { ?s v:domain ?d . ?d v:title ?title } } GROUP BY ?title ORDER BY DESC(?n) ?title LIMIT {limit}",
     "latest_session": "SELECT ?s ?title ?date WHERE { ?s a v:Session ; v:title ?title ; v:date ?date } ORDER BY DESC(?date) ?s LIMIT 1",
     "predicates": "SELECT ?s ?title WHERE { ?s a v:Predicate ; v:title ?title } ORDER BY ?title LIMIT {limit}",
     "last_session_date": "SELECT ?date WHERE { ?s a v:Session ; v:date ?date } ORDER BY DESC(?date) LIMIT 1",
@@ -34,11 +35,11 @@ QUERIES = {
 
 #: Predicates that every store answers: name -> (template, required parameters).
 PREDICATES = {
-    "Module.hasOpenIssue": ('SELECT ?issue ?title WHERE { ?issue a v:Issue ; v:affects ?module ; v:title ?title ; v:status "open" }', ["module"]),
-    "Module.hasDependents": ("SELECT ?dependent ?title WHERE { ?dependent v:dependsOn ?module OPTIONAL { ?dependent v:title ?title } }", ["module"]),
+    "Module.hasOpenIssue": ('SELECT ?issue ?title WHERE { ?issue a v:Issue ; v:relatedTo ?module ; v:title ?title ; v:status "open" }', ["module"]),
+    "Module.hasDependents": ("SELECT ?dependent ?title WHERE { ?dependent a v:Module ; v:dependsOn ?module OPTIONAL { ?dependent v:title ?title } }", ["module"]),
     "Decision.exists": ("ASK { ?d a v:Decision ; v:title ?title FILTER(CONTAINS(LCASE(?title), LCASE(?keyword))) }", ["keyword"]),
-    "Knowledge.exists": ('SELECT ?k ?title WHERE { ?k a v:Knowledge ; v:title ?title OPTIONAL { ?k v:body ?body } FILTER(CONTAINS(LCASE(?title), LCASE(?keyword)) || CONTAINS(LCASE(COALESCE(?body, "")), LCASE(?keyword))) } ORDER BY ?k LIMIT 10', ["keyword"]),
-    "Issue.isResolved": ('ASK { ?issue v:status ?status FILTER(?status = "resolved" || ?status = "closed") }', ["issue"]),
+    "Knowledge.exists": ("SELECT ?k ?title ?body WHERE { ?k a v:Knowledge ; v:title ?title OPTIONAL { ?k v:body ?body } FILTER(CONTAINS(LCASE(?title), LCASE(?keyword))) } ORDER BY ?k LIMIT 10", ["keyword"]),
+    "Issue.isResolved": ('ASK { ?issue a v:Issue ; v:status ?status FILTER(?status = "resolved" || ?status = "closed") }', ["issue"]),
     "Module.hasSymbols": ("SELECT ?symbol ?kind WHERE { ?symbol v:definedIn ?module ; a ?kind FILTER(?kind IN (v:Class, v:Interface, v:Function, v:Method)) }", ["module"]),
 }
 
@@ -53,12 +54,27 @@ class Project:
     def run(self, name: str, limit: int = 10) -> Solutions:
         return self.store.query(QUERIES[name].replace("{limit}", str(int(limit))), self.graph)
 
-    def search(self, keywords: list[str], limit: int = 20) -> Solutions:
+    def search(self, keywords: list[str], kinds: tuple[str, ...] = ("Issue", "Decision", "Knowledge", "Pattern"), limit: int = 10) -> Solutions:
         """Items whose title or body holds any of the keywords."""
+        if not keywords:
+            raise ValueError("keywords are needed")
         tests = " || ".join(f'CONTAINS(LCASE(?title), {k}) || CONTAINS(LCASE(COALESCE(?body, "")), {k})' for k in (json.dumps(x.lower(), ensure_ascii=False) for x in keywords))
-        kinds = ", ".join(f"v:{x}" for x in ("Decision", "Issue", "Knowledge", "Session", "Pattern", "Insight", "Todo"))
-        optional = " ".join(f"OPTIONAL {{ ?s v:{x} ?{x} }}" for x in ("body", "date", "status", "reason", "sourceUrl", "sourceType"))
-        return self.store.query(f"SELECT ?s ?kind ?title ?body ?date ?status WHERE {{ ?s a ?kind ; v:title ?title {optional} FILTER(?kind IN ({kinds})) FILTER({tests}) }} ORDER BY DESC(?date) ?s LIMIT {int(limit)}", self.graph)
+        fields = ("body", "status", "date", "solution", "cause", "reason")
+        optional = " ".join(f"OPTIONAL {{ ?s v:{x} ?{x} }}" for x in fields)
+        names = " ".join(f"?{x}" for x in ("s", "kind", "title", *fields))
+        return self.store.query(f"SELECT {names} WHERE {{ ?s a ?kind ; v:title ?title {optional} FILTER(?kind IN ({', '.join(f'v:{x}' for x in kinds)})) FILTER({tests}) }} ORDER BY DESC(?date) ?s LIMIT {int(limit)}", self.graph)
+
+    def has_session(self, day: str) -> bool:
+        """Whether a session of this day is there, by its typed date."""
+        return self.store.ask(f'ASK {{ ?s a v:Session ; v:date "{datetime.date.fromisoformat(day).isoformat()}"^^xsd:date }}', self.graph)
+
+    def titled(self, text: str, limit: int = 10) -> Solutions:
+        """Items by their title alone."""
+        return self.store.query(f"SELECT ?s ?title WHERE {{ ?s v:title ?title FILTER(CONTAINS(LCASE(?title), {json.dumps(text.lower(), ensure_ascii=False)})) }} ORDER BY ?s LIMIT {int(limit)}", self.graph)
+
+    def counts(self) -> Solutions:
+        """Items by kind."""
+        return self.store.query("SELECT ?kind (COUNT(?s) AS ?n) WHERE { ?s a ?kind } GROUP BY ?kind", self.graph)
 
     def impact(self, module: str) -> dict:
         """Direct dependents and dependencies of a module, related items, and how grave a change is."""
@@ -66,9 +82,13 @@ class Project:
         one = lambda q: [r[0].lex for r in self.store.query(q, self.graph).df.collect()]
         dependents = one(f"SELECT DISTINCT ?x WHERE {{ ?x v:dependsOn <{m}> }} ORDER BY ?x")
         dependencies = one(f"SELECT DISTINCT ?x WHERE {{ <{m}> v:dependsOn ?x }} ORDER BY ?x")
-        related = one(f"SELECT DISTINCT ?x WHERE {{ ?x v:body ?b OPTIONAL {{ ?x v:title ?t }} FILTER(CONTAINS(?b, {json.dumps(m.removeprefix('urn:module:'), ensure_ascii=False)})) }} ORDER BY ?x LIMIT 10")
+        related = [[r[k].lex if r[k] is not None else None for k in range(5)] for r in self.related(m.removeprefix("urn:module:")).df.collect()]  # ten at most
         return {"dependents": dependents, "dependencies": dependencies, "related": related, "impact": severity(len(dependents))}
 
+    def related(self, path: str, limit: int = 10) -> Solutions:
+        """Items with a title whose body names a path: s, kind, title, status, date."""
+        return self.store.query(f"SELECT ?s ?kind ?title ?status ?date WHERE {{ ?s a ?kind ; v:title ?title ; v:body ?b OPTIONAL {{ ?s v:status ?status }} OPTIONAL {{ ?s v:date ?date }} FILTER(CONTAINS(?b, {json.dumps(path, ensure_ascii=False)})) }} ORDER BY ?s LIMIT {int(limit)}", self.graph)
+
     def transitive_dependents(self, module: str) -> Solutions:
         return self.store.query(f"SELECT ?x WHERE {{ ?x v:dependsOn+ <{module_iri(module)}> }}", self.graph)
 
@@ -111,7 +131,7 @@ class Project:
 
     def _record(self, name: str, parameters: dict, answer: bool) -> str:
         today = datetime.date.today().isoformat()
-        uri = f"urn:evaluation:{today}-{self.store.query('SELECT ?e WHERE { ?e a v:Evaluation }', self.graph).df.count() + 1}"
+        uri = f"urn:evaluation:{today}-{uuid.uuid4().hex}"
         quoted = json.dumps(json.dumps(parameters, ensure_ascii=False), ensure_ascii=False)
         self.store.update(f'INSERT DATA {{ <{uri}> a v:Evaluation ; v:predicate {json.dumps(name)} ; v:input {quoted} ; v:result "{str(answer).lower()}" ; v:date "{today}"^^xsd:date }}', self.graph)
         return uri

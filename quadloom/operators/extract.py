@@ -129,7 +129,7 @@ def symbol_iri(path: Column, kind: Column, name: Column) -> Column:
     return F.concat(F.lit("urn:symbol:"), encoded(path), F.lit("/"), F.lower(kind), F.lit("/"), encoded(name))
 
 
-#: Words too common to search for (fixed values).
+#: Words too common to search for.
 STOP_WORDS = "about after also been before being could does doing from have into just like make more need only other over please show some than that their them then there these they this want were what when where which while will with would your".split()
 
 

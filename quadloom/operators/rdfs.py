@@ -1,8 +1,10 @@
 """RDFS materialisation: closures of the schema, then one pass of rules over asserted triples.
 
-The schema side (class and property hierarchies, domains, ranges) is small next to the data and
-joins by equality, so Spark broadcasts it where its statistics allow and shuffles where not. In
-mode 'single' rules see asserted triples only, in 'fixpoint' they run until nothing is new.
+What a predicate or a class lets conclude is a table of its own (the schema with its closures), and
+a triple meets it by its predicate or, in case of rdf:type, by its class: one join for all rules.
+That table is small next to the data, so Spark broadcasts it where its statistics allow and shuffles
+where not. In mode 'single' rules see asserted triples only, in 'fixpoint' they run until nothing is
+new.
 """
 
 from __future__ import annotations
@@ -24,16 +26,12 @@ def meta(lex: Column) -> Column:
     return lex.startswith(T.RDF) | lex.startswith(T.RDFS) | lex.startswith(T.OWL)
 
 
-def _types(rows: DataFrame, kind: str, s: str, cls: str) -> DataFrame:
-    return rows.select(F.col(kind).alias("s_kind"), F.col(s).alias("s"), F.lit(TYPE).alias("p"), F.lit(T.IRI).cast("tinyint").alias("o_kind"), F.col(cls).alias("o"), F.lit("").alias("o_dt"), F.lit("").alias("o_lang"))
-
-
 def infer(triples: DataFrame, mode: str = "single") -> DataFrame:
     """New triples, each with the rule that owns it (the first in RULES that derives it)."""
-    asserted = triples.select(*TRIPLE).distinct()
+    asserted = triples.select(*TRIPLE)
     if mode == "single":
         return _once(asserted)
-    known, found = checkpointed(asserted), None
+    known, found = checkpointed(asserted.distinct()), None
     while True:
         new = checkpointed(_once(known))
         if new.isEmpty():
@@ -42,44 +40,51 @@ def infer(triples: DataFrame, mode: str = "single") -> DataFrame:
         known = checkpointed(known.unionByName(new.select(*TRIPLE)))
 
 
+def _conclusions(above_class: DataFrame, above_property: DataFrame, schema) -> DataFrame:
+    """key ('p' and a predicate, or 'c' and a class), what of the triple gets the target, target, rank of the rule."""
+    up = above_class.unionAll(above_class.select("_c", F.col("_c").alias("_super"))).distinct()
+
+    def classes(p: str, what: str, own: int, above: int) -> DataFrame:
+        """property -> the class that is stated and every class above it."""
+        direct = schema(p).select(F.col("s").alias("_q"), F.col("o").alias("_own")).distinct()
+        mine = direct.join(up, direct["_own"] == up["_c"], "left").select("_q", "_own", F.coalesce("_super", "_own").alias("_class"))
+        mine = mine.unionAll(direct.select("_q", "_own", F.col("_own").alias("_class"))).distinct()
+        return mine.select(F.concat(F.lit("p"), "_q").alias("key"), F.lit(what).alias("what"), F.col("_class").alias("target"), F.when(F.col("_own") == F.col("_class"), own).otherwise(above).alias("rank"))
+
+    types = above_class.select(F.concat(F.lit("c"), "_c").alias("key"), F.lit("type of s").alias("what"), F.col("_super").alias("target"), F.lit(2).alias("rank"))
+    properties = above_property.select(F.concat(F.lit("p"), "_q").alias("key"), F.lit("p").alias("what"), F.col("_super").alias("target"), F.lit(3).alias("rank"))
+    return types.unionAll(properties).unionAll(classes(DOMAIN, "type of s", 4, 5)).unionAll(classes(RANGE, "type of o", 6, 7))
+
+
+#: Rules by rank; classes above a domain or range count as rdfs9.
+_BY_RANK = ["rdfs11", "rdfs5", "rdfs9", "rdfs7", "rdfs2", "rdfs9", "rdfs3", "rdfs9"]
+
+
 def _once(asserted: DataFrame) -> DataFrame:
     schema = lambda p: asserted.filter((F.col("p") == p) & (F.col("o_kind") < T.LITERAL))
     above_class = closure(schema(SUB_CLASS).select("s", "o")).select(F.col("s").alias("_c"), F.col("o").alias("_super"))
     above_property = closure(schema(SUB_PROPERTY).select("s", "o")).select(F.col("s").alias("_q"), F.col("o").alias("_super"))
-    up = above_class.unionAll(above_class.select(F.col("_c"), F.col("_c").alias("_super"))).distinct()
-    types = schema(TYPE).filter(~meta(F.col("s")))
-    usages = asserted.filter(~F.col("p").isin(SUB_CLASS, SUB_PROPERTY, DOMAIN, RANGE, TYPE))
     iri = F.lit(T.IRI).cast("tinyint")
 
-    def pairs(rows: DataFrame, p: str) -> DataFrame:
+    def pairs(rows: DataFrame, p: str, rank: int) -> DataFrame:
         a, b = rows.columns
-        return rows.select(iri.alias("s_kind"), F.col(a).alias("s"), F.lit(p).alias("p"), iri.alias("o_kind"), F.col(b).alias("o"), F.lit("").alias("o_dt"), F.lit("").alias("o_lang"))
-
-    def classes(p: str) -> DataFrame:
-        """property -> class and every class above it, marking the class itself."""
-        direct = schema(p).select(F.col("s").alias("_q"), F.col("o").alias("_own")).distinct()
-        mine = direct.join(up, direct["_own"] == up["_c"], "left").select("_q", "_own", F.coalesce("_super", "_own").alias("_class"))
-        return mine.unionAll(direct.select("_q", "_own", F.col("_own").alias("_class"))).distinct()
-
-    subjects = usages.filter(~meta(F.col("s"))).join(classes(DOMAIN), usages["p"] == F.col("_q"))
-    objects = usages.filter((F.col("o_kind") < T.LITERAL) & ~meta(F.col("o"))).join(classes(RANGE), usages["p"] == F.col("_q"))
-    own = F.col("_own") == F.col("_class")
-    derived = [
-        ("rdfs11", pairs(above_class, SUB_CLASS)),
-        ("rdfs5", pairs(above_property, SUB_PROPERTY)),
-        ("rdfs9", _types(types.join(above_class, types["o"] == above_class["_c"]), "s_kind", "s", "_super")),
-        ("rdfs7", usages.filter(~meta(F.col("s"))).join(above_property, usages["p"] == above_property["_q"]).withColumn("p", F.col("_super")).select(*TRIPLE)),
-        ("rdfs2", _types(subjects.filter(own), "s_kind", "s", "_class")),
-        ("rdfs9", _types(subjects.filter(~own), "s_kind", "s", "_class")),
-        ("rdfs3", _types(objects.filter(own), "o_kind", "o", "_class")),
-        ("rdfs9", _types(objects.filter(~own), "o_kind", "o", "_class")),
-    ]
-    every = None
-    for rank, (rule, rows) in enumerate(derived):
-        rows = rows.withColumn("rule", F.lit(rule)).withColumn("_rank", F.lit(rank))
-        every = rows if every is None else every.unionByName(rows)
-    first = every.groupBy(*TRIPLE).agg(F.min(F.struct("_rank", "rule")).alias("_by"))
-    return first.join(asserted, TRIPLE, "left_anti").select(*TRIPLE, F.col("_by.rule").alias("rule"))
+        return rows.select(iri.alias("s_kind"), F.col(a).alias("s"), F.lit(p).alias("p"), iri.alias("o_kind"), F.col(b).alias("o"), F.lit("").alias("o_dt"), F.lit("").alias("o_lang"), F.lit(rank).alias("rank"))
+
+    of_class = (F.col("p") == TYPE) & (F.col("o_kind") < T.LITERAL)
+    key = F.when(of_class, F.concat(F.lit("c"), "o")).when(~F.col("p").isin(SUB_CLASS, SUB_PROPERTY, DOMAIN, RANGE, TYPE), F.concat(F.lit("p"), "p"))
+    met = asserted.withColumn("key", key).join(_conclusions(above_class, above_property, schema), "key")
+    of_object = F.col("what") == "type of o"
+    met = met.filter(F.when(of_object, (F.col("o_kind") < T.LITERAL) & ~meta(F.col("o"))).otherwise(~meta(F.col("s"))))
+    typed = F.col("what") != "p"
+    other = lambda a, b: F.when(typed, a).otherwise(b)
+    derived = met.select(
+        F.when(of_object, F.col("o_kind")).otherwise(F.col("s_kind")).alias("s_kind"), F.when(of_object, F.col("o")).otherwise(F.col("s")).alias("s"), other(F.lit(TYPE), F.col("target")).alias("p"),
+        other(iri, F.col("o_kind")).alias("o_kind"), other(F.col("target"), F.col("o")).alias("o"), other(F.lit(""), F.col("o_dt")).alias("o_dt"), other(F.lit(""), F.col("o_lang")).alias("o_lang"), "rank",
+    )
+    every = derived.unionByName(pairs(above_class, SUB_CLASS, 0)).unionByName(pairs(above_property, SUB_PROPERTY, 1))
+    first = every.groupBy(*TRIPLE).agg(F.min("rank").alias("rank"))
+    rule = F.element_at(F.array(*[F.lit(x) for x in _BY_RANK]), F.col("rank") + 1)
+    return first.join(asserted, TRIPLE, "left_anti").select(*TRIPLE, rule.alias("rule"))
 
 
 def materialize(store, graph: str, mode: str = "single") -> dict:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,25 +101,41 @@ def search_nodes(nodes: DataFrame, text: str, most: int = 20) -> DataFrame:
 
 
 def schema_graph(quads: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes: id, kind, edges: source, target, label) of classes and properties."""
+    """(nodes: id, kind class, property or bnode, edges: source, target, label) of classes and properties."""
     sub, properties = relations(quads)
     edges = sub.select(F.col("child").alias("source"), F.col("parent").alias("target"), F.lit("subClassOf").alias("label"))
-    edges = edges.unionByName(properties.filter("domain is not null and range is not null").select(F.col("domain").alias("source"), F.col("range").alias("target"), T.local_name(F.col("property")).alias("label")))
-    ends = edges.select(F.col("source").alias("id")).unionAll(edges.select(F.col("target").alias("id"))).unionAll(classes(quads).withColumnRenamed("class", "id"))
-    return ends.distinct().withColumn("kind", F.lit("class")), edges
+    for side in ("domain", "range"):
+        edges = edges.unionByName(properties.filter(f"{side} is not null").select(F.col("property").alias("source"), F.col(side).alias("target"), F.lit(side).alias("label")))
+    named = classes(quads).withColumnRenamed("class", "id").unionAll(sub.select("child")).unionAll(sub.select("parent"))
+    named = named.unionAll(properties.filter("domain is not null").select("domain")).unionAll(properties.filter("range is not null").select("range")).distinct()
+    blank = quads.filter(F.col("o_kind") == T.BNODE).select(F.col("o").alias("id")).unionAll(quads.filter(F.col("s_kind") == T.BNODE).select(F.col("s").alias("id"))).distinct().withColumn("blank", F.lit(True))
+    kinds = named.join(blank, "id", "left").select("id", F.when(F.col("blank"), "bnode").otherwise("class").alias("kind"))
+    return kinds.unionByName(properties.select(F.col("property").alias("id")).distinct().join(named, "id", "left_anti").withColumn("kind", F.lit("property"))), edges.distinct()
+
+
+#: How a node of a kind is drawn: in Mermaid, in DOT.
+SHAPES = {"class": ('["{}"]', "box"), "property": ('(["{}"])', "ellipse"), "bnode": ('{{"{}"}}', "diamond")}
 
 
-def drawing(nodes: DataFrame, edges: DataFrame, form: str = "mermaid", most: int | None = None) -> str:
+def drawing(nodes: DataFrame, edges: DataFrame, form: str = "mermaid", most: int | None = None, prefixes: dict[str, str] | None = None) -> str:
     """Mermaid or DOT text of a drawing-sized part of a graph, cut at 150 or 500 nodes with a note."""
     most = most or {"mermaid": 150, "dot": 500}[form]
-    rows = nodes.orderBy("id").limit(most + 1).collect()
-    cut, rows = len(rows) > most, rows[:most]
-    index = {r.id: f"n{i}" for i, r in enumerate(rows)}
-    shown = edges.filter(F.col("source").isin(*index) & F.col("target").isin(*index)).distinct().orderBy("source", "target", "label").collect() if index else []
-    name = lambda x: str(x).replace('"', "'").replace("\n", " ")
-    label = lambda i: name(i.rsplit("#", 1)[-1].rsplit("/", 1)[-1] or i)
-    if form == "mermaid":
-        out = ["graph LR", *[f'  {index[r.id]}["{label(r.id)}"]' for r in rows], *[f'  {index[e.source]} -->|"{name(e.label)}"| {index[e.target]}' for e in shown]]
-        return "\n".join(out + ["  %% truncated"] * cut)
-    out = ["digraph G {", *[f'  {index[r.id]} [label="{label(r.id)}"];' for r in rows], *[f'  {index[e.source]} -> {index[e.target]} [label="{name(e.label)}"];' for e in shown]]
-    return "\n".join(out + ["  // truncated"] * cut + ["}"])
+    comment = {"mermaid": "%%", "dot": "//"}[form]
+    rows = nodes.withColumn("label", T.shorten(F.col("id"), prefixes)).orderBy("id").limit(most + 1).collect()
+    out = ["graph TD"] if form == "mermaid" else ["digraph G {", "  rankdir=TB;"]
+    end = [] if form == "mermaid" else ["}"]
+    if not rows:
+        return "\n".join([out[0], f"  {comment} Empty graph", *end])
+    if len(rows) > most:
+        out.append(f"  {comment} WARNING: Truncated to {most} of {nodes.count()} nodes")
+    index = {r.id: re.sub(r"[^a-zA-Z0-9_]", "_", r.id) for r in rows[:most]}
+    quoted = lambda x: x.replace('"', "#quot;") if form == "mermaid" else x.replace('"', '\\"')
+    for r in rows[:most]:
+        box, shape = SHAPES.get(r.kind, SHAPES["class"])
+        label = quoted("[]" if r.kind == "bnode" else r.label)
+        out.append(f"  {index[r.id]}{box.format(label)}" if form == "mermaid" else f'  {index[r.id]} [label="{label}" shape={shape}];')
+    shown = edges.filter(F.col("source").isin(*index) & F.col("target").isin(*index)).distinct().orderBy("source", "target", "label").collect()
+    for e in shown:
+        a, b, label = index[e.source], index[e.target], quoted(e.label)
+        out.append(f'  {a} -->|"{label}"| {b}' if form == "mermaid" else f'  {a} -> {b} [label="{label}"];')
+    return "\n".join(out + end)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quadloom.functions import terms as T
 from quadloom.plans.compiler import object_
+from quadloom.plans.fixpoint import closure
 from quadloom.sources import turtle
 
 SH = "http://www.w3.org/ns/shacl#"
@@ -21,6 +22,7 @@ VIOLATION = "focus_node string, path string, message string, severity string, co
 class Shapes:
     def __init__(self, text: str):
         self.triples = turtle.parse(text)[0]
+        self.hierarchy: DataFrame | None = None  # (s, o): classes and those above them, of the data
 
     def all(self, s: str, p: str) -> list[tuple]:
         return [t[3:] for t in self.triples if t[1] == s and t[2] == SH + p]
@@ -62,10 +64,18 @@ def _objects(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("o_kind").alias("n_kind"), F.col("o").alias("n"))
 
 
+def _instances(quads: DataFrame, shapes: Shapes, cls: str) -> DataFrame:
+    """Nodes of a class or of one below it."""
+    if shapes.hierarchy is None:
+        shapes.hierarchy = closure(quads.filter((F.col("p") == T.RDFS + "subClassOf") & (F.col("o_kind") < T.LITERAL)).select("s", "o"))
+    wanted = shapes.hierarchy.filter(F.col("o") == cls).select(F.col("s").alias("o")).unionAll(quads.sparkSession.createDataFrame([(cls,)], "o string"))
+    return _subjects(quads.filter(F.col("p") == T.RDF + "type").join(wanted, "o", "left_semi"))
+
+
 def _targets(quads: DataFrame, shapes: Shapes, shape: str) -> DataFrame:
     spark, found = quads.sparkSession, []
     for _, cls, *_ in shapes.all(shape, "targetClass"):
-        found.append(_subjects(quads.filter((F.col("p") == T.RDF + "type") & (F.col("o") == cls))))
+        found.append(_instances(quads, shapes, cls))
     for kind, node, *_ in shapes.all(shape, "targetNode"):
         found.append(spark.createDataFrame([(kind, node)], NODE))
     for _, p, *_ in shapes.all(shape, "targetSubjectsOf"):
@@ -176,7 +186,7 @@ def _constraints(quads: DataFrame, shapes: Shapes, shape: str, targets: DataFram
         holds = values.filter(F.col("v") == T.constant(x)).select("n_kind", "n").distinct()
         bad(targets.join(holds, ["n_kind", "n"], "left_anti"), "HasValue", f"lacks the value {x[1]}")
     for x in shapes.all(shape, "class"):
-        typed = quads.filter((F.col("p") == T.RDF + "type") & (F.col("o") == x[1])).select(F.col("s").alias("_s")).distinct()
+        typed = _instances(quads, shapes, x[1]).select(F.col("n").alias("_s")).distinct()
         bad(values.join(typed, (F.col("v.lex") == F.col("_s")) & (F.col("v.kind") < T.LITERAL), "left_anti"), "Class", f"not an instance of {x[1]}")
     for x in shapes.all(shape, "node"):
         bad(values.join(_failing(quads, shapes, x[1], values), ["v"], "left_semi"), "Node", f"does not conform to {x[1]}")

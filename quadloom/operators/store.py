@@ -1,7 +1,8 @@
 """A quad store over DataFrames: load, query, update, compare, export, snapshots and a catalog.
 
 Quads live in a DataFrame partitioned by graph (Parquet when saved). A graph is a set: every write
-ends in a dropDuplicates on (g, s, p, o); reads never deduplicate.
+keeps (g, s, p, o) distinct; reads never deduplicate. An insert writes what is new and no more: the
+store is a union of such pieces, put together again when there are PIECES of them.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from quadloom.sources import turtle
 
 KEY = ["g", "s_kind", "s", "p", "o_kind", "o", "o_dt", "o_lang"]
 TRIPLE = KEY[1:]
+PIECES = 16
 
 
 def slug(graph: str) -> str:
@@ -35,6 +37,8 @@ class QuadStore:
     catalog: dict[str, str] = field(default_factory=dict)  # name -> graph IRI
     prefixes: dict[str, str] = field(default_factory=dict)
     loaded: set = field(default_factory=set)  # (graph, file) already read
+    history: str | None = None  # where a graph's version goes before it is replaced or dropped
+    pieces: int = 1
 
     def __post_init__(self):
         if self.quads is None:
@@ -79,10 +83,23 @@ class QuadStore:
 
     # --- writing
     def _set(self, quads: DataFrame) -> None:
-        self.quads = checkpointed(quads.dropDuplicates(KEY))
+        """The store anew, from quads of which some may be asserted and inferred at once: those are asserted."""
+        self.quads, self.pieces = checkpointed(quads.groupBy(*KEY).agg(F.min("inferred").alias("inferred"))), 1
 
     def insert(self, quads: DataFrame) -> None:
-        self._set(self.quads.unionByName(quads))
+        """Adds what isn't held; what was only inferred and is asserted now counts as asserted."""
+        new = quads.groupBy(*KEY).agg(F.min("inferred").alias("inferred"))
+        held = self.quads.select(*KEY, F.col("inferred").alias("was"))
+        new = checkpointed(new.join(held, KEY, "left").filter("was is null or was and not inferred"))
+        told = new.filter("was").select(*KEY)
+        kept = self.quads if told.isEmpty() else checkpointed(self.quads.join(told, KEY, "left_anti"))
+        self.quads, self.pieces = kept.unionByName(new.drop("was")), self.pieces + 1
+        if self.pieces > PIECES:
+            self.quads, self.pieces = checkpointed(self.quads), 1
+
+    def _keep_version(self, graph: str) -> None:
+        if self.history:
+            self.snapshot(self.history, graph)
 
     def insert_turtle(self, text: str, graph: str) -> None:
         if text.strip():
@@ -92,11 +109,13 @@ class QuadStore:
         self.quads = checkpointed(self.quads.join(quads.select(*KEY).distinct(), KEY, "left_anti"))
 
     def drop_graph(self, graph: str) -> None:
+        self._keep_version(graph)
         self.quads = checkpointed(self.quads.filter(F.col("g") != self.graph_iri(graph)))
 
     def replace_graph(self, graph: str, text: str) -> None:
-        self.quads = self.quads.filter(F.col("g") != self.graph_iri(graph))
-        self._set(self.quads.unionByName(turtle.quads(self.spark, text, self.graph_iri(graph))))
+        new = turtle.quads(self.spark, text, self.graph_iri(graph))
+        self._keep_version(graph)
+        self._set(self.quads.filter(F.col("g") != self.graph_iri(graph)).unionByName(new))
 
     def delete(self, graph: str, turtle_text: str | None = None, where: str | None = None) -> None:
         """Exact triples, or those a pattern matches. One of the two is needed."""
@@ -108,8 +127,8 @@ class QuadStore:
         if where is not None:
             self.update(f"WITH <{g}> DELETE {{ ?s ?p ?o }} WHERE {{ ?s ?p ?o . {where} }}")
 
-    def push(self, text: str, graph: str, replace: bool = False, limit: int | None = 100, shapes: str | None = None, infer: bool = True) -> dict:
-        """Validate, check size and shapes, insert or replace, then infer; returns counts."""
+    def push(self, text: str, graph: str, replace: bool = False, limit: int | None = None, shapes: str | None = None, infer: bool = True) -> dict:
+        """Validate, check size (off unless a limit is given) and shapes, insert or replace, then infer; returns counts."""
         checked = turtle.validate(text)
         if not checked["valid"]:
             raise ValueError(checked["error"])
@@ -150,7 +169,7 @@ class QuadStore:
         elif kind == "modify":
             _, own, removed, added, pattern, using = op
             own = own if own is not None else graph
-            graphs = Graphs(default=tuple(using)) if using else Graphs(one=own) if own is not None and not has_graph_scope(pattern) else Graphs()
+            graphs = Graphs(default=tuple(using[0]), named=tuple(using[1])) if any(using) else Graphs(one=own) if own is not None and not has_graph_scope(pattern) else Graphs()
             c = Compiler(self.quads, graphs)
             found = c.pattern(pattern, graphs)
             found = Solutions(checkpointed(found.df), found.vars, found.bound)
@@ -161,6 +180,11 @@ class QuadStore:
             if added:
                 quads = quads.unionByName(c.instantiate(found, fix(added), own or ""))
             self._set(quads)
+        elif kind == "create":
+            # A graph is its quads, so an empty one leaves no trace; only a graph that is there can be told from others.
+            _, silent, (_, iri) = op
+            if not silent and not self.quads.filter(F.col("g") == iri).isEmpty():
+                raise SparqlError(f"graph {iri} exists")
         elif kind in ("drop", "clear"):
             _, silent, (what, iri) = op
             if what == "GRAPH" and not silent and self.quads.filter(F.col("g") == iri).isEmpty():
@@ -216,14 +240,22 @@ class QuadStore:
         counted = self.quads.filter(F.col("g").startswith(prefix) & (F.col("g") != "")).groupBy("g").agg(F.count("*").alias("triples"))
         return known.join(counted, "g", "full").select(F.coalesce("name", F.lit("?")).alias("name"), F.col("g").alias("graph"), "triples")
 
-    def load_new(self, files: list[tuple[str, str]]) -> int:
-        """Reads (graph, path) pairs not read before; missing files are passed over. Returns how many were read."""
-        import os
+    def load_new(self, files: list[tuple[str, str]], infer: bool = False) -> int:
+        """Reads (graph, path) pairs not read before in one write; missing files are passed over. Returns how many were read."""
+        path = lambda x: self._path(x)
+        fresh = [x for x in dict.fromkeys(files) if x not in self.loaded and self._fs(x[1])[0].exists(path(x[1]))]
+        every = None
+        for graph, name in fresh:
+            rows = turtle.read(self.spark, name, self.graph_iri(graph))
+            every = rows if every is None else every.unionByName(rows)
+        if every is not None:
+            self.insert(every)
+            self.loaded.update(fresh)
+        if infer:
+            from quadloom.operators import rdfs
 
-        fresh = [x for x in files if x not in self.loaded and os.path.exists(x[1])]
-        for graph, path in fresh:
-            self.insert(turtle.read(self.spark, path, self.graph_iri(graph)))
-            self.loaded.add((graph, path))
+            for graph in dict.fromkeys(g for g, _ in fresh):
+                rdfs.materialize(self, graph)
         return len(fresh)
 
     # --- saving

@@ -27,7 +27,7 @@ class Value:
     col: Column
     dt: Column | None = None  # of a number
     dec: Column | None = None  # of a number: its exact value, null where it has none
-    native: Column | None = None  # of a term: the table column that it was made of
+    native: Column | None = None  # the table column that a term was made of, or a column of whole numbers
     kind: str = ""  # of native: long, double, string or time
     const: tuple | None = None  # of a term: as it stands in the query
 
@@ -119,7 +119,7 @@ def string(col: Column) -> Value:
 
 
 def integer(col: Column) -> Value:
-    return Value("num", col.cast("double"), F.lit(T.XSD_INTEGER), col.cast(EXACT))
+    return Value("num", col.cast("double"), F.lit(T.XSD_INTEGER), col.cast(EXACT), col, "long")
 
 
 class Expressions:
@@ -292,7 +292,7 @@ def _field(v: Value, group: int) -> Column:
 
 
 def _time(field: str):
-    return lambda v: integer(getattr(F, field)(v.moment()) if v.kind == "time" else _field(v, _FIELDS[field]).try_cast("int"))
+    return lambda v: integer(getattr(F, field)(v.native) if v.kind == "time" else _field(v, _FIELDS[field]).try_cast("int"))
 
 
 def _seconds(v: Value) -> Value:
@@ -306,7 +306,7 @@ def _timezone(v: Value) -> Value:
     hours, minutes = F.substr(zone, F.lit(2), F.lit(2)).try_cast("int"), F.substr(zone, F.lit(5), F.lit(2)).try_cast("int")
     part = lambda n, unit: F.when(n > 0, F.concat(n.cast("string"), F.lit(unit))).otherwise("")
     offset = F.concat(F.when(zone.startswith("-"), "-").otherwise(""), F.lit("PT"), part(hours, "H"), part(minutes, "M"))
-    return Value("term", T.literal(F.when((zone == "Z") | (hours + minutes == 0), "PT0S").otherwise(offset), T.XSD + "dayTimeDuration"))
+    return Value("term", T.literal(F.when((zone == "Z") | (hours + minutes == 0), "PT0S").when(zone.isNotNull(), offset), T.XSD + "dayTimeDuration"))
 
 
 def _sha(bits: int):

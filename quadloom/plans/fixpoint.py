@@ -19,6 +19,27 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Edges that one list holds; so many reach FEW * FEW pairs at most.
+FEW = 300
+
+
+def _pairs(edges: list[tuple]) -> list[tuple]:
+    """All pairs joined by one edge or more."""
+    after: dict = {}
+    for s, o in edges:
+        after.setdefault(s, []).append(o)
+    out = []
+    for s in after:
+        seen, todo = set(), list(after[s])
+        while todo:
+            o = todo.pop()
+            if o not in seen:
+                seen.add(o)
+                todo += after.get(o, ())
+        out += [(s, o) for o in seen]
+    return out
+
+
 def closure(edges: DataFrame, seeds: DataFrame | None = None, backwards: bool = False, most_rounds: int = 10_000) -> DataFrame:
     """Pairs (s, o) joined by one edge or more; cycles end when a round finds nothing new.
 
@@ -27,6 +48,8 @@ def closure(edges: DataFrame, seeds: DataFrame | None = None, backwards: bool =
 
     seeds (one column s) keeps the pairs that start there, so a path from a constant never computes
     the whole closure; with backwards, seeds are ends instead (column o).
+
+    Up to FEW edges, as a schema has, are followed on the driver instead of in rounds of jobs.
     """
     edges = edges.select("s", "o").distinct()
     if backwards:
@@ -34,6 +57,10 @@ def closure(edges: DataFrame, seeds: DataFrame | None = None, backwards: bool =
         ends = seeds.selectExpr("o as s") if seeds is not None else None
         return closure(flipped, ends, False, most_rounds).selectExpr("o as s", "s as o")
     edges = checkpointed(edges)
+    few = edges.limit(FEW + 1).collect()
+    if len(few) <= FEW:
+        found = edges.sparkSession.createDataFrame(_pairs([(r.s, r.o) for r in few]), edges.schema)
+        return found if seeds is None else found.join(seeds.select("s").distinct(), "s", "left_semi")
     step = edges.selectExpr("s as _m", "o as _n")
     known = checkpointed(edges.join(seeds.select("s").distinct(), "s", "left_semi") if seeds is not None else edges)
     delta = known

@@ -333,3 +333,5 @@ def ntriples_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quadloom.sources import turtle
 
     return turtle.lines(shop(spark, sf_dir, ["nation"]).filter(F.col("p") == BASE + "n_name")).withColumnRenamed("value", "line")
+
+from quadloom.plans import registry_sparql  # noqa: E402, F401
