@@ -114,10 +114,8 @@ class Project:
         missing = [p for p in required if p not in parameters]
         if missing:
             return {"answer": None, "reason": "parameters are missing", "missing": missing, "rows": []}
-        template = re.sub(r"\{\{(\w+)\}\}", lambda m: f"<{self.store.graph_iri(self.graph)}>" if m[1] == "graphUri" else f"?{m[1]}", template)
-        q = parse_query(template, self.store.prefixes)
-        names = {p: module_iri(v) if p == "module" else v for p, v in parameters.items()}
-        q.pattern = _bound(q.pattern, {p: (T.IRI if re.match(r"[A-Za-z][\w+.-]*:\S+$", v) else T.LITERAL, v, "" if re.match(r"[A-Za-z][\w+.-]*:\S+$", v) else T.XSD_STRING, "") for p, v in names.items()})
+        q, bound = self._template(template, parameters)
+        q.pattern = _bound(q.pattern, bound)
         c = self.store._compiler(self.store._scope(q, self.graph, False))
         if q.form == "ASK":
             out = {"answer": c.ask(q), "rows": []}
@@ -129,6 +127,33 @@ class Project:
             out["evaluation"] = self._record(name, parameters, out["answer"])
         return out | {"reason": "", "missing": []}
 
+    def _template(self, template: str, parameters: dict[str, str]) -> tuple:
+        """The parsed template, and the terms of its places: <iri{{x}}> is an IRI, "{{x}}" a text, {{x}} either, by its look."""
+        bound: dict[str, tuple] = {}
+
+        def place(m: re.Match) -> str:
+            before, name, after, text, bare = m.groups()
+            name = name or text or bare
+            if name == "graphUri":
+                return f"<{self.store.graph_iri(self.graph)}>"
+            if name not in parameters:
+                return f"?{name}"
+            value, var = parameters[name], f"p{len(bound)}_{name}"
+            if name == "module":
+                value = module_iri(value).removeprefix("urn:module:") if before else module_iri(value)
+            is_iri = before is not None or bare is not None and re.match(r"[A-Za-z][\w+.-]*:\S+$", value) is not None
+            value = f"{before or ''}{value}{after or ''}"
+            if is_iri and re.search(r'[<>"{}|^`\s]', value):
+                raise ValueError(f"{value} is no IRI")
+            bound[var] = (T.IRI, value, "", "") if is_iri else (T.LITERAL, value, T.XSD_STRING, "")
+            return f"?{var}"
+
+        text = re.sub(r'<([^<>{}\s]*)\{\{(\w+)\}\}([^<>{}\s]*)>|"\{\{(\w+)\}\}"|\{\{(\w+)\}\}', place, template)
+        q = parse_query(text, self.store.prefixes)
+        own = {p: (T.IRI if re.match(r"[A-Za-z][\w+.-]*:\S+$", v) else T.LITERAL, module_iri(v) if p == "module" else v) for p, v in parameters.items()}
+        named = {p: (kind if p != "module" else T.IRI, v, "" if kind == T.IRI or p == "module" else T.XSD_STRING, "") for p, (kind, v) in own.items()}
+        return q, named | bound
+
     def _record(self, name: str, parameters: dict, answer: bool) -> str:
         today = datetime.date.today().isoformat()
         uri = f"urn:evaluation:{today}-{uuid.uuid4().hex}"

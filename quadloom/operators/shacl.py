@@ -56,6 +56,17 @@ def conforms(quads: DataFrame, shapes_text: str) -> bool:
     return validate(quads, shapes_text).isEmpty()
 
 
+def _among(rows: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
+    """A semi-join; as a join, since Spark's optimizer fails on some semi-joins below unions."""
+    return rows.join(others.select(*keys).distinct(), keys).select(*rows.columns)
+
+
+def _outside(rows: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
+    """An anti-join, likewise."""
+    marked = others.select(*keys).distinct().withColumn("_met", F.lit(True))
+    return rows.join(marked, keys, "left").filter("_met is null").select(*rows.columns)
+
+
 def _subjects(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("s_kind").alias("n_kind"), F.col("s").alias("n"))
 
@@ -68,8 +79,8 @@ def _instances(quads: DataFrame, shapes: Shapes, cls: str) -> DataFrame:
     """Nodes of a class or of one below it."""
     if shapes.hierarchy is None:
         shapes.hierarchy = closure(quads.filter((F.col("p") == T.RDFS + "subClassOf") & (F.col("o_kind") < T.LITERAL)).select("s", "o"))
-    wanted = shapes.hierarchy.filter(F.col("o") == cls).select(F.col("s").alias("o")).unionAll(quads.sparkSession.createDataFrame([(cls,)], "o string"))
-    return _subjects(quads.filter(F.col("p") == T.RDF + "type").join(wanted, "o", "left_semi"))
+    wanted = shapes.hierarchy.filter(F.col("o") == cls).select(F.col("s").alias("o")).unionAll(quads.sparkSession.createDataFrame([(cls,)], "o string")).distinct()
+    return _subjects(quads.filter(F.col("p") == T.RDF + "type").join(wanted, "o"))
 
 
 def _targets(quads: DataFrame, shapes: Shapes, shape: str) -> DataFrame:
@@ -94,7 +105,7 @@ def _shape(quads: DataFrame, shapes: Shapes, shape: str, targets: DataFrame, own
     out = _constraints(quads, shapes, shape, targets, own, "", True)
     for _, prop, *_ in shapes.all(shape, "property"):
         path = shapes.one(prop, "path")[1]
-        values = quads.filter(F.col("p") == path).select(F.col("s_kind").alias("n_kind"), F.col("s").alias("n"), object_().alias("v")).join(targets, ["n_kind", "n"], "left_semi")
+        values = quads.filter(F.col("p") == path).select(F.col("s_kind").alias("n_kind"), F.col("s").alias("n"), object_().alias("v")).transform(_among, targets, ["n_kind", "n"])
         out += _constraints(quads, shapes, prop, targets, values, path, False)
     closed = shapes.one(shape, "closed")
     if closed and closed[1] in ("true", "1"):
@@ -108,7 +119,7 @@ def _shape(quads: DataFrame, shapes: Shapes, shape: str, targets: DataFrame, own
 
 def _focused(quads: DataFrame, targets: DataFrame) -> DataFrame:
     rows = quads.select(F.col("s_kind").alias("n_kind"), F.col("s").alias("n"), "p", object_().alias("v"))
-    return rows.join(targets, ["n_kind", "n"], "left_semi")
+    return rows.transform(_among, targets, ["n_kind", "n"])
 
 
 def _violation(rows: DataFrame, shapes: Shapes, shape: str, path: str | None, component: str, text: str) -> DataFrame:
@@ -146,11 +157,11 @@ def _constraints(quads: DataFrame, shapes: Shapes, shape: str, targets: DataFram
             bad(values.filter("v.lang <> ''").distinct().groupBy("n_kind", "n", "v.lang").count().filter("count > 1"), "UniqueLang", "a language occurs twice")
         other = lambda p: quads.filter(F.col("p") == p).select(F.col("s_kind").alias("n_kind"), F.col("s").alias("n"), object_().alias("v"))
         for x in shapes.all(shape, "equals"):
-            theirs = other(x[1]).join(targets, ["n_kind", "n"], "left_semi")
+            theirs = other(x[1]).transform(_among, targets, ["n_kind", "n"])
             key = ["n_kind", "n", "v"]
-            bad(values.join(theirs, key, "left_anti").unionByName(theirs.join(values, key, "left_anti")), "Equals", f"values differ from those of {x[1]}")
+            bad(values.transform(_outside, theirs, key).unionByName(theirs.transform(_outside, values, key)), "Equals", f"values differ from those of {x[1]}")
         for x in shapes.all(shape, "disjoint"):
-            bad(values.join(other(x[1]), ["n_kind", "n", "v"], "left_semi"), "Disjoint", f"a value is one of {x[1]} too")
+            bad(values.transform(_among, other(x[1]), ["n_kind", "n", "v"]), "Disjoint", f"a value is one of {x[1]} too")
         for name, component, op in (("lessThan", "LessThan", lambda a, b: a < b), ("lessThanOrEquals", "LessThanOrEquals", lambda a, b: a <= b)):
             for x in shapes.all(shape, name):
                 both = values.join(other(x[1]).withColumnRenamed("v", "w"), ["n_kind", "n"])
@@ -158,7 +169,7 @@ def _constraints(quads: DataFrame, shapes: Shapes, shape: str, targets: DataFram
                 bad(both.filter(~F.coalesce(good, F.lit(False))), component, f"a value is not less than one of {x[1]}")
         for x in shapes.all(shape, "qualifiedValueShape"):
             wrong = _failing(quads, shapes, x[1], values)
-            good = values.join(wrong, ["v"], "left_anti").groupBy("n_kind", "n").agg(F.count("*").alias("c"))
+            good = values.transform(_outside, wrong, ["v"]).groupBy("n_kind", "n").agg(F.count("*").alias("c"))
             held = targets.join(good, ["n_kind", "n"], "left").fillna(0, ["c"])
             for limit in shapes.all(shape, "qualifiedMinCount"):
                 bad(held.filter(F.col("c") < int(limit[1])), "QualifiedMinCount", f"fewer than {limit[1]} qualified values")
@@ -184,14 +195,14 @@ def _constraints(quads: DataFrame, shapes: Shapes, shape: str, targets: DataFram
         bad(values.filter(~F.col("v.lang").isin(*tags)), "LanguageIn", "language is not allowed")
     for x in shapes.all(shape, "hasValue"):
         holds = values.filter(F.col("v") == T.constant(x)).select("n_kind", "n").distinct()
-        bad(targets.join(holds, ["n_kind", "n"], "left_anti"), "HasValue", f"lacks the value {x[1]}")
+        bad(targets.transform(_outside, holds, ["n_kind", "n"]), "HasValue", f"lacks the value {x[1]}")
     for x in shapes.all(shape, "class"):
         typed = _instances(quads, shapes, x[1]).select(F.col("n").alias("_s")).distinct()
         bad(values.join(typed, (F.col("v.lex") == F.col("_s")) & (F.col("v.kind") < T.LITERAL), "left_anti"), "Class", f"not an instance of {x[1]}")
     for x in shapes.all(shape, "node"):
-        bad(values.join(_failing(quads, shapes, x[1], values), ["v"], "left_semi"), "Node", f"does not conform to {x[1]}")
+        bad(values.transform(_among, _failing(quads, shapes, x[1], values), ["v"]), "Node", f"does not conform to {x[1]}")
     for x in shapes.all(shape, "not"):
-        bad(values.join(_failing(quads, shapes, x[1], values), ["v"], "left_anti"), "Not", f"conforms to {x[1]}")
+        bad(values.transform(_outside, _failing(quads, shapes, x[1], values), ["v"]), "Not", f"conforms to {x[1]}")
     for name, component in (("and", "And"), ("or", "Or"), ("xone", "Xone")):
         for x in shapes.all(shape, name):
             members = shapes.list(x[1])
@@ -211,7 +222,7 @@ def _failing(quads: DataFrame, shapes: Shapes, shape: str, values: DataFrame) ->
     nodes = values.select(F.col("v.kind").alias("n_kind"), F.col("v.lex").alias("n")).distinct()
     path = shapes.one(shape, "path")
     if path:
-        reached = quads.filter(F.col("p") == path[1]).select(F.col("s_kind").alias("n_kind"), F.col("s").alias("n"), object_().alias("v")).join(nodes, ["n_kind", "n"], "left_semi")
+        reached = quads.filter(F.col("p") == path[1]).select(F.col("s_kind").alias("n_kind"), F.col("s").alias("n"), object_().alias("v")).transform(_among, nodes, ["n_kind", "n"])
         found = _constraints(quads, shapes, shape, nodes, reached, path[1], False)
     else:
         found = _shape(quads, shapes, shape, nodes, values.select(F.col("v.kind").alias("n_kind"), F.col("v.lex").alias("n"), "v").distinct())
@@ -220,4 +231,4 @@ def _failing(quads: DataFrame, shapes: Shapes, shape: str, values: DataFrame) ->
         bad = part if bad is None else bad.unionByName(part)
     if bad is None:
         return values.select("v").limit(0)
-    return values.select("v").distinct().join(bad.select(F.col("focus_node").alias("_f")).distinct(), F.col("v.lex") == F.col("_f"), "left_semi")
+    return values.select("v").distinct().join(bad.select(F.col("focus_node").alias("_f")).distinct(), F.col("v.lex") == F.col("_f")).select("v")

@@ -133,6 +133,33 @@ def lines(triples: DataFrame) -> DataFrame:
     return triples.select(F.concat_ws(" ", s, F.concat(F.lit("<"), F.col("p"), F.lit(">")), o, F.lit(".")).alias("value"))
 
 
+_HEAD, _TAIL = r"^\s*(<[^>]*>|_:\S+)\s*<([^>]*)>\s*", r'"(?:@([A-Za-z0-9-]+)|\^\^<([^>]*)>)?\s*\.\s*$'
+_NODE = r"^(?:<([^>]*)>|_:(\S+?))\s*\.\s*(?:#.*)?$"
+
+
+def read_lines(rows: DataFrame, g: str) -> DataFrame:
+    """N-Triples lines (column value) as quads of graph g, by Spark functions, so that files are split at any line.
+
+    Blank and comment lines are passed over, and so is what isn't a triple. Blank nodes keep their labels.
+    """
+    head = F.regexp_extract("value", _HEAD, 0)
+    cut = rows.filter(F.regexp_like("value", F.lit(_HEAD))).select("value", head.alias("head"), F.substr("value", F.length(head) + 1).alias("rest"))
+    text = F.col("rest").startswith('"') & F.regexp_like("rest", F.lit(_TAIL))
+    cut = cut.filter(text | F.regexp_like("rest", F.lit(_NODE)))
+    lex = F.substr("rest", F.lit(2), F.length("rest") - F.length(F.regexp_extract("rest", _TAIL, 0)) - 1)
+    # The escapes are those of JSON strings, but for code points of eight digits.
+    escaped = F.regexp_replace(lex, r"\\U0000([0-9A-Fa-f]{4})", r"\\u$1")
+    plain = F.when(F.contains(lex, F.lit("\\")), F.from_json(F.concat(F.lit('{"v":"'), escaped, F.lit('"}')), "v string", {"allowUnquotedControlChars": "true"})["v"]).otherwise(lex)
+    part = lambda c, pattern, k: F.regexp_extract(c, pattern, k)
+    s, blank = part("head", _HEAD, 1), part("rest", _NODE, 2)
+    dt, lang = part("rest", _TAIL, 2), part("rest", _TAIL, 1)
+    return cut.select(
+        F.lit(g).alias("g"), F.when(s.startswith("_:"), T.BNODE).otherwise(T.IRI).cast("tinyint").alias("s_kind"), F.when(s.startswith("_:"), F.substr(s, F.lit(3))).otherwise(F.substr(s, F.lit(2), F.length(s) - 2)).alias("s"), part("head", _HEAD, 2).alias("p"),
+        F.when(text, T.LITERAL).when(blank != "", T.BNODE).otherwise(T.IRI).cast("tinyint").alias("o_kind"), F.when(text, plain).when(blank != "", blank).otherwise(part("rest", _NODE, 1)).alias("o"),
+        F.when(~text, "").when(lang != "", T.LANG_STRING).when(dt != "", dt).otherwise(T.XSD_STRING).alias("o_dt"), F.when(text, F.lower(lang)).otherwise("").alias("o_lang"), F.lit(False).alias("inferred"),
+    )
+
+
 def namespaces(iris: list[str]) -> dict[str, str]:
     """Prefixes for the namespaces of IRIs: well-known ones, else named after the last part; the first wins."""
     known = {v: k for k, v in T.WELL_KNOWN.items()}
