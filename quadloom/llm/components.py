@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadloom.llm.common import checkpointed
+from quadloom.llm.common import checkpointed, tidy
 
 CHUNK_EDGES = 2_000_000
 FEW_EDGES = 250_000
@@ -49,15 +49,20 @@ def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield stars()
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60, contracted: bool = False) -> DataFrame:
     """edges -> (node, component), component being the smallest node reachable; only nodes with edges.
 
-    Self edges and repeated edges do no harm; null ends are left out; no edges give no rows.
+    contracted: the tasks that make the edges return forests already, so they aren't contracted
+    again (a second Python worker would run beside the one that makes them). Self edges and repeated edges do no harm; null ends are left out; no edges give no rows.
     """
     pairs = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter("a is not null and b is not null and a <> b")
-    stars = checkpointed(pairs.mapInPandas(_contract, "a long, b long").distinct())
+    if contracted:
+        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    else:
+        pairs = pairs.mapInPandas(_contract, "a long, b long")
+    stars = checkpointed(pairs.distinct())
     if stars.count() <= FEW_EDGES:
-        stars = checkpointed(stars.coalesce(1).mapInPandas(_contract, "a long, b long"))
+        stars = checkpointed(stars.coalesce(1).mapInPandas(tidy(_contract), "a long, b long"))
     for _ in range(most_rounds):
         # Done when every node has one edge, to a node that has none of its own.
         twice = stars.groupBy("a").count().filter("count > 1").select("a")

@@ -50,7 +50,7 @@ BAND_RATIO = 1.3
 SHARED = 0.05
 #: Tokens of one block of a component; a task compares two blocks.
 BLOCK_TOKENS = 400_000
-#: A thin table of ids is broadcast up to so many rows (8 bytes each), and joined by shuffle beyond.
+#: A thin table of ids (with component and blocks, 20 bytes a row) is broadcast up to so many rows, and joined by shuffle beyond.
 BROADCAST_IDS = 1_000_000
 CACHE_WORDS = 200_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -242,6 +242,32 @@ def _tokens(n: int):
     return run
 
 
+def _prefix_tokens(n: int, t: Threshold):
+    """Texts -> (rep, keep, token): each token with how many of its set's tokens make up the prefix."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingle = Shingler(n)
+        for batch in batches:
+            held, size = [], 0
+            for rep, text in zip(batch["doc_id"].tolist(), batch["text"]):
+                held.append((rep, shingle(text)))
+                size += len(held[-1][1])
+                if size > 200_000:
+                    yield _prefix_frame(held, t)
+                    held, size = [], 0
+            if held:
+                yield _prefix_frame(held, t)
+
+    return run
+
+
+def _prefix_frame(held: list[tuple[int, np.ndarray]], t: Threshold) -> pd.DataFrame:
+    sizes = np.array([len(tokens) for _, tokens in held], np.int64)
+    keep = np.array([k - t.least_size(int(k)) + 1 for k in sizes], np.int64)
+    reps = np.array([rep for rep, _ in held], np.int64)
+    return pd.DataFrame({"rep": np.repeat(reps, sizes), "keep": np.repeat(keep, sizes), "token": np.concatenate([tokens for _, tokens in held]).astype(np.int64)})
+
+
 def links_within(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, t: Threshold) -> list[tuple[int, int]]:
     """A spanning forest of the links among sets; where both sides occur, only links between sides are looked for."""
     if len(sets) < 2:
@@ -306,7 +332,7 @@ def joined(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     classes = sets.filter("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"))
 
     links = _links(texts, classes, n, t, max(1, count)).unionAll(_same_document(classes, sets))
-    found = components(links)
+    found = components(links, contracted=True)
     named = classes.join(found, classes["rep"] == found["node"], "left").select("k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("_component"))
     out = sets.join(named, ["k1", "k2", "n_shingles"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("_component", "doc_id").alias("component_id"))
@@ -338,27 +364,17 @@ def _sized(members: DataFrame) -> DataFrame:
     return members.join(size, "component").select("rep", "component", "blocks", "n_shingles")
 
 
-def _tokens_of(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """rep, component, blocks and tokens (as bytes) of the documents that wanted names."""
+def _texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The columns of wanted, rep as doc_id, with the texts of the documents that it names."""
     wanted = wanted.withColumnRenamed("rep", "doc_id")
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
-    return texts.filter("text is not null").join(wanted, "doc_id").select("doc_id", "component", "blocks", "text").mapInPandas(tidy(_tokens(n)), "rep long, component long, blocks int, tokens binary")
+    return texts.filter("text is not null").join(wanted, "doc_id").select(*wanted.columns, "text")
 
 
-def _prefix_edges(sets: DataFrame, t: Threshold) -> DataFrame:
+def _prefix_edges(texts: DataFrame, wide: DataFrame, n: int, t: Threshold) -> DataFrame:
     """(rep, pivot): sets that share a token of their prefixes, each with the smallest such set."""
-
-    def flat(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            tokens = [np.frombuffer(x, np.int64) for x in batch["tokens"]]
-            sizes = np.array([len(x) for x in tokens], np.int64)
-            for a in range(0, len(tokens), 200):
-                some = slice(a, a + 200)
-                prefix = np.array([k - t.least_size(int(k)) + 1 for k in sizes[some]], np.int64)
-                yield pd.DataFrame({"rep": np.repeat(batch["rep"].to_numpy()[some], sizes[some]), "keep": np.repeat(prefix, sizes[some]), "token": np.concatenate(tokens[some])})
-
-    rows = sets.mapInPandas(tidy(flat), "rep long, keep long, token long").distinct()
+    rows = _texts_of(texts, wide.select("rep")).mapInPandas(tidy(_prefix_tokens(n, t)), "rep long, keep long, token long").distinct()
     known = rows.groupBy("token").agg(F.count("*").alias("n"))
     ranked = rows.join(known, "token").selectExpr("*", "row_number() over (partition by rep order by n, token) as at")
     prefixes = checkpointed(ranked.filter("at <= keep and n > 1").select("rep", "token"))
@@ -372,12 +388,13 @@ def _links(texts: DataFrame, classes: DataFrame, n: int, t: Threshold, count: in
     members = checkpointed(_sized(members))
     wide = members.filter("blocks > 1").select("rep", "component", "blocks")
     if not wide.isEmpty():
-        refined = components(_prefix_edges(_tokens_of(texts, wide, n), t), "rep", "pivot")
+        refined = components(_prefix_edges(texts, wide, n, t), "rep", "pivot")
         again = refined.withColumnRenamed("node", "rep").join(members.select("rep", "n_shingles"), "rep").select("rep", F.xxhash64("component", F.lit(1)).alias("component"), "n_shingles")
         members = checkpointed(members.filter("blocks = 1").unionByName(_sized(again)))
     total = members.filter("blocks = 1").agg(F.sum("n_shingles")).first()[0]
     bins = max(1, -(-int(total or 0) // BLOCK_TOKENS)) * 2
-    placed = _tokens_of(texts, members.select("rep", "component", "blocks"), n).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    tokens = _texts_of(texts, members.select("rep", "component", "blocks")).mapInPandas(tidy(_tokens(n)), "rep long, component long, blocks int, tokens binary")
+    placed = tokens.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     small = placed.filter("blocks = 1").select(F.pmod(F.hash("component"), F.lit(bins)).cast("long").alias("g"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), "rep", F.lit(0).alias("side"), "tokens")
     large = placed.filter("blocks > 1").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     large = large.select(F.col("component").alias("g"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", F.col("block").alias("side"), "tokens")
