@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadloom.llm import classify, subword
+from quadloom.llm.common import let_go
 
 #: At most so many labelled rows of either class are learnt from.
 PER_CLASS = 2000
@@ -23,7 +24,9 @@ THRESHOLD = 0.3
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, per_class: int = PER_CLASS, heads: list[subword.Head] = HEADS) -> subword.Model:
     texts, marks = classify.training_sample(docs, labels, "quality", F.lit(True) if learn is None else learn, per_class)
-    return subword.fit(texts, marks, heads, fold_case=False, unknown=1.0)
+    model = subword.fit(texts, marks, heads, fold_case=False, unknown=1.0)
+    let_go()  # the driver lives on
+    return model
 
 
 def score(docs: DataFrame, model: subword.Model) -> DataFrame:
