@@ -13,8 +13,9 @@ from quadloom.llm.common import let_go, small_batches
 from quadloom.llm.subword import Model
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int) -> tuple[list, list]:
-    """Texts and labels of at most per_class labelled rows of each class, the same ones each time.
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int) -> tuple[list, list, float | None]:
+    """Texts and labels of at most per_class labelled rows of each class, the same ones each time,
+    and the share of label 1 among all rows that learn admits (null without both classes).
 
     learn filters the labelled rows by doc_id. Rows are ordered by a hash of doc_id. The hash
     order runs over thin rows and keeps per_class of them in each task before any shuffle, and
@@ -29,7 +30,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     found = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id")
     rows = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"), F.first("h").alias("h")).collect()
     rows.sort(key=lambda r: (r.h, r.doc_id))
-    return [r.text for r in rows], [r.y for r in rows]
+    counts = {r.y: r["count"] for r in thin.groupBy("y").count().collect()}  # two rows at most
+    return [r.text for r in rows], [r.y for r in rows], counts[1] / sum(counts.values()) if len(counts) == 2 else None
 
 
 def scored(docs: DataFrame, model: Model, score: str = "score") -> DataFrame:

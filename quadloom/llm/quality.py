@@ -23,7 +23,7 @@ THRESHOLD = 0.3
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, per_class: int = PER_CLASS, heads: list[subword.Head] = HEADS) -> subword.Model:
-    texts, marks = classify.training_sample(docs, labels, "quality", F.lit(True) if learn is None else learn, per_class)
+    texts, marks, _ = classify.training_sample(docs, labels, "quality", F.lit(True) if learn is None else learn, per_class)
     model = subword.fit(texts, marks, heads, fold_case=False, unknown=1.0)
     let_go()  # the driver lives on
     return model

@@ -147,10 +147,12 @@ def spans(n: int, window: int) -> tuple[np.ndarray, np.ndarray]:
     return a, np.minimum(a + window, n)
 
 
-def fit(texts: list[str | None], labels: list[int], heads: list[Head], *, buckets: int = 1 << 18, dim: int = 16, fold_case: bool = True, batch: int = 64, seed: int = 7, unknown: float = 0.5) -> Model:
+def fit(texts: list[str | None], labels: list[int], heads: list[Head], *, buckets: int = 1 << 18, dim: int = 16, fold_case: bool = True, batch: int = 64, seed: int = 7, unknown: float = 0.5, share: float | None = None) -> Model:
     """Learn embeddings and softmax of each head together.
 
-    One class gives a constant model, no rows one that says `unknown`.
+    One class gives a constant model, no rows one that says `unknown`. share: how often label 1 is
+    in the rows that the sample stands for; heads that average over whole texts are set to it, as
+    their probabilities are otherwise those of the sample, which may hold more of the rarer class.
     """
     features = Features(buckets, fold_case)
     vocabulary: dict[str, int] = {}
@@ -172,7 +174,11 @@ def fit(texts: list[str | None], labels: list[int], heads: list[Head], *, bucket
     learnt = [(_windows if head.window else _averages)(docs, y, flat, starts, known, head, dim, batch, np.random.default_rng(seed)) for head in heads]
     weight = np.stack([w for w, _ in learnt], axis=1)
     weight[~known] = 0
-    return Model(buckets, fold_case, list(heads), weight, np.array([b for _, b in learnt]))
+    bias = np.array([b for _, b in learnt])
+    if share is not None:
+        odds = lambda p: np.log(p / (1 - p))
+        bias += np.where([h.window == 0 for h in heads], odds(share) - odds(y.mean()), 0.0)
+    return Model(buckets, fold_case, list(heads), weight, bias)
 
 
 def best_heads(texts: list[str | None], labels: list[int], heads: list[Head], threshold: float, **options) -> list[Head]:

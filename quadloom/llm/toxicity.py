@@ -29,8 +29,8 @@ THRESHOLD = 0.3
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, per_class: int = PER_CLASS, heads: list[subword.Head] = HEADS) -> subword.Model:
-    texts, marks = classify.training_sample(docs, labels, "toxic", F.lit(True) if learn is None else learn, per_class)
-    model = subword.fit(texts, marks, subword.best_heads(texts, marks, heads, THRESHOLD, fold_case=True), fold_case=True, unknown=0.0)
+    texts, marks, share = classify.training_sample(docs, labels, "toxic", F.lit(True) if learn is None else learn, per_class)
+    model = subword.fit(texts, marks, subword.best_heads(texts, marks, heads, THRESHOLD, fold_case=True, share=share), fold_case=True, unknown=0.0, share=share)
     let_go()  # the driver lives on
     return model
 
