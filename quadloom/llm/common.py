@@ -6,6 +6,8 @@ import contextlib
 import ctypes
 import functools
 import gc
+import glob
+import os
 import tempfile
 
 import numpy as np
@@ -51,6 +53,27 @@ def let_go() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+@contextlib.contextmanager
+def one_thread():
+    """Run numpy's matrix products on one thread: thin ones gain nothing from more, which spin beside other work.
+
+    Left as it is where numpy comes with another library than OpenBLAS.
+    """
+    calls = []
+    for path in glob.glob(os.path.join(os.path.dirname(np.__file__), os.pardir, "numpy.libs", "*openblas*")):
+        with contextlib.suppress(OSError, AttributeError):
+            library = ctypes.CDLL(path)
+            calls.append((library.scipy_openblas_get_num_threads64_, library.scipy_openblas_set_num_threads64_))
+    before = [get() for get, _ in calls]
+    try:
+        for _, put in calls:
+            put(1)
+        yield
+    finally:
+        for (_, put), n in zip(calls, before):
+            put(n)
+
+
 def tidy(task):
     """A mapInPandas function that lets go of its memory when its partition is done."""
 

@@ -18,7 +18,7 @@ from dataclasses import dataclass, field, replace
 import numpy as np
 import xxhash
 
-from quadloom.llm.common import mix64
+from quadloom.llm.common import mix64, one_thread
 
 GRAMS = (3, 4, 5)
 CACHE_WORDS = 150_000
@@ -171,7 +171,8 @@ def fit(texts: list[str | None], labels: list[int], heads: list[Head], *, bucket
     for words in docs:
         held[np.unique(expand(np.unique(words), flat, starts)[0])] += 1
     known = held >= min(MIN_DOCS, len(docs))
-    learnt = [(_windows if head.window else _averages)(docs, y, flat, starts, known, head, dim, batch, np.random.default_rng(seed)) for head in heads]
+    with one_thread():
+        learnt = [(_windows if head.window else _averages)(docs, y, flat, starts, known, head, dim, batch, np.random.default_rng(seed)) for head in heads]
     weight = np.stack([w for w, _ in learnt], axis=1)
     weight[~known] = 0
     bias = np.array([b for _, b in learnt])
@@ -210,7 +211,15 @@ class _Learner:
         self.softmax = rng.normal(0, 0.5, (dim, 2)).astype(np.float32)
         self.bias = np.log(np.bincount(y, minlength=2) / len(y)).astype(np.float32)
         self.seen, self.seen_w = np.full(buckets, 1e-6, np.float32), np.full((dim, 2), 1e-6, np.float32)
-        self.head = head
+        self.head, self.place = head, np.zeros(buckets, np.int32)
+
+    def distinct(self, feature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As np.unique with the inverse, by marking buckets instead of sorting."""
+        mark = np.zeros(len(self.place), bool)
+        mark[feature] = True
+        ids = np.flatnonzero(mark)
+        self.place[ids] = np.arange(len(ids))
+        return ids, self.place[feature]
 
     def folded(self) -> np.ndarray:
         return self.embed @ (self.softmax[:, 1] - self.softmax[:, 0])
@@ -218,7 +227,7 @@ class _Learner:
     def step(self, epoch: int, row: np.ndarray, feature: np.ndarray, share: np.ndarray, y: np.ndarray) -> None:
         """One batch: bag row holds feature with this share of its average."""
         step = self.head.rate * (1 - epoch / self.head.epochs) + 0.02
-        ids, at = np.unique(feature, return_inverse=True)
+        ids, at = self.distinct(feature)
         bags = np.zeros((len(y), len(ids)), np.float32)
         if self.head.window:  # a window's features repeat, an average's don't
             np.add.at(bags, (row, at), share)
