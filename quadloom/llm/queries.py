@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadloom.llm import chat_tree, hash_forest, html_main, jaccard, mixing, packing, quality, repetition, token_tree, toxicity
+from quadloom.llm import chat_tree, hash_forest, html_main, jaccard, mixing, packing, quality, repetition, token_tree, toxicity, variants
 from quadloom.llm.common import crc_bucket, table
 
 
@@ -83,6 +85,10 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.joined(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.grouped(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_toxicity": op2_toxicity,
@@ -94,6 +100,7 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_repetition": op9_repetition,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 
 _ESCAPED_LENGTH = r"""length(regexp_replace(replace({0}, '\', '\\'), '(<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>)', '\1+', 'g'))"""
@@ -113,4 +120,40 @@ WITH t AS (
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM c
 """
 
-ORACLES: dict[str, str] = {"op8_chat_formatting": OP8_SQL}
+_UPPER, _LOWER = string.ascii_uppercase, string.ascii_lowercase
+
+#: crc32 by its table, whose 256 entries follow from the polynomial; near words by wildcards and by one letter left out.
+OP12_SQL = rf"""
+WITH RECURSIVE steps AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)
+), runs AS (
+  SELECT id, run, count(*) AS k FROM (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(unnest(regexp_extract_all(text, '{variants.RUN}')), '{_UPPER}', '{_LOWER}') AS run FROM documents
+  ) WHERE length(run) >= 5 GROUP BY ALL
+), bytes AS (
+  SELECT run, k, list_transform(range(strlen(id || ':' || run)), lambda i: CAST(('0x' || substr(hex(encode(id || ':' || run)), 2 * i + 1, 2)) AS BIGINT)) AS b FROM runs
+), hashed AS (
+  SELECT run, k, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM bytes, steps
+), words AS (
+  SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, k FROM hashed
+  ) WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3
+), spots AS (
+  SELECT word, n, pos, substr(word, 1, pos - 1) AS prefix, substr(word, pos + 1) AS suffix FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS pos FROM words)
+), pairs AS (
+  SELECT a.word, b.word AS other, b.n FROM spots a JOIN spots b ON a.pos = b.pos AND a.prefix = b.prefix AND a.suffix = b.suffix AND a.word <> b.word
+  UNION SELECT s.word, w.word, w.n FROM spots s JOIN words w ON w.word = s.prefix || s.suffix
+  UNION SELECT w.word, s.word, s.n FROM spots s JOIN words w ON w.word = s.prefix || s.suffix
+), best AS (
+  SELECT word, count(*) OVER (PARTITION BY word) AS n_near, other, n AS other_n, row_number() OVER (PARTITION BY word ORDER BY n DESC, other) AS r FROM pairs
+), forms AS (
+  SELECT w.word, CASE WHEN b.other_n >= 2 * w.n THEN b.other END AS form, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.other_n >= 2 * w.n THEN b.other_n END AS form_n
+  FROM words w LEFT JOIN best b ON b.word = w.word AND b.r = 1
+), path AS (
+  SELECT word, word AS pos FROM forms UNION ALL SELECT p.word, f.form FROM path p JOIN forms f ON f.word = p.pos WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, p.pos AS root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n
+FROM forms f JOIN path p ON p.word = f.word JOIN forms l ON l.word = p.pos AND l.form IS NULL
+"""
+
+ORACLES: dict[str, str] = {"op8_chat_formatting": OP8_SQL, "op12_spelling_variants": OP12_SQL}
