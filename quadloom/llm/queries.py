@@ -7,7 +7,7 @@ import string
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadloom.llm import chat_tree, hash_forest, html_main, jaccard, mixing, packing, quality, repetition, token_tree, toxicity, variants
+from quadloom.llm import chat_tree, hash_forest, html_main, jaccard, mixing, packing, quality, repeats, repetition, token_tree, toxicity, variants
 from quadloom.llm.common import crc_bucket, table
 
 
@@ -85,6 +85,10 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.joined(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
+def op11_run_length_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("spans")
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.grouped(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -100,6 +104,7 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_repetition": op9_repetition,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_run_length_dedup": op11_run_length_dedup,
     "op12_spelling_variants": op12_spelling_variants,
 }
 
@@ -156,4 +161,32 @@ SELECT f.word, f.form, p.pos AS root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f
 FROM forms f JOIN path p ON p.word = f.word JOIN forms l ON l.word = p.pos AND l.form IS NULL
 """
 
-ORACLES: dict[str, str] = {"op8_chat_formatting": OP8_SQL, "op12_spelling_variants": OP12_SQL}
+#: Every string of 100 bytes, in hexadecimal; islands of those that start earlier; what lies between the islands.
+OP11_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS x FROM documents
+), windows AS (
+  SELECT doc_id, i, md5_number(substr(x, 2 * i + 1, 200)) AS w FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 99)) AS i FROM d)
+), firsts AS (
+  SELECT w, min((doc_id, i)) AS f FROM windows GROUP BY w HAVING count(*) > 1
+), marked AS (
+  SELECT doc_id, i FROM windows JOIN firsts USING (w) WHERE (doc_id, i) > f
+), islands AS (
+  SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM (
+    SELECT doc_id, i, sum(CASE WHEN i <= before + 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS k
+    FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM marked)
+  ) GROUP BY doc_id, k
+), gaps AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM islands
+  UNION ALL SELECT d.doc_id, coalesce(max(i.b), 0), max(length(d.x) // 2) FROM d LEFT JOIN islands i ON i.doc_id = d.doc_id GROUP BY d.doc_id
+), kept AS (
+  SELECT g.doc_id, string_agg(substr(d.x, 2 * g.a + 1, 2 * (g.b - g.a)), '' ORDER BY g.a) AS x FROM gaps g JOIN d ON d.doc_id = g.doc_id GROUP BY g.doc_id
+), spans AS (
+  SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM islands GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(length(d.x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(s.n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(s.n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(k.x)) AS kept_sha256
+FROM d JOIN kept k ON k.doc_id = d.doc_id LEFT JOIN spans s ON s.doc_id = d.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op8_chat_formatting": OP8_SQL, "op11_run_length_dedup": OP11_SQL, "op12_spelling_variants": OP12_SQL}
