@@ -14,8 +14,10 @@ article parts have too (discussion, related, notice, share) are only doubts: suc
 container and no sibling, hands no points on to those above it, and inside the container it goes if the score agrees, which is to say
 that a third of it is links or its blocks earn less than half of what the others earn.
 
-Defined results: null, empty and text-free pages give an empty text; a page whose every block lies
-in named parts keeps them (but for comments); very long pages are read whole, in one pass; elements
+Defined results: null, empty and text-free pages give an empty text, and so does a page that is all
+menus, sidebars, adverts and the like; a page whose every other block lies in parts named as overlays
+keeps those; very long and very deeply nested pages are read whole, in time that grows with their
+length: sums go from the leaves to the root once, flags from the root to the leaves once; elements
 that tie in score: the one whose first block comes first, outer before inner; repeated rows are
 treated alike; an empty table gives no rows; extra columns pass through, but for those of the
 result's names (text, n_chars), which the result replaces.
@@ -61,14 +63,16 @@ COMMENTS = frozenset("comment comments commentlist disqus respond".split())
 #: A name made of these only is that of the article; one with a word of STATES tells of something else on the page.
 KEEP = frozenset("article content main post entry story page body".split())
 STATES = frozenset("has with no without is open closed on off enabled disabled".split())
-DOUBT, NAMED, COMMENT = 1, 2, 3
+#: Names of parts that may hold all of a page.
+WRAPS = frozenset("overlay modal popup".split())
+DOUBT, WRAP, NAMED, COMMENT = 1, 2, 3, 4
 #: An end tag of one of these doesn't close elements outside of the nearest one of these.
 SCOPES = frozenset("html body table td th article section main".split())
 WHOLE = ("article", "main")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "cut", "linked", "inside", "hint", "whole", "points", "own", "blocks", "chars", "link_chars")
+    __slots__ = ("tag", "parent", "cut", "linked", "inside", "hint", "whole", "points", "own", "blocks", "chars", "link_chars", "inline", "block", "scope", "open", "doubtful", "worst")
 
     def __init__(self, tag: str, parent: _Node | None, cut: bool, hint: int):
         self.tag, self.parent, self.hint = tag, parent, hint
@@ -77,6 +81,11 @@ class _Node:
         self.inside = tag in WHOLE or (parent is not None and parent.inside)
         self.whole = False  # it holds an article or main element
         self.points, self.own, self.blocks, self.chars, self.link_chars = 0.0, 0.0, 0, 0, 0
+        self.inline = tag in INLINE
+        self.block = parent.block if self.inline and parent is not None else self  # the innermost one that isn't inline
+        self.scope = parent.scope if parent is not None and tag not in SCOPES else self
+        self.open: dict[str, list[_Node]] | None = None  # open elements by tag: of a scope, those in it; of a block, its inline ones
+        self.doubtful, self.worst = False, 0
 
     def up(self) -> Iterator[_Node]:
         node = self
@@ -106,7 +115,7 @@ def _hint(attributes: dict[str, str], inside: bool) -> int:
         if KEEP.issuperset(words):
             return 0
         if (NAMES - OUTSIDE if inside else NAMES).intersection(words) and not ({"article", "entry", "post"}.intersection(words) and OUTSIDE.intersection(words)):
-            found = NAMED
+            found = max(found, WRAP if WRAPS.issuperset(NAMES.intersection(words)) else NAMED)
         elif DOUBTS.intersection(words):
             found = max(found, DOUBT)
     return found
@@ -127,22 +136,28 @@ def _open(tag: str, rest: str, parent: _Node) -> _Node:
     node = _Node(tag, parent, cut, hint)
     if tag in WHOLE and not node.cut:
         for up in parent.up():
+            if up.whole:
+                break
             up.whole = True
     return node
 
 
-def _parse(page: str) -> list[tuple[_Node, str, int]]:
-    """Blocks in page order: the innermost block element, its text, and how much of it is linked."""
+def _parse(page: str) -> tuple[list[_Node], list[tuple[_Node, str, int]]]:
+    """Elements in page order, and blocks: the innermost block element, its text, and how much of it is linked.
+
+    What is open is looked up by tag, in the innermost scope or block, so no end tag walks up the tree.
+    """
     root = _Node("#root", None, False, 0)
-    top, blocks, text, linked = root, [], [], 0
+    top, nodes, blocks, text, linked = root, [root], [], [], 0
+    scopes: dict[str, list[_Node]] = {}  # open elements of SCOPES, and svg, by tag
+    endless: set[str] = set()
 
     def flush() -> None:
         nonlocal linked
         if text:
             whole = " ".join("".join(text).split())
             if whole:
-                owner = next(x for x in top.up() if x.tag not in INLINE)
-                blocks.append((owner, whole, linked))
+                blocks.append((top.block, whole, linked))
             text.clear()
         linked = 0
 
@@ -154,6 +169,25 @@ def _parse(page: str) -> list[tuple[_Node, str, int]]:
             if top.linked:
                 linked += len(piece.strip())
 
+    def books(node: _Node) -> list[dict[str, list[_Node]]]:
+        """Where an open element is entered."""
+        out = []
+        if node.tag in SCOPES or node.tag == "svg":
+            out.append(scopes)
+        for holder in {id(x): x for x in ((node.parent.scope,) if node.tag not in SCOPES else ()) + ((node.block,) if node.inline else ())}.values():
+            if holder.open is None:
+                holder.open = {}
+            out.append(holder.open)
+        return out
+
+    def close_to(node: _Node) -> None:
+        """Close what is open inside node; each element is closed once."""
+        nonlocal top
+        while top is not node:
+            for book in books(top):
+                book[top.tag].pop()
+            top = top.parent
+
     at, n = 0, len(page)
     while at < n:
         found = _TOKEN.search(page, at)
@@ -171,45 +205,46 @@ def _parse(page: str) -> list[tuple[_Node, str, int]]:
             continue
         if ends:
             if tag in INLINE:
-                node = top
-                while node.tag in INLINE and node.tag != tag:
-                    node = node.parent
-                if node.tag == tag:
-                    top = node.parent
+                # Of the inline elements that are open in this block; a block inside them hides them.
+                if top.inline and (mine := (top.block.open or {}).get(tag)) and mine[-1].block is top.block:
+                    close_to(mine[-1].parent)
                 continue
-            node = top
-            while node.parent is not None and node.tag != tag and node.tag not in SCOPES:
-                node = node.parent
-            if node.tag != tag and tag in SCOPES:
-                node = next((x for x in top.up() if x.tag == tag), root)
-            if node.tag == tag:
+            held = scopes.get(tag) if tag in SCOPES else (top.scope.open or {}).get(tag)
+            if held:
+                flush()
+                close_to(held[-1].parent)
+            elif tag in SCOPES and tag == root.tag:
                 flush()
-                top = node.parent
             continue
         if tag in VOID:
             continue
         if tag in RAW:
             if not rest.endswith("/"):
-                close = re.compile(rf"</{tag}\s*(?:>|\Z)", re.I).search(page, at)
-                at = close.end() if close else max(at, page.find("<", at)) if tag in SHORT and "<" in page[at:] else n
+                close = None if tag in endless else re.compile(rf"</{tag}\s*(?:>|\Z)", re.I).search(page, at)
+                if close:
+                    at = close.end()
+                else:
+                    endless.add(tag)
+                    at = max(at, found_at) if tag in SHORT and (found_at := page.find("<", at)) >= 0 else n
             continue
         if tag in CUT and rest.endswith("/"):  # <svg/>: nothing inside
             continue
         if top.tag == "head":  # what isn't raw or void can't be in it: its end tag is missing
-            top = top.parent
+            close_to(top.parent)
         if tag not in INLINE:
             flush()
-            inline = top
-            while inline.tag in INLINE:
-                inline = inline.parent
-            if inline.tag == "p" or inline.tag == tag and tag in ("li", "td", "th", "tr", "dd", "dt", "option") or inline.tag[0] == "h" and inline.tag[1:].isdigit():
-                inline = inline.parent
-            top = inline
-            if tag in _BREAKS:  # HTML ends an svg that was left open
-                top = next((x.parent for x in top.up() if x.tag == "svg"), top)
+            block = top.block
+            if block.tag == "p" or block.tag == tag and tag in ("li", "td", "th", "tr", "dd", "dt", "option") or block.tag[0] == "h" and block.tag[1:].isdigit():
+                block = block.parent
+            close_to(block)
+            if tag in _BREAKS and (drawn := scopes.get("svg")):  # HTML ends an svg that was left open
+                close_to(drawn[-1].parent)
         top = _open(tag, rest, top)
+        nodes.append(top)
+        for book in books(top):
+            book.setdefault(tag, []).append(top)
     flush()
-    return blocks
+    return nodes, blocks
 
 
 _BREAKS = frozenset("body blockquote dd div dl dt h1 h2 h3 h4 h5 h6 hr li ol p pre table ul article section main nav header footer aside".split())
@@ -221,33 +256,46 @@ def points_of(text: str) -> float:
     return text.count(",") + text.count("，") + min(len(text) / 100, 3)
 
 
+#: So many elements above a block get a share of its points; what one further up would get is under a fiftieth.
+LEVELS = 16
+
+
 def share(level: int) -> float:
     """What of a block's points an element gets that stands so far above its parent (0: the parent)."""
     return 1 / (1 if level == 0 else 2 if level == 1 else 3 * level)
 
 
-def _best(blocks: list[tuple[_Node, str, int]]) -> _Node | None:
-    seen: dict[int, _Node] = {}
+def _best(nodes: list[_Node], blocks: list[tuple[_Node, str, int]]) -> _Node | None:
     for node, text, linked in blocks:
         points = points_of(text)
-        for up in node.up():
-            up.chars += len(text)
-            up.link_chars += linked
-            up.own += points
-            up.blocks += 1
-        start = node.parent if node.tag in _LEAVES and node.parent is not None else node
-        path = list(start.up())
-        for level, up in enumerate(path):
-            if up.tag in ("#root", "html"):
+        node.chars += len(text)
+        node.link_chars += linked
+        node.own += points
+        node.blocks += 1
+        up = node.parent if node.tag in _LEAVES and node.parent is not None else node
+        for level in range(LEVELS):
+            if up is None or up.tag in ("#root", "html"):
                 break
             up.points += points * share(level)
             if _doubted(up):
                 break
-        if not any(_doubted(x) for x in path):
-            for up in reversed(path):
-                seen.setdefault(id(up), up)
-    found = [x for x in seen.values() if x.tag not in ("#root", "html")]
-    return max(found, key=lambda x: x.points * (1 - x.density()), default=None)
+            up = up.parent
+    for node in reversed(nodes):  # children come after their parents
+        if (up := node.parent) is not None:
+            up.chars += node.chars
+            up.link_chars += node.link_chars
+            up.own += node.own
+            up.blocks += node.blocks
+    seen: set[int] = set()
+    found: list[_Node] = []
+    for node, _, _ in blocks:
+        up, new = node.parent if node.tag in _LEAVES and node.parent is not None else node, []
+        while up is not None and not up.doubtful and id(up) not in seen:
+            seen.add(id(up))
+            new.append(up)
+            up = up.parent
+        found += reversed(new)
+    return max((x for x in found if x.tag not in ("#root", "html")), key=lambda x: x.points * (1 - x.density()), default=None)
 
 
 def _doubted(node: _Node) -> bool:
@@ -264,21 +312,36 @@ def extract(page: str | None) -> str:
     """Main text of a page, one block a line."""
     if not page:
         return ""
-    every = _parse(page.replace("\0", ""))
-    blocks = [b for b in every if not any(x.hint == NAMED and not x.whole for x in b[0].up())] or every
-    best = _best(blocks)
+    nodes, blocks = _parse(page.replace("\0", ""))
+    for node in nodes:
+        up = node.parent
+        node.doubtful = _doubted(node) or up is not None and up.doubtful
+        node.worst = max(0 if node.whole or node.hint == DOUBT else node.hint, up.worst if up is not None else 0)
+    blocks = [b for b in blocks if b[0].worst < WRAP] or [b for b in blocks if b[0].worst < NAMED]
+    best = _best(nodes, blocks)
     if best is None:
         return "\n".join(b[1] for b in blocks)
     best = next((x for x in best.up() if x.tag in WHOLE and x.density() < 0.5), best)
+    # From the root down: whether an element is in best, in a doubted part of it that goes, or in a sibling of best.
+    inside, gone, beside = {id(best)}, set(), {}
+    for node in nodes:
+        up = id(node.parent)
+        if up in inside:
+            inside.add(id(node))
+            if up in gone or _doubted(node) and _agrees(node, best):
+                gone.add(id(node))
+        elif node is not best and node.parent is not None:
+            if node.parent is best.parent:
+                beside[id(node)] = node
+            elif up in beside:
+                beside[id(node)] = beside[up]
     kept = []
     for node, text, linked in blocks:
-        path = list(node.up())
-        at = next((k for k, x in enumerate(path) if x is best), None)
-        if at is not None:
-            if not any(_doubted(x) and _agrees(x, best) for x in path[:at]):
+        if id(node) in inside:
+            if id(node) not in gone:
                 kept.append(text)
             continue
-        sibling = next((x for x in path if x.parent is best.parent), None) if best.parent is not None else None
+        sibling = beside.get(id(node))
         if sibling is None or _doubted(sibling) or best.tag in WHOLE and sibling.tag != best.tag:
             continue
         density = sibling.density()

@@ -2,6 +2,7 @@
 
 import html
 import random
+import time
 
 from quadloom.llm import html_main
 
@@ -44,6 +45,21 @@ def test_wrappers_and_pages_made_of_named_parts():
     assert html_main.extract(f'<body><div class="comments"><p>{P}</p></div></body>') == ""
 
 
+def test_pages_of_sidebars_only():
+    for name in ("sidebar", "ads", "newsletter", "site-footer", "main-nav", "cookie-overlay"):
+        assert html_main.extract(f'<body><div class="{name}"><p>Cheap ads here</p><div><p>{P}</p></div></div></body>') == ""
+
+
+def test_deep_nesting_takes_linear_time():
+    n = 100_000
+    pages = ["<div>some text, here " * n, "<div>some text, here " + "<div>" * n + "</span>" * n, "<b>" * n + "</i>" * n + "some text, here", "<article>" * n + "some text, here", "<div>" * n + "</section></p></td>" * n, "<title>x" * n, "<svg>" + "<div>" * n + "x"]
+    for page in pages:
+        began = time.process_time()
+        html_main.extract(page)
+        assert time.process_time() - began < 20
+    assert html_main.extract(pages[0]).count("some text, here") >= 1 and html_main.extract(pages[3]) == "some text, here"
+
+
 def test_broken_pages():
     assert html_main.extract(f"<html><head><title>Unclosed<body><article><p>{P}</article>") == P
     assert html_main.extract(f'<article><p>{P}<svg><path d="x"/><text>No</text><p>{P}</article>') == f"{P}\n{P}"
@@ -94,7 +110,7 @@ def plain(body):
     blocks = [b for b in blocks if not any(x.name == "comments" for x in path(b[0]))]
     holds = lambda e: any(x.tag == "article" and e in up[id(x)] for x in every)
     every = [e for b in blocks for e in path(b[0])]
-    blocks = [b for b in blocks if not any(x.name == "ads" and not holds(x) for x in path(b[0]))] or blocks
+    blocks = [b for b in blocks if not any(x.name == "ads" and not holds(x) for x in path(b[0]))]
     doubted = lambda e: e.name == "related" and not holds(e)
     points = lambda text: text.count(",") + min(len(text) / 100, 3)
     under = lambda e: [b for b in blocks if e in path(b[0])]
