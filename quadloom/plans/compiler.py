@@ -2,13 +2,19 @@
 
 A solution sequence is a Solutions: a DataFrame with one term column a variable, and the set of
 variables bound in every row. Shared variables bound on both sides join by plain equality, so Spark
-picks broadcast, sort-merge or shuffled hash joins; only a variable that may be unbound needs the
-slower "equal or unbound" condition. Variables that come from a mapped table keep its column beside
+picks broadcast, sort-merge or shuffled hash joins. Where a shared variable may be unbound, both
+sides are split by which of these variables they bind, and each pair of parts joins by equality of
+what both bind; no join compares row with row.
+
+An EXISTS whose group needs variables of the row anywhere inside is decorrelated: the distinct
+values that the rows bind to them are joined into the group wherever it begins, each with its own
+mark, and the rows meet the marks that are left. Variables that come from a mapped table keep its column beside
 the term (hidden), and joins, groups and comparisons use that where both sides have one.
 """
 
 from __future__ import annotations
 
+import copy
 import itertools
 from dataclasses import dataclass, field, replace
 
@@ -82,6 +88,7 @@ class Compiler:
     def __init__(self, quads: DataFrame, graphs: Graphs = Graphs(), maps: list[Mapped] | None = None):
         """maps: the tables of which quads is made, if it is made of mapped tables and nothing else."""
         self.quads, self.spark, self.graphs, self.maps = quads, quads.sparkSession, graphs, maps or []
+        self.seed: Solutions | None = None  # inside an EXISTS: its mark and what the rows bind
 
     # --- queries
     def select(self, q: Query, graphs: Graphs | None = None) -> Solutions:
@@ -236,29 +243,44 @@ class Compiler:
             return self._graph(node[1], node[2], graphs)
         if kind == "values":
             return self._values(node[1], node[2])
-        if kind == "sub":
-            return self.select(node[1], graphs)
+        if kind == "sub":  # what it doesn't project is its own
+            return self._seeded_by(None).select(node[1], graphs)
         raise SparqlError(f"unknown pattern {kind}")
 
     def _group(self, items: list[tuple], graphs: Graphs) -> Solutions:
-        out, filters = None, []
+        out, filters, begun = None, [], self.seed is None
+
+        def start() -> Solutions:
+            """What there is so far, or one empty row; met with the seed if it wasn't yet."""
+            nonlocal begun
+            if begun:
+                return out or self._unit()
+            begun = True
+            return self.seed if out is None else self.join(out, self.seed)
+
         for item in items:
             kind = item[0]
             if kind == "filter":
                 filters.append(item[1])
             elif kind == "optional":
-                out = self._optional(out or self._unit(), item[1], graphs)
+                left = start()
+                out = self._narrowed(left, item[1], True)._optional(left, item[1], graphs)
             elif kind == "minus":
-                out = self._minus(out or self._unit(), self.pattern(item[1], graphs))
+                left = start()
+                out = self._minus(left, self._narrowed(left, item[1]).pattern(item[1], graphs), set(left.vars) & variables(inside(item[1], "bgp") + inside(item[1], "values") + inside(item[1], "sub") + inside(item[1], "bind")))
             elif kind == "bind":
-                out = out or self._unit()
+                out = start()
                 if item[1] in out.vars:
                     raise SparqlError(f"?{item[1]} is already in scope")
                 out = Solutions(out.df.withColumn(item[1], out.expressions()(item[2]).term()), [*out.vars, item[1]], out.bound, out.hidden)
             else:
-                right = self.pattern(item, graphs)
+                inner = self
+                if self.seed is not None and kind not in ("bgp", "values", "sub"):
+                    out = start()
+                    inner = self._narrowed(out, item)
+                right = inner.pattern(item, graphs)
                 out = right if out is None else self.join(out, right)
-        out = out or self._unit()
+        out = start()
         for e in filters:
             out = self._filter(out, e, graphs)
         return out
@@ -271,29 +293,70 @@ class Compiler:
             return self._filter(self._filter(out, e[1], graphs), e[2], graphs)
         if e[0] == "exists" or e[0] == "not" and e[1][0] == "exists":
             inner = e if e[0] == "exists" else e[1]
-            right, conditions = self._correlated(out, inner[1], graphs)
-            return replace(out, df=self._semi(out, right, "left_anti" if inner[2] != (e[0] == "not") else "left_semi", False, conditions))
+            return replace(out, df=self._existing(out, inner[1], graphs, "left_anti" if inner[2] != (e[0] == "not") else "left_semi"))
         if inside(e, "exists"):
             return self._flagged(out, e, graphs)
         return replace(out, df=out.df.filter(out.expressions()(e).truth()))
 
-    def _correlated(self, out: Solutions, group: tuple, graphs: Graphs) -> tuple[Solutions, list[tuple]]:
-        """The group of an EXISTS, and those of its filters that need variables of the row it is asked for."""
+    def _seeded_by(self, seed: Solutions | None) -> Compiler:
+        if seed is self.seed:
+            return self
+        other = copy.copy(self)
+        other.seed = seed
+        return other
+
+    def _narrowed(self, left: Solutions, node: tuple, own_filters_apart: bool = False) -> Compiler:
+        """For a group inside a seeded one: no seed if nothing in it asks for what the rows bind, else one with what left binds.
+
+        Only what the group binds itself is added to the seed, so none of its filters sees more than before.
+        """
+        if self.seed is None:
+            return self
+        parts = [i for i in node[1] if i[0] != "filter" or inside(i, "exists")] if own_filters_apart else node
+        if not variables(inside(parts, "filter") + inside(parts, "bind")) & set(self.seed.vars):
+            return self._seeded_by(None)
+
+        def binds(x: tuple) -> set[str]:
+            if x[0] == "group":
+                return set().union(*[variables(i[1]) for i in x[1] if i[0] == "bgp"])
+            return binds(x[1]) & binds(x[2]) if x[0] == "union" else binds(x[2]) if x[0] == "graph" else variables(x[1]) if x[0] == "bgp" else set()
+
+        names = [*self.seed.vars, *sorted((left.bound & binds(node)) - set(self.seed.vars))]
+        return self._seeded_by(Solutions(left.df.select(*[F.col(f"`{v}`") for v in names]).distinct(), names, left.bound & set(names)))
+
+    def _existing(self, out: Solutions, group: tuple, graphs: Graphs, how: str) -> DataFrame:
+        """Rows of out for which the group of an EXISTS has a solution, or has none."""
+        alone = self._seeded_by(None)
+        simple = alone._correlated(out, group, graphs)
+        if simple is not None:
+            return alone._semi(out, simple[0], how, None, simple[1])
+        used, mark = [v for v in out.vars if v in variables(group)], f"_mark{next(_fresh)}"
+        rows = checkpointed(out.df.select(*[F.col(f"`{v}`") for v in used]).distinct().withColumn(mark, F.monotonically_increasing_id()))
+        seed = Solutions(rows, [mark, *used], {mark} | (out.bound & set(used)))
+        found = self._seeded_by(seed)._group(group[1], graphs).df.select(mark).distinct()
+        # Back to what the rows bind, unbound being equal to unbound.
+        hit, names = self._renamed(Solutions(rows.join(found, mark, "left_semi"), used, set()), used)
+        same = F.lit(True)
+        for v in used:
+            same = same & F.col(f"`{v}`").eqNullSafe(F.col(f"`{names[v]}`"))
+        return out.df.join(hit, same, how)
+
+    def _correlated(self, out: Solutions, group: tuple, graphs: Graphs) -> tuple[Solutions, list[tuple]] | None:
+        """The group of an EXISTS, and those of its filters that need variables of the row; None if more of it needs them."""
         plain = [i for i in group[1] if i[0] != "filter"]
+        if variables([inside(i, "filter") + inside(i, "bind") for i in plain]) & set(out.vars):
+            return None
         right, conditions = self._group(plain, graphs), []
         outer = set(out.vars) - set(right.vars)
-        deep = variables([inside(i, "filter") + inside(i, "bind") for i in plain])
-        if deep & outer:
-            raise SparqlError(f"?{sorted(deep & outer)[0]} of the row is used too deep inside an EXISTS")
         todo = [i[1] for i in group[1] if i[0] == "filter"]
         while todo:
             e = todo.pop()
             if e[0] == "and":
                 todo += e[1:]
+            elif inside(e, "exists") and variables(e) & set(out.vars):
+                return None
             elif not variables(e) & outer:
                 right = self._filter(right, e, graphs)
-            elif inside(e, "exists"):
-                raise SparqlError("an EXISTS in an EXISTS can't use variables of the outer row")
             else:
                 conditions.append(e)
         return right, conditions
@@ -304,8 +367,7 @@ class Compiler:
         base = replace(out, df=checkpointed(out.df.withColumn(row, F.monotonically_increasing_id())))
         df = base.df
         for k, found in enumerate({repr(x): x for x in inside(e, "exists")}.values()):
-            right, conditions = self._correlated(base, found[1], graphs)
-            hit = self._semi(base, right, "left_semi", False, conditions).select(row, F.lit(True).alias(f"{row}_{k}"))
+            hit = self._existing(base, found[1], graphs, "left_semi").select(row, F.lit(True).alias(f"{row}_{k}"))
             df = df.join(hit, row, "left")
             flags[repr(found)] = F.coalesce(F.col(f"{row}_{k}"), F.lit(False)) != F.lit(found[2])
         return replace(out, df=df.filter(out.expressions(flags=flags)(e).truth()).select(*[F.col(f"`{c}`") for c in out.df.columns]))
@@ -317,35 +379,57 @@ class Compiler:
         return out.df.select(*[F.col(f"`{v}`").alias(names.get(v, v)) for v in out.vars], *[F.col(f"`{c}`").alias(x) for c, x in hidden.items()]), names
 
     def _condition(self, a: Solutions, b: Solutions, shared: list[str], names: dict[str, str]) -> Column:
+        """Equality of shared variables, all bound on both sides; of the columns behind them where both have those."""
         cond = F.lit(True)
         for v in shared:
-            x, y = F.col(f"`{v}`"), F.col(f"`{names[v]}`")
-            same = x == y
-            if v in a.bound and v in b.bound:
-                g, h = a.hidden.get(v), b.hidden.get(v)
-                if g and h and (g.kind, g.of) == (h.kind, h.of) and g.kind in ("key", "string", "long"):
-                    same = F.col(f"`{g.column}`") == F.col(f"`{names[v].removesuffix(v)[:-1]}{h.column}`")
-            if v not in a.bound:
-                same = same | x.isNull()
-            if v not in b.bound:
-                same = same | y.isNull()
+            same = F.col(f"`{v}`") == F.col(f"`{names[v]}`")
+            g, h = a.hidden.get(v), b.hidden.get(v)
+            if g and h and (g.kind, g.of) == (h.kind, h.of) and g.kind in ("key", "string", "long"):
+                same = F.col(f"`{g.column}`") == F.col(f"`{names[v].removesuffix(v)[:-1]}{h.column}`")
             cond = cond & same
         return cond
 
+    def _perhaps(self, a: Solutions, b: Solutions) -> list[str]:
+        """Shared variables that may be unbound on a side."""
+        return [v for v in a.vars if v in b.vars and not (v in a.bound and v in b.bound)]
+
+    def _parts(self, s: Solutions, perhaps: list[str]) -> list[Solutions]:
+        """s by which of these variables its rows bind; those that a part doesn't bind are no variables of it."""
+        parts = [replace(s.visible(), bound=set(s.bound))]
+        for v in perhaps:
+            if v in s.bound:
+                continue
+            parts = [
+                part
+                for x in parts
+                for part in (
+                    Solutions(x.df.filter(F.col(f"`{v}`").isNotNull()), x.vars, x.bound | {v}),
+                    Solutions(x.df.filter(F.col(f"`{v}`").isNull()).drop(v), [w for w in x.vars if w != v], x.bound),
+                )
+            ]
+        return parts
+
+    def _with(self, df: DataFrame, has: list[str], every: list[str]) -> DataFrame:
+        return df.select(*[F.col(f"`{v}`") if v in has else F.lit(None).cast(T.TERM).alias(v) for v in every])
+
     def join(self, a: Solutions, b: Solutions) -> Solutions:
         shared = [v for v in a.vars if v in b.vars]
         every = [*a.vars, *[v for v in b.vars if v not in a.vars]]
+        if perhaps := self._perhaps(a, b):
+            out = None
+            for x in self._parts(a, perhaps):
+                for y in self._parts(b, perhaps):
+                    met = self.join(x, y)
+                    df = self._with(met.df, met.vars, every)
+                    out = df if out is None else out.unionByName(df)
+            return Solutions(out, every, a.bound | b.bound)
         hidden = {v: h for v, h in b.hidden.items() if v not in a.vars} | a.hidden
         kept = [F.col(f"`{h.column}`") for h in hidden.values()]
         if not shared:
             return Solutions(a.df.crossJoin(b.df), every, a.bound | b.bound, hidden)
         right, names = self._renamed(b, shared)
         df = a.df.join(right, self._condition(a, b, shared, names))
-        if all(v in a.bound and v in b.bound for v in shared):
-            return Solutions(df.select(*[F.col(f"`{v}`") for v in every], *kept), every, a.bound | b.bound, hidden)
-        hidden = {v: h for v, h in hidden.items() if v in a.bound or v not in shared}
-        kept = [F.col(f"`{h.column}`") for h in hidden.values()]
-        return Solutions(df.select(*[F.coalesce(F.col(f"`{v}`"), F.col(f"`{names[v]}`")).alias(v) if v in names else F.col(f"`{v}`") for v in every], *kept), every, a.bound | b.bound, hidden)
+        return Solutions(df.select(*[F.col(f"`{v}`") for v in every], *kept), every, a.bound | b.bound, hidden)
 
     def _optional(self, a: Solutions, group: tuple, graphs: Graphs) -> Solutions:
         """Left join; FILTERs of the optional group are its condition, so they see both sides."""
@@ -353,7 +437,6 @@ class Compiler:
         plain = [i for i in items if i[0] != "filter" or i[1][0] == "exists"]
         conditions = [i[1] for i in items if i[0] == "filter" and i[1][0] != "exists"]
         b = self._group(plain, graphs)
-        shared = [v for v in a.vars if v in b.vars]
         every = [*a.vars, *[v for v in b.vars if v not in a.vars]]
         own = []
         for e in conditions:  # what only the group's own variables decide is decided before the join
@@ -361,37 +444,72 @@ class Compiler:
                 b = self._filter(b, e, graphs)
             else:
                 own.append(e)
+        if perhaps := self._perhaps(a, b):
+            out = None
+            for x in self._parts(a, perhaps):
+                for y in self._parts(b, perhaps):
+                    met, alone = self._left(x, y, own, "inner"), self._left(x, y, own, "left_anti")
+                    df = self._with(met.df, met.vars, every)
+                    out = df if out is None else out.unionByName(df)
+                    x = replace(x, df=alone.df)
+                out = out.unionByName(self._with(x.df, x.vars, every))
+            return Solutions(out, every, set(a.bound))
+        return self._left(a, b, own, "left")
+
+    def _left(self, a: Solutions, b: Solutions, own: list[tuple], how: str) -> Solutions:
+        """a and b joined by equality of what they share, under conditions that may use variables of both."""
+        shared = [v for v in a.vars if v in b.vars]
+        every = [*a.vars, *[v for v in b.vars if v not in a.vars]]
         right, names = self._renamed(b, shared)
         cond = self._condition(a, b, shared, names)
-        columns = {v: F.coalesce(F.col(f"`{v}`"), F.col(f"`{names[v]}`")) if v in names and v not in a.bound else F.col(f"`{v}`") for v in every}
+        columns = {v: F.col(f"`{v}`") for v in every}
         for e in own:
-            cond = cond & Expressions(columns)(e).truth()
-        df = a.df.join(right, cond, "left")
+            # A variable that neither side has is unbound.
+            missing = {v: F.lit(None).cast(T.TERM) for v in variables(e) if v not in columns}
+            cond = cond & Expressions(columns | missing)(e).truth()
+        df = a.df.join(right, cond, how)
+        if how == "left_anti":
+            return replace(a, df=df)
         hidden = {v: h for v, h in a.hidden.items() if v in a.bound}
-        return Solutions(df.select(*[columns[v].alias(v) for v in every], *[F.col(f"`{h.column}`") for h in hidden.values()]), every, set(a.bound), hidden)
-
-    def _semi(self, a: Solutions, b: Solutions, how: str, needs_shared: bool, conditions: list[tuple] = ()) -> DataFrame:
-        """Rows of a with a partner in b, or without; conditions may use variables of both."""
+        return Solutions(df.select(*columns.values(), *[F.col(f"`{h.column}`") for h in hidden.values()]), every, set(a.bound) | (b.bound if how == "inner" else set()), hidden)
+
+    def _semi(self, a: Solutions, b: Solutions, how: str, common: set[str] | None = None, conditions: list[tuple] = ()) -> DataFrame:
+        """Rows of a with a partner in b, or without; conditions may use variables of both.
+
+        common: a partner has to bind one of these too.
+        """
+        if perhaps := self._perhaps(a, b):
+            out = None
+            place = lambda df: df.select(*[F.col(f"`{c}`") if c in df.columns else F.lit(None).cast(T.TERM).alias(c) for c in a.df.columns])
+            for x in self._parts(Solutions(a.df, a.vars, a.bound), perhaps):
+                for y in self._parts(b, perhaps):
+                    if common is not None and not common & set(x.vars) & set(y.vars):
+                        continue
+                    if how == "left_semi":
+                        hit = place(self._semi(x, y, "left_semi", None, conditions))
+                        out = hit if out is None else out.unionByName(hit)
+                    x = replace(x, df=self._semi(x, y, "left_anti", None, conditions))
+                if how == "left_anti":
+                    out = place(x.df) if out is None else out.unionByName(place(x.df))
+            return out if out is not None else a.df.limit(0)
         shared = [v for v in a.vars if v in b.vars]
-        used = [v for v in b.vars if v not in a.vars and v in variables(list(conditions))]
+        used = [v for v in b.vars if v not in a.vars and (v in variables(list(conditions)) or v in a.df.columns)]
         right, names = self._renamed(b, [*shared, *used])
         cond = self._condition(a, b, shared, names)
-        if needs_shared and not all(v in a.bound and v in b.bound for v in shared):
-            some = F.lit(False)
-            for v in shared:
-                some = some | (F.col(f"`{v}`").isNotNull() & F.col(f"`{names[v]}`").isNotNull())
-            cond = cond & some
         for e in conditions:
-            cond = cond & Expressions(a.columns() | {v: F.col(f"`{names[v]}`") for v in used})(e).truth()
+            known = a.columns() | {v: F.col(f"`{names[v]}`") for v in used}
+            missing = {v: F.lit(None).cast(T.TERM) for v in variables(e) if v not in known}
+            cond = cond & Expressions(known | missing)(e).truth()
         if not names:
             return a.df.join(right.limit(1), cond, how)
-        by_column = not used and not needs_shared and all(v in a.bound and v in b.bound and v in a.hidden and v in b.hidden for v in shared)
+        by_column = not used and common is None and all(v in a.hidden and v in b.hidden for v in shared)
         return a.df.join(right if by_column else right.distinct(), cond, how)
 
-    def _minus(self, a: Solutions, b: Solutions) -> Solutions:
-        if not set(a.vars) & set(b.vars):
-            return a
-        return replace(a, df=self._semi(a, b, "left_anti", True))
+    def _minus(self, a: Solutions, b: Solutions, common: set[str]) -> Solutions:
+        """common: the variables of a that the group of the MINUS can bind itself."""
+        if self.seed is None:
+            common = set(a.vars) & set(b.vars)
+        return replace(a, df=self._semi(a, b, "left_anti", common)) if common else a
 
     def _graph(self, g: tuple, inner: tuple, graphs: Graphs) -> Solutions:
         if g[0] == "term":
@@ -532,41 +650,60 @@ class Compiler:
         return Solutions(rows.select(*[c.alias(n) for n, c in columns.items()]), list(columns), set(columns))
 
     def _closing(self, s: tuple, p: tuple, o: tuple, graphs: Graphs, known: Solutions | None = None) -> Solutions:
-        """p+, p* and p?: distinct pairs, from a constant end or one that is bound already where there is one."""
-        if graphs.var is not None and graphs.one is None:
-            raise SparqlError("a closing path needs a named graph here, not a graph variable")
-        a, b = ("var", f"_:s{next(_fresh)}"), ("var", f"_:o{next(_fresh)}")
+        """p+, p* and p?: distinct pairs, from a constant end or one that is bound already where there is one.
+
+        Under a graph variable a node is (graph, term), so that paths stay within their graph.
+        """
+        a, b, g = ("var", f"_:s{next(_fresh)}"), ("var", f"_:o{next(_fresh)}"), graphs.var if graphs.one is None else None
         step = self._triple((a, p[1], b), graphs)
-        edges = step.df.select(F.col(f"`{a[1]}`").alias("s"), F.col(f"`{b[1]}`").alias("o"))
-        one = lambda term, name: self.spark.range(1).select(T.constant(term).alias(name))
+        node = lambda x, of=None: F.struct((F.col(f"`{g}`") if of is None else of).alias("g"), x.alias("n")) if g is not None else x
+        term = lambda x: x["n"] if g is not None else x
+        edges = step.df.select(node(F.col(f"`{a[1]}`")).alias("s"), node(F.col(f"`{b[1]}`")).alias("o"))
+
+        def one(constant: tuple, name: str) -> DataFrame:
+            """A constant as a node: of every graph."""
+            if g is None:
+                return self.spark.range(1).select(T.constant(constant).alias(name))
+            return self._scan(graphs).select(named("g").alias("of")).distinct().select(node(T.constant(constant), F.col("of")).alias(name))
+
+        def ends(name: str, as_: str) -> DataFrame | None:
+            """What is known of this end; under a graph variable, with its graph."""
+            if known is None or name not in known.bound or g is not None and g not in known.bound:
+                return None
+            return known.df.select(node(F.col(f"`{name}`")).alias(as_)).distinct()
+
         if p[0] == "maybe":
             pairs = edges
         elif s[0] == "term":
             pairs = closure(edges, one(s[1], "s"))
         elif o[0] == "term":
             pairs = closure(edges, one(o[1], "o"), backwards=True)
-        elif known is not None and s[1] in known.bound:
-            pairs = closure(edges, known.df.select(F.col(f"`{s[1]}`").alias("s")).distinct())
-        elif known is not None and o[1] in known.bound:
-            pairs = closure(edges, known.df.select(F.col(f"`{o[1]}`").alias("o")).distinct(), backwards=True)
+        elif (seeds := ends(s[1], "s")) is not None:
+            pairs = closure(edges, seeds)
+        elif (seeds := ends(o[1], "o")) is not None:
+            pairs = closure(edges, seeds, backwards=True)
         else:
             pairs = closure(edges)
         if p[0] in ("star", "maybe"):
             rows = self._scan(graphs)
-            nodes = rows.select(subject().alias("n")).unionAll(rows.select(object_().alias("n")))
+            nodes = rows.select(node(subject(), named("g")).alias("n")).unionAll(rows.select(node(object_(), named("g")).alias("n")))
             for end in (s, o):
                 if end[0] == "term":
-                    nodes = nodes.filter(F.col("n") == T.constant(end[1])).unionAll(one(end[1], "n"))
+                    nodes = nodes.filter(term(F.col("n")) == T.constant(end[1])).unionAll(one(end[1], "n"))
             pairs = pairs.unionAll(nodes.select(F.col("n").alias("s"), F.col("n").alias("o")))
         pairs = pairs.distinct()
         columns = {}
         for end, name in ((s, "s"), (o, "o")):
             if end[0] == "term":
-                pairs = pairs.filter(F.col(name) == T.constant(end[1]))
+                pairs = pairs.filter(term(F.col(name)) == T.constant(end[1]))
             elif end[1] in columns:
                 pairs = pairs.filter(F.col("s") == F.col("o"))
             else:
-                columns[end[1]] = F.col(name)
+                columns[end[1]] = term(F.col(name))
+        if g is not None:
+            if g in columns:  # the graph is an end of the path too
+                pairs = pairs.filter(columns[g] == F.col("s.g"))
+            columns[g] = F.col("s.g")
         return Solutions(pairs.select(*[c.alias(n) for n, c in columns.items()]), list(columns), set(columns))
 
     # --- templates

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quadloom.functions import terms as T
@@ -290,3 +290,86 @@ def sparql_mapped_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Compiler(shop(spark, sf_dir, tables, g), Graphs(one=g), mapped(spark, sf_dir, tables, g))
     found = c.select(parse_query("SELECT ?name ?r WHERE { ?n :n_name ?name ; :region ?x . ?x :r_name ?r FILTER(?n NOT IN (<urn:nation:0>, <urn:nation:1>, <urn:nation:2>, <urn:nation:3>, <urn:nation:4>)) }", PREFIXES))
     return to_native(found, {"name": "string", "r": "string"})
+
+
+# --- EXISTS that uses the row at any depth; joins on what may be unbound; closing paths in every graph
+
+sparql(
+    "sparql_exists_in_optional",
+    ["customer", "orders"],
+    "SELECT ?c WHERE { ?c :c_acctbal ?b FILTER EXISTS { ?o :placedBy ?c OPTIONAL { ?o :o_totalprice ?t FILTER(?t < ?b * 10) } FILTER(BOUND(?t)) } }",
+    {"c": "string"},
+    "SELECT 'urn:customer:' || c_custkey AS c FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice < c_acctbal * 10)",
+)
+sparql(
+    "sparql_exists_in_exists",
+    ["customer", "orders"],
+    "SELECT ?c WHERE { ?c :nation ?n ; :c_acctbal ?b FILTER(?b > 9000) FILTER NOT EXISTS { ?d :nation ?n ; :c_mktsegment ?m FILTER EXISTS { ?o :placedBy ?d ; :o_totalprice ?t FILTER(?t > ?b * 50) } } }",
+    {"c": "string"},
+    "SELECT 'urn:customer:' || c_custkey AS c FROM customer a WHERE c_acctbal > 9000 AND NOT EXISTS (SELECT 1 FROM customer d WHERE d.c_nationkey = a.c_nationkey AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = d.c_custkey AND o_totalprice > a.c_acctbal * 50))",
+)
+sparql(
+    "sparql_exists_in_union",
+    ["customer", "nation", "orders"],
+    'SELECT ?c WHERE { ?c :nation ?n ; :c_acctbal ?b FILTER EXISTS { { ?n :n_name ?x FILTER(?b < 0) } UNION { ?o :placedBy ?c ; :o_orderstatus "F" FILTER(?b > 8000) } } }',
+    {"c": "string"},
+    "SELECT 'urn:customer:' || c_custkey AS c FROM customer WHERE c_acctbal < 0 OR c_acctbal > 8000 AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')",
+)
+sparql(
+    "sparql_exists_in_minus",
+    ["customer", "orders"],
+    "SELECT ?c WHERE { ?c :c_acctbal ?b FILTER EXISTS { ?o :placedBy ?c MINUS { ?o :o_totalprice ?t FILTER(?t > ?b * 20) } } }",
+    {"c": "string"},
+    "SELECT 'urn:customer:' || c_custkey AS c FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND NOT o_totalprice > c_acctbal * 20)",
+)
+_BOTH = """(SELECT d.doc_id, d.source, CAST(l.quality AS BIGINT) AS q, CAST(l.toxic AS BIGINT) AS t FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
+sparql(
+    "sparql_join_perhaps_unbound",
+    ["documents", "labels"],
+    "SELECT ?d ?v WHERE { { ?d :source ?s OPTIONAL { ?d :quality ?v FILTER(?v = 1) } } { ?d :lang ?l OPTIONAL { ?d :toxic ?v FILTER(?v = 1) } } }",
+    {"d": "string", "v": "bigint"},
+    f"SELECT 'urn:doc:' || doc_id AS d, CASE WHEN q = 1 OR t = 1 THEN 1 END AS v FROM {_BOTH}",
+)
+sparql(
+    "sparql_optional_perhaps_unbound",
+    ["documents", "labels"],
+    "SELECT ?d ?v ?l WHERE { ?d :source ?s OPTIONAL { ?d :quality ?v FILTER(?v = 1) } OPTIONAL { ?d :toxic ?v ; :quality ?l } }",
+    {"d": "string", "v": "bigint", "l": "bigint"},
+    f"SELECT 'urn:doc:' || doc_id AS d, CASE WHEN q = 1 THEN 1 ELSE t END AS v, CASE WHEN q = 1 AND t <> 1 THEN NULL ELSE q END AS l FROM {_BOTH}",
+)
+sparql(
+    "sparql_minus_perhaps_unbound",
+    ["documents", "labels"],
+    "SELECT ?d ?v WHERE { ?d :source ?s OPTIONAL { ?d :quality ?v } MINUS { ?x :toxic 1 OPTIONAL { ?x :quality ?v FILTER(?v = 0) } } }",
+    {"d": "string", "v": "bigint"},
+    f"SELECT 'urn:doc:' || doc_id AS d, q AS v FROM {_BOTH} WHERE q IS NULL OR NOT (q = 0 AND EXISTS (SELECT 1 FROM labels WHERE toxic = 1 AND quality = 0))",
+)
+
+
+def _chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of a customer, each followed by its next one; a graph for each order priority of the earlier one."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    after = orders.select("o_custkey", "o_orderpriority", F.col("o_orderkey").alias("a"), F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).alias("b")).filter("b is not null")
+    return after.select(*quad("", uri("order", F.col("a")), BASE + "next", T.IRI, uri("order", F.col("b"))), "o_orderpriority").withColumn("g", F.concat(F.lit("urn:priority:"), F.substring("o_orderpriority", 1, 1))).drop("o_orderpriority")
+
+
+_registered(
+    "sparql_path_graph_variable",
+    "SELECT ?g ?x ?y WHERE { GRAPH ?g { ?x :next+ ?y } }",
+    {"g": "string", "x": "string", "y": "string"},
+    """WITH RECURSIVE e AS (
+      SELECT * FROM (SELECT 'urn:priority:' || substr(o_orderpriority, 1, 1) AS g, o_orderkey AS a, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS b FROM orders) WHERE b IS NOT NULL
+    ), r AS (SELECT g, a, b FROM e UNION SELECT r.g, r.a, e.b FROM r JOIN e ON e.g = r.g AND e.a = r.b)
+    SELECT g, 'urn:order:' || a AS x, 'urn:order:' || b AS y FROM r""",
+    _chains,
+)
+_registered(
+    "sparql_path_graph_variable_bound",
+    'SELECT ?g ?x ?y WHERE { GRAPH ?g { ?x :next ?z . ?z :next* ?y FILTER(STRENDS(STR(?x), "7")) } }',
+    {"g": "string", "x": "string", "y": "string"},
+    """WITH RECURSIVE e AS (
+      SELECT * FROM (SELECT 'urn:priority:' || substr(o_orderpriority, 1, 1) AS g, o_orderkey AS a, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS b FROM orders) WHERE b IS NOT NULL
+    ), r AS (SELECT g, a, b FROM e UNION SELECT r.g, r.a, e.b FROM r JOIN e ON e.g = r.g AND e.a = r.b)
+    SELECT g, 'urn:order:' || a AS x, 'urn:order:' || b AS y FROM r WHERE a % 10 = 7""",
+    _chains,
+)
