@@ -129,18 +129,56 @@ def symbol_iri(path: Column, kind: Column, name: Column) -> Column:
     return F.concat(F.lit("urn:symbol:"), encoded(path), F.lit("/"), F.lower(kind), F.lit("/"), encoded(name))
 
 
-#: Words too common to search for.
-STOP_WORDS = "about after also been before being could does doing from have into just like make more need only other over please show some than that their them then there these they this want were what when where which while will with would your".split()
+#: Words that are no keywords (fixed values).
+STOP_WORDS = (
+    "the a an is are was were be been being have has had do does did will would shall should may might must can could "
+    "this that these those it its i you he she we they me him her us them my your his our their what which who whom when "
+    "where why how not no nor but and or if then else for from with without about above after before between into through during "
+    "to of in on at by as so than too very just also now here there all each every both few more most other some such only "
+    "same let please want need like make get use try look see know think help show tell give take come go run file code check "
+    "은 는 이 가 을 를 에 에서 으로 로 와 과 의 도 만 부터 까지 에게 한테 보다 라고 이라고 하고 해서 해줘 해주세요 "
+    "좀 그 저 것 거 수 때 중 후 전 안 못 잘 더 다 뭐 어떻게 왜 어디 언제 누가 뭘 걸 건 데 게 줘"
+).split()
+_LATIN, _HANGUL = "([a-zA-Z0-9_./]+)", "([\uac00-\ud7af\u3130-\u318f]+)"
 
 
 def keywords(text: Column, most: int = 5) -> Column:
-    """Up to `most` distinct identifiers, paths and words worth searching for."""
-    words = F.regexp_extract_all(text, F.lit(r"([A-Za-z_][\w./-]{3,}|[가-힣]{3,})"), F.lit(1))
-    words = F.filter(words, lambda w: ~F.lower(w).isin(*STOP_WORDS))
-    return F.slice(F.array_distinct(words), 1, most)
+    """Up to `most` distinct keywords of a prompt: identifiers of four letters or more in lower case, Hangul words of
+    three or more, and paths and error classes as they stand. Where the two scripts meet a word is split."""
+    split = F.regexp_replace(F.regexp_replace(text, _LATIN + _HANGUL, "$1 $2"), _HANGUL + _LATIN, "$1 $2")
+    words = F.filter(F.split(split, r"[\s,.:;!?()\[\]{}'\"]+"), lambda w: (w != "") & ~F.lower(w).isin(*STOP_WORDS))
+    found = F.transform(
+        words,
+        lambda w: F.array(
+            F.when(w.rlike("^[a-zA-Z_][a-zA-Z0-9_]*$") & (F.length(w) >= 4), F.lower(w)),
+            F.when(w.rlike("[\uac00-\ud7af]") & (F.length(w) >= 3), w),
+            F.when(w.contains("/") | w.endswith("Error"), w),
+        ),
+    )
+    return F.slice(F.array_distinct(F.array_compact(F.flatten(found))), 1, most)
+
+
+#: What tells that an output is about an error (fixed values).
+ERROR_SIGNS = [
+    r"(?i)\bError\b", r"\bERR!", r"(?i)\bFailed\b", r"(?i)\bfatal\b", r"\bENOENT\b", r"\bENOTDIR\b", r"\bEACCES\b", r"\bSyntaxError\b", r"\bTypeError\b", r"\bReferenceError\b",
+    r"\bModuleNotFoundError\b", r"\bexited with code [1-9]", r"\bcommand not found\b", r"\bCannot find module\b", r"\bTS\d{4}:",
+]
+
+
+def tells_of_error(text: Column) -> Column:
+    """Whether an output is to be searched for error keywords at all."""
+    found = F.lit(False)
+    for sign in ERROR_SIGNS:
+        found = found | text.rlike(sign)
+    return found
 
 
 def error_keywords(text: Column, most: int = 5) -> Column:
-    """Class names, compiler codes, modules and paths that an error message names."""
-    patterns = [r"\b([A-Z]\w*(?:Error|Exception))\b", r"\b(TS\d{4,5})\b", r"[Mm]odule ['\"]([^'\"]+)['\"]", r"([\w./-]+\.(?:ts|tsx|js|jsx|py|go|rs|java|swift))\b"]
-    return F.slice(F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in patterns])), 1, most)
+    """Up to `most` distinct keywords of an output that tells of an error, else none: error classes, compiler codes,
+    modules that weren't found, up to three paths, up to two package names."""
+    every = lambda pattern, group: F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    classes, codes = every(r"\b([A-Z][a-zA-Z]*Error)\b", 1), every(r"(TS\d{4})", 1)
+    modules, paths = every(r"Cannot find module ['\"]([^'\"]+)['\"]", 1), F.slice(every(r"((?:src|lib)/[\w/.-]+\.\w+)", 1), 1, 3)
+    packages = F.filter(F.slice(every(r"(?i)(?:ERR!|error)\s+([a-z@][a-z0-9@/.-]+)", 1), 1, 2), lambda x: F.length(x) >= 3)
+    found = F.slice(F.array_distinct(F.concat(classes, codes, modules, paths, packages)), 1, most)
+    return F.when(tells_of_error(text), found).otherwise(F.array().cast("array<string>"))

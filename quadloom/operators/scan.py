@@ -11,7 +11,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadloom.functions import terms as T
@@ -19,7 +19,7 @@ from quadloom.operators.extract import encoded, symbol_iri
 from quadloom.sources.mapping import quad
 
 #: Bounds of a scan (fixed values).
-TREE_DEPTH, ENTRY_LINES, README_LINES, SNAPSHOT_BYTES, MOST_FILES, MOST_SYMBOLS, LANGUAGE_SAMPLES = 3, 150, 100, 15360, 500, 300, 5
+TREE_DEPTH, ENTRY_LINES, README_LINES, SNAPSHOT_BYTES, MOST_FILES, MOST_SYMBOLS, LANGUAGE_SAMPLES, SAMPLE_FILES, SAMPLE_LINES = 3, 150, 100, 15360, 500, 300, 5, 2, 30
 CALLS = "path string, caller string, callee string"
 
 
@@ -98,14 +98,17 @@ def capped(files: DataFrame, symbols: DataFrame, most_files: int = MOST_FILES, m
     return kept, own.orderBy("path", "kind", "parent", "name").limit(most_symbols), warnings
 
 
-def samples(files: DataFrame, languages: dict[str, str], most: int = LANGUAGE_SAMPLES, lines: int = 20) -> DataFrame:
-    """extension, language, path, text: the first lines of up to `most` files of each known but unsupported language."""
-    from pyspark.sql import Window
+def samples(files: DataFrame, languages: dict[str, str], groups: int = LANGUAGE_SAMPLES, most: int = SAMPLE_FILES, lines: int = SAMPLE_LINES) -> DataFrame:
+    """extension, language, path, text: the first lines of up to `most` files of each of the largest groups of known but unsupported languages.
 
+    A report with limits of its own. Files named like entries come first, then by path; equal groups by extension.
+    """
     table = files.sparkSession.createDataFrame(list(languages.items()), "extension string, language string")
-    own = files.withColumn("extension", F.regexp_extract("path", r"(\.[^./]+)$", 1)).join(F.broadcast(table), "extension")
-    first = own.withColumn("n", F.row_number().over(Window.partitionBy("extension").orderBy("path"))).filter(F.col("n") <= most)
-    return first.select("extension", "language", "path", truncated(F.col("text"), lines).alias("text"))
+    own = files.withColumn("extension", F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))).join(F.broadcast(table), "extension")
+    largest = own.groupBy("extension").count().orderBy(F.desc("count"), "extension").limit(groups).select("extension")
+    entry = F.when(F.col("path").rlike(r"/(main|index|app|mod|lib)\.[^/]+$"), 0).otherwise(1)
+    best = own.join(largest, "extension", "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("extension").orderBy(entry, "path"))).filter(F.col("n") <= most)
+    return best.select("extension", "language", "path", F.array_join(F.slice(F.split("text", "\n"), 1, lines), "\n").alias("text"))
 
 
 def snapshot(facts: dict, most: int = SNAPSHOT_BYTES) -> dict:
@@ -132,7 +135,8 @@ def snapshot(facts: dict, most: int = SNAPSHOT_BYTES) -> dict:
 
 
 def module_iri(path: Column) -> Column:
-    return F.concat(F.lit("urn:module:"), F.regexp_replace(path, r"\.[tj]sx?$", ""))
+    """The IRI of a path or, as it is but for the extension, of what is a module's IRI already."""
+    return F.concat(F.lit("urn:module:"), F.regexp_replace(F.regexp_replace(path, "^urn:module:", ""), r"\.[tj]sx?$", ""))
 
 
 def _literal(g: str, s: Column, p: str, o: Column) -> list[Column]:

@@ -12,7 +12,7 @@ import json
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadloom.functions import terms as T
@@ -30,6 +30,11 @@ def slug(graph: str) -> str:
     return re.sub("_+", "_", re.sub("[^A-Za-z0-9-]", "_", graph))
 
 
+def slugs(graph: Column) -> Column:
+    """slug() of a column."""
+    return F.regexp_replace(F.regexp_replace(graph, "[^A-Za-z0-9-]", "_"), "_+", "_")
+
+
 @dataclass
 class QuadStore:
     spark: SparkSession

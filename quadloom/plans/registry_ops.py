@@ -191,62 +191,6 @@ def turtle_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.graph(G).select("g", "s", "p", "o")
 
 
-@register("turtle_forms", "SELECT * FROM (VALUES ('http://e.org/a', 'http://e.org/p', '1', 'integer'), ('http://e.org/a', 'http://e.org/p', '2.5', 'decimal'), ('http://e.org/a', 'http://e.org/p', '1e3', 'double'), ('http://e.org/a', 'http://e.org/q', 'true', 'boolean'), ('http://e.org/a', 'http://e.org/q', 'hi', 'langString'), ('http://e.org/a', 'http://e.org/q', 'x\"y', 'string'), ('http://e.org/a', 'http://e.org/r', 'http://e.org/b', '')) v(s, p, o, dt)")
-def turtle_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = '@prefix e: <http://e.org/> . @base <http://e.org/> . e:a e:p 1, 2.5, 1e3 ; e:q true, "hi"@en, "x\\"y" ; e:r <b> . # end'
-    return turtle.quads(spark, text, G).select("s", "p", "o", F.regexp_extract("o_dt", "([^#]*)$", 1).alias("dt"))
-
-
-@register("turtle_validate", "SELECT * FROM (VALUES ('valid', true, CAST(2 AS BIGINT)), ('garbage', false, NULL), ('empty', true, 0), ('missing file', false, NULL)) v(text, valid, triples)")
-def turtle_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = {"valid": turtle.validate("@prefix e: <http://e.org/> . e:a e:p e:b, e:c ."), "garbage": turtle.validate("garbage here"), "empty": turtle.validate(""), "missing file": turtle.validate_file("/nowhere/none.ttl")}
-    return spark.createDataFrame([(k, v["valid"], v.get("tripleCount") if v["valid"] else None) for k, v in found.items()], "text string, valid boolean, triples bigint")
-
-
-_ESCAPED = "text"
-for _raw, _mark in (("'\\'", "'\\\\'"), ("'\"'", "'\\\"'"), ("chr(10)", "'\\n'"), ("chr(13)", "'\\r'"), ("chr(9)", "'\\t'")):
-    _ESCAPED = f"replace({_ESCAPED}, {_raw}, {_mark})"
-
-
-@register("term_text_escapes", f"SELECT doc_id, '\"' || {_ESCAPED} || '\"' AS line FROM documents WHERE NOT regexp_matches(text, '[\\x01-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]')")
-def term_text_escapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").filter(~F.regexp_like("text", F.lit(r"[\x01-\x08\x0B\x0C\x0E-\x1F\x7F]")))
-    return docs.select("doc_id", T.term_text(T.literal(F.col("text"))).alias("line"))
-
-
-@register("term_texts", "SELECT * FROM (VALUES ('iri', '<http://a/b>'), ('bnode', '_:x'), ('lang', '\"a\"@en'), ('typed', '\"5\"^^<http://www.w3.org/2001/XMLSchema#integer>'), ('plain', '\"a\"')) v(kind, line)")
-def term_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = {"iri": (0, "http://a/b", "", ""), "bnode": (1, "x", "", ""), "lang": (2, "a", T.LANG_STRING, "en"), "typed": (2, "5", T.XSD_INTEGER, ""), "plain": (2, "a", T.XSD_STRING, "")}
-    return spark.createDataFrame([(k, t) for k, t in terms.items()], f"kind string, t {T.TERM}").select("kind", T.term_text(F.col("t")).alias("line"))
-
-
-@register("push_limits", "SELECT * FROM (VALUES (1, true), (50, true), (100, true), (101, false), (150, false)) v(triples, accepted)")
-def push_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = []
-    for n in (1, 50, 100, 101, 150):
-        store = QuadStore(spark)
-        try:
-            store.push(" ".join(f"<urn:s{i}> <urn:p> <urn:o> ." for i in range(n)), G, limit=100, infer=False)
-        except ValueError as e:
-            assert str(n) in str(e)
-        rows.append((n, store.count(G) == n))
-    return spark.createDataFrame(rows, "triples int, accepted boolean")
-
-
-@register("push_validates", "SELECT * FROM (VALUES ('conforming', true), ('violating', false)) v(data, accepted)")
-def push_validates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shapes = f"@prefix sh: <{shacl.SH}> . @prefix : <{BASE}> . :S sh:targetClass :P ; sh:property [ sh:path :n ; sh:minCount 1 ] ."
-    rows = []
-    for name, text in (("conforming", f'<urn:a> a <{BASE}P> ; <{BASE}n> "x" .'), ("violating", f"<urn:a> a <{BASE}P> .")):
-        store = QuadStore(spark)
-        try:
-            store.push(text, G, shapes=shapes)
-            rows.append((name, store.count(G) > 0))
-        except ValueError:
-            rows.append((name, store.count(G) > 0))
-    return spark.createDataFrame(rows, "data string, accepted boolean")
-
-
 @register("graph_diff_rows", f"SELECT 'urn:order:' || o_orderkey AS s, o, side FROM (SELECT o_orderkey, o_orderstatus AS o, CASE WHEN o_orderstatus = 'F' THEN 'unchanged' ELSE 'removed' END AS side FROM orders UNION ALL SELECT o_orderkey, 'X', 'added' FROM orders WHERE o_orderstatus <> 'F')")
 def graph_diff_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every triple with its side; triples that stand twice count once."""
@@ -285,14 +229,6 @@ def rdfs_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rdfs.infer(data).filter(F.col("o") == BASE + "Order").select("s", "o", "rule")
 
 
-@register("rdfs_meta_guard", "SELECT CAST(0 AS BIGINT) AS n")
-def rdfs_meta_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nothing is concluded about the vocabularies themselves."""
-    text = f"@prefix rdfs: <{T.RDFS}> . @prefix : <{BASE}> . rdfs:label rdfs:domain :Thing . rdfs:Class rdfs:label \"x\" . :p rdfs:range :Thing . :a :p rdfs:Resource . rdfs:Class a :Customer . :Customer rdfs:subClassOf :Party ."
-    found = rdfs.infer(turtle.quads(spark, text, ""))
-    return found.filter(rdfs.meta(F.col("s"))).agg(F.count("*").alias("n"))
-
-
 @register("rdfs_materialized", "SELECT 'rdfs9' AS rule, 2 * (SELECT count(*) FROM customer) AS n, true AS flagged, true AS cleared UNION ALL SELECT 'rdfs7', 2 * (SELECT count(*) FROM customer), true, true UNION ALL SELECT 'rdfs11', 2, true, true UNION ALL SELECT 'rdfs5', 2, true, true")
 def rdfs_materialized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inferred once, however often it is asked for; counted by rule; gone when cleared, with asserted triples left."""
@@ -375,22 +311,9 @@ def shacl_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("focus_node", F.regexp_replace("component", "ConstraintComponent$", "").alias("component"))
 
 
-@register("shacl_languages", "SELECT * FROM (VALUES ('urn:a', 'UniqueLang'), ('urn:b', 'LanguageIn')) v(focus_node, component)")
-def shacl_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data = turtle.quads(spark, f'@prefix : <{BASE}> . <urn:a> a :T ; :l "x"@en, "y"@en, "z"@fr . <urn:b> a :T ; :l "x"@de . <urn:c> a :T ; :l "x"@en .', "")
-    return _violations(spark, data, 'sh:property [ sh:path :l ; sh:uniqueLang true ; sh:languageIn ( "en" "fr" ) ]', "sh:targetClass :T")
-
-
 # --- schema
 
 
-@register("schema_relations", f"SELECT * FROM (VALUES ('sub', '{BASE}Customer', '{BASE}Party'), ('sub', '{BASE}Supplier', '{BASE}Party'), ('sub', '{BASE}Party', '{BASE}Thing'), ('domain', '{BASE}placedBy', '{BASE}Order'), ('range', '{BASE}placedBy', '{BASE}Customer')) v(what, a, b)")
-def schema_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data = _vocabulary(spark).unionByName(turtle.quads(spark, f"<{BASE}placedBy> a <{T.RDF}Property> .", ""))
-    sub, properties = schema.relations(data)
-    return sub.select(F.lit("sub").alias("what"), F.col("child").alias("a"), F.col("parent").alias("b")).unionAll(properties.select(F.lit("domain"), "property", "domain")).unionAll(properties.select(F.lit("range"), "property", "range"))
-
-
 @register("schema_overview", f"SELECT 'class' AS what, '{BASE}' || k AS name FROM (VALUES ('Nation'), ('Region')) v(k) UNION ALL SELECT 'predicate', '{BASE}' || k FROM (VALUES ('n_name'), ('region'), ('r_name')) v(k) UNION ALL SELECT 'predicate', '{T.RDF}type' UNION ALL SELECT 'triples', CAST((SELECT 3 * count(*) FROM nation) + (SELECT 2 * count(*) FROM region) AS VARCHAR)")
 def schema_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = schema.overview(shop(spark, sf_dir, ["nation", "region"]))
@@ -427,15 +350,6 @@ def schema_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema.neighbourhood(shop(spark, sf_dir, ["nation", "region"]), "urn:region:2")
 
 
-@register("schema_drawing", "SELECT * FROM (VALUES ('graph TD'), ('  http___example_org_shop_Customer[\"Customer\"]'), ('  http___example_org_shop_Order[\"Order\"]'), ('  http___example_org_shop_placedBy([\"placedBy\"])'), ('  http___example_org_shop_placedBy -->|\"domain\"| http___example_org_shop_Order'), ('  http___example_org_shop_placedBy -->|\"range\"| http___example_org_shop_Customer'), ('digraph G {'), ('  rankdir=TB;'), ('  // Empty graph'), ('}')) v(line) WHERE line <> '  rankdir=TB;'")
-def schema_drawing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data = turtle.quads(spark, f"@prefix : <{BASE}> . @prefix rdfs: <{T.RDFS}> . :placedBy a <{T.RDF}Property> ; rdfs:domain :Order ; rdfs:range :Customer .", "")
-    nodes, edges = schema.schema_graph(data)
-    named = nodes.filter(~rdfs.meta(F.col("id")))
-    lines = schema.drawing(named, edges).split("\n") + schema.drawing(named.limit(0), edges, "dot").split("\n")
-    return spark.createDataFrame([(x,) for x in lines], "line string")
-
-
 # --- code bases
 
 
@@ -468,19 +382,6 @@ def scan_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.tree(_files(spark, sf_dir).unionAll(deep)).filter("path not like 'src/c/deep%'")
 
 
-@register("scan_entry_points", "SELECT * FROM (VALUES ('src/cli.ts', 'a' || chr(10) || 'b'), ('src/index.ts', 'x')) v(path, text)")
-def scan_entry_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    package = '{"name": "p", "main": "./dist/index.js", "bin": {"p": "dist/cli.js"}, "exports": {".": {"import": "./dist/index.js"}}}'
-    return scan.entries(spark.createDataFrame([("package.json", package), ("src/index.ts", "x"), ("src/cli.ts", "a\nb"), ("src/other.ts", "y")], "path string, text string"))
-
-
-@register("scan_json_files", "SELECT * FROM (VALUES ('package.json', 'p', '1.0', 'jest', '^4', CAST(NULL AS VARCHAR), CAST(NULL AS BOOLEAN)), ('tsconfig.json', NULL, NULL, NULL, NULL, 'ES2022', true), ('broken.json', NULL, NULL, NULL, NULL, NULL, NULL)) v(path, name, version, test, dep, target, strict)")
-def scan_json_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = [("package.json", '{"name":"p","version":"1.0","scripts":{"test":"jest"},"dependencies":{"d":"^4"}}'), ("tsconfig.json", '{"compilerOptions":{"target":"ES2022","strict":true,"paths":{"@/*":["src/*"]}}}'), ("broken.json", "{")]
-    rows = spark.createDataFrame(files, "path string, text string").select("path", scan.package_facts(F.col("text")).alias("p"), scan.compiler_facts(F.col("text")).alias("c"))
-    return rows.select("path", "p.name", "p.version", F.col("p.scripts")["test"].alias("test"), F.col("p.dependencies")["d"].alias("dep"), "c.target", "c.strict")
-
-
 @register("scan_truncated", "SELECT doc_id, CASE WHEN len(string_split(text, chr(10))) > 3 THEN array_to_string(string_split(text, chr(10))[1:3], chr(10)) || chr(10) || '... (truncated)' ELSE text END AS text FROM documents")
 def scan_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", scan.truncated(F.col("text"), 3).alias("text"))
@@ -560,14 +461,6 @@ def scan_commit_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return titles.join(dates, "s")
 
 
-@register("scan_unsupported", "SELECT * FROM (VALUES ('.rb', 'Ruby', 'src/a.rb', CAST(3 AS BIGINT)), ('.rb', 'Ruby', 'src/b.rb', 3), ('.kt', 'Kotlin', 'k.kt', 1)) v(extension, language, path, count)")
-def scan_unsupported(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = spark.createDataFrame([("src/a.rb", "x\ny"), ("src/b.rb", ""), ("z.rb", ""), ("k.kt", ""), ("a.ts", "")], "path string, text string")
-    languages = {".rb": "Ruby", ".kt": "Kotlin"}
-    counts = extract.unsupported(files, languages, 2).select("extension", "count")
-    return scan.samples(files, languages, 2).select("extension", "language", "path").join(counts, "extension")
-
-
 @register("scan_caps", "SELECT * FROM (VALUES ('files', CAST(20 AS BIGINT)), ('symbols', 30), ('warnings', 2)) v(what, n)")
 def scan_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _python(spark, sf_dir)
@@ -575,40 +468,6 @@ def scan_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([("files", kept.count()), ("symbols", symbols.count()), ("warnings", len(warnings))], "what string, n bigint")
 
 
-@register("scan_snapshot_cap", "SELECT * FROM (VALUES (100000, 5, 3, true), (1200, 5, 3, true), (500, 5, 2, true), (60, 0, 2, false)) v(bytes, imports, depth, graph)")
-def scan_snapshot_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A report is cut step by step, and only as far as needed."""
-    facts = {"entryPoints": [{"path": "a", "content": "x\n" * 400}], "readme": "r\n" * 200, "directoryTree": [{"path": f"a/b/{k}", "depth": 3} for k in range(10)] + [{"path": "a", "depth": 2}], "detectedImports": ["p"] * 5, "dependencyGraph": {"edges": []}}
-    rows = []
-    for most in (100_000, 1200, 500, 60):
-        out = scan.snapshot(facts, most)
-        rows.append((most, len(out["detectedImports"]), max(x["depth"] for x in out["directoryTree"]), out["dependencyGraph"] is not None))
-    return spark.createDataFrame(rows, "bytes int, imports int, depth int, graph boolean")
-
-
-@register("scan_encoded", "SELECT doc_id, replace(replace(replace(replace(replace(replace(url_encode(left(text, 200)), '%21', '!'), '%27', ''''), '%28', '('), '%29', ')'), '%2A', '*'), '%7E', '~') AS code FROM documents")
-def scan_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", extract.encoded(F.substring("text", 1, 200)).alias("code"))
-
-
-@register("names_and_slugs", "SELECT * FROM (VALUES ('http://www.w3.org/2000/01/rdf-schema#Class', 'rdfs:Class', 'Class', 'http_www_w3_org_2000_01_rdf-schema_Class'), ('http://schema.org/Person', 'schema:Person', 'Person', 'http_schema_org_Person'), ('http://e.org/x#Foo', 'Foo', 'Foo', 'http_e_org_x_Foo'), ('http://e.org/a/b', 'b', 'b', 'http_e_org_a_b'), ('urn:x', 'urn:x', 'urn:x', 'urn_x')) v(iri, short, local, slug)")
-def names_and_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    iris = ["http://www.w3.org/2000/01/rdf-schema#Class", "http://schema.org/Person", "http://e.org/x#Foo", "http://e.org/a/b", "urn:x"]
-    rows = spark.createDataFrame([(i, slug(i)) for i in iris], "iri string, slug string")
-    return rows.select("iri", T.shorten(F.col("iri")).alias("short"), T.local_name(F.col("iri")).alias("local"), "slug")
-
-
-@register("keyword_lists", "SELECT * FROM (VALUES ('please show src/lib/store.ts and the parseQuery function', 'src/lib/store.ts,parseQuery,function', 'src/lib/store.ts'), ('TypeError: Cannot find module ''./x'' (TS2307)', 'TypeError,Cannot,find,module,TS2307', 'TypeError,TS2307,./x')) v(text, words, errors)")
-def keyword_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("please show src/lib/store.ts and the parseQuery function",), ("TypeError: Cannot find module './x' (TS2307)",)], "text string")
-    return rows.select("text", F.array_join(extract.keywords(F.col("text")), ",").alias("words"), F.array_join(extract.error_keywords(F.col("text")), ",").alias("errors"))
-
-
-@register("module_iris", "SELECT * FROM (VALUES ('src/a.ts', 'urn:module:src/a'), ('src/a.jsx', 'urn:module:src/a'), ('urn:module:src/a.tsx', 'urn:module:src/a'), ('a.json', 'urn:module:a.json'), ('a.md', 'urn:module:a.md')) v(path, iri)")
-def module_iris(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(p, app.module_iri(p)) for p in ("src/a.ts", "src/a.jsx", "urn:module:src/a.tsx", "a.json", "a.md")], "path string, iri string")
-
-
 # --- the application
 
 V = app.VOCABULARY

@@ -99,6 +99,17 @@ def read(spark: SparkSession, path: str, g: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, QUADS).distinct()
 
 
+def parsed(texts: DataFrame, g: str) -> DataFrame:
+    """Documents in rows (path, text) as quads of graph g; blank nodes are those of the row's path, null texts give none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(g, *t, False) for path, text in zip(batch["path"], batch["text"]) if text for t in parse(text, path)[0]]
+            yield pd.DataFrame(rows, columns=["g", *FIELDS, "inferred"])
+
+    return texts.select("path", "text").mapInPandas(run, QUADS)
+
+
 def validate(text: str) -> dict:
     try:
         triples, prefixes = parse(text)
@@ -118,13 +129,18 @@ def validate_file(path: str) -> dict:
 
 def validate_files(spark: SparkSession, path: str) -> DataFrame:
     """path, valid, triple_count, error of each file under a path."""
+    return validated(spark.read.format("binaryFile").load(path).select("path", F.col("content").cast("string").alias("text")))
+
+
+def validated(texts: DataFrame) -> DataFrame:
+    """path, valid, triple_count and error of documents in rows (path, text); a null text counts as empty."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [validate(c.decode("utf-8", "replace")) for c in batch["content"]]
+            found = [validate(x or "") for x in batch["text"]]
             yield pd.DataFrame({"path": batch["path"], "valid": [r["valid"] for r in found], "triple_count": [r.get("tripleCount", 0) for r in found], "error": [r.get("error") for r in found]})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, valid boolean, triple_count long, error string")
+    return texts.select("path", "text").mapInPandas(run, "path string, valid boolean, triple_count long, error string")
 
 
 def lines(triples: DataFrame) -> DataFrame:
