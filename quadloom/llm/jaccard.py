@@ -335,7 +335,8 @@ def joined(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     found = components(links, contracted=True)
     named = classes.join(found, classes["rep"] == found["node"], "left").select("k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("_component"))
     out = sets.join(named, ["k1", "k2", "n_shingles"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("_component", "doc_id").alias("component_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"))
 
 
 def _same_document(classes: DataFrame, sets: DataFrame) -> DataFrame:

@@ -93,7 +93,7 @@ class RunIndex:
         row_of[at] = np.arange(len(at), dtype=np.int32)
         key = mine.astype(np.int64) * 256 + text[at - 1]  # at 0 the last terminator stands before
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        ends = np.append(starts[1:], len(at)) - 1
+        ends = np.append(starts[1:], len(at))[: len(starts)] - 1
         self.starts, self.lengths, self.key = starts, ends - starts, key[starts]
         self.to = row_of[at[starts] - 1].astype(np.int64)
         self.first, self.last = at[starts].astype(np.int64), at[ends].astype(np.int64)
@@ -122,7 +122,7 @@ class RunIndex:
 
     def long_matches(self, patterns: np.ndarray, group: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
         """(string, offset): where in the strings named a match of at least this length with an indexed one begins."""
-        patterns = patterns[self.top[group[patterns]] >= 0]
+        patterns = patterns[self.top[group[patterns]] >= 0]  # others have nothing to meet
         patterns = patterns[np.argsort(-self.strings.length[patterns], kind="stable")]
         out = [self._read(patterns[k : k + IN_STEP], group, least) for k in range(0, len(patterns), IN_STEP)]
         return tuple(np.concatenate(x) if out else np.zeros(0, np.int64) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))

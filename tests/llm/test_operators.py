@@ -272,3 +272,10 @@ def test_components(spark, monkeypatch):
         monkeypatch.setattr(components, "FEW_EDGES", few)
         found = {r.node: r.component for r in components.components(edges).collect()}
         assert found == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+
+
+def test_near_duplicates_leave_rows_without_an_id_alone(spark):
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = spark.createDataFrame([(5, text), (None, text), (None, text + " more"), (7, text), (None, None)], "doc_id long, text string")
+    found = sorted(((r.doc_id or 0, r.component_id) for r in jaccard.joined(rows, n=4, num=85, den=100).collect()), key=repr)
+    assert found == [(0, None), (0, None), (0, None), (5, 5), (7, 5)]
