@@ -47,7 +47,7 @@ PLACES = WINDOW - K + 1
 #: Bytes of text whose pieces are cut at once: what fits a core's cache.
 AT_ONCE = 1 << 17
 #: Pieces of one sorted partition, bytes of one shard, pieces of a minimizer before it is split by windows.
-ROWS, SHARD_BYTES, MOST = 400_000, 3 << 20, 20_000
+ROWS, SHARD_BYTES, MOST = 400_000, 1 << 20, 20_000
 #: Windows of a piece are told apart by so many ranges of places.
 RANGES = 8
 _LAST_ID = 2**63 - 1
