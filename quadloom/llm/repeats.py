@@ -47,12 +47,13 @@ PLACES = WINDOW - K + 1
 #: Bytes of text whose pieces are cut at once: what fits a core's cache.
 AT_ONCE = 1 << 17
 #: Pieces of one sorted partition, bytes of one shard, pieces of a minimizer before it is split by windows.
-ROWS, SHARD_BYTES, MOST = 400_000, 1 << 20, 20_000
+ROWS, SHARD_BYTES, MOST = 400_000, 3 << 20, 20_000
 #: Windows of a piece are told apart by so many ranges of places.
 RANGES = 8
 _LAST_ID = 2**63 - 1
+_MINIMIZER = np.uint64(2**48 - 1)
 _KEYS = ["m", "g", "doc", "tie", "at"]
-_PIECES = "m int, g long, doc long, tie long, at int, span int"
+_PIECES = "m long, g long, doc long, tie long, at int, span int"
 
 
 def utf8(text: str | None) -> bytes:
@@ -68,6 +69,7 @@ def pieces(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     hashed = words[: n - K + 1] * np.uint64(0x9E3779B97F4A7C15) ^ words[K - 8 : n - 7] * np.uint64(0xC2B2AE3D27D4EB4F)
     hashed ^= hashed >> np.uint64(31)
     hashed *= np.uint64(0xBF58476D1CE4E5B9)
+    whole = hashed.copy()
     hashed >>= np.uint64(32)
     hashed <<= np.uint64(32)
     hashed |= np.arange(len(hashed), dtype=np.uint64)
@@ -79,8 +81,9 @@ def pieces(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     least = np.minimum(hashed[:-rest], hashed[rest:]) if rest else hashed
     at = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
     best = least[at]
-    place = (best & np.uint64(0xFFFFFFFF)).astype(np.int64) - at
-    return at, np.diff(np.append(at, len(least))), (best >> np.uint64(32)).astype(np.uint32).view(np.int32), place
+    spot = (best & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    # The smallest hashes begin alike, so a minimizer is told by the lower bits of its hash.
+    return at, np.diff(np.append(at, len(least))), (whole[spot] & _MINIMIZER).astype(np.int64), spot - at
 
 
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -122,7 +125,7 @@ def _piece_rows(held: list[tuple[int, int, bytes]]) -> pd.DataFrame:
     again = np.zeros(len(at), bool)
     again[order[1:]] = (g[order[1:]] == g[order[:-1]]) & (owner[order[1:]] == owner[order[:-1]])
     docs, ties = np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.int64)
-    m = np.where(again, (at * 0x9E3779B1 & 0x7FFFFFFF).astype(np.int32), m)
+    m = np.where(again, at * 0x9E3779B97F4B & int(_MINIMIZER), m)
     return pd.DataFrame({"m": m, "g": np.where(again, 0, g), "doc": docs[owner], "tie": ties[owner], "at": (at - start[owner]).astype(np.int32), "span": np.where(again, -windows, windows * 128 + place).astype(np.int32)})
 
 
@@ -170,7 +173,7 @@ def _by_window(hot: list[tuple], shards: int) -> tuple[list[tuple], list[tuple]]
                 marks.append((doc, tie, at + k, 1))
             else:
                 seen[window] = (doc, tie, at + k)
-    return [(xxhash.xxh3_64_intdigest(w) % shards, xxhash.xxh32_intdigest(w) - 2**31, *x, 128, w) for w, x in seen.items()], marks
+    return [(xxhash.xxh3_64_intdigest(w) % shards, xxhash.xxh3_64_intdigest(w) >> 16, *x, 128, w) for w, x in seen.items()], marks
 
 
 def _with_bytes(shards: int):
@@ -188,7 +191,7 @@ def _with_bytes(shards: int):
                     if x["kind"] == HOT:
                         hot.append((doc, tie, at, held))
                     else:
-                        out.append((xxhash.xxh32_intdigest(m.to_bytes(4, "little", signed=True)) % shards, m, doc, tie, at, span, held))
+                        out.append((xxhash.xxh32_intdigest(m.to_bytes(8, "little")) % shards, m, doc, tie, at, span, held))
                 if size > 4 << 20:
                     yield _byte_rows(out, hot, shards)
                     out, hot, size = [], [], 0
@@ -197,7 +200,7 @@ def _with_bytes(shards: int):
     return run
 
 
-_SHARDED = "shard long, m int, doc long, tie long, at int, span int, data binary"
+_SHARDED = "shard long, m long, doc long, tie long, at int, span int, data binary"
 
 
 def _byte_rows(out: list[tuple], hot: list[tuple], shards: int) -> pd.DataFrame:
