@@ -1,8 +1,10 @@
 """A quad store over DataFrames: load, query, update, compare, export, snapshots and a catalog.
 
 Quads live in a DataFrame partitioned by graph (Parquet when saved). A graph is a set: every write
-keeps (g, s, p, o) distinct; reads never deduplicate. An insert writes what is new and no more: the
-store is a union of such pieces, put together again when there are PIECES of them.
+keeps (g, s, p, o) distinct; reads never deduplicate. A write works on the graphs it touches and no
+others: the store is a union of pieces, each with the graphs it holds, put together again when
+there are PIECES of them. Saving where the store was saved or opened writes the graphs that changed
+since, each as a partition that Spark puts in place when all of its files are written.
 """
 
 from __future__ import annotations
@@ -11,7 +13,9 @@ import datetime
 import json
 import re
 from dataclasses import dataclass, field
+from urllib.parse import unquote
 
+from pyspark.errors import AnalysisException, PythonException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +28,8 @@ from quadloom.sources import turtle
 KEY = ["g", "s_kind", "s", "p", "o_kind", "o", "o_dt", "o_lang"]
 TRIPLE = KEY[1:]
 PIECES = 16
+#: A write that touches more graphs than this works on the whole store.
+MOST_NAMED = 1000
 
 
 def slug(graph: str) -> str:
@@ -44,11 +50,18 @@ class QuadStore:
     loaded: set = field(default_factory=set)  # (graph, file) already read
     history: str | None = None  # where a graph's version goes before it is replaced or dropped
     pieces: int = 1
+    home: str | None = None  # where the store was saved or opened
+    changed: set[str] | None = field(default_factory=set)  # graphs since then; None if all may have
 
     def __post_init__(self):
         if self.quads is None:
             self.quads = self.spark.createDataFrame([], QUADS)
 
+    @classmethod
+    def opened(cls, spark: SparkSession, path: str, **fields) -> QuadStore:
+        """The store that was saved under a path."""
+        return cls(spark, spark.read.schema(QUADS).parquet(path), home=path, **fields)
+
     # --- reading
     def _compiler(self, graph: str | None) -> Compiler:
         return Compiler(self.quads, Graphs(one=graph) if graph is not None else Graphs())
@@ -87,20 +100,39 @@ class QuadStore:
         turtle.lines(self.graph(graph)).write.mode("overwrite").text(path)
 
     # --- writing
-    def _set(self, quads: DataFrame) -> None:
-        """The store anew, from quads of which some may be asserted and inferred at once: those are asserted."""
-        self.quads, self.pieces = checkpointed(quads.groupBy(*KEY).agg(F.min("inferred").alias("inferred"))), 1
+    def _touched(self, rows: DataFrame) -> list[str] | None:
+        """The graphs of rows; None if there are more than MOST_NAMED of them, so that a filter can't name them."""
+        found = [r.g for r in rows.select("g").distinct().limit(MOST_NAMED + 1).collect()]
+        return found if len(found) <= MOST_NAMED else None
+
+    def _of(self, graphs: list[str] | None) -> DataFrame:
+        return self.quads if graphs is None else self.quads.filter(F.col("g").isin(*graphs))
+
+    def _replace(self, graphs: list[str] | None, rows: DataFrame) -> None:
+        """These graphs (None: all) anew, from rows that are distinct and materialised; the others stay as they lie."""
+        if graphs is None:
+            self.quads, self.pieces, self.changed = rows, 1, None
+            return
+        if graphs:
+            self._add(self.quads.filter(~F.col("g").isin(*graphs)), graphs, rows)
+
+    def _add(self, kept: DataFrame, graphs: list[str] | None, rows: DataFrame) -> None:
+        self.quads, self.pieces = kept.unionByName(rows), self.pieces + 1
+        self.changed = None if self.changed is None or graphs is None else self.changed | set(graphs)
+        if self.pieces > PIECES:
+            self.quads, self.pieces = checkpointed(self.quads), 1
 
     def insert(self, quads: DataFrame) -> None:
         """Adds what isn't held; what was only inferred and is asserted now counts as asserted."""
-        new = quads.groupBy(*KEY).agg(F.min("inferred").alias("inferred"))
-        held = self.quads.select(*KEY, F.col("inferred").alias("was"))
+        new = checkpointed(quads.groupBy(*KEY).agg(F.min("inferred").alias("inferred")))
+        graphs = self._touched(new)
+        held = self._of(graphs).select(*KEY, F.col("inferred").alias("was"))
         new = checkpointed(new.join(held, KEY, "left").filter("was is null or was and not inferred"))
         told = new.filter("was").select(*KEY)
-        kept = self.quads if told.isEmpty() else checkpointed(self.quads.join(told, KEY, "left_anti"))
-        self.quads, self.pieces = kept.unionByName(new.drop("was")), self.pieces + 1
-        if self.pieces > PIECES:
-            self.quads, self.pieces = checkpointed(self.quads), 1
+        if told.isEmpty():
+            self._add(self.quads, graphs, new.drop("was"))
+        else:
+            self._replace(graphs, checkpointed(self._of(graphs).join(told, KEY, "left_anti").unionByName(new.drop("was"))))
 
     def _keep_version(self, graph: str) -> None:
         if self.history:
@@ -111,22 +143,35 @@ class QuadStore:
             self.insert(turtle.quads(self.spark, text, self.graph_iri(graph)))
 
     def remove(self, quads: DataFrame) -> None:
-        self.quads = checkpointed(self.quads.join(quads.select(*KEY).distinct(), KEY, "left_anti"))
+        gone = checkpointed(quads.select(*KEY).distinct())
+        graphs = self._touched(gone)
+        self._replace(graphs, checkpointed(self._of(graphs).join(gone, KEY, "left_anti")))
+
+    def _drop(self, graphs: list[str]) -> None:
+        """Without the rows of these graphs: a filter, no rows move."""
+        self.quads, self.pieces = self.quads.filter(~F.col("g").isin(*graphs)), self.pieces + 1
+        self.changed = None if self.changed is None else self.changed | set(graphs)
+        if self.pieces > PIECES:
+            self.quads, self.pieces = checkpointed(self.quads), 1
 
-    def drop_graph(self, graph: str) -> None:
+    def drop_graph(self, graph: str, confirm: bool = True) -> None:
+        """confirm: for callers that pass a user's word on; without it nothing is dropped."""
+        if not confirm:
+            raise ValueError("dropping a graph has to be confirmed")
         self._keep_version(graph)
-        self.quads = checkpointed(self.quads.filter(F.col("g") != self.graph_iri(graph)))
+        self._drop([self.graph_iri(graph)])
 
     def replace_graph(self, graph: str, text: str) -> None:
         new = turtle.quads(self.spark, text, self.graph_iri(graph))
         self._keep_version(graph)
-        self._set(self.quads.filter(F.col("g") != self.graph_iri(graph)).unionByName(new))
+        self._replace([self.graph_iri(graph)], checkpointed(new.groupBy(*KEY).agg(F.min("inferred").alias("inferred"))))
 
     def delete(self, graph: str, turtle_text: str | None = None, where: str | None = None) -> None:
-        """Exact triples, or those a pattern matches. One of the two is needed."""
+        """Exact triples, or those a pattern matches; the graph's version before is kept. One of the two is needed."""
         if turtle_text is None and where is None:
             raise ValueError("either triples or a pattern is needed")
         g = self.graph_iri(graph)
+        self._keep_version(graph)
         if turtle_text is not None:
             self.remove(turtle.quads(self.spark, turtle_text, g))
         if where is not None:
@@ -179,12 +224,11 @@ class QuadStore:
             found = c.pattern(pattern, graphs)
             found = Solutions(checkpointed(found.df), found.vars, found.bound)
             fix = lambda rows: [(g, s, ("var", p[1]) if p[0] == "pvar" else p, o) for g, s, p, o in rows]
-            quads = self.quads
+            come = checkpointed(c.instantiate(found, fix(added), own or "")) if added else None
             if removed:
-                quads = quads.join(c.instantiate(found, fix(removed), own or "").select(*KEY).distinct(), KEY, "left_anti")
-            if added:
-                quads = quads.unionByName(c.instantiate(found, fix(added), own or ""))
-            self._set(quads)
+                self.remove(c.instantiate(found, fix(removed), own or ""))
+            if come is not None:
+                self.insert(come)
         elif kind == "create":
             # A graph is its quads, so an empty one leaves no trace; only a graph that is there can be told from others.
             _, silent, (_, iri) = op
@@ -194,13 +238,15 @@ class QuadStore:
             _, silent, (what, iri) = op
             if what == "GRAPH" and not silent and self.quads.filter(F.col("g") == iri).isEmpty():
                 raise SparqlError(f"no graph {iri}")
-            keep = {"GRAPH": F.col("g") != iri if iri else None, "DEFAULT": F.col("g") != "", "NAMED": F.col("g") == "", "ALL": F.lit(False)}[what]
-            self.quads = checkpointed(self.quads.filter(keep))
+            if what in ("GRAPH", "DEFAULT"):
+                self._drop([iri if what == "GRAPH" else ""])
+            else:
+                self._replace(None, checkpointed(self.quads.filter(F.col("g") == "") if what == "NAMED" else self.quads.limit(0)))
         elif kind == "load":
             _, silent, source, into = op
             try:
                 self.insert(turtle.read(self.spark, source, into or graph or ""))
-            except Exception:
+            except (AnalysisException, PythonException, turtle.TurtleError):  # what isn't there or can't be read
                 if not silent:
                     raise
         elif kind == "transfer":
@@ -208,11 +254,13 @@ class QuadStore:
             a, b = source[1] or "", target[1] or ""
             if a == b:
                 return
-            moved = self.quads.filter(F.col("g") == a).withColumn("g", F.lit(b))
-            kept = self.quads if word == "ADD" else self.quads.filter(F.col("g") != b)
+            moved = checkpointed(self.quads.filter(F.col("g") == a).withColumn("g", F.lit(b)))
+            if word == "ADD":
+                self.insert(moved)
+            else:
+                self._replace([b], moved)
             if word == "MOVE":
-                kept = kept.filter(F.col("g") != a)
-            self._set(kept.unionByName(moved))
+                self._drop([a])
 
     # --- comparing
     def diff_frames(self, graph: str, text: str) -> DataFrame:
@@ -265,8 +313,25 @@ class QuadStore:
 
     # --- saving
     def save(self, path: str) -> None:
-        """Parquet by graph; graphs that are empty leave nothing behind."""
-        self.quads.write.mode("overwrite").partitionBy("g").parquet(path)
+        """Parquet by graph; graphs that are empty leave nothing behind.
+
+        Where the store was saved or opened before, only graphs that changed since are written. Spark
+        writes them aside and puts each in place when all are done, so a failure leaves the others as
+        they were, and saving again mends it.
+        """
+        if self.home != path or self.changed is None:
+            rows = checkpointed(self.quads) if self.home == path else self.quads  # not to be read while it is written
+            rows.write.mode("overwrite").partitionBy("g").parquet(path)
+        elif self.changed:
+            rows = checkpointed(self.quads.filter(F.col("g").isin(*self.changed)))
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("g").parquet(path)
+            left = set(self.changed) - {r.g for r in rows.select("g").distinct().collect()}
+            fs, _ = self._fs(path)
+            for status in fs.globStatus(self._path(f"{path}/g=*")) or []:
+                name = unquote(status.getPath().getName().removeprefix("g="))
+                if ("" if name == "__HIVE_DEFAULT_PARTITION__" else name) in left:
+                    fs.delete(status.getPath(), True)
+        self.home, self.changed = path, set()
 
     def snapshot(self, root: str, graph: str, kind: str = "regular", keep: int = 5) -> str | None:
         """A version of one graph; None if it is empty. Old versions beyond `keep` go."""
@@ -302,7 +367,7 @@ class QuadStore:
             raise ValueError(f"no snapshot {stamp}")
         self.snapshot(root, graph, "pre-rollback")
         rows = checkpointed(self.spark.read.schema(QUADS).parquet(found["path"]))
-        self._set(self.quads.filter(F.col("g") != self.graph_iri(graph)).unionByName(rows))
+        self._replace([self.graph_iri(graph)], rows)
 
     def _path(self, text: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(text)

@@ -9,6 +9,7 @@ from quadloom.functions import terms as T
 from quadloom.operators import extract, rdfs, scan, schema, shacl
 from quadloom.operators.store import QuadStore, slugs
 from quadloom.plans.registry import _table, _vocabulary, register
+from quadloom.plans.registry_ops import _folder
 from quadloom.sources import turtle
 from quadloom.sources.mapping import BASE, quad, shop, uri
 
@@ -313,3 +314,42 @@ def module_iris(spark: SparkSession, sf_dir: str) -> DataFrame:
     ending = F.element_at(F.array(*[F.lit(x) for x in (".ts", ".jsx", ".tsx", ".json", ".md")]), (k % 5 + 1).cast("int"))
     path = _text(F.when(k % 2 == 0, "src/").otherwise("urn:module:src/"), k, ending)
     return _table(spark, sf_dir, "part").select(k.alias("part"), scan.module_iri(path).alias("iri"))
+
+
+# --- what changes, and what it touches
+
+
+@register(
+    "rdfs_incremental",
+    f"""WITH gone AS (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0)
+    SELECT 'urn:customer:' || c_custkey AS s, '{BASE}' || k AS o, k <> 'Customer' AS inferred FROM customer, (VALUES ('Customer'), ('Party'), ('Agent'), ('Thing')) v(k) WHERE c_custkey NOT IN (SELECT c_custkey FROM gone)
+    UNION ALL SELECT DISTINCT 'urn:customer:' || o_custkey, '{BASE}' || k, true FROM orders, (VALUES ('Customer'), ('Party'), ('Agent'), ('Thing')) v(k) WHERE o_custkey IN (SELECT c_custkey FROM gone)""",
+)
+def rdfs_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third customer loses its class and the hierarchy gets a step more; orders still tell of theirs."""
+    store = QuadStore(spark)
+    customers = shop(spark, sf_dir, ["customer"], G).filter(F.col("p") == T.RDF + "type")
+    orders = shop(spark, sf_dir, ["orders"], G).filter(F.col("p") == BASE + "placedBy")
+    store.insert(customers.unionByName(orders).unionByName(_vocabulary(spark).withColumn("g", F.lit(G))))
+    rdfs.materialize(store, G)
+    gone = customers.filter(F.regexp_extract("s", r"(\d+)$", 1).cast("long") % 3 == 0)
+    more = turtle.quads(spark, f"@prefix : <{BASE}> . @prefix rdfs: <{T.RDFS}> . :Party rdfs:subClassOf :Agent . :Agent rdfs:subClassOf :Thing .", G)
+    rdfs.change(store, G, more, gone)
+    return store.graph(G).filter((F.col("p") == T.RDF + "type") & F.col("s").startswith("urn:customer:")).select("s", "o", "inferred")
+
+
+@register("store_commits", f"SELECT 'urn:g:' || k AS graph, CAST(n AS BIGINT) AS triples, k <> 'orders' AS untouched FROM (SELECT 'customer' AS k, 3 * count(*) AS n FROM customer UNION ALL SELECT 'orders', 2 * count(*) + 1 FROM orders UNION ALL SELECT 'part', 2 * count(*) FROM part)")
+def store_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four graphs are saved; one is changed, one dropped, and only these two are written again."""
+    checked = lambda table, *names: shop(spark, sf_dir, [table], f"urn:g:{table}").filter(F.col("p").isin(*[BASE + x for x in names]))
+    rows = checked("customer", "c_name", "c_mktsegment", "nation").unionByName(checked("orders", "o_orderstatus", "placedBy", "o_orderpriority")).unionByName(checked("part", "p_brand", "p_size")).unionByName(checked("supplier", "s_name"))
+    path = f"{_folder(spark)}/store"
+    QuadStore(spark, rows).save(path)
+    files = lambda: {r.f for r in spark.read.parquet(path).select(F.col("_metadata.file_path").alias("f")).distinct().collect()}
+    before, store = files(), QuadStore.opened(spark, path)
+    store.update(f"WITH <urn:g:orders> DELETE {{ ?o <{BASE}o_orderpriority> ?x }} WHERE {{ ?o <{BASE}o_orderpriority> ?x }} ; INSERT DATA {{ GRAPH <urn:g:orders> {{ <urn:x> <urn:p> 1 }} }}")
+    store.drop_graph("urn:g:supplier")
+    store.save(path)
+    kept = [x for x in files() if x in before]
+    counted = spark.read.parquet(path).groupBy(F.col("g").alias("graph")).agg(F.count("*").alias("triples"), F.min(F.col("_metadata.file_path").isin(*kept)).alias("untouched"))
+    return counted.select("graph", "triples", "untouched")

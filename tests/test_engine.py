@@ -1,6 +1,7 @@
 """Behaviour of the graph engine on small graphs worked out by hand."""
 
 import json
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -256,3 +257,50 @@ def test_entry_works_without_the_corpus_operators(monkeypatch):
     monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if "llm" in name or name == "corpus_pipeline" else find(name, *a))
     assert "sparql_customers_per_region" in entry.queries() and not any(n.startswith("op") for n in entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_incremental_inference_equals_inference_anew(spark):
+    """Random triples and schemas, a quarter of them taken away and some added at each step."""
+    rng = random.Random(11)
+    head = f"@prefix rdfs: <{T.RDFS}> . @prefix : <urn:> . "
+
+    def some() -> str:
+        k, c, p, x = rng.random(), lambda: f":C{rng.randrange(5)}", lambda: f":p{rng.randrange(4)}", lambda: f":x{rng.randrange(5)}"
+        schema = [f"{c()} rdfs:subClassOf {c()} .", f"{p()} rdfs:subPropertyOf {p()} .", f"{p()} rdfs:domain {c()} .", f"{p()} rdfs:range {c()} ."]
+        return schema[rng.randrange(4)] if k < 0.35 else f"{x()} a {c()} ." if k < 0.55 else f'{x()} {p()} "l{rng.randrange(3)}" .' if k < 0.65 else f"{x()} {p()} {x()} ."
+
+    rows = lambda s: {(r.s, r.p, r.o, r.inferred) for r in s.quads.filter("g = 'urn:g'").collect()}
+    quads = lambda xs: turtle.quads(spark, head + " ".join(xs), "urn:g")
+    held = [some() for _ in range(25)]
+    store = QuadStore(spark)
+    store.insert(quads(held).unionByName(turtle.quads(spark, "<urn:x1> <urn:p1> <urn:x2> .", "urn:other")))
+    rdfs.materialize(store, "urn:g")
+    for _ in range(3):
+        out, new = [x for x in held if rng.random() < 0.25], [some() for _ in range(rng.randint(0, 6))]
+        told = rdfs.change(store, "urn:g", quads(new), quads(out))
+        held = [x for x in held if x not in out or x in new] + new
+        anew = QuadStore(spark, quads(held).distinct())
+        rdfs.materialize(anew, "urn:g")
+        assert rows(store) == rows(anew) and told["inferredCount"] == sum(x[3] for x in rows(anew))
+    assert store.count("urn:other") == 1
+
+
+def test_saving_writes_what_changed(spark, tmp_path):
+    path = str(tmp_path / "store")
+    store = QuadStore(spark)
+    for g in ("urn:a", "urn:b", ""):
+        store.insert_turtle("<urn:s> <urn:p> 1, 2 .", g)
+    store.save(path)
+    names = lambda: {str(p.relative_to(path)) for p in (tmp_path / "store").rglob("*.parquet")}
+    before = names()
+    again = QuadStore.opened(spark, path)
+    again.save(path)
+    assert names() == before and again.quads.count() == 6
+    again.insert_turtle("<urn:s> <urn:p> 3 .", "urn:a")
+    again.update("DELETE DATA { GRAPH <urn:b> { <urn:s> <urn:p> 1, 2 } }")
+    assert again.changed == {"urn:a", "urn:b"}
+    again.save(path)
+    assert {x for x in names() & before} == {x for x in before if "DEFAULT" in x or "g=/" in x}
+    assert sorted((r.g or "", r.o) for r in QuadStore.opened(spark, path).quads.collect()) == [("", "1"), ("", "2"), ("urn:a", "1"), ("urn:a", "2"), ("urn:a", "3")]
+    with pytest.raises(ValueError):
+        again.drop_graph("urn:a", confirm=False)
