@@ -1,7 +1,9 @@
 """SHACL core constraints as filters, anti-joins and grouped counts.
 
 Shapes are parsed on the driver; each constraint becomes one small plan over the data and the
-violations are their union: focus_node, path, message, severity, component.
+violations are their union: focus_node, path, message, severity, component. A property path is
+walked from the focus nodes, a join a step, and a closing one (+ or *) by the closure of its steps
+from the nodes reached so far.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadloom.functions import terms as T
-from quadloom.plans.compiler import object_
+from quadloom.plans.compiler import object_, subject
 from quadloom.plans.fixpoint import closure
 from quadloom.sources import turtle
 
@@ -75,6 +77,72 @@ def _objects(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("o_kind").alias("n_kind"), F.col("o").alias("n"))
 
 
+#: How a path is told by the predicate that its blank node has.
+_PATHS = {"inversePath": "inv", "alternativePath": "alt", "zeroOrMorePath": "star", "oneOrMorePath": "plus", "zeroOrOnePath": "maybe"}
+_MARKS = {"star": "*", "plus": "+", "maybe": "?"}
+
+
+def _path(shapes: Shapes, node: tuple) -> tuple:
+    """('iri', p), ('seq' or 'alt', paths), ('inv', 'star', 'plus' or 'maybe', path)."""
+    if node[0] == T.IRI:
+        return ("iri", node[1])
+    for name, kind in _PATHS.items():
+        if inner := shapes.one(node[1], name):
+            return (kind, [_path(shapes, x) for x in shapes.list(inner[1])]) if kind == "alt" else (kind, _path(shapes, inner))
+    return ("seq", [_path(shapes, x) for x in shapes.list(node[1])])
+
+
+def path_text(path: tuple) -> str:
+    """A predicate's IRI, or a path as SPARQL writes it."""
+    if path[0] == "iri":
+        return path[1]
+
+    def inner(x: tuple) -> str:
+        if x[0] == "iri":
+            return f"<{x[1]}>"
+        if x[0] in ("seq", "alt"):
+            return "(" + {"seq": "/", "alt": "|"}[x[0]].join(map(inner, x[1])) + ")"
+        return "^" + inner(x[1]) if x[0] == "inv" else inner(x[1]) + _MARKS[x[0]]
+
+    text = inner(path)
+    return text[1:-1] if path[0] in ("seq", "alt") else text
+
+
+def _walk(quads: DataFrame, front: DataFrame, path: tuple, back: bool = False) -> DataFrame:
+    """front (n_kind, n, v) with v moved along the path, or back along it."""
+    kind, rest = path
+    if kind == "iri":
+        a, b = (object_(), subject()) if back else (subject(), object_())
+        edges = quads.filter(F.col("p") == rest).select(a.alias("x"), b.alias("y"))
+        return front.join(edges, F.col("v") == F.col("x")).select("n_kind", "n", F.col("y").alias("v"))
+    if kind == "inv":
+        return _walk(quads, front, rest, not back)
+    if kind == "seq":
+        for step in reversed(rest) if back else rest:
+            front = _walk(quads, front, step, back)
+        return front
+    if kind == "alt":
+        out = _walk(quads, front, rest[0], back)
+        for other in rest[1:]:
+            out = out.unionByName(_walk(quads, front, other, back))
+        return out.distinct()
+    if kind == "maybe":
+        return front.unionByName(_walk(quads, front, rest, back)).distinct()
+    every = quads.select(subject().alias("v")).unionAll(quads.filter(F.col("o_kind") < T.LITERAL).select(object_().alias("v"))).distinct()
+    steps = _walk(quads, every.select(F.col("v").alias("n"), F.col("v"), F.lit(0).alias("n_kind")), rest, back).select(F.col("n").alias("s"), F.col("v").alias("o"))
+    reached = closure(steps, front.select(F.col("v").alias("s")).distinct())
+    further = front.join(reached, F.col("v") == F.col("s")).select("n_kind", "n", F.col("o").alias("v"))
+    return (further.unionByName(front) if kind == "star" else further).distinct()
+
+
+def _values(quads: DataFrame, path: tuple, targets: DataFrame) -> DataFrame:
+    """(n_kind, n, v): the values of targets along a path."""
+    if path[0] == "iri":
+        return quads.filter(F.col("p") == path[1]).select(F.col("s_kind").alias("n_kind"), F.col("s").alias("n"), object_().alias("v")).transform(_among, targets, ["n_kind", "n"])
+    start = targets.select("n_kind", "n", F.struct(F.col("n_kind").alias("kind"), F.col("n").alias("lex"), F.lit("").alias("dt"), F.lit("").alias("lang")).alias("v"))
+    return _walk(quads, start, path).distinct()
+
+
 def _instances(quads: DataFrame, shapes: Shapes, cls: str) -> DataFrame:
     """Nodes of a class or of one below it."""
     if shapes.hierarchy is None:
@@ -104,12 +172,11 @@ def _shape(quads: DataFrame, shapes: Shapes, shape: str, targets: DataFrame, own
     own = own if own is not None else targets.select("n_kind", "n", F.struct(F.col("n_kind").alias("kind"), F.col("n").alias("lex"), F.lit("").alias("dt"), F.lit("").alias("lang")).alias("v"))
     out = _constraints(quads, shapes, shape, targets, own, "", True)
     for _, prop, *_ in shapes.all(shape, "property"):
-        path = shapes.one(prop, "path")[1]
-        values = quads.filter(F.col("p") == path).select(F.col("s_kind").alias("n_kind"), F.col("s").alias("n"), object_().alias("v")).transform(_among, targets, ["n_kind", "n"])
-        out += _constraints(quads, shapes, prop, targets, values, path, False)
+        path = _path(shapes, shapes.one(prop, "path"))
+        out += _constraints(quads, shapes, prop, targets, _values(quads, path, targets), path_text(path), False)
     closed = shapes.one(shape, "closed")
     if closed and closed[1] in ("true", "1"):
-        allowed = [shapes.one(p[1], "path")[1] for p in shapes.all(shape, "property")]
+        allowed = [x[1] for p in shapes.all(shape, "property") if (x := shapes.one(p[1], "path"))[0] == T.IRI]
         ignored = shapes.one(shape, "ignoredProperties")
         allowed += [x[1] for x in shapes.list(ignored[1])] if ignored else []
         extra = _focused(quads, targets).filter(~F.col("p").isin(*allowed) if allowed else F.lit(True))
@@ -220,10 +287,9 @@ def _constraints(quads: DataFrame, shapes: Shapes, shape: str, targets: DataFram
 def _failing(quads: DataFrame, shapes: Shapes, shape: str, values: DataFrame) -> DataFrame:
     """The values (column v) that a nested shape rejects. Shapes that refer to themselves aren't followed."""
     nodes = values.select(F.col("v.kind").alias("n_kind"), F.col("v.lex").alias("n")).distinct()
-    path = shapes.one(shape, "path")
-    if path:
-        reached = quads.filter(F.col("p") == path[1]).select(F.col("s_kind").alias("n_kind"), F.col("s").alias("n"), object_().alias("v")).transform(_among, nodes, ["n_kind", "n"])
-        found = _constraints(quads, shapes, shape, nodes, reached, path[1], False)
+    if shapes.one(shape, "path"):
+        path = _path(shapes, shapes.one(shape, "path"))
+        found = _constraints(quads, shapes, shape, nodes, _values(quads, path, nodes), path_text(path), False)
     else:
         found = _shape(quads, shapes, shape, nodes, values.select(F.col("v.kind").alias("n_kind"), F.col("v.lex").alias("n"), "v").distinct())
     bad = None

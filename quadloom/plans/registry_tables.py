@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quadloom.functions import terms as T
@@ -353,3 +353,32 @@ def store_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = [x for x in files() if x in before]
     counted = spark.read.parquet(path).groupBy(F.col("g").alias("graph")).agg(F.count("*").alias("triples"), F.min(F.col("_metadata.file_path").isin(*kept)).alias("untouched"))
     return counted.select("graph", "triples", "untouched")
+
+
+_CHAIN = "SELECT o_orderkey AS k, o_custkey AS c, o_totalprice AS t, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i FROM orders"
+
+
+@register(
+    "shacl_paths",
+    f"""WITH o AS ({_CHAIN}), most AS (SELECT c, max(i) AS n, max(t) AS t FROM o GROUP BY c)
+    SELECT 'urn:customer:' || c_custkey AS focus_node, '<{BASE}nation>/<{BASE}region>/<{BASE}r_name>' AS path, 'InConstraintComponent' AS component FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name NOT IN ('ASIA', 'EUROPE')
+    UNION ALL SELECT 'urn:customer:' || c_custkey, '^<{BASE}placedBy>', 'MaxCountConstraintComponent' FROM customer JOIN most ON c = c_custkey WHERE n > 12
+    UNION ALL SELECT 'urn:customer:' || c_custkey, '^<{BASE}first>/<{BASE}next>*/<{BASE}o_totalprice>', 'MaxInclusiveConstraintComponent' FROM customer JOIN o ON c = c_custkey WHERE o.t > 400000
+    UNION ALL SELECT 'urn:customer:' || c_custkey, '^<{BASE}placedBy>|<{BASE}nation>', 'MinCountConstraintComponent' FROM customer LEFT JOIN most ON c = c_custkey WHERE coalesce(n, 0) + 1 < 8
+    UNION ALL SELECT 'urn:customer:' || c_custkey, '(^<{BASE}first>/<{BASE}next>+)?', 'MaxCountConstraintComponent' FROM customer LEFT JOIN most ON c = c_custkey WHERE greatest(coalesce(n, 0) - 1, 0) + 1 > 11""",
+)
+def shacl_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences, inverses, alternatives and closing paths from the customers, along the chains of their orders."""
+    orders = _table(spark, sf_dir, "orders").withColumn("i", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))).withColumn("after", F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")))
+    key = uri("order", F.col("o_orderkey"))
+    chain = orders.filter("after is not null").select(*quad("", key, BASE + "next", T.IRI, uri("order", F.col("after"))))
+    first = orders.filter("i = 1").select(*quad("", key, BASE + "first", T.IRI, uri("customer", F.col("o_custkey"))))
+    data = shop(spark, sf_dir, ["customer", "nation", "region", "orders"]).unionByName(chain).unionByName(first)
+    shapes = f"""@prefix sh: <{shacl.SH}> . @prefix : <{BASE}> .
+    :S a sh:NodeShape ; sh:targetClass :Customer ;
+      sh:property [ sh:path ( :nation :region :r_name ) ; sh:in ( "ASIA" "EUROPE" ) ] ;
+      sh:property [ sh:path [ sh:inversePath :placedBy ] ; sh:maxCount 12 ] ;
+      sh:property [ sh:path ( [ sh:inversePath :first ] [ sh:zeroOrMorePath :next ] :o_totalprice ) ; sh:maxInclusive 400000 ] ;
+      sh:property [ sh:path [ sh:alternativePath ( [ sh:inversePath :placedBy ] :nation ) ] ; sh:minCount 8 ] ;
+      sh:property [ sh:path [ sh:zeroOrOnePath ( [ sh:inversePath :first ] [ sh:oneOrMorePath :next ] ) ] ; sh:maxCount 11 ] ."""
+    return shacl.validate(data, shapes).select("focus_node", "path", "component")
