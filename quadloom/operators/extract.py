@@ -57,8 +57,8 @@ def links(pages: DataFrame, html: str = "html") -> DataFrame:
 
 
 def commit_days(log: DataFrame) -> DataFrame:
-    """Lines date|message -> day, messages, title, body: one record a day."""
-    parts = log.select(F.split("value", r"\|", 2).alias("p")).select(F.col("p")[0].alias("day"), F.col("p")[1].alias("message"))
+    """Lines date|message -> day, messages, title, body: one record a day; lines without a separator are passed over."""
+    parts = log.select(F.split("value", r"\|", 2).alias("p")).select(F.get("p", 0).alias("day"), F.get("p", 1).alias("message")).filter("message is not null")
     days = parts.groupBy("day").agg(F.array_sort(F.collect_list("message")).alias("messages"))
     return days.select("day", "messages", F.when(F.size("messages") == 1, F.col("messages")[0]).otherwise(F.concat(F.size("messages").cast("string"), F.lit(" commits"))).alias("title"), F.array_join("messages", "; ").alias("body"))
 

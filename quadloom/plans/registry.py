@@ -334,4 +334,4 @@ def ntriples_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return turtle.lines(shop(spark, sf_dir, ["nation"]).filter(F.col("p") == BASE + "n_name")).withColumnRenamed("value", "line")
 
-from quadloom.plans import registry_ops, registry_sparql, registry_tables  # noqa: E402, F401
+from quadloom.plans import registry_ops, registry_scan, registry_sparql, registry_tables  # noqa: E402, F401
