@@ -22,8 +22,10 @@ VIOLATION = "focus_node string, path string, message string, severity string, co
 
 
 class Shapes:
-    def __init__(self, text: str):
-        self.triples = turtle.parse(text)[0]
+    def __init__(self, text: str | list[str]):
+        """One text or several, whose blank nodes are told apart."""
+        texts = [text] if isinstance(text, str) else text
+        self.triples = [t for k, x in enumerate(texts) for t in turtle.parse(x, f"shapes {k}")[0]]
         self.hierarchy: DataFrame | None = None  # (s, o): classes and those above them, of the data
 
     def all(self, s: str, p: str) -> list[tuple]:
@@ -45,7 +47,7 @@ class Shapes:
         return list(dict.fromkeys(t[1] for t in self.triples if t[2] in targets))
 
 
-def validate(quads: DataFrame, shapes_text: str) -> DataFrame:
+def validate(quads: DataFrame, shapes_text: str | list[str]) -> DataFrame:
     """Violations of all shapes that have targets; no rows if the data conform."""
     shapes, out = Shapes(shapes_text), None
     for shape in shapes.node_shapes():

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadloom.operators import deep_scan
+from quadloom.functions import terms as T
+from quadloom.operators import deep_scan, project, shacl
+from quadloom.operators.store import QuadStore
 from quadloom.plans.registry import _table, register
+from quadloom.plans.registry_ops import _folder
+from quadloom.sources.mapping import BASE, shop
 
 
 def _written(text: str, **columns) -> F.Column:
@@ -107,3 +113,34 @@ def scan_commit_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = deep_scan.days_since(events.select(F.concat_ws("|", day, "event_type").alias("value")).unionAll(events.limit(3).select(F.lit("no separator"))), "2024-01-20")
     commits = events.select(day.alias("day"), F.array(F.when(F.col("event_id") % 4 == 0, _written("src/x#k#.py", k=F.col("event_id"))).otherwise("docs/readme.md")).alias("files"))
     return days.select("day", "title").join(deep_scan.changes_by_day(commits), "day", "left").select("day", "title", F.coalesce("changed", F.lit(False)).alias("changed"))
+
+
+@register(
+    "project_doctor",
+    f"""SELECT 'settings' AS "check", 'ok' AS status, 'project customers-of-the-shop' AS message
+    UNION ALL SELECT 'store', 'ok', (2 * (SELECT count(*) FROM customer)) || ' triples in urn:g:main'
+    UNION ALL SELECT 'graphs', 'warn', 'not set up: sessions'
+    UNION ALL SELECT 'shapes', CASE WHEN n = 0 THEN 'ok' ELSE 'fail' END, CASE WHEN n = 0 THEN '2 files, all conforms' ELSE n || ' violations' END FROM (
+      SELECT count(*) FILTER (c_acctbal < 0) + count(*) FILTER (c_acctbal > 9000) AS n FROM customer)""",
+)
+def project_doctor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings, store and shapes of a project of the customers, written and read by Spark."""
+    folder = _folder(spark)
+    data = shop(spark, sf_dir, ["customer"], "urn:g:main").filter(F.col("p").isin(T.RDF + "type", BASE + "c_acctbal"))
+    QuadStore(spark, data).save(f"{folder}/store")
+    head = f"@prefix sh: <{shacl.SH}> . @prefix : <{BASE}> ."
+    shapes = [(f"{head} _:s a sh:NodeShape ; sh:targetClass :Customer ; sh:property [ sh:path :c_acctbal ; sh:{x} ] .",) for x in ("minInclusive 0", "maxInclusive 9000")]
+    for k, row in enumerate(shapes):
+        spark.createDataFrame([row], "value string").coalesce(1).write.text(f"{folder}/shapes/{k}")
+    found = [r.value for k in range(2) for r in spark.read.option("wholetext", True).text(f"{folder}/shapes/{k}").collect()]
+    settings = {"project": project.slugify("Customers of the shop!"), "graph": "urn:g:main", "store": f"{folder}/store", "graphs": {"context": "urn:g:main/context"}, "shapes": f"{folder}/none"}
+    spark.createDataFrame([(json.dumps(settings),)], "value string").coalesce(1).write.text(f"{folder}/settings")
+    rows = [x for x in project.doctor(spark, f"{folder}/settings") if x[0] != "shapes"]
+    report = project.checked(project.Settings.load(spark, f"{folder}/settings").opened(spark).graph("urn:g:main"), found)
+    rows.append(("shapes", "ok", f"{len(found)} files, all conforms") if report.conforms else ("shapes", "fail", f"{report.violations.count()} violations"))
+    return spark.createDataFrame(rows, "check string, status string, message string")
+
+
+@register("project_slugs", "SELECT p_partkey AS part, regexp_replace(regexp_replace(lower(p_name || ' (' || p_brand || ')'), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM part")
+def project_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), project.slugified(F.concat("p_name", F.lit(" ("), "p_brand", F.lit(")"))).alias("slug"))
