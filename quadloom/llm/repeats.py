@@ -60,18 +60,21 @@ def utf8(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass") if text else b""
 
 
+def _mixed(head: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """Hashes of K bytes by their first and last eight."""
+    hashed = head * np.uint64(0x9E3779B97F4A7C15)
+    hashed ^= tail * np.uint64(0xC2B2AE3D27D4EB4F)
+    hashed ^= hashed >> np.uint64(31)
+    hashed *= np.uint64(0xBF58476D1CE4E5B9)
+    return hashed
+
+
 def pieces(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """First window, number of windows, minimizer and its place in the first window, of each piece of a text."""
     n = len(text)
-    words = text.astype(np.uint64)
-    for step in (1, 2, 4):
-        words[:-step] |= words[step:] << np.uint64(8 * step)
-    hashed = words[: n - K + 1] * np.uint64(0x9E3779B97F4A7C15) ^ words[K - 8 : n - 7] * np.uint64(0xC2B2AE3D27D4EB4F)
-    hashed ^= hashed >> np.uint64(31)
-    hashed *= np.uint64(0xBF58476D1CE4E5B9)
-    whole = hashed.copy()
-    hashed >>= np.uint64(32)
-    hashed <<= np.uint64(32)
+    words = np.ndarray((n - 7,), "<u8", np.ascontiguousarray(text), 0, (1,))  # the eight bytes from each place on
+    hashed = _mixed(words[: n - K + 1], words[K - 8 :])
+    hashed &= np.uint64(0xFFFFFFFF00000000)
     hashed |= np.arange(len(hashed), dtype=np.uint64)
     span = 1
     while 2 * span <= PLACES:
@@ -82,8 +85,9 @@ def pieces(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     at = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
     best = least[at]
     spot = (best & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    whole = _mixed(words[spot], words[spot + K - 8])
     # The smallest hashes begin alike, so a minimizer is told by the lower bits of its hash.
-    return at, np.diff(np.append(at, len(least))), (whole[spot] & _MINIMIZER).astype(np.int64), spot - at
+    return at, np.diff(np.append(at, len(least))), (whole & _MINIMIZER).astype(np.int64), spot - at
 
 
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -217,21 +221,27 @@ def _shared(m: list[int], data: list[bytes], place: list[int]) -> list[tuple[int
     stretch of bytes in common, so a window in two pieces means that both hold its range's stretch.
     """
     width = -(-PLACES // RANGES)
-    seen: dict[tuple[int, int, bytes], int] = {}
-    spans: list[list[tuple[int, int, tuple]]] = []
+    digest = xxhash.xxh3_128_intdigest
+    seen: set[tuple[int, int, int]] = set()
+    twice: set[tuple[int, int, int]] = set()
+    keyed: list[list[tuple[int, int, int]]] = []
     for minimizer, piece, at in zip(m, data, place):
         windows, mine = len(piece) - WINDOW + 1, []
-        for r in range(RANGES):
-            low, high = max(r * width, at - windows + 1), min(r * width + width - 1, at)
-            if low <= high:  # windows high..low before the minimizer are in the piece
-                key = (minimizer, r, xxhash.xxh3_128_digest(piece[at - r * width : at - min(r * width + width, PLACES) + 1 + WINDOW]))
-                mine.append((at - high, at - low, key))
-                seen[key] = seen.get(key, 0) + 1
-        spans.append(mine)
+        for r in range(max(0, at - windows + 1) // width, at // width + 1):  # the ranges that windows of the piece lie in
+            key = (minimizer, r, digest(piece[at - r * width : at - min(r * width + width, PLACES) + 1 + WINDOW]))
+            mine.append(key)
+            if key in seen:
+                twice.add(key)
+            else:
+                seen.add(key)
+        keyed.append(mine)
     out = []
-    for mine in spans:
-        kept = [x for x in mine if seen[x[2]] > 1]
-        out.append((min(x[0] for x in kept), max(x[1] for x in kept)) if kept else (0, -1))
+    for mine, piece, at in zip(keyed, data, place):
+        kept = [key[1] for key in mine if key in twice]
+        if kept:  # a window of range r begins r * width to r * width + width - 1 bytes before the minimizer
+            out.append((max(0, at - kept[-1] * width - width + 1), min(len(piece) - WINDOW, at - kept[0] * width)))
+        else:
+            out.append((0, -1))
     return out
 
 

@@ -32,12 +32,8 @@ class Strings:
         self.longest = int(self.length.max(initial=0))
         self.text = np.frombuffer(b"\xff".join(strings) + b"\xff", np.uint8)
         padded = np.concatenate([self.text, np.zeros(self.longest + 2 * _WORD, np.uint8)])
-        words = padded.astype(np.uint64)
-        for step in (1, 2, 4):
-            shifted = np.zeros_like(words)
-            shifted[:-step] = words[step:]
-            words = (words << np.uint64(8 * step)) | shifted
-        self.words = words  # the eight bytes from each position on, first byte highest
+        # The eight bytes from each position on, first byte highest.
+        self.words = np.ndarray((len(padded) - _WORD + 1,), ">u8", padded, 0, (1,)).astype(np.uint64)
         self.owner = np.repeat(np.arange(len(strings), dtype=np.int32), self.length + 1)
         self.order = self._sorted()
 
@@ -152,7 +148,10 @@ class RunIndex:
                 kept = []
                 for other, sample, there in ((above, self.last, spot > 0), (below, self.first, spot < runs)):
                     there = there & (self.key[other] == key[miss])
-                    kept.append(np.where(there, self.common(was, sample[other], np.where(there, had, 0)), -1))
+                    length_kept = np.where(there, 0, -1)
+                    worth = np.flatnonzero(there & (had > 0))
+                    length_kept[worth] = self.common(was[worth], sample[other[worth]], had[worth])
+                    kept.append(length_kept)
                 up = kept[0] >= kept[1]
                 best, other = np.where(up, kept[0], kept[1]), np.where(up, above, below)
                 none = best < 0
