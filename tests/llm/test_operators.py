@@ -279,3 +279,39 @@ def test_near_duplicates_leave_rows_without_an_id_alone(spark):
     rows = spark.createDataFrame([(5, text), (None, text), (None, text + " more"), (7, text), (None, None)], "doc_id long, text string")
     found = sorted(((r.doc_id or 0, r.component_id) for r in jaccard.joined(rows, n=4, num=85, den=100).collect()), key=repr)
     assert found == [(0, None), (0, None), (0, None), (5, 5), (7, 5)]
+
+
+def test_token_counts_of_rows(spark):
+    """The DataFrame operator and the registered query against a whole count of the edited text."""
+    import tiktoken
+    from tiktoken.load import load_tiktoken_bpe
+
+    from quadloom.llm import queries
+
+    whole = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_tiktoken_bpe(RANKS), special_tokens={})
+    count = lambda text: len(whole.encode_ordinary(text))
+
+    def edited(text, edits):
+        text = text or ""
+        for e in edits or []:
+            if e is None or e[0] is None:
+                continue
+            at = min(max(e[0], 0), len(text))
+            text = text[:at] + (e[2] or "") + text[at + (e[1] or 0) :]
+        return text
+
+    rows = [
+        (1, "some words, and more of them", [(4, 3, "thing"), (0, 0, "x ")], "clash"), (1, "some words, and more of them", [(4, 3, "thing"), (0, 0, "x ")], "clash"), (2, None, [(5, 1, "new")], None), (None, "abc", None, None),
+        (3, "abc", [None, (None, 1, "x"), (99, 5, "end"), (-4, 1, None)], None), (4, "", [], None), (5, "word " * 4000, [(9000, 700, "é\U0001f600 ")], None),
+    ]
+    table = spark.createDataFrame(rows, "doc_id long, text string, edits array<struct<at:int,remove:int,insert:string>>, n_tokens string")
+    out = token_tree.counted(table, "edits", RANKS, public_tokenizers.PATTERN)
+    assert out.columns[0] == "doc_id" and len(out.columns) == 1 + len(token_tree.COUNTS.split(", "))
+    got = sorted((r.doc_id or 0, r.n_tokens, r.n_tokens_edited, r.n_chars_edited) for r in out.collect())
+    assert got == sorted((d or 0, count(t or ""), count(edited(t, e)), len(edited(t, e))) for d, t, e, _ in rows)
+    assert token_tree.counted(table.limit(0), "edits", RANKS, public_tokenizers.PATTERN).count() == 0
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()}
+    for r in queries.op7_token_counts(spark, "/root/testdata/sf0.001").collect():
+        n = len(texts[r.doc_id])
+        after = edited(texts[r.doc_id], [(n // 4, 7, ""), (n // 2, 0, " [removed] "), (3 * n // 4, 3, "e-mail")])
+        assert (r.n_tokens, r.n_tokens_edited, r.n_chars_edited) == (count(texts[r.doc_id]), count(after), len(after))
