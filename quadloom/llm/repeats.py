@@ -6,7 +6,7 @@ before in the same document. The work is dealt out so that no index ever holds t
 1. A window's minimizer is the K-byte string in it of the smallest hash (the first of equals).
    Neighbouring windows share it, so a document falls into pieces: runs of windows of one
    minimizer. Equal windows lie in pieces of equal minimizers, at the same place from it.
-2. The pieces' hashes are sorted by (minimizer, piece, document, place) over all documents. A piece
+2. The pieces' hashes are dealt out and sorted by (minimizer, piece, document, place) over all documents. A piece
    that came before goes whole. A minimizer with a single distinct piece is done. Range partitions
    in that order split the pieces of any hot minimizer; what lies at their edges is settled by
    aggregates.
@@ -137,8 +137,18 @@ def _piece_rows(held: list[tuple[int, int, bytes]]) -> pd.DataFrame:
 GOES, INDEXED, HOT, EDGE = 0, 1, 2, 3
 
 
+def _in_order(m: np.ndarray, *others: np.ndarray) -> np.ndarray:
+    """Rows by m, then by the other keys; most rows are alone with their m, so only the rest is compared by all keys."""
+    order = np.argsort(m)
+    same = np.concatenate([[False], m[order][1:] == m[order][:-1], [False]]) if len(m) else np.zeros(1, bool)
+    tied = same[:-1] | same[1:]
+    some = order[tied]
+    order[tied] = some[np.lexsort((*(x[some] for x in reversed(others)), m[some]))]
+    return order
+
+
 def _told(most: int):
-    """Pieces of one sorted partition, whole -> those that go and those to be indexed."""
+    """Pieces of one range partition, whole -> those that go and those to be indexed."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [b for b in batches if len(b)]
@@ -147,6 +157,7 @@ def _told(most: int):
         rows = pd.concat(parts, ignore_index=True)
         own = rows["span"].to_numpy() < 0
         rest = rows[~own]
+        rest = rest.iloc[_in_order(*(rest[c].to_numpy() for c in _KEYS))]
         kind = np.zeros(len(rest), np.int64)
         if len(rest):
             m, g, doc, tie, at = (rest[c].to_numpy() for c in _KEYS)
@@ -334,7 +345,7 @@ def deduplicated(docs: DataFrame, most: int = MOST) -> DataFrame:
 
     parts = max(shuffle_partitions(spark), 2 * size // (PLACES * ROWS) + 1)
     rows = texts.filter(F.octet_length("text") >= WINDOW).mapInPandas(tidy(_cut), _PIECES)
-    told = rows.repartitionByRange(int(parts), *_KEYS).sortWithinPartitions(*_KEYS).mapInPandas(tidy(_told(most)), f"kind int, {_PIECES}")
+    told = rows.repartitionByRange(int(parts), *_KEYS).mapInPandas(tidy(_told(most)), f"kind int, {_PIECES}")
     told.write.parquet(f"{folder}/told")
     told = spark.read.parquet(f"{folder}/told")
     edges = _edges(told.filter(F.col("kind") == EDGE), most)
