@@ -8,7 +8,8 @@ what both bind; no join compares row with row.
 
 An EXISTS whose group needs variables of the row anywhere inside is decorrelated: the distinct
 values that the rows bind to them are joined into the group wherever it begins, each with its own
-mark, and the rows meet the marks that are left. Variables that come from a mapped table keep its column beside
+mark, and the rows meet the marks that are left. An EXISTS in a filter of such a group becomes part of it
+where both are plain patterns, and of what a row is only less or more than, the furthest value decides. Variables that come from a mapped table keep its column beside
 the term (hidden), and joins, groups and comparisons use that where both sides have one.
 """
 
@@ -74,6 +75,13 @@ def inside(e, kind: str) -> list[tuple]:
     return [x for part in e for x in inside(part, kind)] if isinstance(e, (tuple, list)) else []
 
 
+def renamed(e, names: dict[str, str]):
+    """The tree with other names for some variables."""
+    if isinstance(e, tuple) and len(e) == 2 and e[0] in ("var", "pvar"):
+        return (e[0], names.get(e[1], e[1]))
+    return type(e)(renamed(x, names) for x in e) if isinstance(e, (tuple, list)) else e
+
+
 @dataclass(frozen=True)
 class Graphs:
     """What a pattern is matched against: default graphs, or one graph, or a variable over named graphs."""
@@ -326,6 +334,7 @@ class Compiler:
 
     def _existing(self, out: Solutions, group: tuple, graphs: Graphs, how: str) -> DataFrame:
         """Rows of out for which the group of an EXISTS has a solution, or has none."""
+        group = self._flat(group, set(out.vars))
         alone = self._seeded_by(None)
         simple = alone._correlated(out, group, graphs)
         if simple is not None:
@@ -341,6 +350,46 @@ class Compiler:
             same = same & F.col(f"`{v}`").eqNullSafe(F.col(f"`{names[v]}`"))
         return out.df.join(hit, same, how)
 
+    def _flat(self, group: tuple, outer: set[str]) -> tuple:
+        """The group of an EXISTS with those of the EXISTS in its filters as parts of it, since only whether there is a solution counts.
+
+        Done where all of them are triple patterns and filters and share a variable; what the inner group alone binds gets a new name.
+        """
+        if any(i[0] not in ("bgp", "filter") for i in group[1]) or inside(group, "sub"):
+            return group
+        bound = set().union(*[variables(i[1]) for i in group[1] if i[0] == "bgp"])
+        items, todo = [i for i in group[1] if i[0] == "bgp"], [i[1] for i in group[1] if i[0] == "filter"]
+        while todo:
+            e = todo.pop(0)
+            if e[0] == "and":
+                todo = [*e[1:], *todo]
+                continue
+            exists = e if e[0] == "exists" else e[1] if e[0] == "not" and e[1][0] == "exists" else None
+            if exists is not None and exists[2] == (e[0] == "not"):
+                inner = self._flat(exists[1], outer | bound)
+                own = set().union(*[variables(i[1]) for i in inner[1] if i[0] == "bgp"])
+                if all(i[0] in ("bgp", "filter") for i in inner[1]) and own & bound:
+                    fresh = {v: f"{v}_{next(_fresh)}" for v in own - bound - outer}
+                    items += renamed(inner[1], fresh)
+                    continue
+            items.append(("filter", e))
+        return (group[0], items, *group[2:])
+
+    def _furthest(self, a: Solutions, b: Solutions, shared: list[str], conditions: list[tuple]) -> Solutions:
+        """b, or the one row for each of its values of the shared variables that decides a lone condition: less or more than the row."""
+        if len(conditions) != 1 or conditions[0][0] != "cmp" or conditions[0][1] not in ("<", "<=", ">", ">="):
+            return b
+        _, op, x, y = conditions[0]
+        if y[0] == "var" and y[1] in b.hidden and y[1] not in a.vars:
+            x, y, op = y, x, {"<": ">", "<=": ">=", ">": "<", ">=": "<="}[op]
+        if x[0] != "var" or x[1] in a.vars or x[1] not in b.hidden or b.hidden[x[1]].kind == "key" or variables(y) & (set(b.vars) - set(a.vars)):
+            return b
+        names, h = [*shared, x[1]], b.hidden[x[1]]
+        hidden = {v: b.hidden[v] for v in names if v in b.hidden}
+        df = b.df.groupBy(*[F.col(f"`{hidden[v].column if v in hidden else v}`") for v in shared]).agg((F.max if op in (">", ">=") else F.min)(F.col(f"`{h.column}`")).alias(h.column))
+        made = [term_of(hidden[v], F.col(f"`{hidden[v].column}`")).alias(v) if v in hidden else F.col(f"`{v}`") for v in names]
+        return Solutions(df.select(*made, *[F.col(f"`{k.column}`") for k in hidden.values()]), names, b.bound & set(names), hidden)
+
     def _correlated(self, out: Solutions, group: tuple, graphs: Graphs) -> tuple[Solutions, list[tuple]] | None:
         """The group of an EXISTS, and those of its filters that need variables of the row; None if more of it needs them."""
         plain = [i for i in group[1] if i[0] != "filter"]
@@ -493,6 +542,7 @@ class Compiler:
                     out = place(x.df) if out is None else out.unionByName(place(x.df))
             return out if out is not None else a.df.limit(0)
         shared = [v for v in a.vars if v in b.vars]
+        b = self._furthest(a, b, shared, list(conditions))
         used = [v for v in b.vars if v not in a.vars and (v in variables(list(conditions)) or v in a.df.columns)]
         right, names = self._renamed(b, [*shared, *used])
         cond = self._condition(a, b, shared, names)
