@@ -2,8 +2,8 @@
 
 What a predicate or a class lets conclude is a table of its own (the schema with its closures), and
 a triple meets it by its predicate or, in case of rdf:type, by its class: one join for all rules.
-That table is small next to the data, so Spark broadcasts it where its statistics allow and shuffles
-where not. In mode 'single' rules see asserted triples only, in 'fixpoint' they run until nothing is
+Most triples may share one predicate, so none moves by it: that table is broadcast if it is small, and
+else in what it holds of frequent keys, the rest being shuffled. In mode 'single' rules see asserted triples only, in 'fixpoint' they run until nothing is
 new.
 
 change() keeps what a graph infers up to date without inferring it anew: it deletes what removed
@@ -18,12 +18,16 @@ from pyspark.sql import functions as F
 
 from quadloom.functions import terms as T
 from quadloom.plans.fixpoint import checkpointed, closure
+from quadloom.plans.skew import skewed_join
 
 SUB_CLASS, SUB_PROPERTY, DOMAIN, RANGE, TYPE = (T.RDFS + "subClassOf", T.RDFS + "subPropertyOf", T.RDFS + "domain", T.RDFS + "range", T.RDF + "type")
 TRIPLE = ["s_kind", "s", "p", "o_kind", "o", "o_dt", "o_lang"]
 #: The order in which rules claim what they derive.
 RULES = ["rdfs11", "rdfs5", "rdfs9", "rdfs7", "rdfs2", "rdfs3"]
 
+#: Conclusions, counted first, up to which all of them are broadcast.
+FEW_CONCLUSIONS = 50_000
+
 
 def meta(lex: Column) -> Column:
     """IRIs of the vocabularies themselves, of which nothing is inferred."""
@@ -83,7 +87,9 @@ def _derived(asserted: DataFrame, conclusions: DataFrame) -> DataFrame:
     iri = F.lit(T.IRI).cast("tinyint")
     of_class = (F.col("p") == TYPE) & (F.col("o_kind") < T.LITERAL)
     key = F.when(of_class, F.concat(F.lit("c"), "o")).when(~F.col("p").isin(SUB_CLASS, SUB_PROPERTY, DOMAIN, RANGE, TYPE), F.concat(F.lit("p"), "p"))
-    met = asserted.withColumn("key", key).join(conclusions, "key")
+    keyed = asserted.withColumn("key", key)
+    few = conclusions.limit(FEW_CONCLUSIONS + 1).count() <= FEW_CONCLUSIONS
+    met = keyed.join(F.broadcast(conclusions), "key") if few else skewed_join(keyed, conclusions, ["key"])
     of_object = F.col("what") == "type of o"
     met = met.filter(F.when(of_object, (F.col("o_kind") < T.LITERAL) & ~meta(F.col("o"))).otherwise(~meta(F.col("s"))))
     typed = F.col("what") != "p"
@@ -96,6 +102,7 @@ def _derived(asserted: DataFrame, conclusions: DataFrame) -> DataFrame:
 
 def _once(asserted: DataFrame) -> DataFrame:
     conclusions, pairs = _schema(asserted)
+    conclusions = checkpointed(conclusions)
     first = _derived(asserted, conclusions).unionByName(pairs).groupBy(*TRIPLE).agg(F.min("rank").alias("rank"))
     rule = F.element_at(F.array(*[F.lit(x) for x in _BY_RANK]), F.col("rank") + 1)
     return first.join(asserted, TRIPLE, "left_anti").select(*TRIPLE, rule.alias("rule"))
