@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from quadloom.functions import terms as T
 from quadloom.plans.compiler import QUADS, object_, subject
 from quadloom.plans.parser import Parser, SparqlError
+from quadloom.plans.skew import spread
 
 BASE_IRI = "http://example.org/"
 FIELDS = ["s_kind", "s", "p", "o_kind", "o", "o_dt", "o_lang"]
@@ -107,7 +108,7 @@ def parsed(texts: DataFrame, g: str) -> DataFrame:
             rows = [(g, *t, False) for path, text in zip(batch["path"], batch["text"]) if text for t in parse(text, path)[0]]
             yield pd.DataFrame(rows, columns=["g", *FIELDS, "inferred"])
 
-    return texts.select("path", "text").mapInPandas(run, QUADS)
+    return spread(texts.select("path", "text"), "path").mapInPandas(run, QUADS)
 
 
 def validate(text: str) -> dict:
@@ -140,7 +141,7 @@ def validated(texts: DataFrame) -> DataFrame:
             found = [validate(x or "") for x in batch["text"]]
             yield pd.DataFrame({"path": batch["path"], "valid": [r["valid"] for r in found], "triple_count": [r.get("tripleCount", 0) for r in found], "error": [r.get("error") for r in found]})
 
-    return texts.select("path", "text").mapInPandas(run, "path string, valid boolean, triple_count long, error string")
+    return spread(texts.select("path", "text"), "path").mapInPandas(run, "path string, valid boolean, triple_count long, error string")
 
 
 def lines(triples: DataFrame) -> DataFrame:
