@@ -2,7 +2,7 @@
 
 files has path (relative to the root) and text. A Language says which files are its own and how
 their symbols are found; every language sees its own files only, and the scan is the union of what
-they give. Calls are resolved by joins: what a file defines, what it imports and what it calls are
+they give. Calls are resolved by joins, in which all files may name one module: what a file defines, what it imports and what it calls are
 three thin tables, and a call meets a definition through its own file, through an import, through a
 module's alias or through a base class.
 """
@@ -10,6 +10,7 @@ module's alias or through a base class.
 from __future__ import annotations
 
 import ast
+import functools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from quadloom.operators import extract
 from quadloom.operators.scan import MOST_FILES, MOST_SYMBOLS
+from quadloom.plans.skew import skewed_join, spread
 
 SYMBOL_COLUMNS = [c.split()[0] for c in extract.SYMBOLS.split(", ")]
 #: What a language's imports join, and what follows for a scan by modules (fixed values).
@@ -55,10 +57,15 @@ class DeepScan:
     unsupported: DataFrame  # extension, language, files, count: largest first
     hints: list[dict]
     file_count: int
-    symbol_count: int
+    size: int | None  # of symbols, where limits had it counted
     capped: bool = False
     warnings: list[str] = field(default_factory=list)
 
+    @functools.cached_property
+    def symbol_count(self) -> int:
+        """Counted when it is asked for, since that parses all files."""
+        return self.size if self.size is not None else self.symbols.count()
+
 
 def discovered(files: DataFrame, languages: list[Language]) -> DataFrame:
     """files of these languages, with the language; the first that claims an ending has it."""
@@ -98,7 +105,7 @@ def scan(files: DataFrame, languages: list[Language] | None = None, most_files:
             found = found.withColumn("_n", place).filter(F.col("_n") <= most_symbols).drop("_n")
         size = sum(min(n, most_symbols) for n in counts.values())
     else:
-        size = found.count()
+        size = None
     met = None
     for x in languages:
         if calls and x.calls is not None:
@@ -207,7 +214,7 @@ def python_calls(files: DataFrame) -> DataFrame:
     """
     from quadloom.plans.fixpoint import checkpointed
 
-    facts = checkpointed(files.select("path", "text").mapInPandas(_python_facts, _FACTS).distinct())
+    facts = checkpointed(spread(files.select("path", "text"), "path").mapInPandas(_python_facts, _FACTS).distinct())
     of = lambda what: facts.filter(F.col("what") == what)
     modules = files.select(F.col("path").alias("callee_path"), _module(F.col("path")).alias("module")).distinct()
     defs = of("def").select(F.col("path").alias("callee_path"), F.col("name").alias("callee"))
@@ -217,9 +224,9 @@ def python_calls(files: DataFrame) -> DataFrame:
     base = F.when(F.col("level") == 0, F.col("target")).otherwise(F.array_join(F.filter(F.array(package, F.col("target")), lambda x: x != ""), "."))
     froms = of("from").select("path", F.col("name").alias("alias"), base.alias("module"), F.col("scope").alias("thing"))
     # What an alias stands for: (module, thing), or a module alone.
-    things = froms.join(modules, "module").select("path", "alias", "callee_path", "thing")
+    things = skewed_join(froms, modules, ["module"]).select("path", "alias", "callee_path", "thing")
     aliases = of("import").select("path", F.col("name").alias("alias"), F.col("target").alias("module")).unionByName(froms.select("path", "alias", F.array_join(F.filter(F.array("module", "thing"), lambda x: x != ""), ".").alias("module")))
-    aliases = aliases.join(modules, "module").select("path", "alias", "callee_path")
+    aliases = skewed_join(aliases, modules, ["module"]).select("path", "alias", "callee_path")
 
     calls = of("call").select("path", F.col("scope").alias("caller"), "name", "target")
     own_class = F.regexp_extract("caller", r"^([^.]+)\.", 1)
@@ -246,7 +253,7 @@ def python_calls(files: DataFrame) -> DataFrame:
     out = candidates[0]
     for rows in candidates[1:]:
         out = out.unionByName(rows)
-    return out.distinct().join(defs, ["callee_path", "callee"], "left_semi").select("path", "caller", "callee_path", "callee")
+    return skewed_join(checkpointed(out.distinct()), defs, ["callee_path", "callee"], "left_semi").select("path", "caller", "callee_path", "callee")
 
 
 LANGUAGES = [

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadloom.plans.skew import spread
+
 EXCLUDED = ["node_modules", "dist", ".git", "build", "coverage", ".next", "__pycache__", "target", "vendor"]
 _IMPORT = r"""(?:import|export)\s[^'"\n]*?from\s*['"]([^'"]+)['"]|import\s*['"]([^'"]+)['"]|require\(\s*['"]([^'"]+)['"]\s*\)"""
 _EXTENSION = r"\.[tj]sx?$"
@@ -90,7 +92,7 @@ def python_symbols(files: DataFrame) -> DataFrame:
                         rows.append(_function(path, node, "Function", None))
             yield pd.DataFrame(rows, columns=["path", "kind", "name", "parent", "bases", "parameters", "returns"])
 
-    return files.select("path", "text").mapInPandas(run, SYMBOLS)
+    return spread(files.select("path", "text"), "path").mapInPandas(run, SYMBOLS)
 
 
 def _function(path: str, node, kind: str, parent: str | None) -> tuple:

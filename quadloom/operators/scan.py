@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quadloom.functions import terms as T
 from quadloom.operators.extract import encoded, symbol_iri
+from quadloom.plans.skew import spread
 from quadloom.sources.mapping import quad
 
 #: Bounds of a scan (fixed values).
@@ -229,4 +230,4 @@ def python_calls(files: DataFrame) -> DataFrame:
                             rows.append((path, name, callee))
             yield pd.DataFrame(rows, columns=["path", "caller", "callee"])
 
-    return files.select("path", "text").mapInPandas(run, CALLS).distinct()
+    return spread(files.select("path", "text"), "path").mapInPandas(run, CALLS).distinct()
