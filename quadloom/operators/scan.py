@@ -132,6 +132,17 @@ def snapshot(facts: dict, most: int = SNAPSHOT_BYTES) -> dict:
     return out
 
 
+def snapshots(reports: DataFrame, sizes: list[int]) -> DataFrame:
+    """Reports in rows (key, facts: JSON), each cut to each of these sizes: key, bytes, report (JSON)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(key, most, json.dumps(snapshot(json.loads(facts), most), ensure_ascii=False)) for key, facts in zip(batch["key"], batch["facts"]) for most in sizes]
+            yield pd.DataFrame(rows, columns=["key", "bytes", "report"])
+
+    return spread(reports.select("key", "facts"), "key").mapInPandas(run, f"key {dict(reports.dtypes)['key']}, bytes int, report string")
+
+
 # --- triples
 
 
