@@ -30,6 +30,8 @@ TRIPLE = KEY[1:]
 PIECES = 16
 #: A write that touches more graphs than this works on the whole store.
 MOST_NAMED = 1000
+#: A write of up to so many rows meets the rows held by a broadcast, so that these don't move.
+FEW_ROWS = 10_000
 
 
 def slug(graph: str) -> str:
@@ -126,7 +128,7 @@ class QuadStore:
         """Adds what isn't held; what was only inferred and is asserted now counts as asserted."""
         new = checkpointed(quads.groupBy(*KEY).agg(F.min("inferred").alias("inferred")))
         graphs = self._touched(new)
-        held = self._of(graphs).select(*KEY, F.col("inferred").alias("was"))
+        held = self._held(graphs, new).select(*KEY, F.col("inferred").alias("was"))
         new = checkpointed(new.join(held, KEY, "left").filter("was is null or was and not inferred"))
         told = new.filter("was").select(*KEY)
         if told.isEmpty():
@@ -134,6 +136,15 @@ class QuadStore:
         else:
             self._replace(graphs, checkpointed(self._of(graphs).join(told, KEY, "left_anti").unionByName(new.drop("was"))))
 
+    def _held(self, graphs: list[str] | None, new: DataFrame) -> DataFrame:
+        """Rows held that new may be among: of few rows, those of their predicates that are among them."""
+        held = self._of(graphs)
+        if new.limit(FEW_ROWS + 1).count() > FEW_ROWS:
+            return held
+        predicates = [r.p for r in new.select("p").distinct().limit(MOST_NAMED + 1).collect()]
+        held = held.filter(F.col("p").isin(*predicates)) if len(predicates) <= MOST_NAMED else held
+        return held.join(F.broadcast(new.select(*KEY)), KEY, "left_semi")
+
     def _keep_version(self, graph: str) -> None:
         if self.history:
             self.snapshot(self.history, graph)

@@ -587,7 +587,6 @@ def app_details(spark: SparkSession, sf_dir: str) -> DataFrame:
 def app_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicates built in and one that the store describes; parameters that are missing; an evaluation is recorded."""
     p = _project(spark, sf_dir)
-    p.store.quads = checkpointed(p.store.quads)
     p.store.insert_turtle(f'<urn:predicate:own> a <{V}Predicate> ; <{V}title> "own" ; <{V}sparqlTemplate> "SELECT ?x WHERE {{ GRAPH <{{{{graphUri}}}}> {{ ?x a <{V}Module> FILTER(?x = <urn:module:{{{{which}}}}>) }} }}" ; <{V}requiredParam> "which" .', G)
     asked = {"Module.hasOpenIssue": {"module": "s4"}, "Module.hasDependents": {"module": "s4"}, "Decision.exists": {"keyword": "ORDER"}, "Knowledge.exists": {"keyword": "R 1"}, "Issue.isResolved": {"issue": "urn:i:none"}, "unknown": {}, "own": {"which": "s9"}}
     rows = []
