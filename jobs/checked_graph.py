@@ -34,8 +34,8 @@ DEFAULTS = {
 COLUMNS = ["g", "state", "s", "p", "o_kind", "o", "o_dt", "note"]
 
 
-def _rows(df: DataFrame, graph: str, state: str, note: Column) -> DataFrame:
-    return df.select(F.lit(graph).alias("g"), F.lit(state).alias("state"), "s", "p", F.col("o_kind").cast("int").alias("o_kind"), "o", "o_dt", note.alias("note"))
+def _rows(df: DataFrame, graph: str, state: str | Column, note: Column) -> DataFrame:
+    return df.select(F.lit(graph).alias("g"), (F.lit(state) if isinstance(state, str) else state).alias("state"), "s", "p", F.col("o_kind").cast("int").alias("o_kind"), "o", "o_dt", note.alias("note"))
 
 
 def graph_rows(spark: SparkSession, config: dict, graph: str, tables: list[str]) -> DataFrame:
@@ -45,14 +45,15 @@ def graph_rows(spark: SparkSession, config: dict, graph: str, tables: list[str])
     # Thin rows that everything below joins with: worked out once.
     found = checkpointed(shacl.validate(data, f"{config['prefixes']} {config['shapes']}"))
     bad = found.select(F.col("focus_node").alias("s")).distinct()
-    accepted, rejected = data.join(bad, "s", "left_anti"), data.join(bad, "s", "left_semi")
-    inferred = rdfs.infer(accepted.unionByName(vocabulary))
+    # Each quad moves once, to be told accepted or rejected; inference reads the few predicates that it needs.
+    state = F.when(F.col("bad"), "rejected").otherwise("accepted")
+    told = data.join(bad.withColumn("bad", F.lit(True)), "s", "left").withColumn("state", state)
+    inferred = rdfs.infer(data.join(bad, "s", "left_anti").unionByName(vocabulary))
     itself = spark.range(1).select(F.lit(graph).alias("s"), F.lit(T.RDF + "type").alias("p"), F.lit(T.IRI).alias("o_kind"), F.lit(BASE + "Graph").alias("o"), F.lit("").alias("o_dt"))
     violations = found.select(F.col("focus_node").alias("s"), F.col("path").alias("p"), F.lit(T.LITERAL).alias("o_kind"), F.col("message").alias("o"), F.lit(T.XSD_STRING).alias("o_dt"), "component")
     parts = [
         _rows(itself, graph, "graph", F.lit("")),
-        _rows(accepted, graph, "accepted", F.lit("")),
-        _rows(rejected, graph, "rejected", F.lit("")),
+        _rows(told, graph, F.col("state"), F.lit("")),
         _rows(violations, graph, "violation", F.col("component")),
         _rows(inferred, graph, "inferred", F.col("rule")),
     ]
@@ -69,7 +70,7 @@ def run(spark: SparkSession, config: dict) -> dict[str, dict[str, int]]:
     for name, tables in config["graphs"].items():
         graph = f"urn:graph:{name}"
         with settings(spark, spark__sql__sources__partitionOverwriteMode="dynamic"):
-            graph_rows(spark, config, graph, tables).hint("rebalance").write.mode("overwrite").partitionBy("g").parquet(config["output"])
+            graph_rows(spark, config, graph, tables).write.mode("overwrite").partitionBy("g").parquet(config["output"])
         written = spark.read.parquet(config["output"]).filter(F.col("g") == graph).groupBy("state").count().collect()  # five states at most
         counts[graph] = {r.state: r["count"] for r in sorted(written, key=lambda r: r.state)}
         log.info("checked_graph: read %s from %s, wrote %s: %s", ", ".join(tables), config["input"], graph, counts[graph])

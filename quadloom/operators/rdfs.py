@@ -27,6 +27,8 @@ RULES = ["rdfs11", "rdfs5", "rdfs9", "rdfs7", "rdfs2", "rdfs3"]
 
 #: Conclusions, counted first, up to which all of them are broadcast.
 FEW_CONCLUSIONS = 50_000
+#: Predicates up to which a filter names those that matter, so that the columns of others are never read.
+FEW_PREDICATES = 500
 
 
 def meta(lex: Column) -> Column:
@@ -87,7 +89,8 @@ def _derived(asserted: DataFrame, conclusions: DataFrame) -> DataFrame:
     iri = F.lit(T.IRI).cast("tinyint")
     of_class = (F.col("p") == TYPE) & (F.col("o_kind") < T.LITERAL)
     key = F.when(of_class, F.concat(F.lit("c"), "o")).when(~F.col("p").isin(SUB_CLASS, SUB_PROPERTY, DOMAIN, RANGE, TYPE), F.concat(F.lit("p"), "p"))
-    keyed = asserted.withColumn("key", key)
+    names = _named(conclusions.filter(F.col("key").startswith("p")).select(F.substr("key", F.lit(2)).alias("p")))
+    keyed = (asserted.filter(F.col("p").isin(TYPE, *names)) if names is not None else asserted).withColumn("key", key)
     few = conclusions.limit(FEW_CONCLUSIONS + 1).count() <= FEW_CONCLUSIONS
     met = keyed.join(F.broadcast(conclusions), "key") if few else skewed_join(keyed, conclusions, ["key"])
     of_object = F.col("what") == "type of o"
@@ -100,12 +103,20 @@ def _derived(asserted: DataFrame, conclusions: DataFrame) -> DataFrame:
     )
 
 
+def _named(predicates: DataFrame) -> list[str] | None:
+    """The predicates (column p), or None if there are more than FEW_PREDICATES."""
+    found = [r.p for r in predicates.distinct().limit(FEW_PREDICATES + 1).collect()]
+    return found if len(found) <= FEW_PREDICATES else None
+
+
 def _once(asserted: DataFrame) -> DataFrame:
     conclusions, pairs = _schema(asserted)
     conclusions = checkpointed(conclusions)
     first = _derived(asserted, conclusions).unionByName(pairs).groupBy(*TRIPLE).agg(F.min("rank").alias("rank"))
     rule = F.element_at(F.array(*[F.lit(x) for x in _BY_RANK]), F.col("rank") + 1)
-    return first.join(asserted, TRIPLE, "left_anti").select(*TRIPLE, rule.alias("rule"))
+    names = _named(conclusions.filter("what = 'p'").select(F.col("target").alias("p")))
+    held = asserted.filter(F.col("p").isin(TYPE, SUB_CLASS, SUB_PROPERTY, *names)) if names is not None else asserted
+    return first.join(held, TRIPLE, "left_anti").select(*TRIPLE, rule.alias("rule"))
 
 
 def change(store, graph: str, added: DataFrame | None = None, removed: DataFrame | None = None) -> dict:
