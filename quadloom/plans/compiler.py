@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import copy
 import itertools
+from collections.abc import Sequence, Set
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,6 +62,18 @@ class Solutions:
         return Solutions(self.df.select(*self.columns().values()), self.vars, self.bound) if self.hidden else self
 
 
+#: Functions whose every call is another value.
+ONCE = {"BNODE", "RAND", "UUID", "STRUUID"}
+
+
+def _varies(e) -> bool:
+    return isinstance(e, (tuple, list)) and (len(e) > 1 and e[0] == "call" and e[1] in ONCE or any(map(_varies, e)))
+
+
+def _conjuncts(e: tuple) -> list[tuple]:
+    return _conjuncts(e[1]) + _conjuncts(e[2]) if e[0] == "and" else [e]
+
+
 def variables(e) -> set[str]:
     """Names of the variables in an expression or pattern."""
     if isinstance(e, tuple) and len(e) == 2 and e[0] in ("var", "pvar"):
@@ -257,6 +270,7 @@ class Compiler:
 
     def _group(self, items: list[tuple], graphs: Graphs) -> Solutions:
         out, filters, begun = None, [], self.seed is None
+        tests = [e for i in items if i[0] == "filter" for e in _conjuncts(i[1]) if not inside(e, "exists") and not _varies(e)]
 
         def start() -> Solutions:
             """What there is so far, or one empty row; met with the seed if it wasn't yet."""
@@ -286,7 +300,7 @@ class Compiler:
                 if self.seed is not None and kind not in ("bgp", "values", "sub"):
                     out = start()
                     inner = self._narrowed(out, item)
-                right = inner.pattern(item, graphs)
+                right = inner._bgp(item[1], graphs, tests) if kind == "bgp" else inner.pattern(item, graphs)
                 out = right if out is None else self.join(out, right)
         out = start()
         for e in filters:
@@ -581,8 +595,11 @@ class Compiler:
             return self.quads.filter(F.col("g").isin(*graphs.named) if graphs.named is not None else F.col("g") != "")
         return self.quads.filter(F.col("g").isin(*graphs.default)) if graphs.default else self.quads.limit(0)
 
-    def _bgp(self, triples: list[tuple], graphs: Graphs) -> Solutions:
-        """Triple patterns, joined in an order that stays connected and starts with the most selective."""
+    def _bgp(self, triples: list[tuple], graphs: Graphs, tests: Sequence[tuple] = ()) -> Solutions:
+        """Triple patterns, joined in an order that stays connected and starts with the most selective.
+
+        tests: filters that the group puts on its rows later; a closing path starts only from ends that can pass them.
+        """
         if not triples:
             return self._unit()
         triples, middles = self._unfolded(triples)
@@ -595,19 +612,30 @@ class Compiler:
             closing = t[1][0] in ("plus", "star", "maybe", "neg", "alt", "seq", "inv")
             return (closing, 2 * (t[0][0] == "var") + (t[2][0] == "var") + 2 * (t[1][0] == "pvar"))
 
-        left = [(set(x.vars), (False, 2), lambda _, x=x: x) for x in parts] + [(names(t), cost(t), lambda known, t=t: self._triple(t, graphs, known)) for t in triples]
+        ends = lambda t: {x[1] for x in (t[0], t[2]) if x[0] == "var"} if t[1][0] in ("iri", "pvar", "neg") else set()
+        left = [(set(x.vars), (False, 2), lambda _, x=x: x, set(x.vars)) for x in parts] + [(names(t), cost(t), lambda known, t=t: self._triple(t, graphs, self._passing(known, tests) if t[1][0] in ("plus", "star") else known, placed), ends(t)) for t in triples]
         out, seen = None, set(graphs.var and [graphs.var] or [])
+        # Variables bound to subjects and objects of these graphs: nodes, whatever a path says of them.
+        placed: set[str] = set()
         while left:
             best = min([x for x in left if x[0] & seen] or left, key=lambda x: x[1])
             left.remove(best)
             seen |= best[0]
             right = best[2](out)
+            placed |= best[3]
             out = right if out is None else self.join(out, right)
         if not middles:
             return out
         keep, hidden = [v for v in out.vars if v not in middles], {v: h for v, h in out.hidden.items() if v not in middles}
         return Solutions(out.df.select(*[F.col(f"`{v}`") for v in keep], *[F.col(f"`{h.column}`") for h in hidden.values()]), keep, out.bound - middles, hidden)
 
+    def _passing(self, known: Solutions | None, tests: Sequence[tuple]) -> Solutions | None:
+        """The rows that pass what of these tests is about bound variables alone."""
+        for e in tests if known is not None else ():
+            if variables(e) and variables(e) <= known.bound:
+                known = replace(known, df=known.df.filter(known.expressions()(e).truth()))
+        return known
+
     def _unfolded(self, triples: list[tuple]) -> tuple[list[tuple], set[str]]:
         """Sequences and inverses as patterns of their own, and the variables in between."""
         out, middles, todo = [], set(), list(reversed(triples))
@@ -647,8 +675,8 @@ class Compiler:
             parts.append(Solutions(df, names, set(names), hidden))
         return parts, [t for t in triples if t not in done]
 
-    def _triple(self, t: tuple, graphs: Graphs, known: Solutions | None = None) -> Solutions:
-        """known: what the pattern is going to be joined with."""
+    def _triple(self, t: tuple, graphs: Graphs, known: Solutions | None = None, placed: Set[str] = frozenset()) -> Solutions:
+        """known: what the pattern is going to be joined with; placed: its variables that are nodes of these graphs."""
         s, p, o = t
         if p[0] == "inv":
             return self._triple((o, p[1], s), graphs)
@@ -661,7 +689,7 @@ class Compiler:
             a, b = self._triple((s, p[1], o), graphs), self._triple((s, p[2], o), graphs)
             return Solutions(a.df.unionByName(b.df), a.vars, a.bound)
         if p[0] in ("plus", "star", "maybe"):
-            return self._closing(s, p, o, graphs, known)
+            return self._closing(s, p, o, graphs, known, placed)
         rows = self._scan(graphs)
         if p[0] == "iri":
             rows = rows.filter(F.col("p") == p[1])
@@ -699,21 +727,22 @@ class Compiler:
                 columns[name] = col
         return Solutions(rows.select(*[c.alias(n) for n, c in columns.items()]), list(columns), set(columns))
 
-    def _closing(self, s: tuple, p: tuple, o: tuple, graphs: Graphs, known: Solutions | None = None) -> Solutions:
+    def _closing(self, s: tuple, p: tuple, o: tuple, graphs: Graphs, known: Solutions | None = None, placed: Set[str] = frozenset()) -> Solutions:
         """p+, p* and p?: distinct pairs, from a constant end or one that is bound already where there is one.
 
-        Under a graph variable a node is (graph, term), so that paths stay within their graph.
+        Under a graph variable a node is (graph, term), so that paths stay within their graph. Nodes are packed
+        strings until the pairs are found.
         """
         a, b, g = ("var", f"_:s{next(_fresh)}"), ("var", f"_:o{next(_fresh)}"), graphs.var if graphs.one is None else None
         step = self._triple((a, p[1], b), graphs)
-        node = lambda x, of=None: F.struct((F.col(f"`{g}`") if of is None else of).alias("g"), x.alias("n")) if g is not None else x
-        term = lambda x: x["n"] if g is not None else x
+        node = lambda x, of=None: T.packed(x, None if g is None else (F.col(f"`{g}`") if of is None else of)["lex"])
+        term = lambda x: T.unpacked(x, g is not None)
         edges = step.df.select(node(F.col(f"`{a[1]}`")).alias("s"), node(F.col(f"`{b[1]}`")).alias("o"))
 
         def one(constant: tuple, name: str) -> DataFrame:
             """A constant as a node: of every graph."""
             if g is None:
-                return self.spark.range(1).select(T.constant(constant).alias(name))
+                return self.spark.range(1).select(node(T.constant(constant)).alias(name))
             return self._scan(graphs).select(named("g").alias("of")).distinct().select(node(T.constant(constant), F.col("of")).alias(name))
 
         def ends(name: str, as_: str) -> DataFrame | None:
@@ -722,6 +751,7 @@ class Compiler:
                 return None
             return known.df.select(node(F.col(f"`{name}`")).alias(as_)).distinct()
 
+        seeds, name = None, None
         if p[0] == "maybe":
             pairs = edges
         elif s[0] == "term":
@@ -729,19 +759,23 @@ class Compiler:
         elif o[0] == "term":
             pairs = closure(edges, one(o[1], "o"), backwards=True)
         elif (seeds := ends(s[1], "s")) is not None:
+            seeds, name = checkpointed(seeds), s[1]
             pairs = closure(edges, seeds)
         elif (seeds := ends(o[1], "o")) is not None:
+            seeds, name = checkpointed(seeds), o[1]
             pairs = closure(edges, seeds, backwards=True)
         else:
             pairs = closure(edges)
-        if p[0] in ("star", "maybe"):
+        if p[0] == "star" and seeds is not None and name in placed:
+            nodes = seeds.toDF("n")
+            pairs = pairs.filter("s != o").unionAll(nodes.select(F.col("n").alias("s"), F.col("n").alias("o")))
+        elif p[0] in ("star", "maybe"):
             rows = self._scan(graphs)
             nodes = rows.select(node(subject(), named("g")).alias("n")).unionAll(rows.select(node(object_(), named("g")).alias("n")))
             for end in (s, o):
                 if end[0] == "term":
                     nodes = nodes.filter(term(F.col("n")) == T.constant(end[1])).unionAll(one(end[1], "n"))
-            pairs = pairs.unionAll(nodes.select(F.col("n").alias("s"), F.col("n").alias("o")))
-        pairs = pairs.distinct()
+            pairs = pairs.unionAll(nodes.select(F.col("n").alias("s"), F.col("n").alias("o"))).distinct()
         columns = {}
         for end, name in ((s, "s"), (o, "o")):
             if end[0] == "term":
@@ -751,9 +785,10 @@ class Compiler:
             else:
                 columns[end[1]] = term(F.col(name))
         if g is not None:
+            of = T.constant((T.IRI, "", "", "")).withField("lex", T.graph_of(F.col("s")))
             if g in columns:  # the graph is an end of the path too
-                pairs = pairs.filter(columns[g] == F.col("s.g"))
-            columns[g] = F.col("s.g")
+                pairs = pairs.filter(columns[g] == of)
+            columns[g] = of
         return Solutions(pairs.select(*[c.alias(n) for n, c in columns.items()]), list(columns), set(columns))
 
     # --- templates
