@@ -94,15 +94,21 @@ class ChunkIds:
         if isinstance(lists, pa.ChunkedArray):
             lists = lists.combine_chunks()
         coded = lists.flatten().dictionary_encode()
-        chunks, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        # By way of numpy, which makes the strings many times faster than to_pylist().
+        chunks, code = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(zero_copy_only=False)
         known = self.known
         if len(known) > CACHE_CHUNKS:
             known.clear()
-        new = [c for c in chunks if c not in known]
-        plain = [c for c in new if _PLAIN(c)]
-        self._learn(plain, self.encode_plain)
-        self._learn([c for c in new if c not in known], self.encode)
-        data = [known[c] for c in chunks]
+        data = list(map(known.get, chunks))
+        new = [i for i, d in enumerate(data) if d is None]
+        if new:
+            plain, other = [], []
+            for i in new:
+                (plain if _PLAIN(chunks[i]) else other).append(chunks[i])
+            self._learn(plain, self.encode_plain)
+            self._learn(other, self.encode)
+            for i in new:
+                data[i] = known[chunks[i]]
         size = np.fromiter(map(len, data), np.int64, len(data)) // 4
         ids, begin = np.frombuffer(b"".join(data), "<u4"), np.cumsum(size) - size
         n = size[code]

@@ -95,6 +95,34 @@ def test_packing_round_trip(spark):
     assert packing.packed(docs.limit(0), VOCAB).count() == 0
 
 
+def test_packing_looks_each_chunk_up_once():
+    """One look in the cache for a chunk that is known, and the ids of the tokenizer."""
+
+    class Counted(dict):
+        looks = 0
+
+        def get(self, key, default=None):
+            Counted.looks += 1
+            return super().get(key, default)
+
+        def __getitem__(self, key):
+            Counted.looks += 1
+            return super().__getitem__(key)
+
+        def __contains__(self, key):
+            Counted.looks += 1
+            return super().__contains__(key)
+
+    texts = ["A word, a word.\nÉté é😀 x1.", None, "", " a  word ", "word***"]
+    ids_of, tok = packing.ChunkIds(VOCAB), packing.tokenizer(VOCAB)
+    ids_of.known = Counted()
+    for _ in range(2):
+        Counted.looks = 0
+        found = ids_of(texts)
+    assert [list(np.frombuffer(x, "<u4")) for x in found] == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert Counted.looks == len(ids_of.known)
+
+
 def test_packing_attention_capacity():
     lengths = np.random.default_rng(2).integers(1, 60, 300)
     for by in ("dot", "norm"):
