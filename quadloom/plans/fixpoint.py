@@ -21,6 +21,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 #: Edges that one list holds; so many reach FEW * FEW pairs at most.
 FEW = 300
+#: Rounds whose pairs stay as they were written, before they are written together.
+PIECES = 16
 
 
 def _pairs(edges: list[tuple]) -> list[tuple]:
@@ -44,7 +46,9 @@ def closure(edges: DataFrame, seeds: DataFrame | None = None, backwards: bool =
     """Pairs (s, o) joined by one edge or more; cycles end when a round finds nothing new.
 
     Without seeds each round joins what is new with all that is known, so reach doubles; with seeds
-    it takes one edge more, so nothing is found that no seed reaches.
+    it takes one edge more, so nothing is found that no seed reaches. Where no node has two edges onward,
+    as in chains, steps from seeds double too: there are never more of them than edges. Pairs are
+    written as they are found, not again in each round.
 
     seeds (one column s) keeps the pairs that start there, so a path from a constant never computes
     the whole closure; with backwards, seeds are ends instead (column o).
@@ -62,13 +66,19 @@ def closure(edges: DataFrame, seeds: DataFrame | None = None, backwards: bool =
         found = edges.sparkSession.createDataFrame(_pairs([(r.s, r.o) for r in few]), edges.schema)
         return found if seeds is None else found.join(seeds.select("s").distinct(), "s", "left_semi")
     step = edges.selectExpr("s as _m", "o as _n")
-    known = checkpointed(edges.join(seeds.select("s").distinct(), "s", "left_semi") if seeds is not None else edges)
-    delta = known
-    for _ in range(most_rounds):
+    known = delta = checkpointed(edges.join(seeds.select("s").distinct(), "s", "left_semi") if seeds is not None else edges)
+    leaps = seeds is not None and edges.groupBy("s").count().filter("count > 1").isEmpty()
+    for n in range(1, most_rounds + 1):
         onward = step if seeds is not None else known.selectExpr("s as _m", "o as _n")
-        found = delta.join(onward, F.col("o") == F.col("_m")).selectExpr("s", "_n as o").distinct()
+        found = (known if leaps else delta).join(onward, F.col("o") == F.col("_m")).selectExpr("s", "_n as o").distinct()
         delta = checkpointed(found.join(known, ["s", "o"], "left_anti"))
         if delta.isEmpty():
             return known
-        known = checkpointed(known.unionAll(delta))
+        known = known.unionAll(delta)
+        if leaps:
+            step = checkpointed(step.join(step.selectExpr("_m as _k", "_n as _l"), F.col("_n") == F.col("_k")).selectExpr("_m", "_l as _n"))
+            if step.isEmpty():
+                return known
+        if n % PIECES == 0:
+            known = checkpointed(known)
     raise RuntimeError("closure did not settle")

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from quadloom.functions import terms as T
-from quadloom.plans import compiler
+from quadloom.operators import shacl
+from quadloom.plans import compiler, fixpoint
 from quadloom.plans.compiler import Compiler, to_native
 from quadloom.plans.parser import parse_query
 from quadloom.sources import turtle
@@ -47,3 +48,36 @@ def test_paths_of_no_step(spark):
     assert asked(spark, data, "SELECT ?p ?y WHERE { GRAPH ?g { :a ?p :b . ?p :of* ?y } }", "py") == [(BASE + "next", BASE + "c"), (BASE + "next", BASE + "next")]
     assert asked(spark, data, "SELECT ?p ?y WHERE { GRAPH ?g { :b ?p 7 . ?p :of* ?y } }", "py") == []
     assert asked(spark, data, "SELECT ?y WHERE { GRAPH ?g { :a :next ?x . ?g :next* ?y } }", "y") == []
+
+
+def test_chains_are_closed_in_few_rounds(spark, monkeypatch):
+    """400 edges from seeds: chains, whose steps double, chains into a cycle, and a graph with forks, which takes an edge a round."""
+    written, write = [], fixpoint.checkpointed
+    monkeypatch.setattr(fixpoint, "checkpointed", lambda df: written.append(df) or write(df))
+    chains = [(f"{c}.{i}", f"{c}.{i + 1}") for c in range(10) for i in range(40)]
+    for edges, most in ((chains, 16), (chains + [(f"{c}.40", f"{c}.{30 + c}") for c in range(10)], 18), (chains + [("0.0", "1.39"), ("1.40", "1.0")], 200)):
+        after = {}
+        for s, o in edges:
+            after.setdefault(s, set()).add(o)
+        wanted = set()
+        for s in ("0.0", "1.7", "9.20", "none"):
+            todo = list(after.get(s, ()))
+            while todo:
+                if (s, o := todo.pop()) not in wanted:
+                    wanted.add((s, o))
+                    todo += after.get(o, ())
+        written.clear()
+        seeds = spark.createDataFrame([("0.0",), ("1.7",), ("9.20",), ("none",)], "s string")
+        found = [tuple(r) for r in fixpoint.closure(spark.createDataFrame(edges, "s string, o string"), seeds).collect()]
+        assert len(found) == len(set(found)) and set(found) == wanted and len(written) <= most
+
+
+def test_closing_paths_share_their_steps_and_start_at_literals(spark):
+    data = turtle.quads(spark, f'@prefix : <{BASE}> . :a a :C ; :name "x" ; :next :b . :b :name "x" ; :next :c . :c :next :a . :d a :D ; :next :e .', "")
+    shape = "@prefix sh: <%s> . @prefix : <%s> . :S sh:targetClass :C ; sh:property [ sh:path %s ; sh:maxCount 1 ] . :R sh:targetClass :D ; sh:property [ sh:path %s ; sh:maxCount 1 ] ."
+
+    def found(one, other):
+        return sorted(r.focus_node[-1] for r in shacl.validate(data, shape % (shacl.SH, BASE, one, other)).collect())
+
+    assert found("( :name [ sh:zeroOrMorePath [ sh:inversePath :name ] ] )", ":name") == ["a"]  # "x" itself, :a and :b
+    assert found("[ sh:zeroOrMorePath :next ]", "[ sh:oneOrMorePath :next ]") == ["a"] and found("[ sh:oneOrMorePath :next ]", "[ sh:zeroOrMorePath :next ]") == ["a", "d"]
