@@ -68,7 +68,7 @@ class Features:
         ids = [np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, n)]
         owners = [np.arange(n, dtype=np.int32)]
         rolling = np.zeros(len(points), np.uint64)
-        for k in range(max(GRAMS)):
+        for k in range(min(max(GRAMS), len(points))):  # one word of one character has three points
             rolling[: len(points) - k] = rolling[: len(points) - k] * np.uint64(0x100000001B3) + points[k:] + np.uint64(k + 1)
             if k + 1 in GRAMS:
                 at = np.flatnonzero(room > k)
@@ -193,7 +193,10 @@ def best_heads(texts: list[str | None], labels: list[int], heads: list[Head], th
     if len(heads) < 2 or min(np.bincount(marks[held], minlength=2)) < 10 or len(set(marks[~held])) < 2:
         return heads
     rest, own = [t for t, h in zip(texts, held) if not h], [t for t, h in zip(texts, held) if h]
-    each, y = fit(rest, marks[~held].tolist(), heads, **options).by_head(own), marks[held]
+    model = fit(rest, marks[~held].tolist(), heads, **options)
+    if len(model.heads) < len(heads):  # the texts of one class have no words
+        return heads
+    each, y = model.by_head(own), marks[held]
     subsets = [[h for h in range(len(heads)) if bits >> h & 1] for bits in range(1, 1 << len(heads))]
 
     def worth(some: list[int]) -> tuple[float, int]:

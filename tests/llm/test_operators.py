@@ -343,3 +343,18 @@ def test_token_counts_of_rows(spark):
         n = len(texts[r.doc_id])
         after = edited(texts[r.doc_id], [(n // 4, 7, ""), (n // 2, 0, " [removed] "), (3 * n // 4, 3, "e-mail")])
         assert (r.n_tokens, r.n_tokens_edited, r.n_chars_edited) == (count(texts[r.doc_id]), count(after), len(after))
+
+
+def test_features_of_a_lone_word_of_one_character():
+    """A text whose only word not met before has one character; and a class whose texts have no words."""
+    features = subword.Features(1 << 18, False)
+    words = ["x", "☃", "\U0001f600", "ab", "abc", subword.AGAIN]
+    every, starts = features.of(words)
+    for k, word in enumerate(words):
+        flat, own = features.of([word])
+        assert sorted(flat) == sorted(every[starts[k] : starts[k + 1]]) and own.tolist() == [0, len(flat)]
+    model = subword.fit(["good plain words", "bad plain words"] * 20, [0, 1] * 20, [subword.Head()], fold_case=False)
+    assert model.scores(["plain words"])[0] == model.scores(["x", "plain words", "plain words x"])[1]
+    blank = [k % 3 == 0 for k in range(200)]
+    heads = subword.best_heads([" " if b else f"plain words {k}" for k, b in enumerate(blank)], [int(b) for b in blank], toxicity.HEADS, 0.3, fold_case=True)
+    assert heads == toxicity.HEADS
